@@ -5,11 +5,13 @@ from __future__ import annotations
 from tessera.llm.langid import op1_language_id
 from tessera.llm.packing import op4_cost_packing
 from tessera.llm.quality import op8_quality_rules
+from tessera.llm.simhash import op5_simhash_golay
 from tessera.llm.store import op9_content_store
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op4_cost_packing": op4_cost_packing,
+    "op5_simhash_golay": op5_simhash_golay,
     "op8_quality_rules": op8_quality_rules,
     "op9_content_store": op9_content_store,
 }

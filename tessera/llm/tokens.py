@@ -22,9 +22,9 @@ _made: dict = {}
 
 
 class PieceEncoder:
-    """encode_many(texts) -> list of id arrays. ``limit`` bounds the number of cached pieces."""
+    """encode_many(texts) -> list of id arrays. ``limit`` bounds the number of cached pieces (two generations of half as many)."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 800_000):
         quiet_threads()
         from tokenizers import Tokenizer
 
@@ -39,6 +39,8 @@ class PieceEncoder:
             self.lengths[i] = len(token)  # byte-level alphabet: a character for each byte
         self.head: dict[str, bytes] = {}
         self.tail: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks = {m: np.array(self.tok.encode(m, add_special_tokens=False).ids, self.dtype).tobytes() for m in ",."}
 
     def _pieces(self, text: str) -> list[str]:
         if not text:
@@ -47,35 +49,54 @@ class PieceEncoder:
             return _LONE.split(text)
         return text.replace("\n", " \n").split(" ")
 
-    def _learn(self, missing: list[str], table: dict[str, bytes], lead: str) -> None:
-        """Tail pieces start with white space, so many are encoded as one string; ids' byte lengths tell where each ends."""
-        texts = [p if p[:1] == "\n" and lead else lead + p for p in missing]
-        if lead:
-            flat = np.array(self.tok.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.cumsum([len(t.encode()) for t in texts])
-            at = np.searchsorted(np.cumsum(self.lengths[flat]), ends, side="left") + 1
-            size, flat, a = self.dtype.itemsize, flat.astype(self.dtype).tobytes(), 0
-            for p, b in zip(missing, at.tolist()):
-                table[p] = flat[a * size: b * size]
-                a = b
-        else:
-            for p, e in zip(missing, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
-                table[p] = np.array(e.ids, self.dtype).tobytes()
+    def _encode(self, missing: list[str], table: dict[str, bytes]) -> None:
+        """Ids of tail pieces as one string (each starts with white space); the ids' byte lengths tell where each ends."""
+        texts = [p if p[:1] == "\n" else " " + p for p in missing]
+        flat = np.array(self.tok.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.cumsum([len(t.encode()) for t in texts])
+        at = np.searchsorted(np.cumsum(self.lengths[flat]), ends, side="left") + 1
+        size, flat, a = self.dtype.itemsize, flat.astype(self.dtype).tobytes(), 0
+        for p, b in zip(missing, at.tolist()):
+            table[p] = flat[a * size: b * size]
+            a = b
+
+    def _learn(self, want: set[str]) -> None:
+        """Put all of ``want`` into the young table: from the old one, from a word and its final mark, or by the library."""
+        missing = want.difference(self.tail)
+        if not missing:
+            return
+        if len(self.tail) + 2 * len(missing) > self.limit // 2:
+            self.old, self.tail = self.tail, {}
+            missing = want
+        old, tail, marked, plain = self.old, self.tail, [], set()
+        for p in missing:
+            if p in old:
+                tail[p] = old[p]
+            elif p[-1:] in self.marks and p[-2:-1].isalpha() and p[-2] < "\u0250":
+                marked.append(p)
+                core = p[:-1]
+                if core in old:
+                    tail[core] = old[core]
+                elif core not in tail:
+                    plain.add(core)
+            else:
+                plain.add(p)
+        if plain:
+            self._encode(sorted(plain), tail)
+        for p in marked:
+            tail[p] = tail[p[:-1]] + self.marks[p[-1]]
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for at in range(0, len(texts), 64):  # a batch's pieces are all in the table at once
             cut = [self._pieces(t) for t in texts[at: at + 64]]
-            for table, lead, want in (
-                (self.head, "", {c[0] for c in cut if c}),
-                (self.tail, " ", set().union(*(c[1:] for c in cut))),
-            ):
-                missing = want.difference(table)
-                if missing:
-                    if len(table) + len(missing) > self.limit:
-                        table.clear()
-                        missing = want
-                    self._learn(sorted(missing), table, lead)
+            heads = sorted({c[0] for c in cut if c}.difference(self.head))
+            if len(self.head) + len(heads) > self.limit // 8:
+                self.head.clear()
+                heads = sorted({c[0] for c in cut if c})
+            for p, e in zip(heads, self.tok.encode_batch_fast(heads, add_special_tokens=False)):
+                self.head[p] = np.array(e.ids, self.dtype).tobytes()
+            self._learn(set().union(*(c[1:] for c in cut)))
             get = self.tail.__getitem__
             for c in cut:
                 out.append(np.frombuffer(self.head[c[0]] + b"".join(map(get, c[1:])), self.dtype) if c else np.zeros(0, self.dtype))
