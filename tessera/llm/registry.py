@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from tessera.llm.decontaminate import op6_spaced_seeds
 from tessera.llm.langid import op1_language_id
+from tessera.llm.linededup import OP7_SQL, op7_line_windows
 from tessera.llm.packing import op4_cost_packing
 from tessera.llm.quality import op8_quality_rules
 from tessera.llm.simhash import op5_simhash_golay
@@ -12,7 +14,11 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op4_cost_packing": op4_cost_packing,
     "op5_simhash_golay": op5_simhash_golay,
+    "op6_spaced_seeds": op6_spaced_seeds,
+    "op7_line_windows": op7_line_windows,
     "op8_quality_rules": op8_quality_rules,
     "op9_content_store": op9_content_store,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_line_windows": OP7_SQL,
+}
