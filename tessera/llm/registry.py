@@ -9,15 +9,19 @@ from tessera.llm.packing import op4_cost_packing
 from tessera.llm.quality import op8_quality_rules
 from tessera.llm.simhash import op5_simhash_golay
 from tessera.llm.store import op9_content_store
+from tessera.llm.substring import op10_suffix_automata
+from tessera.llm.suffixdedup import op2_suffix_merge
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_suffix_merge": op2_suffix_merge,
     "op4_cost_packing": op4_cost_packing,
     "op5_simhash_golay": op5_simhash_golay,
     "op6_spaced_seeds": op6_spaced_seeds,
     "op7_line_windows": op7_line_windows,
     "op8_quality_rules": op8_quality_rules,
     "op9_content_store": op9_content_store,
+    "op10_suffix_automata": op10_suffix_automata,
 }
 ORACLES: dict[str, str] = {
     "op7_line_windows": OP7_SQL,
