@@ -11,10 +11,12 @@ from tessera.llm.simhash import op5_simhash_golay
 from tessera.llm.store import op9_content_store
 from tessera.llm.substring import op10_suffix_automata
 from tessera.llm.suffixdedup import op2_suffix_merge
+from tessera.llm.urlfilter import op3_link_trust
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_suffix_merge": op2_suffix_merge,
+    "op3_link_trust": op3_link_trust,
     "op4_cost_packing": op4_cost_packing,
     "op5_simhash_golay": op5_simhash_golay,
     "op6_spaced_seeds": op6_spaced_seeds,
