@@ -24,7 +24,7 @@ _made: dict = {}
 class PieceEncoder:
     """encode_many(texts) -> list of id arrays. ``limit`` bounds the number of cached pieces (two generations of half as many)."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 2_000_000):
         quiet_threads()
         from tokenizers import Tokenizer
 
@@ -103,11 +103,11 @@ class PieceEncoder:
         return out
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, limit: int = 2_000_000) -> PieceEncoder:
     """One encoder per worker process and file."""
-    if path not in _made:
-        _made[path] = PieceEncoder(path)
-    return _made[path]
+    if (path, limit) not in _made:
+        _made[path, limit] = PieceEncoder(path, limit)
+    return _made[path, limit]
 
 
 def default_path() -> str:
