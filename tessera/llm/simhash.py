@@ -15,6 +15,9 @@ other; repeated rows share a component; a null doc_id is never a component's id
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,10 +27,13 @@ from pyspark.sql import functions as F
 from tessera.llm import golay
 from tessera.llm.common import documents, parts_for, ship, stage
 from tessera.llm.graph import components
+from tessera.llm.hashing import mix
 
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
-PAIRS = ((0, 1), (0, 2), (1, 2))
-MOST_BITS = 4
+#: A segment is a list of (word of the fingerprint, first bit, bits), at most 23 bits together.
+SEGMENTS_64 = (((0, 0, 22),), ((0, 22, 21),), ((0, 43, 21),))
+MOST_BITS = 4  # guaranteed by these segments
+#: Five segments over two words: the wider fingerprint for similarity, where finding is likely rather than sure.
+SEGMENTS_128 = (((0, 0, 23),), ((0, 23, 23),), ((1, 0, 23),), ((1, 23, 23),), ((0, 46, 18), (1, 46, 5)))
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -58,30 +64,52 @@ def majority(hashes: np.ndarray) -> int:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, shingle: int, text: str = "text", words: int = 1) -> DataFrame:
+    """doc_id and fp, fp1, ... (64 bits each, as signed longs); words after the first are of remixed shingle hashes."""
     ship(docs.sparkSession)
+    names = word_names(words)
 
     def run(batches):
         for batch in batches:
-            fps = np.array([majority(shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle)) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, fp long")
-
-
-def key_entries(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every (key, fingerprint) of unsigned 64-bit fingerprints."""
-    got = [golay.keys(((fps >> np.uint64(s)) & np.uint64((1 << n) - 1)).astype(np.int64)) for s, n in SEGMENTS]
+            fps = np.zeros((batch.num_rows, words), np.uint64)
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                h = shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle)
+                for w in range(words):
+                    fps[i, w] = majority(h)
+                    h = mix(h)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, w].copy().view(np.int64)) for w in range(words))], ["doc_id", *names])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
+
+
+def word_names(words: int) -> list[str]:
+    return ["fp", *(f"fp{w}" for w in range(1, words))]
+
+
+def key_entries(fps: np.ndarray, segments=SEGMENTS_64) -> tuple[np.ndarray, np.ndarray]:
+    """Every (key, row) of (n, words) fingerprints."""
+    got = []
+    for segment in segments:
+        value, at = np.zeros(len(fps), np.int64), 0
+        for word, first, bits in segment:
+            value |= ((fps[:, word] >> np.uint64(first)) & np.uint64((1 << bits) - 1)).astype(np.int64) << at
+            at += bits
+        got.append(golay.keys(value))
     ks, who = [], []
-    for p, (a, b) in enumerate(PAIRS):
+    rows = np.arange(len(fps))
+    for p, (a, b) in enumerate(combinations(range(len(segments)), 2)):
         key = (p << 24) | (got[a][0][:, :, None] << 12) | got[b][0][:, None, :]
         use = got[a][1][:, :, None] & got[b][1][:, None, :]
         ks.append(key[use])
-        who.append(np.broadcast_to(fps[:, None, None], key.shape)[use])
+        who.append(np.broadcast_to(rows[:, None, None], key.shape)[use])
     return np.concatenate(ks), np.concatenate(who)
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which fingerprints differ, over the last axis."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
 def _find(parent: dict, x):
     while parent.setdefault(x, x) != x:
         parent[x] = parent[parent[x]]
@@ -89,59 +117,60 @@ def _find(parent: dict, x):
     return x
 
 
-def _bucket_links(fps: np.ndarray, limit: int):
+def _bucket_links(fps: np.ndarray, rows: np.ndarray, limit: int):
     """Links that connect all members of one bucket that are connected by pairs within the limit."""
     pivots: list[int] = []
     clusters: list[np.ndarray] = []
-    left = fps
+    left = rows
     links = []
     while len(left):
         p = left[0]
-        near = np.bitwise_count(left ^ p) <= limit
+        near = apart(fps[left], fps[p]) <= limit
         own = left[near]
-        links += [(p, x) for x in own[1:]]
-        pivots.append(p)
+        links += [(p, x) for x in own[1:].tolist()]
+        pivots.append(int(p))
         clusters.append(own)
         left = left[~near]
-    pv = np.array(pivots, np.uint64)
+    pv = fps[pivots]
     for i in range(len(pivots)):
-        for j in (np.flatnonzero(np.bitwise_count(pv[i + 1:] ^ pv[i]) <= 3 * limit) + i + 1).tolist():
+        for j in (np.flatnonzero(apart(pv[i + 1:], pv[i]) <= 3 * limit) + i + 1).tolist():
             a, b = clusters[i], clusters[j]
-            a = a[np.bitwise_count(a ^ pv[j]) <= 2 * limit]
-            b = b[np.bitwise_count(b ^ pv[i]) <= 2 * limit]
-            for s in range(0, len(a), 256):
-                hit = np.argwhere(np.bitwise_count(a[s: s + 256, None] ^ b[None, :]) <= limit)
+            a = a[apart(fps[a], pv[j]) <= 2 * limit]
+            b = b[apart(fps[b], pv[i]) <= 2 * limit]
+            for s in range(0, len(a), 64):
+                hit = np.argwhere(apart(fps[a[s: s + 64], None], fps[None, b]) <= limit) if len(b) else ()
                 if len(hit):
                     links.append((a[s + hit[0, 0]], b[hit[0, 1]]))  # both clusters are connected already
                     break
     return links
 
 
-def links_of(key: np.ndarray, fp: np.ndarray, limit: int, small: int = 24) -> np.ndarray:
-    """(n, 2) fingerprints, a spanning forest of the pairs within the limit that share a key."""
-    order = np.lexsort((fp, key))
-    key, fp = key[order], fp[order]
+def links_of(key: np.ndarray, fps: np.ndarray, limit: int, small: int = 24) -> np.ndarray:
+    """(n, 2) first words of fingerprints: a spanning forest of the pairs within the limit that share a key."""
+    order = np.lexsort((*fps.T[::-1], key))
+    key, fps = key[order], fps[order]
     if not len(key):
         return np.zeros((0, 2), np.uint64)
-    keep = np.r_[True, (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])]
-    key, fp = key[keep], fp[keep]
+    keep = np.r_[True, (key[1:] != key[:-1]) | (fps[1:] != fps[:-1]).any(1)]
+    key, fps = key[keep], fps[keep]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
     found = []
     big = sizes > small
     for s, n in zip(starts[big].tolist(), sizes[big].tolist()):
-        found += _bucket_links(fp[s: s + n], limit)
-    fine = np.repeat(~big, sizes)
-    k2, f2 = key[fine], fp[fine]
-    pairs = [np.array(found, np.uint64).reshape(-1, 2)]
+        found += _bucket_links(fps, np.arange(s, s + n), limit)
+    fine = np.flatnonzero(np.repeat(~big, sizes))
+    k2 = key[fine]
+    pairs = [np.array(found, np.int64).reshape(-1, 2)]
     for d in range(1, small):
-        same = k2[d:] == k2[:-d]
-        if not same.any():
+        same = np.flatnonzero(k2[d:] == k2[:-d])
+        if not len(same):
             break
-        a, b = f2[:-d][same], f2[d:][same]
-        near = np.bitwise_count(a ^ b) <= limit
+        a, b = fine[same], fine[same + d]
+        near = apart(fps[a], fps[b]) <= limit
         pairs.append(np.stack([a[near], b[near]], 1))
-    pairs = np.unique(np.concatenate(pairs), axis=0)
+    pairs = fps[np.concatenate(pairs), 0]
+    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
     parent: dict = {}
     out = []
     for a, b in pairs.tolist():
@@ -152,56 +181,93 @@ def links_of(key: np.ndarray, fp: np.ndarray, limit: int, small: int = 24) -> np
     return np.array(out, np.uint64).reshape(-1, 2)
 
 
-def near_links(fps: DataFrame, n_distinct: int, limit: int = MOST_BITS, range_entries: int = 8 << 20) -> DataFrame:
-    """Links (a, b) between distinct fingerprints; their connected components are those of all pairs within ``limit`` bits."""
-    if not 0 <= limit <= MOST_BITS:
-        raise ValueError(f"the segments find pairs within {MOST_BITS} bits")
+def near_links(fps: DataFrame, n_distinct: int, limit: int = MOST_BITS, segments=SEGMENTS_64, words: int = 1, range_entries: int = 8 << 20) -> DataFrame:
+    """Links (a, b) between the first words of distinct fingerprints; their components are those of all pairs within ``limit`` bits that share a key."""
     ship(fps.sparkSession)
-    ranges = parts_for(n_distinct * 84 * 12, 4 << 20)
+    names = word_names(words)
+    volume = n_distinct * 28 * len(segments) * (len(segments) - 1) // 2 * (4 + 8 * words)
+    ranges = parts_for(volume, 4 << 20)
+    # a fixed order in each task, so that a task that runs again makes the same rows
+    dealt_fps = fps.select(*names).repartition(parts_for(volume, 16 << 20), "fp").sortWithinPartitions(*names)
 
-    def spread(batches):
+    def entries(batches):
         for batch in batches:
-            all_fps = np.array(batch.column(0), np.int64).view(np.uint64)
-            for at in range(0, len(all_fps), 20_000):
-                key, fp = key_entries(all_fps[at: at + 20_000])
+            both = np.stack([np.array(batch.column(w), np.int64).view(np.uint64) for w in range(words)], 1)
+            for at in range(0, len(both), 10_000):
+                part = both[at: at + 10_000]
+                key, row = key_entries(part, segments)
                 r = (key * 0x9E3779B1 >> 7) % ranges
                 order = np.argsort(r, kind="stable")
-                key, fp, r = key[order].astype("<u4"), fp[order], r[order]
-                cuts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-                ends = np.r_[cuts[1:], len(r)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(r[cuts].astype(np.int32)), pa.array((ends - cuts).astype(np.int64)),
-                        pa.array([key[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), pa.array([fp[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-                    ],
-                    ["r", "n", "keys", "fps"],
-                )
-
-    blobs = stage(fps.select("fp").repartition(parts_for(n_distinct * 84 * 12, 16 << 20), "fp").mapInArrow(spread, "r int, n long, keys binary, fps binary"), "keys")
-    blocks = blobs.groupBy("r").agg(F.sum("n").alias("total")).select("r", F.ceil(F.col("total") / range_entries).cast("int").alias("blocks"))
+                yield key[order].astype("<u4"), part[row[order]], r[order]
+
+    def count(batches):
+        total = np.zeros(ranges, np.int64)
+        for _, _, r in entries(batches):
+            total += np.bincount(r, minlength=ranges)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["r", "n"])
+
+    def spread(batches):
+        for key, fp, r in entries(batches):
+            cuts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+            ends = np.r_[cuts[1:], len(r)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(r[cuts].astype(np.int32)),
+                    pa.array([key[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), pa.array([fp[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+                ],
+                ["r", "keys", "fps"],
+            )
+
+    blocks = dealt_fps.mapInArrow(count, "r int, n long").groupBy("r").agg(F.sum("n").alias("total")).select("r", F.ceil(F.col("total") / range_entries).cast("int").alias("blocks"))
+    blocks = stage(blocks, "blocks")
     own = F.pmod(F.xxhash64("fps"), F.col("blocks")).cast("int")
+    blobs = dealt_fps.mapInArrow(spread, "r int, keys binary, fps binary")
     dealt = blobs.join(F.broadcast(blocks), "r").withColumn("own", own)  # a row per range, and ranges are as many as tasks
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("r", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "keys", "fps")
 
     def link(key, t):
         ks = np.frombuffer(b"".join(t.column("keys").to_pylist()), "<u4").astype(np.int64)
-        fp = np.frombuffer(b"".join(t.column("fps").to_pylist()), np.uint64)
+        fp = np.frombuffer(b"".join(t.column("fps").to_pylist()), np.uint64).reshape(-1, words)
         got = links_of(ks, fp, limit).view(np.int64)
         return pa.table({"a": pa.array(got[:, 0].copy()), "b": pa.array(got[:, 1].copy())})
 
     return dealt.repartition(ranges, "r", "i", "j").groupBy("r", "i", "j").applyInArrow(link, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, shingle: int = 4, limit: int = MOST_BITS) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable over links) of every row."""
-    fps = stage(fingerprints(docs, shingle), "fingerprints")
-    distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    roots = components(near_links(distinct, distinct.count(), limit))
-    joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+def _components(docs: DataFrame, shingle: int, limit: int, segments, words: int) -> DataFrame:
+    names = word_names(words)
+    fps = stage(fingerprints(docs, shingle, words=words), "fingerprints")
+    distinct = stage(fps.groupBy(*names).agg(F.min("doc_id").alias("rep")), "distinct")
+    roots = components(near_links(distinct, distinct.count(), limit, segments, words))
+    joined = distinct.join(roots, distinct.fp == roots.node, "left").select(*names, "rep", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels = joined.join(least, "root").select("fp", "component_id")
-    return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = joined.join(least, "root").select(*names, "component_id")
+    return fps.join(labels, names).select("doc_id", "fp", "component_id")
+
+
+def simhash_components(docs: DataFrame, shingle: int = 4, limit: int = MOST_BITS) -> DataFrame:
+    """doc_id, fp and component_id (smallest doc_id reachable over links of at most ``limit`` bits) of every row."""
+    if not 0 <= limit <= MOST_BITS:
+        raise ValueError(f"the segments find all pairs within {MOST_BITS} bits")
+    return _components(docs, shingle, limit, SEGMENTS_64, 1)
+
+
+def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.04) -> DataFrame:
+    """As above for texts whose shingle sets have a Jaccard similarity of about ``similarity`` or more, by 128-bit fingerprints.
+
+    Jaccard j of sets of like size is a cosine of 2j/(1+j), and bits differ with the angle's share of pi; ``slack`` is added to that share
+    so that most pairs at the limit are within it (the share varies by 0.03 at 128 bits).
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi + slack
+    return _components(docs, shingle, int(128 * share), SEGMENTS_128, 2)
+
+
+def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` but for those that are near copies of a smaller doc_id; all columns as they were."""
+    gone = similar_components(docs, shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
 
 
 def op5_simhash_golay(spark, sf_dir):
