@@ -40,6 +40,7 @@ class Shape:
     length: int  # units in a window
     gram: int  # units in an anchor
     words: bool  # units are words, else bytes
+    across: bool = False  # only what different documents have in common counts
 
     @property
     def spread(self) -> int:
@@ -212,9 +213,14 @@ def remove_repeats(
 
     def announce(k, d, told):
         block = Block(d, told, shape)
-        h = [f["hash"] for _, f, *_ in block.records()]
-        h = np.concatenate(h) if h else np.zeros(0, np.uint64)
-        h, count = np.unique(h >> np.uint64(64 - bits), return_counts=True)
+        found = [(f["hash"] >> np.uint64(64 - bits), block.key[first + f["text"]]) for first, f, *_ in block.records()]
+        h = np.concatenate([x for x, _ in found] or [np.zeros(0, np.uint64)])
+        if shape.across:
+            doc = np.concatenate([x for _, x in found] or [np.zeros(0, np.int64)])
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            h = h[np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]] if len(h) else h
+        h, count = np.unique(h, return_counts=True)
         r = range_of(h << np.uint64(64 - bits), parts)
         cuts = np.searchsorted(r, np.arange(parts + 1))
         b = k[0].as_py()

@@ -141,15 +141,16 @@ def _send(shape: Shape):
             yield (name % ranges, name, "answer", None, pack_runs(*zip(*local)))
         by_range: dict[int, list] = {}
         for (to, right, left, _), (doc, own) in kept.items():
-            by_range.setdefault(to, []).extend((right, left, doc, *row) for row in own)
+            by_range.setdefault(to, []).append((right, left, doc, own))
         kept.clear()
         for to, items in by_range.items():
-            items.sort()
+            items.sort(key=lambda x: x[:3])
             shared, rest = front_code([x[0] for x in items])
+            own = [row for x in items for row in x[3]]
             arrays = [
                 shared, np.array([len(x[0]) for x in items], np.uint16), np.frombuffer(rest, np.uint8), np.array([len(x[1]) for x in items], np.uint16),
-                np.frombuffer(b"".join(x[1] for x in items), np.uint8), np.array([x[2] for x in items], np.int64),
-                *(np.array([x[i] for x in items], np.int64) for i in (3, 4, 5)),
+                np.frombuffer(b"".join(x[1] for x in items), np.uint8), np.array([x[2] for x in items], np.int64), np.array([x[3][0][2] for x in items], np.int32),
+                np.array([len(x[3]) for x in items], np.int32), np.array([r[0] for r in own], np.int32), np.array([r[1] for r in own], np.int64),
             ]
             parts = [squeeze(a) for a in arrays]
             yield (to, name, "run", len(items), b"".join(len(p).to_bytes(4, "little") + p for p in parts))
@@ -198,35 +199,41 @@ def _meet(shape: Shape):
             if kind == "answer":
                 yield (0, block, "answer", None, payload)
                 continue
-            sh, rl, rest, ll, left, doc, text, s0, count = unpack_arrays(payload)
+            sh, rl, rest, ll, left, doc, count, times, text, s0 = unpack_arrays(payload)
             runs.append(front_decode(sh, rl, rest.tobytes()))
             shared.append(sh.tolist())
-            cols.append((ll.astype(np.int64), left, doc, text, s0, count))
+            cols.append([x.astype(np.int64) for x in (ll, doc, count, times, text, s0)] + [left])
             names.append(block)
         if not runs:
             return
         run, index, lcp = merge_runs(runs, shared)
         base = np.cumsum([0, *map(len, runs)])
+        runs.clear()
         at = base[run] + index
-        ll, doc, text, s0, count = (np.concatenate([c[i] for c in cols]) for i in (0, 2, 3, 4, 5))
-        flat = np.concatenate([c[1] for c in cols])
+        ll, doc, count, times, text, s0, flat = (np.concatenate(x) for x in zip(*cols))
+        cols.clear()
         width = shape.spread - 1
         left = np.zeros((len(ll), width), np.uint8)
         rows_ = np.repeat(np.arange(len(ll)), ll)
         ends = np.cumsum(ll)
         left[rows_, ends[rows_] - 1 - np.arange(len(flat))] = flat
         owner = np.repeat(np.array(names, np.int64), np.diff(base))
-        left, ll, doc, text, s0, count, owner = (x[at] for x in (left, ll, doc, text, s0, count, owner))
+        member = np.cumsum(times) - times  # where a record's places begin
+        left, ll, doc, count, times, owner, member = (x[at] for x in (left, ll, doc, count, times, owner, member))
         rec, a = _classes(lcp, left, ll - count + 1, ll, doc, shape.length)
-        start = s0[rec] + ll[rec] - a
-        order = np.lexsort((start, text[rec], owner[rec]))
-        o, tx, st = owner[rec][order], text[rec][order], start[order]
-        if not len(o):
+        if not len(rec):
             return
-        new = np.r_[True, (o[1:] != o[:-1]) | (tx[1:] != tx[:-1]) | (st[1:] != st[:-1] + 1)]
-        f = np.flatnonzero(new)
-        n = np.diff(np.r_[f, len(o)])
-        o, tx, st = o[f], tx[f], st[f]
+        first = ll[rec] - a  # which of the record's windows
+        order = np.lexsort((first, rec))
+        rec, first = rec[order], first[order]
+        f = np.flatnonzero(np.r_[True, (rec[1:] != rec[:-1]) | (first[1:] != first[:-1] + 1)])
+        n = np.diff(np.r_[f, len(rec)])
+        rec, first = rec[f], first[f]
+        each = times[rec]
+        place = np.repeat(member[rec], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        o, tx, st, n = np.repeat(owner[rec], each), text[place], s0[place] + np.repeat(first, each), np.repeat(n, each)
+        order = np.argsort(o, kind="stable")
+        o, tx, st, n = o[order], tx[order], st[order], n[order]
         who, cuts = np.unique(o, return_index=True)
         for b, x, y in zip(who.tolist(), cuts, [*cuts[1:], len(o)]):
             yield (0, b, "answer", None, pack_runs(tx[x:y], st[x:y], n[x:y]))
@@ -263,9 +270,9 @@ def _texts(block: Block) -> pa.Table:
     return pa.table([pa.array(block.ids, pa.int64()), pa.array(left, pa.string())], ["doc_id", "text"])
 
 
-def suffix_dedup(docs, *, length: int = 50, gram: int = 24, digests: bool = False, block_bytes: int = 6 << 20):
+def suffix_dedup(docs, *, length: int = 50, gram: int = 24, digests: bool = False, block_bytes: int = 3 << 20):
     """doc_id and the text that is left (bytes of a cut character become U+FFFD), or with ``digests`` counts and its SHA-256."""
-    shape = Shape(length, min(gram, length), False)
+    shape = Shape(length, min(gram, length), False, across=True)
     return remove_repeats(
         docs, shape, text="text", send=_send(shape), meet=_meet(shape), finish=_finish if digests else _texts, block_bytes=block_bytes,
         schema="doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digests else "doc_id long, text string",
