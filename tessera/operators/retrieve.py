@@ -33,6 +33,18 @@ def keyword_score(asked: Column, text: Column) -> Column:
     return F.when(n > 0, F.size(F.array_intersect(asked, F.array_distinct(T.words(text)))) / F.when(n > 0, n)).otherwise(F.lit(0.0))
 
 
+def keyword_scores(questions: DataFrame, index: DataFrame, stop_words=V.STOP_WORDS, synonyms=V.SYNONYMS) -> DataFrame:
+    """query_id, chunk_id, kw_score of all pairs that share a keyword, by an inverted index: an equi-join on words, no pair without a hit is made.
+
+    ``questions``: query_id, query; ``index``: chunk_id, text. Counts are combined before the shuffle.
+    """
+    asked = questions.select("query_id", keywords(F.col("query"), stop_words, synonyms).alias("k"))
+    asked = asked.select("query_id", F.size("k").alias("n"), F.explode("k").alias("word"))
+    words = index.select("chunk_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word"))
+    hits = words.join(asked, "word").groupBy("query_id", "chunk_id", "n").agg(F.count(F.lit(1)).alias("hits"))
+    return hits.select("query_id", "chunk_id", (F.col("hits") / F.col("n")).alias("kw_score"))
+
+
 def best(scored: DataFrame, k: int, group: str = "query_id", score: str = "score", tie: str = "chunk_id") -> DataFrame:
     """The k best rows of each group with their rank, ties by id; Spark limits each partition before the shuffle."""
     w = Window.partitionBy(group).orderBy(F.desc(score), tie)

@@ -357,11 +357,11 @@ def index(spark, sf_dir):
     return docs(spark, sf_dir).join(e, "doc_id").select(F.col("doc_id").alias("chunk_id"), code.alias("paragraph_id"), F.col("source").alias("source_doc"), "text", "embedding")
 
 
-@query("keyword_score", f"SELECT query_id, chunk_id, round(CASE WHEN len(k) = 0 THEN 0.0 ELSE len(list_intersect(k, w)) / len(k) END, 6) AS kw FROM {SQL_QUERIES} q, {SQL_INDEX} i WHERE query_id < 5")
+@query("keyword_score", f"SELECT query_id, chunk_id, round(kw, 6) AS kw FROM (SELECT query_id, chunk_id, CASE WHEN len(k) = 0 THEN 0.0 ELSE len(list_intersect(k, w)) / len(k) END AS kw FROM {SQL_QUERIES} q, {SQL_INDEX} i) WHERE kw > 0")
 def keyword_score(spark, sf_dir):
-    q = questions(spark, sf_dir).where("query_id < 5").select("query_id", R.keywords(F.col("query")).alias("asked"))
-    i = index(spark, sf_dir).select("chunk_id", "text")
-    return i.crossJoin(F.broadcast(q)).select("query_id", "chunk_id", F.round(R.keyword_score(F.col("asked"), F.col("text")), 6).alias("kw"))  # five questions
+    """All pairs of questions and indexed texts that share a keyword."""
+    hits = R.keyword_scores(questions(spark, sf_dir), index(spark, sf_dir))
+    return hits.select("query_id", "chunk_id", F.round("kw_score", 6).alias("kw"))
 
 
 @query("hybrid_topk", f"SELECT query_id, rank, chunk_id, round(vec, 4) AS vec_score, round(kw, 4) AS kw_score, round(score, 4) AS score FROM ({SQL_HITS})")

@@ -63,6 +63,14 @@ def test_ties_fewer_rows_and_empty_keywords(spark):
     assert R.retrieve(asked, index.limit(0)).count() == R.retrieve(asked.limit(0), index).count() == 0
 
 
+def test_keyword_scores(spark):
+    index = spark.createDataFrame([(1, "gross income"), (2, "none"), (3, None), (4, "income income")], "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "the gross income"), (2, "what does")], "query_id long, query string")
+    assert sorted(map(tuple, R.keyword_scores(asked, index).collect())) == [(1, 1, 1.0), (1, 4, 0.5)]
+    pairs = asked.crossJoin(index).select(R.keyword_score(R.keywords(F.col("query")), F.coalesce("text", F.lit(""))))
+    assert sorted(r[0] for r in pairs.collect()) == [0.0] * 6 + [0.5, 1.0]
+
+
 def test_word_windows(spark):
     texts = {0: "w " * 10, 1: "w " * 49, 2: "w " * 50, 3: "w " * 175, 4: "w " * 176, 5: "w " * 225, 6: "", 7: None}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
