@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm import sql
 from tessera.llm.decontaminate import op6_spaced_seeds
 from tessera.llm.langid import op1_language_id
 from tessera.llm.linededup import OP7_SQL, op7_line_windows
@@ -26,5 +27,9 @@ QUERIES = {
     "op10_suffix_automata": op10_suffix_automata,
 }
 ORACLES: dict[str, str] = {
+    "op2_suffix_merge": sql.SUFFIXES,
+    "op3_link_trust": sql.links(),
     "op7_line_windows": OP7_SQL,
+    "op8_quality_rules": sql.QUALITY,
+    "op10_suffix_automata": sql.PASSAGES,
 }

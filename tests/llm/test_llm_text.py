@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate as D
-from tessera.llm import langid, linededup, quality, urlfilter
+from tessera.llm import langid, linededup, quality, registry, urlfilter
 from tests.llm import brute
 
 
@@ -96,8 +96,9 @@ def test_line_windows(spark):
     assert linededup.line_digests(docs.limit(0)).count() == 0
 
 
-def test_line_windows_equal_sql(same_as_sql):
-    same_as_sql(linededup.op7_line_windows, linededup.OP7_SQL)
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_query_equals_sql(name, same_as_sql):
+    same_as_sql(registry.QUERIES[name], registry.ORACLES[name])
 
 
 def test_masks_meet_every_case():
