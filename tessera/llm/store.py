@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, parts_for, ship, volume, work_path
-from tessera.llm.tokens import default_path, encoder
+from tessera.llm.tokens import default_path, encoder, release
 
 DIGEST = 16
+MANIFEST = "part int, n_docs long, n_tokens long, root binary"
+STORED = "doc_id long, n_tokens long, width int, lengths binary, digests binary, root binary, payload binary, refs array<int>, part int"
 DATA = "doc_id long, part int, n_tokens long, width int, lengths binary, digests binary, root binary, payload binary"
 
 
@@ -45,26 +47,40 @@ def _gear(width: int = 1 << 16) -> np.ndarray:
 GEAR = _gear()
 
 
-def cut_points(ids: np.ndarray, average: int, least: int, most: int, window: int = 16) -> np.ndarray:
-    """Ends of the chunks of an id stream; they depend on the ids near them only, but for the two limits."""
-    n = len(ids)
-    if n == 0:
-        return np.zeros(0, np.int64)
+WINDOW = 8  # ids the rolling hash sees
+
+
+def cut_many(streams: list[np.ndarray], average: int, least: int, most: int) -> list[list[int]]:
+    """Ends of the chunks of each id stream; they depend on the ids near them only, but for the two limits.
+
+    The streams are hashed as one; the few hashes that see a stream before fall within ``least`` of the start, where nothing is cut.
+    """
+    if least < WINDOW:
+        raise ValueError(f"a chunk has at least {WINDOW} ids")
+    ids = np.concatenate(streams) if streams else np.zeros(0, np.int64)
     g = GEAR[ids.astype(np.int64) & 0xFFFF]
-    h = np.zeros(n, np.uint64)
-    for k in range(min(window, n)):
-        h[k:] += g[: n - k] << np.uint64(k)
-    mask = np.uint64((average - 1) << 16)
-    marks = np.flatnonzero((h & mask) == 0) + 1
-    ends, last = [], 0
-    for m in marks.tolist() + [n]:
-        while m - last > most:
-            last += most
-            ends.append(last)
-        if m - last >= least or (m == n and m > last):
-            ends.append(m)
-            last = m
-    return np.array(ends, np.int64)
+    h = g.copy()
+    for k in range(1, WINDOW):
+        h[k:] += g[:-k] << np.uint64(k)
+    marks = np.flatnonzero((h & np.uint64((average - 1) << 16)) == 0) + 1
+    bounds = np.cumsum([0, *map(len, streams)])
+    inner = np.searchsorted(marks, bounds, side="right")
+    out = []
+    for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+        ends, last, n = [], 0, b - a
+        for m in (marks[inner[i]: inner[i + 1]] - a).tolist() + [n]:
+            while m - last > most:
+                last += most
+                ends.append(last)
+            if m - last >= least or (m == n and m > last):
+                ends.append(m)
+                last = m
+        out.append(ends)
+    return out
+
+
+def cut_points(ids: np.ndarray, average: int, least: int, most: int) -> np.ndarray:
+    return np.array(cut_many([ids], average, least, most)[0], np.int64)
 
 
 def merkle(digests: list[bytes]) -> bytes:
@@ -78,12 +94,21 @@ def digest(payload: bytes) -> bytes:
     return hashlib.blake2b(payload, digest_size=DIGEST).digest()
 
 
+_zstd: list = []
+
+
+def _codec() -> tuple:
+    if not _zstd:  # a context costs more than a document
+        _zstd.append((zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()))
+    return _zstd[0]
+
+
 def squeeze(x: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(x)
+    return _codec()[0].compress(x)
 
 
 def unpack(x: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(x) if x else b""
+    return _codec()[1].decompress(x) if x else b""
 
 
 def _split(blob: bytes, each: int = DIGEST) -> list[bytes]:
@@ -116,13 +141,13 @@ def build_store(
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(keys), 64):
                 rows = []
-                for key, ids in zip(keys[at: at + 64], enc.encode_many([t or "" for t in texts.slice(at, 64).to_pylist()])):
-                    ids = np.concatenate([ids, end])
-                    ends = cut_points(ids, average, least, most)
+                streams = [np.concatenate([x, end]) for x in enc.encode_many([t or "" for t in texts.slice(at, 64).to_pylist()])]
+                for key, ids, ends in zip(keys[at: at + 64], streams, cut_many(streams, average, least, most)):
                     raw, w = ids.tobytes(), enc.dtype.itemsize
-                    cuts = [0, *(ends * w).tolist()]
+                    cuts = [0, *(e * w for e in ends)]
                     found = [digest(raw[a:b]) for a, b in zip(cuts, cuts[1:])]
-                    rows.append((key, int(np.searchsorted(edges, key, side="left")), len(ids), w, np.diff(ends, prepend=0).astype("<u4").tobytes(), b"".join(found), merkle(found), squeeze(raw)))
+                    lengths = np.diff(ends, prepend=0).astype("<u4").tobytes()
+                    rows.append((key, int(np.searchsorted(edges, key, side="left")), len(ids), w, lengths, b"".join(found), merkle(found), squeeze(raw)))
                 cols = list(zip(*rows))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "part", "n_tokens", "width", "lengths", "digests", "root", "payload"])
@@ -130,6 +155,7 @@ def build_store(
     whole = docs.mapInArrow(encode, DATA).repartition(n_parts, "part")
 
     def digests(batches):  # all columns come in, so that the exchange below is one and the same
+        release()
         for batch in batches:
             out = ([], [], [], [])
             for key, part, blob in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "digests"))):
@@ -147,6 +173,7 @@ def build_store(
     )
 
     def drop(key, data, gone):
+        release()
         gone = dict(zip(gone.column("doc_id").to_pylist(), gone.column("refs").to_pylist()))
         cols = data.sort_by("doc_id").to_pydict()
         cols["refs"] = [gone.get(d, []) for d in cols["doc_id"]]
@@ -171,17 +198,18 @@ def _roots(data: DataFrame) -> DataFrame:
     """A row per part: documents, ids and the Merkle root over its documents' roots in ascending doc_id."""
 
     def roots(key, t):
+        release()
         t = t.sort_by("doc_id")
         ids = t.column("doc_id").to_pylist()
         if len(set(ids)) < len(ids):
             raise ValueError("two documents share a doc_id")
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([sum(t.column("n_tokens").to_pylist())], pa.int64()), "root": pa.array([merkle(t.column("root").to_pylist())], pa.binary())})
 
-    return data.groupBy("part").applyInArrow(roots, "part int, n_docs long, n_tokens long, root binary")
+    return data.groupBy("part").applyInArrow(roots, MANIFEST)
 
 
 def _manifest(spark: SparkSession, path: str) -> None:
-    _roots(spark.read.parquet(f"{path}/data").select("part", "doc_id", "n_tokens", "root")).write.parquet(f"{path}/manifest")
+    _roots(spark.read.schema(STORED).parquet(f"{path}/data").select("part", "doc_id", "n_tokens", "root")).write.parquet(f"{path}/manifest")
 
 
 def read_store(spark: SparkSession, path: str, *, digest_only: bool = False) -> DataFrame:
@@ -190,7 +218,7 @@ def read_store(spark: SparkSession, path: str, *, digest_only: bool = False) ->
     Raises where a chunk, a document's root or the manifest doesn't verify.
     """
     ship(spark)
-    data = spark.read.parquet(f"{path}/data")
+    data = spark.read.schema(STORED).parquet(f"{path}/data")
     inline = data.where(F.size("refs") == 0).withColumn("found", F.lit(None).cast("array<struct<pos:int,chunk:binary>>"))
     rest = data.where(F.size("refs") > 0)
 
@@ -244,6 +272,7 @@ def read_store(spark: SparkSession, path: str, *, digest_only: bool = False) ->
     kind = "doc_id long, part int, n_tokens long, ids binary, ids_crc32 long"
 
     def restore(batches):
+        release()
         for batch in batches:
             out: list[tuple] = []
             cols = batch.to_pydict()
@@ -270,15 +299,15 @@ def read_store(spark: SparkSession, path: str, *, digest_only: bool = False) ->
 
 def verify_manifest(spark: SparkSession, path: str) -> None:
     """The roots in the data, part by part, against the manifest."""
-    data = spark.read.parquet(f"{path}/data").select("part", "doc_id", "n_tokens", "root")
-    bad = _roots(data).join(spark.read.parquet(f"{path}/manifest").withColumnRenamed("root", "told").drop("n_docs", "n_tokens"), "part", "full").where("not (root <=> told)")
+    data = spark.read.schema(STORED).parquet(f"{path}/data").select("part", "doc_id", "n_tokens", "root")
+    bad = _roots(data).join(spark.read.schema(MANIFEST).parquet(f"{path}/manifest").withColumnRenamed("root", "told").drop("n_docs", "n_tokens"), "part", "full").where("not (root <=> told)")
     if bad.limit(1).count():
         raise ValueError("a part doesn't match the manifest")
 
 
 def offsets(store_rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     """Adds ``start``: ids of all documents before it. Sums within parts, plus the parts' totals from the manifest."""
-    parts = spark.read.parquet(f"{path}/manifest").select("part", "n_tokens")  # a row per part
+    parts = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("part", "n_tokens")  # a row per part
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)

@@ -24,7 +24,7 @@ _made: dict = {}
 class PieceEncoder:
     """encode_many(texts) -> list of id arrays. ``limit`` bounds the number of cached pieces (two generations of half as many)."""
 
-    def __init__(self, path: str, limit: int = 2_000_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         quiet_threads()
         from tokenizers import Tokenizer
 
@@ -103,13 +103,18 @@ class PieceEncoder:
         return out
 
 
-def encoder(path: str, limit: int = 2_000_000) -> PieceEncoder:
+def encoder(path: str, limit: int = 1_200_000) -> PieceEncoder:
     """One encoder per worker process and file."""
     if (path, limit) not in _made:
         _made[path, limit] = PieceEncoder(path, limit)
     return _made[path, limit]
 
 
+def release() -> None:
+    """Forget the encoders of this worker; stages after tokenising call it, as workers are used again."""
+    _made.clear()
+
+
 def default_path() -> str:
     import public_tokenizers
 
