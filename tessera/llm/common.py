@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -47,8 +48,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is there when the application ends goes."""
+    if not _written:
+        atexit.register(_clean)
+    _written.append(f"{checkpoint_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def _clean() -> None:
+    spark = SparkSession.getActiveSession()
+    for path in _written if spark else ():
+        try:
+            remove(spark, path)
+        except Exception:  # the JVM may be gone
+            return
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

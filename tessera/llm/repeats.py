@@ -191,14 +191,19 @@ def range_of(h: np.ndarray, ranges: int) -> np.ndarray:
 
 def remove_repeats(
     docs: DataFrame, shape: Shape, *, text: str, send: Callable, meet: Callable, finish: Callable, schema: str,
-    block_bytes: int = 6 << 20,
+    block_bytes: int = 6 << 20, range_bytes: int | None = None,
 ) -> DataFrame:
-    """The three rounds. ``send(block, wanted)`` gives rows for ranges, ``meet(rows)`` answers, ``finish(block)`` the result."""
+    """The three rounds. ``send(block, wanted)`` gives rows for ranges, ``meet(rows)`` answers, ``finish(block)`` the result.
+
+    ``block_bytes`` and ``range_bytes`` (the same by default) set the numbers of blocks and ranges, and with them a task's memory, about thirty times as
+    much. The defaults suit workers of some hundred MB; a large cluster with large executors takes 64 to 256 MB, which keeps the rows between blocks and ranges long.
+    """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     _, size = volume(docs)
     parts = max(parts_for(size, block_bytes, 1), min(int(spark.conf.get("spark.sql.shuffle.partitions")), parts_for(size, 1 << 19, 1)))
+    ranges = parts if range_bytes in (None, block_bytes) else parts_for(size, range_bytes, 1)
     bits = min(63, max(1, size).bit_length() + 10)
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
     blocks = docs.repartition(parts, "block")
@@ -221,8 +226,8 @@ def remove_repeats(
             h, doc = h[order], doc[order]
             h = h[np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]] if len(h) else h
         h, count = np.unique(h, return_counts=True)
-        r = range_of(h << np.uint64(64 - bits), parts)
-        cuts = np.searchsorted(r, np.arange(parts + 1))
+        r = range_of(h << np.uint64(64 - bits), ranges)
+        cuts = np.searchsorted(r, np.arange(ranges + 1))
         b = k[0].as_py()
         return rows((i, b, "hashes", y - x, len(p := pack_sorted(h[x:y])).to_bytes(4, "little") + p + squeeze(np.packbits(count[x:y] > 1))) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x)
 
@@ -254,7 +259,7 @@ def remove_repeats(
             at = np.minimum(np.searchsorted(wanted, h), max(0, len(wanted) - 1))
             return wanted[at] == h if len(wanted) else np.zeros(len(h), bool)
 
-        return rows(send(block, k[0].as_py(), repeated, parts))
+        return rows(send(block, k[0].as_py(), repeated, ranges))
 
     def decide(k, t):
         return rows(meet(t))
@@ -266,9 +271,9 @@ def remove_repeats(
         return answers.select("r", "block", "kind", "value", "payload").union(copies)
 
     hashes = blocks.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(announce, ROWS)
-    answers = hashes.repartition(parts, "r").groupBy("r").applyInArrow(compare, ROWS)
+    answers = hashes.repartition(ranges, "r").groupBy("r").applyInArrow(compare, ROWS)
     offers = blocks.groupBy("block").cogroup(with_copies(answers).repartition(parts, "block").groupBy("block")).applyInArrow(offer, ROWS)
-    decided = offers.repartition(parts, "r").groupBy("r").applyInArrow(decide, ROWS)
+    decided = offers.repartition(ranges, "r").groupBy("r").applyInArrow(decide, ROWS)
     return blocks.groupBy("block").cogroup(with_copies(decided).repartition(parts, "block").groupBy("block")).applyInArrow(settle, schema)
 
 

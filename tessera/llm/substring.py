@@ -210,11 +210,11 @@ def _texts(block: Block) -> pa.Table:
     return pa.table([pa.array(block.ids, pa.int64()), pa.array(left, pa.string())], ["doc_id", "text"])
 
 
-def substring_dedup(docs, *, length: int = 35, gram: int = 12, shard_words: int = 200_000, digests: bool = False, block_bytes: int = 6 << 20):
+def substring_dedup(docs, *, length: int = 35, gram: int = 12, shard_words: int = 200_000, digests: bool = False, block_bytes: int = 6 << 20, range_bytes: int | None = None):
     """doc_id and the words that are left, joined by a blank, or with ``digests`` counts and their SHA-256."""
     shape = Shape(length, min(gram, length), True)
     return remove_repeats(
-        docs, shape, text="text", send=_send(shape), meet=_meet(shape, shard_words), finish=_finish if digests else _texts, block_bytes=block_bytes,
+        docs, shape, text="text", send=_send(shape), meet=_meet(shape, shard_words), finish=_finish if digests else _texts, block_bytes=block_bytes, range_bytes=range_bytes,
         schema="doc_id long, n_words long, n_removed long, kept_sha256 string" if digests else "doc_id long, text string",
     )
 

@@ -270,11 +270,11 @@ def _texts(block: Block) -> pa.Table:
     return pa.table([pa.array(block.ids, pa.int64()), pa.array(left, pa.string())], ["doc_id", "text"])
 
 
-def suffix_dedup(docs, *, length: int = 50, gram: int = 24, digests: bool = False, block_bytes: int = 3 << 20):
+def suffix_dedup(docs, *, length: int = 50, gram: int = 24, digests: bool = False, block_bytes: int = 3 << 20, range_bytes: int | None = None):
     """doc_id and the text that is left (bytes of a cut character become U+FFFD), or with ``digests`` counts and its SHA-256."""
     shape = Shape(length, min(gram, length), False, across=True)
     return remove_repeats(
-        docs, shape, text="text", send=_send(shape), meet=_meet(shape), finish=_finish if digests else _texts, block_bytes=block_bytes,
+        docs, shape, text="text", send=_send(shape), meet=_meet(shape), finish=_finish if digests else _texts, block_bytes=block_bytes, range_bytes=range_bytes,
         schema="doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digests else "doc_id long, text string",
     )
 

@@ -256,7 +256,7 @@ def test_suffix_dedup(spark, length, gram):
 def test_substring_dedup(spark, length, gram):
     docs = made_up(100 + length)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("r", F.lit("own"))
-    got = substring_dedup(df, length=length, gram=gram, shard_words=50, digests=True, block_bytes=2000).collect()
+    got = substring_dedup(df, length=length, gram=gram, shard_words=50, digests=True, block_bytes=2000, range_bytes=5000).collect()
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == brute.passages(docs, length) and len(got) == len(docs)
 
 
