@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import documents, ship
-from tessera.llm.tokens import default_path, encoder
+from tessera.llm.common import documents, ship, text_bytes
+from tessera.llm.tokens import TEXTS, default_path, encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -112,12 +112,12 @@ def pack(
 
         for batch in batches:
             texts, doc = batch.column(1), batch.column(0).to_pylist()
-            for at in range(0, len(doc), 64):
-                got = enc.encode_many([t or "" for t in texts.slice(at, 64).to_pylist()])
-                for d, x in zip(doc[at: at + 64], got):
-                    ids.append(np.concatenate([x, end]))
+            for at in range(0, len(doc), TEXTS):
+                flat, cut = enc.encode(*text_bytes(texts.slice(at, TEXTS)))
+                for d, a, b in zip(doc[at: at + TEXTS], cut[:-1].tolist(), cut[1:].tolist()):
+                    ids.append(np.concatenate([flat[a:b], end]))
                     keys.append(d)
-                    size += len(x) + 1
+                    size += b - a + 1
                 if size >= window_tokens:
                     yield flush()
         if ids:

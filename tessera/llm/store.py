@@ -26,8 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, parts_for, ship, volume, work_path
-from tessera.llm.tokens import default_path, encoder, release
+from tessera.llm.common import documents, parts_for, ship, text_bytes, volume, work_path
+from tessera.llm.tokens import TEXTS, default_path, encoder, release
 
 DIGEST = 16
 MANIFEST = "part int, n_docs long, n_tokens long, root binary"
@@ -139,10 +139,11 @@ def build_store(
         end = np.array([end_id], enc.dtype)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(keys), 64):
+            for at in range(0, len(keys), TEXTS):
                 rows = []
-                streams = [np.concatenate([x, end]) for x in enc.encode_many([t or "" for t in texts.slice(at, 64).to_pylist()])]
-                for key, ids, ends in zip(keys[at: at + 64], streams, cut_many(streams, average, least, most)):
+                flat, cut = enc.encode(*text_bytes(texts.slice(at, TEXTS)))
+                streams = [np.concatenate([flat[a:b], end]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+                for key, ids, ends in zip(keys[at: at + TEXTS], streams, cut_many(streams, average, least, most)):
                     raw, w = ids.tobytes(), enc.dtype.itemsize
                     cuts = [0, *(e * w for e in ends)]
                     found = [digest(raw[a:b]) for a, b in zip(cuts, cuts[1:])]

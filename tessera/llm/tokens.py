@@ -1,30 +1,75 @@
-"""Token ids of whole texts by the tokenizers library, with a bounded cache of pieces.
+"""Token ids of whole texts by the tokenizers library, with a bounded cache of pieces, vectorised over many texts.
 
 Byte-level BPE never merges across a single blank (or line feed) that stands between two
-characters that aren't white space: the pre-tokeniser always starts a new word there. So a text can
-be cut at those places and each piece's ids looked up; only pieces not seen before go through
-the library, in one batch for many documents. Texts with white-space runs are cut only at the blanks
-that stand alone.
+characters that aren't white space: the pre-tokeniser always starts a new word there. So texts are cut at those places, and each
+piece's ids are looked up in a table; only pieces not seen before go through the library, many in one call. Where it isn't certain
+that a neighbour is no white space (its bytes begin as those of some white space do), the text isn't cut, which only makes a longer piece.
+
+The table is keyed by a 64-bit hash, and every hit is compared byte by byte, so the ids are those of the library.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 
 from tessera.llm.common import quiet_threads
+from tessera.llm.hashing import VALUES, mix, powers
 
-_RUN = re.compile(r"\s\s")
-_LONE = re.compile(r"(?<=\S) (?=\S)")
+#: First bytes of UTF-8 white space beyond ASCII.
+_LEADS = np.zeros(256, bool)
+_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_PLAIN = np.arange(256) > 0x20
+_NEXT = _PLAIN & ~_LEADS
+
+TEXTS = 256  # texts encoded together
 
 _made: dict = {}
 
 
+def cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """First bytes of the pieces of the texts data[offs[i]:offs[i + 1]]."""
+    n = len(data)
+    edge = np.zeros(n + 1, bool)
+    edge[offs] = True
+    at = np.flatnonzero((data == 0x20) | (data == 0x0A))
+    at = at[~edge[at]]
+    at = at[~edge[at + 1]]
+    at = at[_NEXT[data[at + 1]]]
+    before = data[at - 1]
+    ok = _PLAIN[before]
+    wide = np.flatnonzero(before >= 0x80)
+    w = at[wide]
+    ok[wide] = (data[w - 2] != 0xC2) & ~((data[np.maximum(w - 3, 0)] >= 0xE1) & (data[np.maximum(w - 3, 0)] <= 0xE3))
+    start = edge[:-1].copy()
+    start[at[ok]] = True
+    return np.flatnonzero(start)
+
+
+def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Places starts[i] .. starts[i] + lens[i] - 1, one run after the other."""
+    return np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
+
+
+class _Store:
+    """An array that grows."""
+
+    def __init__(self, kind):
+        self.data, self.n = np.zeros(1 << 16, kind), 0
+
+    def add(self, x: np.ndarray) -> int:
+        """Where x begins."""
+        while self.n + len(x) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
+        a = self.n
+        self.data[a: a + len(x)] = x
+        self.n += len(x)
+        return a
+
+
 class PieceEncoder:
-    """encode_many(texts) -> list of id arrays. ``limit`` bounds the number of cached pieces (two generations of half as many)."""
+    """``limit`` bounds the number of cached pieces; a full table starts anew."""
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 3_000_000, most_bytes: int = 64 << 20):
         quiet_threads()
         from tokenizers import Tokenizer
 
@@ -32,82 +77,132 @@ class PieceEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.tok.encode_special_tokens = True  # such strings in a document are ordinary text
-        self.dtype = np.dtype("<u2") if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
-        self.limit = limit
-        self.lengths = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), np.int64)
+        n = self.tok.get_vocab_size(with_added_tokens=True)
+        self.dtype = np.dtype("<u2") if n <= 1 << 16 else np.dtype("<u4")
+        self.lengths = np.zeros(n, np.int64)
         for token, i in self.tok.get_vocab(with_added_tokens=True).items():
             self.lengths[i] = len(token)  # byte-level alphabet: a character for each byte
-        self.head: dict[str, bytes] = {}
-        self.tail: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.marks = {m: np.array(self.tok.encode(m, add_special_tokens=False).ids, self.dtype).tobytes() for m in ",."}
-
-    def _pieces(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if _RUN.search(text) or text[0].isspace() or text[-1].isspace():
-            return _LONE.split(text)
-        return text.replace("\n", " \n").split(" ")
-
-    def _encode(self, missing: list[str], table: dict[str, bytes]) -> None:
-        """Ids of tail pieces as one string (each starts with white space); the ids' byte lengths tell where each ends."""
-        texts = [p if p[:1] == "\n" else " " + p for p in missing]
-        flat = np.array(self.tok.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, np.int64)
-        ends = np.cumsum([len(t.encode()) for t in texts])
-        at = np.searchsorted(np.cumsum(self.lengths[flat]), ends, side="left") + 1
-        size, flat, a = self.dtype.itemsize, flat.astype(self.dtype).tobytes(), 0
-        for p, b in zip(missing, at.tolist()):
-            table[p] = flat[a * size: b * size]
-            a = b
-
-    def _learn(self, want: set[str]) -> None:
-        """Put all of ``want`` into the young table: from the old one, from a word and its final mark, or by the library."""
-        missing = want.difference(self.tail)
-        if not missing:
-            return
-        if len(self.tail) + 2 * len(missing) > self.limit // 2:
-            self.old, self.tail = self.tail, {}
-            missing = want
-        old, tail, marked, plain = self.old, self.tail, [], set()
-        for p in missing:
-            if p in old:
-                tail[p] = old[p]
-            elif p[-1:] in self.marks and p[-2:-1].isalpha() and p[-2] < "\u0250":
-                marked.append(p)
-                core = p[:-1]
-                if core in old:
-                    tail[core] = old[core]
-                elif core not in tail:
-                    plain.add(core)
+        self.limit, self.most_bytes = limit, most_bytes
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slots = 1 << 16
+        self.key, self.entry = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
+        self.hash = _Store(np.uint64)
+        self.first_id, self.n_ids, self.first_byte, self.n_bytes = (_Store(np.int32) for _ in range(4))
+        self.ids, self.bytes = _Store(self.dtype), _Store(np.uint8)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Entries of hashes, -1 where there is none."""
+        out = np.full(len(h), -1, np.int32)
+        slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            k = self.key[slot]
+            hit = k == h[left]
+            out[left[hit]] = self.entry[slot[hit]]
+            more = ~hit & (k != 0)
+            left, slot = left[more], (slot[more] + 1) & (self.slots - 1)
+        return out
+
+    def _insert(self, h: np.ndarray, entry: np.ndarray) -> None:
+        slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(h):
+            free = np.flatnonzero(self.key[slot] == 0)
+            self.key[slot[free]] = h[free]
+            own = free[self.key[slot[free]] == h[free]]
+            self.entry[slot[own]] = entry[own]
+            lost = np.ones(len(h), bool)
+            lost[own] = False
+            h, entry, slot = h[lost], entry[lost], (slot[lost] + 1) & (self.slots - 1)
+
+    def _encode(self, data: np.ndarray, starts: np.ndarray, lens: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after the other, and how many each has. ``joined``: may be encoded as one string with others."""
+        count, parts = np.zeros(len(starts), np.int64), []
+        j = np.flatnonzero(joined)
+        if len(j):
+            text = data[spread(starts[j], lens[j])].tobytes().decode("utf-8", "surrogatepass")
+            flat = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.searchsorted(np.cumsum(self.lengths[flat]), np.cumsum(lens[j]), side="left") + 1
+            count[j] = np.diff(ends, prepend=0)
+            parts.append(flat)
+        own = np.flatnonzero(~joined)
+        if len(own):
+            texts = [data[a: a + n].tobytes().decode("utf-8", "surrogatepass") for a, n in zip(starts[own].tolist(), lens[own].tolist())]
+            got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+            count[own] = list(map(len, got))
+            parts += [np.array(x, np.int64) for x in got]
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        place = np.zeros(len(starts), np.int64)  # where each piece's ids are in ``flat``
+        order = np.concatenate([j, own])
+        place[order] = np.cumsum(count[order]) - count[order]
+        return flat[spread(place, count)].astype(self.dtype), count
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after the other, and where each text's begin and end."""
+        if len(data) == 0:
+            return np.zeros(0, self.dtype), np.zeros(len(offs), np.int64)
+        starts = cuts(data, offs)
+        lens = np.diff(np.append(starts, len(data)))
+        value = VALUES[data] * powers(int(lens.max()))[np.arange(len(data)) - np.repeat(starts, lens)]
+        h = mix(np.add.reduceat(value, starts) + lens.astype(np.uint64)) | np.uint64(1)  # 0 marks a free slot
+        e = self._find(h)
+        new = np.flatnonzero(e < 0)
+        if len(new):
+            names, first = np.unique(h[new], return_index=True)
+            if self.hash.n + len(names) > self.limit or self.bytes.n > self.most_bytes:
+                self._clear()
+                new = np.arange(len(h))
+                names, first = np.unique(h, return_index=True)
+            at = new[first]
+            s, n = starts[at], lens[at]
+            # a piece that starts with white space and ends without may stand between others
+            end = s + n
+            last = data[end - 1]
+            sure = _PLAIN[last] & (n > 1)
+            wide = np.flatnonzero(last >= 0x80)
+            w = end[wide]
+            sure[wide] &= (data[w - 2] != 0xC2) & ~((data[np.maximum(w - 3, 0)] >= 0xE1) & (data[np.maximum(w - 3, 0)] <= 0xE3))
+            lead = ((data[s] == 0x20) | (data[s] == 0x0A)) & _NEXT[data[np.minimum(s + 1, len(data) - 1)]]
+            ids, count = self._encode(data, s, n, sure & lead)
+            a = self.ids.add(ids)
+            b = self.bytes.add(data[spread(s, n)])
+            base = self.hash.add(names)
+            self.first_id.add(a + np.cumsum(count) - count)
+            self.n_ids.add(count)
+            self.first_byte.add(b + np.cumsum(n) - n)
+            self.n_bytes.add(n)
+            if 2 * self.hash.n > self.slots:
+                while 2 * self.hash.n > self.slots:
+                    self.slots *= 4
+                self.key, self.entry = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
+                self._insert(self.hash.data[: self.hash.n].copy(), np.arange(self.hash.n, dtype=np.int32))
             else:
-                plain.add(p)
-        if plain:
-            self._encode(sorted(plain), tail)
-        for p in marked:
-            tail[p] = tail[p[:-1]] + self.marks[p[-1]]
+                self._insert(names, np.arange(base, base + len(names), dtype=np.int32))
+            e[new] = self._find(h[new]) if len(new) < len(h) else self._find(h)
+        count = self.n_ids.data[e].astype(np.int64)
+        ids = self.ids.data[spread(self.first_id.data[e].astype(np.int64), count)]
+        ok = self.n_bytes.data[e] == lens
+        same = self.bytes.data[np.minimum(np.repeat(self.first_byte.data[e].astype(np.int64) - starts, lens) + np.arange(len(data)), len(self.bytes.data) - 1)] == data
+        ends = np.append(0, np.cumsum(count))
+        pieces = np.searchsorted(starts, offs)
+        if not (ok.all() and same.all()):  # two pieces with one hash: this batch's texts go through the library whole
+            texts = [data[a:b].tobytes().decode("utf-8", "surrogatepass") for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
+            got = [np.array(x.ids, self.dtype) for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate(got), np.cumsum([0, *map(len, got)])
+        return ids, ends[pieces]
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for at in range(0, len(texts), 64):  # a batch's pieces are all in the table at once
-            cut = [self._pieces(t) for t in texts[at: at + 64]]
-            heads = sorted({c[0] for c in cut if c}.difference(self.head))
-            if len(self.head) + len(heads) > self.limit // 8:
-                self.head.clear()
-                heads = sorted({c[0] for c in cut if c})
-            for p, e in zip(heads, self.tok.encode_batch_fast(heads, add_special_tokens=False)):
-                self.head[p] = np.array(e.ids, self.dtype).tobytes()
-            self._learn(set().union(*(c[1:] for c in cut)))
-            get = self.tail.__getitem__
-            for c in cut:
-                out.append(np.frombuffer(self.head[c[0]] + b"".join(map(get, c[1:])), self.dtype) if c else np.zeros(0, self.dtype))
-        return out
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        ids, at = self.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
-def encoder(path: str, limit: int = 1_200_000) -> PieceEncoder:
+def encoder(path: str) -> PieceEncoder:
     """One encoder per worker process and file."""
-    if (path, limit) not in _made:
-        _made[path, limit] = PieceEncoder(path, limit)
-    return _made[path, limit]
+    if path not in _made:
+        _made[path] = PieceEncoder(path)
+    return _made[path]
 
 
 def release() -> None:
