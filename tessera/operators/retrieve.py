@@ -84,8 +84,8 @@ def retrieve(
         dim = max((len(r[2]) for r in rows if r[2]), default=0)
         q = np.array([r[2] or [0.0] * dim for r in rows], np.float64).reshape(len(rows), dim)
         shared = spark.sparkContext.broadcast((ids, words, wanted, q))
-        known = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
-        has = F.array_intersect(known, F.array_distinct(T.words(F.col("text"))))
+        own = F.array_distinct(T.words(F.col("text")))
+        has = F.filter(own, lambda w: w.isin(list(words))) if words else F.array().cast("array<string>")  # a hash set in the JVM
 
         def run(batches, shared=shared, k=k, dim=dim):
             ids, words, wanted, q = shared.value
