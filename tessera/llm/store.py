@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,8 +32,8 @@ from tessera.llm.tokens import TEXTS, default_path, encoder, release
 
 DIGEST = 16
 MANIFEST = "part int, n_docs long, n_tokens long, root binary"
-STORED = "doc_id long, n_tokens long, width int, lengths binary, digests binary, root binary, payload binary, refs array<int>, part int"
-DATA = "doc_id long, part int, n_tokens long, width int, lengths binary, digests binary, root binary, payload binary"
+STORED = "doc_id long, n_tokens long, width int, lengths array<int>, digests array<binary>, root binary, payload binary, refs array<int>, part int"
+DATA = "doc_id long, part int, n_tokens long, width int, lengths array<int>, digests array<binary>, root binary, payload binary"
 
 
 def _gear(width: int = 1 << 16) -> np.ndarray:
@@ -111,12 +112,7 @@ def unpack(x: bytes) -> bytes:
     return _codec()[1].decompress(x) if x else b""
 
 
-def _split(blob: bytes, each: int = DIGEST) -> list[bytes]:
-    return [blob[i: i + each] for i in range(0, len(blob), each)]
-
-
-def _u32(x: bytes) -> list[int]:
-    return np.frombuffer(x, "<u4").tolist()
+_LENGTHS, _DIGESTS = pa.list_(pa.int32()), pa.list_(pa.binary())
 
 
 def build_store(
@@ -147,10 +143,10 @@ def build_store(
                     raw, w = ids.tobytes(), enc.dtype.itemsize
                     cuts = [0, *(e * w for e in ends)]
                     found = [digest(raw[a:b]) for a, b in zip(cuts, cuts[1:])]
-                    lengths = np.diff(ends, prepend=0).astype("<u4").tobytes()
-                    rows.append((key, int(np.searchsorted(edges, key, side="left")), len(ids), w, lengths, b"".join(found), merkle(found), squeeze(raw)))
+                    lengths = np.diff(ends, prepend=0).tolist()
+                    rows.append((key, int(np.searchsorted(edges, key, side="left")), len(ids), w, lengths, found, merkle(found), squeeze(raw)))
                 cols = list(zip(*rows))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), _LENGTHS, _DIGESTS, pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "part", "n_tokens", "width", "lengths", "digests", "root", "payload"])
 
     whole = docs.mapInArrow(encode, DATA).repartition(n_parts, "part")
@@ -159,8 +155,8 @@ def build_store(
         release()
         for batch in batches:
             out = ([], [], [], [])
-            for key, part, blob in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "digests"))):
-                for pos, h in enumerate(_split(blob)):
+            for key, part, each in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "digests"))):
+                for pos, h in enumerate(each):
                     for kept, x in zip(out, (h, key, pos, part)):
                         kept.append(x)
             kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32()]
@@ -176,18 +172,24 @@ def build_store(
     def drop(key, data, gone):
         release()
         gone = dict(zip(gone.column("doc_id").to_pylist(), gone.column("refs").to_pylist()))
-        cols = data.sort_by("doc_id").to_pydict()
-        cols["refs"] = [gone.get(d, []) for d in cols["doc_id"]]
-        for i, refs in enumerate(cols["refs"]):
-            if refs:
-                w, raw, refs, a, kept = cols["width"][i], unpack(cols["payload"][i]), set(refs), 0, []
-                for pos, k in enumerate(_u32(cols["lengths"][i])):
-                    if pos not in refs:
+        data = data.sort_by("doc_id").combine_chunks()
+        refs = [gone.get(d, []) for d in data.column("doc_id").to_pylist()]
+        out = data.append_column("refs", pa.array(refs, pa.list_(pa.int32())))
+        some = [i for i, r in enumerate(refs) if r]
+        if some:
+            left, cols = [], data.take(some).select(["width", "lengths", "payload"])
+            for i, w, lengths, payload in zip(some, *(c.to_pylist() for c in cols.columns)):
+                raw, away, a, kept = unpack(payload), set(refs[i]), 0, []
+                for pos, k in enumerate(lengths):
+                    if pos not in away:
                         kept.append(raw[a * w: (a + k) * w])
                     a += k
-                cols["payload"][i] = squeeze(b"".join(kept))
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int32())]
-        return pa.table([pa.array(cols[c], k) for c, k in zip(cols, kinds)], list(cols))
+                left.append(squeeze(b"".join(kept)))
+            mask = np.zeros(len(refs), bool)
+            mask[some] = True
+            payload = pc.replace_with_mask(data.column("payload").combine_chunks(), pa.array(mask), pa.array(left, pa.binary()))
+            out = out.set_column(out.column_names.index("payload"), "payload", payload)
+        return out
 
     kept = whole.groupBy("part").cogroup(refs.groupBy("part")).applyInArrow(drop, DATA + ", refs array<int>")
     kept.write.partitionBy("part").parquet(f"{path}/data")
@@ -223,42 +225,18 @@ def read_store(spark: SparkSession, path: str, *, digest_only: bool = False) ->
     inline = data.where(F.size("refs") == 0).withColumn("found", F.lit(None).cast("array<struct<pos:int,chunk:binary>>"))
     rest = data.where(F.size("refs") > 0)
 
-    def wanted(batches):
-        for batch in batches:
-            out = ([], [], [])
-            for key, blob, refs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "digests", "refs"))):
-                each = _split(blob)
-                for pos in refs:
-                    for kept, x in zip(out, (each[pos], key, pos)):
-                        kept.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.binary(), pa.int64(), pa.int32()))], ["h", "doc_id", "pos"])
-
-    want = rest.select("doc_id", "digests", "refs").mapInArrow(wanted, "h binary, doc_id long, pos int")
+    want = rest.select("doc_id", F.explode("refs").alias("pos"), "digests").select("doc_id", "pos", F.element_at("digests", F.col("pos") + 1).alias("h"))
     keys = want.select("h").distinct()
-
-    def owned_digests(batches):
-        for batch in batches:
-            out = ([], [], [])
-            for key, blob, refs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "digests", "refs"))):
-                refs = set(refs)
-                for pos, h in enumerate(_split(blob)):
-                    if pos not in refs:
-                        for kept, x in zip(out, (h, key, pos)):
-                            kept.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.binary(), pa.int64(), pa.int32()))], ["h", "doc_id", "pos"])
-
     # where the wanted chunks are, then only those documents' payloads
-    places = (
-        data.select("doc_id", "digests", "refs").mapInArrow(owned_digests, "h binary, doc_id long, pos int")
-        .join(keys, "h").groupBy("doc_id").agg(F.collect_list("pos").alias("give"))
-    )
+    owned = data.select("doc_id", "refs", F.posexplode("digests").alias("pos", "h")).where(~F.array_contains("refs", F.col("pos")))
+    places = owned.join(keys, "h").groupBy("doc_id").agg(F.collect_list("pos").alias("give"))
 
     def give(batches):
         for batch in batches:
             out = ([], [])
-            for blob, lengths, width, refs, payload, asked in zip(*(batch.column(c).to_pylist() for c in ("digests", "lengths", "width", "refs", "payload", "give"))):
-                raw, refs, asked, a, each = unpack(payload), set(refs), set(asked), 0, _split(blob)
-                for pos, k in enumerate(_u32(lengths)):
+            for each, lengths, width, refs, payload, asked in zip(*(batch.column(c).to_pylist() for c in ("digests", "lengths", "width", "refs", "payload", "give"))):
+                raw, refs, asked, a = unpack(payload), set(refs), set(asked), 0
+                for pos, k in enumerate(lengths):
                     if pos in refs:
                         continue
                     if pos in asked:
@@ -278,7 +256,7 @@ def read_store(spark: SparkSession, path: str, *, digest_only: bool = False) ->
             out: list[tuple] = []
             cols = batch.to_pydict()
             for i, key in enumerate(cols["doc_id"]):
-                w, each, lengths, refs = cols["width"][i], _split(cols["digests"][i]), _u32(cols["lengths"][i]), set(cols["refs"][i])
+                w, each, lengths, refs = cols["width"][i], cols["digests"][i], cols["lengths"][i], set(cols["refs"][i])
                 other = {x["pos"]: x["chunk"] for x in cols["found"][i] or []}
                 raw, a, got = unpack(cols["payload"][i]), 0, []
                 for pos, k in enumerate(lengths):

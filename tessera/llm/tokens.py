@@ -1,8 +1,8 @@
 """Token ids of whole texts by the tokenizers library, with a bounded cache of pieces, vectorised over many texts.
 
 Byte-level BPE never merges across a single blank (or line feed) that stands between two
-characters that aren't white space: the pre-tokeniser always starts a new word there. So texts are cut at those places, and each
-piece's ids are looked up in a table; only pieces not seen before go through the library, many in one call. Where it isn't certain
+characters that aren't white space: the pre-tokeniser always starts a new word there, as it does between a letter and a mark. So texts are cut
+there, and each piece's ids are looked up in a table; only pieces not seen before go through the library, many in one call. Where it isn't certain
 that a neighbour is no white space (its bytes begin as those of some white space do), the text isn't cut, which only makes a longer piece.
 
 The table is keyed by a 64-bit hash, and every hit is compared byte by byte, so the ids are those of the library.
@@ -20,6 +20,9 @@ _LEADS = np.zeros(256, bool)
 _LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 _PLAIN = np.arange(256) > 0x20
 _NEXT = _PLAIN & ~_LEADS
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+_LETTER[list(range(65, 91)) + list(range(97, 123))] = True
 
 TEXTS = 256  # texts encoded together
 
@@ -42,6 +45,12 @@ def cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     ok[wide] = (data[w - 2] != 0xC2) & ~((data[np.maximum(w - 3, 0)] >= 0xE1) & (data[np.maximum(w - 3, 0)] <= 0xE3))
     start = edge[:-1].copy()
     start[at[ok]] = True
+    # a word's final mark: letters never join it
+    at = np.flatnonzero(_MARK[data])
+    at = at[~edge[at]]
+    at = at[_LETTER[data[at - 1]]]
+    after = np.minimum(at + 1, n - 1)
+    start[at[edge[at + 1] | ~_PLAIN[data[after]]]] = True
     return np.flatnonzero(start)
 
 
@@ -174,7 +183,7 @@ class PieceEncoder:
             self.n_bytes.add(n)
             if 2 * self.hash.n > self.slots:
                 while 2 * self.hash.n > self.slots:
-                    self.slots *= 4
+                    self.slots *= 2
                 self.key, self.entry = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
                 self._insert(self.hash.data[: self.hash.n].copy(), np.arange(self.hash.n, dtype=np.int32))
             else:

@@ -115,7 +115,7 @@ def test_store_round_trip(spark, table, corpus, ids, tokenizer):
     assert len(edges) > 1 and all(x["b"] < y["a"] for x, y in zip(edges, edges[1:]))
     used, kept = [], []
     for r in data.collect():
-        each = [r["digests"][i: i + 16] for i in range(0, len(r["digests"]), 16)]
+        each = [bytes(h) for h in r["digests"]]
         used += each
         kept += [h for i, h in enumerate(each) if i not in set(r["refs"])]
     assert len(kept) == len(set(kept)) == len(set(used)) < len(used)  # each chunk is stored once
