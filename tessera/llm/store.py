@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, parts_for, ship, text_bytes, volume, work_path
+from tessera.llm.common import documents, parts_for, rough_bytes, ship, text_bytes, work_path
 from tessera.llm.tokens import TEXTS, default_path, encoder, release
 
 DIGEST = 16
@@ -117,16 +117,15 @@ _LENGTHS, _DIGESTS = pa.list_(pa.int32()), pa.list_(pa.binary())
 
 def build_store(
     docs: DataFrame, path: str, *, tokenizer: str, end_id: int, average: int = 512, least: int = 64, most: int = 4096,
-    part_bytes: int = 16 << 20,
+    part_bytes: int = 4 << 20,
 ) -> str:
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n, size = volume(docs)
-    named = docs.agg(F.count("doc_id")).first()[0]
+    n, named = docs.agg(F.count(F.lit(1)), F.count("doc_id")).first()
     if named < n:
         raise ValueError("a document without doc_id can't have a recipe")
-    n_parts = parts_for(size, part_bytes)
+    n_parts = parts_for(rough_bytes(docs), part_bytes)
     bounds = sorted(set(docs.approxQuantile("doc_id", [k / n_parts for k in range(1, n_parts)], 0.2 / n_parts))) if n else []
     bounds = [int(b) for b in bounds]  # bounded by the number of parts
 
@@ -192,7 +191,7 @@ def build_store(
         return out
 
     kept = whole.groupBy("part").cogroup(refs.groupBy("part")).applyInArrow(drop, DATA + ", refs array<int>")
-    kept.write.partitionBy("part").parquet(f"{path}/data")
+    kept.write.partitionBy("part").option("compression", "none").parquet(f"{path}/data")  # payloads are compressed, digests can't be
     _manifest(spark, path)
     return path
 

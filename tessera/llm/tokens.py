@@ -153,7 +153,8 @@ class PieceEncoder:
             return np.zeros(0, self.dtype), np.zeros(len(offs), np.int64)
         starts = cuts(data, offs)
         lens = np.diff(np.append(starts, len(data)))
-        value = VALUES[data] * powers(int(lens.max()))[np.arange(len(data)) - np.repeat(starts, lens)]
+        within = np.arange(len(data)) - np.repeat(starts, lens)
+        value = VALUES[data] * powers(int(lens.max()))[within]
         h = mix(np.add.reduceat(value, starts) + lens.astype(np.uint64)) | np.uint64(1)  # 0 marks a free slot
         e = self._find(h)
         new = np.flatnonzero(e < 0)
@@ -192,7 +193,8 @@ class PieceEncoder:
         count = self.n_ids.data[e].astype(np.int64)
         ids = self.ids.data[spread(self.first_id.data[e].astype(np.int64), count)]
         ok = self.n_bytes.data[e] == lens
-        same = self.bytes.data[np.minimum(np.repeat(self.first_byte.data[e].astype(np.int64) - starts, lens) + np.arange(len(data)), len(self.bytes.data) - 1)] == data
+        within += np.repeat(self.first_byte.data[e].astype(np.int64), lens)
+        same = self.bytes.data.take(within, mode="clip") == data
         ends = np.append(0, np.cumsum(count))
         pieces = np.searchsorted(starts, offs)
         if not (ok.all() and same.all()):  # two pieces with one hash: this batch's texts go through the library whole
