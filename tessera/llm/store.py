@@ -153,13 +153,11 @@ def build_store(
     def digests(batches):  # all columns come in, so that the exchange below is one and the same
         release()
         for batch in batches:
-            out = ([], [], [], [])
-            for key, part, each in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "digests"))):
-                for pos, h in enumerate(each):
-                    for kept, x in zip(out, (h, key, pos, part)):
-                        kept.append(x)
-            kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["h", "doc_id", "pos", "part"])
+            each = batch.column("digests")
+            n = np.diff(each.offsets.to_numpy())
+            pos = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            doc, part = (np.repeat(batch.column(c).to_numpy(), n) for c in ("doc_id", "part"))
+            yield pa.RecordBatch.from_arrays([each.flatten(), pa.array(doc, pa.int64()), pa.array(pos), pa.array(part, pa.int32())], ["h", "doc_id", "pos", "part"])
 
     uses = whole.mapInArrow(digests, "h binary, doc_id long, pos int, part int")
     first = uses.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "at")
@@ -253,21 +251,26 @@ def read_store(spark: SparkSession, path: str, *, digest_only: bool = False) ->
         release()
         for batch in batches:
             out: list[tuple] = []
-            cols = batch.to_pydict()
-            for i, key in enumerate(cols["doc_id"]):
-                w, each, lengths, refs = cols["width"][i], cols["digests"][i], cols["lengths"][i], set(cols["refs"][i])
-                other = {x["pos"]: x["chunk"] for x in cols["found"][i] or []}
-                raw, a, got = unpack(cols["payload"][i]), 0, []
-                for pos, k in enumerate(lengths):
-                    if pos in refs:
+            each, sizes = batch.column("digests"), batch.column("lengths")
+            told, lengths = b"".join(each.flatten().to_pylist()), sizes.flatten().to_pylist()
+            at = np.cumsum(np.append(0, np.diff(each.offsets.to_numpy()))).tolist()
+            names = ("doc_id", "part", "n_tokens", "width", "root", "payload", "refs", "found")
+            for x, y, (key, part, n, w, root, payload, refs, found) in zip(at, at[1:], zip(*(batch.column(c).to_pylist() for c in names))):
+                raw, a, got = unpack(payload), 0, []
+                if refs:
+                    refs, other = set(refs), {f["pos"]: f["chunk"] for f in found or []}
+                for pos, k in enumerate(lengths[x:y]):
+                    if refs and pos in refs:
                         got.append(other[pos])
                     else:
                         got.append(raw[a: a + k * w])
                         a += k * w
-                if [digest(x) for x in got] != each or merkle(each) != cols["root"][i] or sum(map(len, got)) != cols["n_tokens"][i] * w:
+                here = [digest(c) for c in got]
+                raw = b"".join(got) if refs else raw
+                if b"".join(here) != told[x * DIGEST: y * DIGEST] or merkle(here) != root or len(raw) != n * w:
                     raise ValueError(f"document {key} doesn't verify")
-                ids = np.frombuffer(b"".join(got), f"<u{w}").astype("<u4").tobytes()
-                out.append((key, cols["part"][i], cols["n_tokens"][i], None if digest_only else ids, zlib.crc32(ids)))
+                ids = np.frombuffer(raw, f"<u{w}").astype("<u4").tobytes()
+                out.append((key, part, n, None if digest_only else ids, zlib.crc32(ids)))
             c = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()))], ["doc_id", "part", "n_tokens", "ids", "ids_crc32"])
 
