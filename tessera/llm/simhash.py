@@ -1,6 +1,6 @@
 """SimHash near-duplicates by Golay-code fuzzy hashing.
 
-Fingerprints are cut into three segments of at most 23 bits. If two fingerprints differ in at most 4 bits, two of the
+Fingerprints are cut into segments of at most 23 bits, 64 bits into three. If two fingerprints differ in at most 4 bits, two of the
 segments differ in at most 2 bits each, so for some pair of segments both share a Golay key; the pair of keys
 (24 bits) is what is joined on. Equal fingerprints are one row from the start. Candidates with a common key are
 verified on all 64 bits, and only links that connect something new leave a task: a bucket gives at most a link per
@@ -32,8 +32,8 @@ from tessera.llm.hashing import mix
 #: A segment is a list of (word of the fingerprint, first bit, bits), at most 23 bits together.
 SEGMENTS_64 = (((0, 0, 22),), ((0, 22, 21),), ((0, 43, 21),))
 MOST_BITS = 4  # guaranteed by these segments
-#: Five segments over two words: the wider fingerprint for similarity, where finding is likely rather than sure.
-SEGMENTS_128 = (((0, 0, 23),), ((0, 23, 23),), ((1, 0, 23),), ((1, 23, 23),), ((0, 46, 18), (1, 46, 5)))
+#: Six segments over two words: the wider fingerprint for similarity, where finding is likely rather than sure.
+SEGMENTS_128 = tuple(((word, first, 21),) for word in (0, 1) for first in (0, 21, 42))
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -254,7 +254,7 @@ def simhash_components(docs: DataFrame, shingle: int = 4, limit: int = MOST_BITS
     return _components(docs, shingle, limit, SEGMENTS_64, 1)
 
 
-def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.04) -> DataFrame:
+def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.05) -> DataFrame:
     """As above for texts whose shingle sets have a Jaccard similarity of about ``similarity`` or more, by 128-bit fingerprints.
 
     Jaccard j of sets of like size is a cosine of 2j/(1+j), and bits differ with the angle's share of pi; ``slack`` is added to that share
