@@ -24,7 +24,7 @@ _MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
 _MARK[list(b".,;:!?")] = True
 _LETTER[list(range(65, 91)) + list(range(97, 123))] = True
 
-TEXTS = 256  # texts encoded together
+TEXTS = 512  # texts encoded together
 
 _made: dict = {}
 
@@ -48,7 +48,8 @@ def cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     # a word's final mark: letters never join it
     at = np.flatnonzero(_MARK[data])
     at = at[~edge[at]]
-    at = at[_LETTER[data[at - 1]]]
+    before, lead = data[at - 1], data[np.maximum(at - 2, 0)]
+    at = at[_LETTER[before] | ((lead == 0xC3) & (before != 0x97) & (before != 0xB7))]  # ASCII, or Latin-1 but for the signs of multiplication and division
     after = np.minimum(at + 1, n - 1)
     start[at[edge[at + 1] | ~_PLAIN[data[after]]]] = True
     return np.flatnonzero(start)
