@@ -13,7 +13,7 @@ from tessera.functions import vocabulary as V
 
 def word_windows(df: DataFrame, text: str = "text", size: int = 175) -> DataFrame:
     """Adds chunk_idx, n_words and ``chunk``: consecutive windows of ``size`` words; the last may be short. No shuffle."""
-    words = F.filter(F.split(T.squash(F.col(text)), " "), lambda x: x != "")
+    words = F.filter(F.split(F.col(text), T.BLANK + "+"), lambda x: x != "")
     starts = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size)))
     cut = F.transform(starts(F.size("__words")), lambda s: F.slice("__words", s + 1, size))
     return (
@@ -23,12 +23,17 @@ def word_windows(df: DataFrame, text: str = "text", size: int = 175) -> DataFram
     )
 
 
-def keep_long(chunks: DataFrame, order: list[str], least: int = 50) -> DataFrame:
+def first_window(df: DataFrame, order: list[str], text: str = "text") -> DataFrame:
+    """The place of the first window of all: that of the first row in ``order`` with a word (a top-1 of each partition, no text is cut)."""
+    return df.where(F.col(text).rlike(T.BLANK.replace("[", "[^", 1))).orderBy(*order).limit(1).select(*order, F.lit(0).alias("chunk_idx"))
+
+
+def keep_long(chunks: DataFrame, order: list[str], least: int = 50, first: DataFrame | None = None) -> DataFrame:
     """Chunks of at least ``least`` words, and the very first chunk in ``order`` whatever its length.
 
-    The first is found by an ordered limit of one (a top-1 per partition), not by ranking the table.
+    ``first``: its place, where it is known more cheaply than from the chunks.
     """
-    first = chunks.orderBy(*order).limit(1).select(*[F.col(c).alias(f"__{c}") for c in order])
+    first = (chunks.orderBy(*order).limit(1) if first is None else first).select(*[F.col(c).alias(f"__{c}") for c in order])
     same = F.lit(True)
     for c in order:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))

@@ -183,8 +183,8 @@ SQL_KEPT = f"""
 
 
 def kept_chunks(spark, sf_dir):
-    cut = C.word_windows(docs(spark, sf_dir).select("doc_id", "text"))
-    return C.keep_long(cut.drop("text"), ["doc_id", "chunk_idx"])
+    d = docs(spark, sf_dir).select("doc_id", "text")
+    return C.keep_long(C.word_windows(d).drop("text"), ["doc_id", "chunk_idx"], first=C.first_window(d, ["doc_id"]))
 
 
 @query("word_chunks_175", SQL_KEPT)

@@ -19,7 +19,8 @@ from tessera.operators.dedup import keep_first
 
 def instruction_dataset(documents: DataFrame, order: list[str], text: str = "text", cap: int | None = 300, least: int = 50, names: V.Names = V.Names()) -> DataFrame:
     """Records from word windows: an instruction made of each chunk's topic. ``cap``: the first chunks in order, or None for all."""
-    chunks = C.keep_long(C.word_windows(documents.select(*order, text), text), [*order, "chunk_idx"], least)
+    documents = documents.select(*order, text)
+    chunks = C.keep_long(C.word_windows(documents, text), [*order, "chunk_idx"], least, C.first_window(documents, order, text))
     if cap is not None:
         chunks = C.head(chunks, [*order, "chunk_idx"], cap)
     return P.training_records(chunks, T.instruction(F.col("chunk"), names), F.col("chunk"))

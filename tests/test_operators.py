@@ -79,6 +79,9 @@ def test_word_windows(spark):
         (0, 0, 10), (1, 0, 49), (2, 0, 50), (3, 0, 175), (4, 0, 175), (4, 1, 1), (5, 0, 175), (5, 1, 50)]
     kept = C.keep_long(cut, ["doc_id", "chunk_idx"]).select("doc_id", "chunk_idx").orderBy("doc_id", "chunk_idx").collect()
     assert [tuple(r) for r in kept] == [(0, 0), (2, 0), (3, 0), (4, 0), (5, 0), (5, 1)]
+    late = df.where("doc_id > 5").union(spark.createDataFrame([(8, " \x85 "), (9, "\u3000few words "), (10, "x")], df.schema))
+    cut = C.word_windows(late)
+    assert [tuple(r) for r in C.keep_long(cut, ["doc_id", "chunk_idx"], first=C.first_window(late, ["doc_id"])).select("doc_id", "chunk").collect()] == [(9, "few words")]
 
 
 def test_sections(spark):
