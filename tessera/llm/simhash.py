@@ -16,6 +16,7 @@ other; repeated rows share a component; a null doc_id is never a component's id
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -25,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import golay
-from tessera.llm.common import documents, parts_for, ship, stage
+from tessera.llm.common import documents, parts_for, remove, ship, stage, work_path
 from tessera.llm.graph import components
 from tessera.llm.hashing import mix
 
 #: A segment is a list of (word of the fingerprint, first bit, bits), at most 23 bits together.
 SEGMENTS_64 = (((0, 0, 22),), ((0, 22, 21),), ((0, 43, 21),))
 MOST_BITS = 4  # guaranteed by these segments
-#: Six segments over two words: the wider fingerprint for similarity, where finding is likely rather than sure.
+#: Six segments over two words: the wider fingerprint for similarity, whose candidates are likely rather than sure.
 SEGMENTS_128 = tuple(((word, first, 21),) for word in (0, 1) for first in (0, 21, 42))
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -254,14 +255,206 @@ def simhash_components(docs: DataFrame, shingle: int = 4, limit: int = MOST_BITS
     return _components(docs, shingle, limit, SEGMENTS_64, 1)
 
 
+def _prefix_length(n: int, p: int, q: int) -> int:
+    """Of sets of Jaccard similarity p/q or more, one of n members shares some of its first this many members in any common order."""
+    return n - -(-n * p // q) + 1
+
+
+def frequent_shingles(docs: DataFrame, shingle: int, text: str = "text", share: int = 16, least: int = 2, most: int = 1 << 16) -> np.ndarray:
+    """Shingle hashes that several texts of a sample share, the rarer ones first. Their order steers cost only, no result."""
+
+    def run(batches):
+        for batch in batches:
+            found = [np.unique(shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["h"])
+
+    sample = docs.select(F.col(text).cast("string").alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(share)) == 0)
+    n = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    rows = n.orderBy(F.desc("n"), "h").limit(most).collect()  # bounded by ``most``
+    return np.array([r["h"] for r in rows[::-1]], np.int64).view(np.uint64)
+
+
+def shingle_sets(docs: DataFrame, shingle: int, p: int, q: int, frequent: np.ndarray, text: str = "text") -> DataFrame:
+    """doc_id, t (hash of the text), node (hash of the shingle set), n (its size), fp, fp1, bits (``parities``) and the prefix of the set: rare shingles first, then by hash."""
+    order = np.argsort(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order))
+
+    def run(batches):
+        known, place = shared.value
+        for batch in batches:
+            nodes, sizes, fps, bits, prefixes = [], [], np.zeros((batch.num_rows, 2), np.uint64), [], []
+            for i, t in enumerate(batch.column(2).to_pylist()):
+                own = np.unique(shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle))
+                nodes.append(node_of(own))
+                sizes.append(len(own))
+                fps[i] = majority(own), majority(mix(own))
+                bits.append(parities(own))
+                if len(known) and len(own):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    rank = np.where(known[at] == own, place[at] + 1, 0)
+                    own = own[np.argsort(rank, kind="stable")]
+                prefixes.append(own[: _prefix_length(len(own), p, q)].tobytes() if len(own) else b"")
+            cols = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())]
+            cols += [pa.array(fps[:, w].copy().view(np.int64)) for w in range(2)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(bits, pa.binary()), pa.array(prefixes, pa.binary())], ["doc_id", "t", "node", "n", "fp", "fp1", "bits", "prefix"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col(text).cast("string")).alias("t"), F.col(text).cast("string"))
+    return rows.mapInArrow(run, "doc_id long, t long, node long, n long, fp long, fp1 long, bits binary, prefix binary")
+
+
+def node_of(own: np.ndarray) -> int:
+    """A name of a sorted shingle set, as a signed long."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64))
+
+
+def parities(own: np.ndarray) -> bytes:
+    """Whether an even or odd number of the hashes falls into each of a power of two of bits, two to four for each hash."""
+    n = 1 << max(2 * len(own) - 1, 63).bit_length()
+    return np.packbits(np.bincount((own & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1, bitorder="little").tobytes()
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """Two sets differ in at least as many members as their parities do; the wider is folded onto the narrower."""
+    x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), 0)).sum())
+
+
+def pairs_of(key: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, p: int, q: int, small: int = 24) -> np.ndarray:
+    """(m, 2) nodes that share a key, differ in their roots and are near enough in size."""
+    order = np.lexsort((node, n, key))
+    key, node, root, n = key[order], node[order], root[order], n[order]
+    if not len(key):
+        return np.zeros((0, 2), np.int64)
+    keep = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+    key, node, root, n = key[keep], node[keep], root[keep], n[keep]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+    fine = np.flatnonzero(np.repeat(mixed & (sizes <= small), sizes))
+    k2, found = key[fine], []
+    for d in range(1, small):
+        same = np.flatnonzero(k2[d:] == k2[:-d])
+        if not len(same):
+            break
+        a, b = fine[same], fine[same + d]
+        use = (n[a] * q >= n[b] * p) & (root[a] != root[b])
+        found.append(np.stack([node[a[use]], node[b[use]]], 1))
+    held = 0
+    for s, size in zip(starts[mixed & (sizes > small)].tolist(), sizes[mixed & (sizes > small)].tolist()):
+        e = s + size
+        for i in range(s, e):
+            end = int(np.searchsorted(n[i + 1: e], n[i] * q // p, side="right")) + i + 1
+            other = node[i + 1: end][root[i + 1: end] != root[i]]
+            if len(other):
+                found.append(np.stack([np.full(len(other), node[i]), other], 1))
+                held += len(other)
+        if held > 1 << 20:
+            found, held = [np.unique(np.sort(np.concatenate(found), 1), axis=0)], 0
+    return np.unique(np.sort(np.concatenate(found), 1), axis=0) if found else np.zeros((0, 2), np.int64)
+
+
+def prefix_pairs(sets: DataFrame, n_entries: int, p: int, q: int) -> DataFrame:
+    """Candidates (a, b): every two nodes of different roots whose prefixes meet, so every two of similarity p/q or more. ``sets``: node, root, n, prefix."""
+    ranges = parts_for(n_entries * 24, 8 << 20)
+
+    def spread(batches):
+        for batch in batches:
+            prefix = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
+            token = mix(np.concatenate([np.zeros(0, np.uint64), *prefix]))
+            row = np.repeat(np.arange(len(prefix)), [len(x) for x in prefix])
+            r = (token % np.uint64(ranges)).astype(np.int64)
+            order = np.argsort(r, kind="stable")
+            row, r, token = row[order], r[order], (token[order] >> np.uint64(32)).astype("<u4")  # a meeting by chance is one more candidate
+            cols = [np.array(batch.column(c), np.int64)[row] for c in range(3)]
+            cols[2] = cols[2].astype("<u4")
+            cuts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, np.int64)
+            ends = np.r_[cuts[1:], len(r)]
+            blobs = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()) for x in (token, *cols)]
+            yield pa.RecordBatch.from_arrays([pa.array(r[cuts].astype(np.int32)), *blobs], ["r", "keys", "nodes", "roots", "sizes"])
+
+    def link(_, t):
+        key, node, root, n = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("keys", "<u4"), ("nodes", "<i8"), ("roots", "<i8"), ("sizes", "<u4")))
+        got = pairs_of(key, node, root, n.astype(np.int64), p, q)
+        return pa.table({"a": pa.array(got[:, 0].copy()), "b": pa.array(got[:, 1].copy())})
+
+    blobs = sets.select("node", "root", "n", "prefix").mapInArrow(spread, "r int, keys binary, nodes binary, roots binary, sizes binary")
+    return blobs.repartition(ranges, "r").groupBy("r").applyInArrow(link, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, p: int, q: int, text: str = "text") -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of p/q or more. ``nodes``: node, n, bits and the hash t of a text with that set.
+
+    The parities rule out most pairs, and only such as can't reach the similarity; the others are compared set by set.
+    """
+    spark, paths = docs.sparkSession, [work_path(docs.sparkSession, n) for n in ("candidates", "sets")]
+
+    def may(batches):
+        for batch in batches:
+            both = zip(*(batch.column(c).to_pylist() for c in range(2, 6)))
+            near = [least_apart(x, y) * (p + q) <= (m + n) * (q - p) for m, x, n, y in both]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    one, two = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b"))
+    wide = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    wide.mapInArrow(may, "a long, b long").write.parquet(paths[0])
+    pairs = spark.read.schema("a long, b long").parquet(paths[0])
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = nodes.join(wanted, "node").select("t").distinct()
+
+    def sets(batches):
+        for batch in batches:
+            found = [np.unique(shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "own"])
+
+    def check(batches):
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both * q >= (len(x) + len(y) - both) * p)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    asked = docs.select(F.col(text).cast("string").alias("text")).withColumn("t", F.xxhash64("text")).join(texts, "t", "left_semi")
+    asked.groupBy("t").agg(F.first("text").alias("text")).select("text").mapInArrow(sets, "node long, own binary").write.parquet(paths[1])
+    found = spark.read.schema("node long, own binary").parquet(paths[1])
+    both = pairs.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    links = stage(both.mapInArrow(check, "a long, b long"), "links")
+    for path in paths:
+        remove(spark, path)
+    return links
+
+
 def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.05) -> DataFrame:
-    """As above for texts whose shingle sets have a Jaccard similarity of about ``similarity`` or more, by 128-bit fingerprints.
+    """doc_id and component_id (smallest doc_id reachable over links of texts whose shingle sets have a Jaccard similarity of ``similarity`` or more).
 
-    Jaccard j of sets of like size is a cosine of 2j/(1+j), and bits differ with the angle's share of pi; ``slack`` is added to that share
-    so that most pairs at the limit are within it (the share varies by 0.03 at 128 bits).
+    All links, and only those, count: every candidate is verified on the shingle sets. Candidates come twice. 128-bit fingerprints come first
+    (Jaccard j of sets of like size is a cosine of 2j/(1+j), and bits differ with the angle's share of pi, ``slack`` added); they join most groups cheaply
+    but find by likelihood. Then texts not joined yet are candidates if the prefixes of their sets meet, which similar sets always do.
     """
+    spark = docs.sparkSession
+    ship(spark)
+    exact = Fraction(similarity).limit_denominator(10_000)
+    p, q = exact.numerator, exact.denominator
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi + slack
-    return _components(docs, shingle, int(128 * share), SEGMENTS_128, 2)
+    rows = stage(shingle_sets(docs, shingle, p, q, frequent_shingles(docs, shingle)), "shingles")
+    nodes = stage(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("t").alias("t"), F.min("fp").alias("fp"), F.min("fp1").alias("fp1"), F.min("n").alias("n"), F.first("bits").alias("bits")), "nodes")
+    heads = stage(nodes.groupBy("fp", "fp1").agg(F.min("node").alias("head")), "distinct")
+    # links name fingerprints by their first word
+    named = heads.groupBy("fp").agg(F.min("head").alias("head"))
+    links = near_links(heads, heads.count(), int(128 * share), SEGMENTS_128, 2)
+    one, two = (named.select(F.col("fp").alias(c), F.col("head").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+    likely = links.distinct().join(one, "a").join(two, "b").select("x", "y").union(nodes.join(named, "fp").where("node <> head").select("node", "head"))
+    likely = likely.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    first = verified(likely, docs, nodes, shingle, p, q)
+    roots = components(first)
+    sets = rows.where("n > 0").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "prefix")
+    n_entries = rows.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8
+    second = verified(prefix_pairs(sets, n_entries, p, q), docs, nodes, shingle, p, q)
+    roots = components(first.union(second))
+    joined = nodes.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return rows.select("doc_id", "node").join(joined.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

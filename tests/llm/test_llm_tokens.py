@@ -202,6 +202,43 @@ def test_near_dedup_catches_copies(spark):
     assert simhash.near_dedup(df.limit(0)).count() == 0
 
 
+def test_near_dedup_goes_by_exact_similarity(spark):
+    """Pairs at and over 0.8 are all found, those under it never."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    phrase = [word() for _ in range(40)]
+    docs, over, under = [], 0, 0
+    for i in range(150):
+        w = [word() for _ in range(300)]
+        # a tail of k other words leaves 296 - k of 296 + k shingles
+        k = [32, 33, 40, 55, 74][i % 5]
+        other = w[: 300 - k] + [word() for _ in range(k)]
+        shingles = [{tuple(x[s: s + 5]) for s in range(len(x) - 4)} for x in (w, other)]
+        near = len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1]) >= 0.8
+        over, under = over + near, under + (not near)
+        docs += [(i, " ".join(w), True), (1000 + i, " ".join(other), not near)]
+    docs += [(2000, " ".join(phrase), True), (2001, " ".join(phrase * 30), False), (2002, " ".join(phrase + phrase[:4]), False)]  # like sets, unlike counts
+    kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(docs, "doc_id long, text string, kept boolean")).collect()}
+    assert over and under and kept == {i for i, _, stays in docs if stays}
+
+
+def test_prefix_candidates_need_no_fingerprint():
+    rng = np.random.default_rng(12)
+    for small in (2, 24):
+        sets = [np.unique(rng.integers(0, 40, rng.integers(1, 25))) for _ in range(60)]
+        sets += [x[rng.random(len(x)) < 0.9] if len(x) > 1 else x for x in sets]
+        sets = [x if len(x) else sets[0] for x in sets]
+        key = np.concatenate([x[: simhash._prefix_length(len(x), 4, 5)] for x in sets])
+        who = np.repeat(np.arange(120), [simhash._prefix_length(len(x), 4, 5) for x in sets])
+        got = set(map(tuple, simhash.pairs_of(key, who, who, np.array([len(x) for x in sets])[who], 4, 5, small).tolist()))
+        want = {(a, b) for a in range(120) for b in range(a + 1, 120) if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))}
+        assert want <= got and want
+    for n, m in ((0, 5), (40, 50), (300, 320), (2000, 90)):
+        x, y = (np.unique(rng.integers(0, 1 << 63, k).astype(np.uint64)) for k in (n, m))
+        y[: m // 2] = x[: m // 2] if n >= m // 2 else y[: m // 2]
+        assert simhash.least_apart(simhash.parities(x), simhash.parities(y)) <= len(np.setxor1d(x, y))
+
+
 def test_loser_tree():
     rng = random.Random(7)
     for _ in range(60):
