@@ -346,15 +346,15 @@ SQL_SCORED = f"SELECT query_id, chunk_id, list_inner_product(i.v, q.v) AS vec, C
 SQL_HITS = f"SELECT query_id, rank::INT AS rank, chunk_id, score, vec, kw FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT *, 0.5 * vec + 0.5 * kw AS score FROM ({SQL_SCORED}))) WHERE rank <= 3"
 
 
-def questions(spark, sf_dir):
+def questions(spark, sf_dir, how: str = "inner"):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
-    return table(spark, sf_dir, "benchmark").join(e, "item_id").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), "embedding")
+    return table(spark, sf_dir, "benchmark").join(e, "item_id", how).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), "embedding")
 
 
-def index(spark, sf_dir):
+def index(spark, sf_dir, how: str = "inner"):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     code = (17000 + F.col("doc_id") % 700).cast("string")
-    return docs(spark, sf_dir).join(e, "doc_id").select(F.col("doc_id").alias("chunk_id"), code.alias("paragraph_id"), F.col("source").alias("source_doc"), "text", "embedding")
+    return docs(spark, sf_dir).join(e, "doc_id", how).select(F.col("doc_id").alias("chunk_id"), code.alias("paragraph_id"), F.col("source").alias("source_doc"), "text", "embedding")
 
 
 @query("keyword_score", f"SELECT query_id, chunk_id, round(kw, 6) AS kw FROM (SELECT query_id, chunk_id, CASE WHEN len(k) = 0 THEN 0.0 ELSE len(list_intersect(k, w)) / len(k) END AS kw FROM {SQL_QUERIES} q, {SQL_INDEX} i) WHERE kw > 0")
@@ -370,6 +370,27 @@ def hybrid_topk(spark, sf_dir):
     return hits.select("query_id", "rank", "chunk_id", *[F.round(c, 4).alias(c) for c in ("vec_score", "kw_score", "score")])
 
 
+# every document and question, with or without a vector (null vector = 0)
+SQL_ALL_QUERIES, SQL_ALL_INDEX = (x.replace(" JOIN embeddings", " LEFT JOIN embeddings") for x in (SQL_QUERIES, SQL_INDEX))
+SQL_ALL_SCORED = SQL_SCORED.replace(SQL_QUERIES, SQL_ALL_QUERIES).replace(SQL_INDEX, SQL_ALL_INDEX).replace("list_inner_product(i.v, q.v)", "coalesce(list_inner_product(i.v, q.v), 0.0)")
+SQL_ALL_HITS = SQL_HITS.replace(SQL_SCORED, SQL_ALL_SCORED)
+
+
+@query("keyword_score_all", f"SELECT query_id, chunk_id, round(kw, 6) AS kw FROM ({SQL_ALL_SCORED}) WHERE kw > 0")
+def keyword_score_all(spark, sf_dir):
+    """All pairs of benchmark items and documents that share a keyword; no vector is asked for."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    hits = R.keyword_scores(asked, docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text"))
+    return hits.select("query_id", "chunk_id", F.round("kw_score", 6).alias("kw"))
+
+
+@query("hybrid_topk_all", f"SELECT query_id, rank, chunk_id, round(vec, 4) AS vec_score, round(kw, 4) AS kw_score, round(score, 4) AS score FROM ({SQL_ALL_HITS})")
+def hybrid_topk_all(spark, sf_dir):
+    """As hybrid_topk, over all documents: those without a vector can win on their keywords."""
+    hits = R.retrieve(questions(spark, sf_dir, "left"), index(spark, sf_dir, "left"))
+    return hits.select("query_id", "rank", "chunk_id", *[F.round(c, 4).alias(c) for c in ("vec_score", "kw_score", "score")])
+
+
 SQL_CONTEXT = f"(SELECT query_id, string_agg('Paragraph ' || paragraph_id || ' (from ' || source_doc || '):' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM ({SQL_HITS}) h JOIN {SQL_INDEX} i USING (chunk_id) GROUP BY query_id)"
 
 

@@ -15,6 +15,17 @@ def test_query_runs(name, spark, sf):
     assert catalogue.QUERIES[name](spark, sf).count() > 0
 
 
+def test_documents_without_a_vector_are_searched(spark, tmp_path):
+    docs = [(1, "alpha beta", "s"), (2, "alpha beta gamma delta", "s"), (3, "nothing", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "alpha beta gamma delta"), (9, "gamma")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, [0.1, 0.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["query_id"], r["chunk_id"]): r["kw"] for r in catalogue.QUERIES["keyword_score_all"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1): 0.5, (1, 2): 1.0, (9, 2): 1.0}
+    best = {r["query_id"]: r["chunk_id"] for r in catalogue.QUERIES["hybrid_topk_all"](spark, str(tmp_path)).collect() if r["rank"] == 1}
+    assert best == {1: 2, 9: 2}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
