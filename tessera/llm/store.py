@@ -11,8 +11,9 @@ last ids meets a mask, and writes a store in a folder:
 ``read_store`` fetches the payloads that a recipe refers to elsewhere (only documents with such
 references are shuffled), checks every digest and root, and returns each document's ids.
 
-Defined results: null or empty text is just the end id. Rows are told apart by doc_id; rows that share a doc_id,
-or whose doc_id is null, raise, since a recipe needs one name. An empty table gives an empty store.
+Defined results: null or empty text is just the end id. ``build_store`` tells rows apart by doc_id; rows that share a doc_id,
+or whose doc_id is null, raise there, since a recipe needs one name. ``store_all``, which the query uses, gives such tables' rows names of their own, in the order of
+doc_id (nulls last) and, within one, of the text's hash, and keeps them in ``names``: every row is stored and read back. An empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, parts_for, rough_bytes, ship, text_bytes, work_path
+from tessera.llm.common import documents, parts_for, rough_bytes, ship, stage, text_bytes, work_path
 from tessera.llm.tokens import TEXTS, default_path, encoder, release
 
 DIGEST = 16
@@ -296,8 +297,29 @@ def offsets(store_rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     return rows.join(parts, "part").withColumn("start", F.col("base") + F.col("within"))
 
 
-def op9_content_store(spark, sf_dir):
-    path = build_store(documents(spark, sf_dir), work_path(spark, "store"), tokenizer=default_path(), end_id=2)
+def store_all(docs: DataFrame, path: str, **options) -> DataFrame | None:
+    """``build_store`` for any table. Where a doc_id is null or repeated, recipes go by names that ascend with the rows' order; returns (name, doc_id), or None."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        build_store(docs, path, **options)
+        return None
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    named = stage(ordered.select(F.monotonically_increasing_id().alias("name"), "doc_id", "text"), "named")  # ascends over the sorted ranges
+    named.select("name", "doc_id").write.parquet(f"{path}/names")
+    build_store(named.select(F.col("name").alias("doc_id"), "text"), path, **options)
+    return spark.read.schema("name long, doc_id long").parquet(f"{path}/names")
+
+
+def stored_rows(docs: DataFrame, path: str, **options) -> DataFrame:
+    """doc_id, part, n_tokens, ids_crc32, start of every row, by way of a store at ``path``."""
+    spark = docs.sparkSession
+    names = store_all(docs, path, **options)
     verify_manifest(spark, path)
     rows = offsets(read_store(spark, path, digest_only=True).drop("ids"), spark, path)
+    return rows if names is None else rows.withColumnRenamed("doc_id", "name").join(names, "name").drop("name")
+
+
+def op9_content_store(spark, sf_dir):
+    rows = stored_rows(documents(spark, sf_dir), work_path(spark, "store"), tokenizer=default_path(), end_id=2)
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")

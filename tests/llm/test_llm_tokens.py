@@ -131,6 +131,20 @@ def test_store_edges(spark, tokenizer):
         store.build_store(spark.createDataFrame([(1, "a"), (1, "b")], kind), work_path(spark, "test-twice"), tokenizer=tokenizer, end_id=2)
 
 
+def test_store_keeps_null_and_repeated_ids(spark, tokenizer, tmp_path):
+    docs = [(1, "one two"), (1, "one two"), (1, "three four five"), (None, "six seven"), (None, None), (2, ""), (-3, "eight"), (None, "long " * 3000), (7, "long " * 3000)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = store.op9_content_store(spark, str(tmp_path)).collect()
+    enc = PieceEncoder(tokenizer)
+    want = sorted(((k is None, k or 0), len(x) + 1, brute.crc([*x, 2])) for (k, _), x in zip(docs, (enc.encode_many([t or "" for _, t in docs]))))
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["n_tokens"], r["ids_crc32"]) for r in rows) == want
+    at = 0
+    for r in sorted(rows, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    assert [r["doc_id"] for r in sorted(rows, key=lambda r: r["start"])] == [-3, 1, 1, 1, 2, 7, None, None, None]
+
+
 def test_chunks_survive_a_shift():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 50_000, 20_000)
