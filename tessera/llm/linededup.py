@@ -7,9 +7,9 @@ under every later one go, overlapping windows being merged. Windows are judged o
 Only windows that occur twice or more are joined back, so texts move once, with the positions they lose. A window
 that very many documents share is counted before it is shuffled, and its later occurrences are a plain join row each.
 
-Defined results: null and empty texts and texts of fewer than three lines lose nothing; null stays null. A doc_id names
-a document: rows that repeat one lose the lines that any of them loses, and don't count against each other
-at equal positions. Other columns pass through.
+Defined results: null and empty texts and texts of fewer than three lines lose nothing; null stays null. A row goes by its doc_id, null or not, and
+its text's hash: rows that share a doc_id but not a text are documents of their own (at equal positions the smaller hash is first); rows that repeat both
+lose the same lines and don't count against each other at equal positions. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -33,33 +33,34 @@ def split_lines(text: str | None) -> tuple[list[str], list[int]]:
 
 
 def line_windows(docs: DataFrame, text: str, window: int) -> DataFrame:
-    """doc_id, pos (among the lines that count) and the two halves of the window's hash."""
+    """doc_id, t (hash of the text), pos (among the lines that count) and the two halves of the window's hash."""
 
     def run(batches):
         for batch in batches:
-            out = ([], [], [], [])
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out = ([], [], [], [], [])
+            for key, own_hash, t in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 lines, use = split_lines(t)
                 if len(use) < window:
                     continue
                 own = [xxhash.xxh3_128_digest(lines[i].strip(BLANKS).encode("utf-8", "surrogatepass")) for i in use]
                 for pos in range(len(own) - window + 1):
                     h = xxhash.xxh3_128_digest(b"".join(own[pos: pos + window]))
-                    for kept, x in zip(out, (key, pos, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True))):
+                    for kept, x in zip(out, (key, own_hash, pos, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True))):
                         kept.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "pos", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "t", "pos", "h1", "h2"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, pos int, h1 long, h2 long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col(text).cast("string")), F.col(text).cast("string"))
+    return rows.mapInArrow(run, "doc_id long, t long, pos int, h1 long, h2 long")
 
 
 def later_windows(docs: DataFrame, text: str = "text", window: int = 3) -> DataFrame:
-    """doc_id and the positions of its windows that occurred before."""
+    """doc_id and t of a row, and the positions of its windows that occurred before."""
     ship(docs.sparkSession)
     all_windows = stage(line_windows(docs, text, window), "windows")
-    first = all_windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = all_windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos", "t")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return (
-        all_windows.join(first, ["h1", "h2"]).where(~(F.struct("doc_id", "pos").eqNullSafe(F.col("first"))))
-        .groupBy("doc_id").agg(F.collect_set("pos").alias("later"))
+        all_windows.join(first, ["h1", "h2"]).where(~(F.struct("doc_id", "pos", "t").eqNullSafe(F.col("first"))))
+        .groupBy("doc_id", "t").agg(F.collect_set("pos").alias("later"))
     )
 
 
@@ -77,8 +78,9 @@ def line_dedup(docs: DataFrame, text: str = "text", window: int = 3, drop_emptie
     """``docs`` with the lines removed; with ``drop_emptied``, rows that lost all their lines go."""
     docs = docs.withColumn(text, F.col(text).cast("string"))
     at, n = docs.columns.index(text), len(docs.columns)
-    later = later_windows(docs, text, window).select(F.col("doc_id").alias("__id"), F.col("later").alias("__later"))
-    joined = docs.join(later, docs["doc_id"].cast("long").eqNullSafe(later["__id"]), "left").drop("__id")
+    later = later_windows(docs, text, window).select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("later").alias("__later"))
+    same = docs["doc_id"].cast("long").eqNullSafe(later["__id"]) & (F.xxhash64(docs[text]) == later["__t"])
+    joined = docs.join(later, same, "left").drop("__id", "__t")
 
     def run(batches):
         for batch in batches:
@@ -94,7 +96,7 @@ def line_digests(docs: DataFrame, window: int = 3) -> DataFrame:
     """doc_id, n_lines (that count), n_removed and the SHA-256 of the text that is left."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     later = later_windows(docs, "text", window).withColumnRenamed("doc_id", "id")
-    joined = docs.join(later, docs["doc_id"].eqNullSafe(later["id"]), "left").select("doc_id", "text", "later")
+    joined = docs.join(later, docs["doc_id"].eqNullSafe(later["id"]) & (F.xxhash64(docs["text"]) == later["t"]), "left").select("doc_id", "text", "later")
 
     def run(batches):
         for batch in batches:

@@ -96,6 +96,15 @@ def test_line_windows(spark):
     assert linededup.line_digests(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_lose_only_their_own_lines(spark):
+    rows = [(None, "a\nb\nc"), (None, "x\ny\nz\na\nb\nc"), (None, "k\nl\nm\nn\no\np"), (5, "q\nr\ns\nt"), (5, "q\nr\ns\nu")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["text"] for r in linededup.line_dedup(docs).collect())
+    whole = ["a\nb\nc", "x\ny\nz", "k\nl\nm\nn\no\np"]
+    assert got in (sorted([*whole, "q\nr\ns\nt", "u"]), sorted([*whole, "t", "q\nr\ns\nu"]))  # the text's hash decides
+    assert sorted(r["n_removed"] for r in linededup.line_digests(docs).collect()) == [0, 0, 0, 3, 3]
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_sql(name, same_as_sql):
     same_as_sql(registry.QUERIES[name], registry.ORACLES[name])
