@@ -9,8 +9,8 @@ is contaminated by an item if some ``window`` aligned words (the item's length,
 The benchmark goes to the executors in blocks of at most ``block_words`` words, one pass over the
 documents for each block, so what is broadcast is bounded whatever its size. Documents aren't shuffled.
 
-Defined results: null and empty texts, on either side, never match; items under ``least_words`` words aren't searched, as any text could hold them by
-chance; repeated items or documents give a row each pair of ids (once); null ids are kept.
+Defined results: null and empty texts, on either side, never match; items under ``least_words`` words, which any text could
+resemble by chance, match only where a text holds all their words as they are; repeated items or documents give a row each pair of ids (once); null ids are kept.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def seeds(h: np.ndarray, doc: np.ndarray, mask: str) -> tuple[np.ndarray, np.nda
     total = np.full(n, len(mask) * 1000003, np.uint64)
     for i, c in enumerate(mask):
         if c == "1":
-            total += h[i: i + n] * _ODD[i]
+            total += h[i: i + n] * _ODD[i % len(_ODD)]
     at = np.flatnonzero(doc[len(mask) - 1:] == doc[:n])
     return mix(total[at]), at
 
@@ -59,15 +59,17 @@ class Benchmark:
 
     def __init__(self, items, window: int, share: float, least: int):
         self.ids, texts = [i for i, _ in items], [(t or "").encode("utf-8", "surrogatepass") for _, t in items]
-        self.window, self.share = window, share
+        self.window, self.share, self.least = window, share, least
         offs = np.cumsum([0, *map(len, texts)])
         self.h, _, _, doc = words(np.frombuffer(b"".join(texts), np.uint8), offs, folded_table())
         self.bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-        long_enough = np.diff(self.bounds) >= least
+        sizes = np.diff(self.bounds)
+        short = {n: "1" * n for n in np.unique(sizes[(sizes > 0) & (sizes < least)]).tolist()}
+        self.masks = (*MASKS, *short.values())
         keys, places = [], []
-        for mask in MASKS:
+        for mask, fits in [*((m, sizes >= least) for m in MASKS), *((m, (sizes == n) & (sizes < least)) for n, m in short.items())]:
             k, at = seeds(self.h, doc, mask)
-            use = long_enough[doc[at]] if len(at) else np.zeros(0, bool)
+            use = fits[doc[at]] if len(at) else np.zeros(0, bool)
             keys.append(k[use])
             places.append(at[use])
         key, at = np.concatenate(keys), np.concatenate(places)
@@ -82,7 +84,7 @@ class Benchmark:
         h, _, _, doc = words(data, offs, self.table)
         bounds = np.searchsorted(doc, np.arange(len(offs)))
         hits = []
-        for mask in MASKS:
+        for mask in self.masks:
             k, at = seeds(h, doc, mask)
             maybe = self.near[(k >> np.uint64(42)).astype(np.int64)]
             k, at = k[maybe], at[maybe]
@@ -95,12 +97,16 @@ class Benchmark:
         for d, i, shift in np.unique(np.concatenate(hits), axis=0).tolist():
             ia, ib = self.bounds[i], self.bounds[i + 1]
             lo, hi = max(bounds[d], ia + shift), min(bounds[d + 1], ib + shift)
-            good = covered(h[lo:hi] == self.h[lo - shift: hi - shift], min(self.window, int(ib - ia)), self.share)
+            good = covered(h[lo:hi] == self.h[lo - shift: hi - shift], *self.rule(int(ib - ia)))
             if good.any():
                 whole = found.setdefault((d, i), np.zeros(bounds[d + 1] - bounds[d], bool))
                 whole[lo - bounds[d]: hi - bounds[d]] |= good
         return [(d, i, int(np.argmax(w)), int(w.sum())) for (d, i), w in found.items()]
 
+    def rule(self, n: int) -> tuple[int, float]:
+        """Aligned words of an item of n words, and the share of them that must agree."""
+        return (n, 1.0) if n < self.least else (min(self.window, n), self.share)
+
     @property
     def table(self):
         if not hasattr(self, "_table"):

@@ -143,6 +143,15 @@ def test_decontamination(spark):
     assert D.overlaps(d.limit(0), b).count() == D.overlaps(d, b.limit(0)).count() == 0
 
 
+def test_short_items_match_whole(spark):
+    docs = [(1, "so: Which Planet is, largest? yes"), (2, "which planet is the largest"), (3, "one"), (4, "a b c d x f g"), (5, "planet is largest"), (6, "z a b c d e f g z"), (7, None)]
+    items = [(1, "Which planet is largest?"), (2, "One"), (3, "a b c d e f g"), (4, ""), (5, None)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in D.overlaps(d, b).collect()}
+    assert got == {(1, 1, 1, 4), (3, 2, 0, 1), (6, 3, 1, 7)}
+    assert sorted(r["doc_id"] for r in D.clean(d, b).collect()) == [2, 4, 5, 7]
+
+
 def test_url_rules_and_propagation(spark):
     rows = [
         (1, "HTTP://A.example.COM:80/en/7x?q", '<a href="http://bad.org/x">'), (2, None, None), (3, "no url", "x"), (4, "x://b.net/de/8", ""), (5, "http://a.example.net/de/81", ""),
