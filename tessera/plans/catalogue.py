@@ -314,6 +314,15 @@ def mean_pool(spark, sf_dir):
     return rows.select("label", F.transform(vectors.masked_mean(F.col("tokens"), F.col("mask"), 64), lambda x: F.round(x, 9)).alias("pooled"))
 
 
+@query("mean_pool_all", "SELECT label, list(round(m, 9) ORDER BY i) AS pooled FROM (SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(range(len(embedding))) AS i, unnest(embedding) AS x FROM embeddings) GROUP BY label, i) GROUP BY label")
+def mean_pool_all(spark, sf_dir):
+    """As mean_pool, with a mask that is always 1: every embedding is in its mean."""
+    rows = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("r"))
+    tokens = F.transform("r", lambda x: x["embedding"].cast("array<double>"))
+    rows = rows.select("label", tokens.alias("tokens"), F.transform("r", lambda x: F.lit(1.0)).alias("mask"))
+    return rows.select("label", F.transform(vectors.masked_mean(F.col("tokens"), F.col("mask"), 64), lambda x: F.round(x, 9)).alias("pooled"))
+
+
 @query("vector_topk", "SELECT query_id, rank::INT AS rank, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 5")
 def vector_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")

@@ -26,6 +26,13 @@ def test_documents_without_a_vector_are_searched(spark, tmp_path):
     assert best == {1: 2, 9: 2}
 
 
+def test_every_embedding_is_in_a_mean(spark, tmp_path):
+    rows = [(i, i % 2, [float(i)] * 64) for i in (2, 3, 4, 6, 9)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["label"]: r["pooled"] for r in catalogue.QUERIES["mean_pool_all"](spark, str(tmp_path)).collect()}
+    assert got == {0: [4.0] * 64, 1: [6.0] * 64}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
