@@ -6,7 +6,7 @@ last ids meets a mask, and writes a store in a folder:
 * ``data/part=N``: a row per document in ascending doc_id (parts are doc_id ranges, sorted within): its recipe
   (digest and length of every chunk, the Merkle root over the digests) and the payload of
   those chunks that appear here first. A chunk's bytes are stored once, where its smallest (doc_id, position) is.
-* ``manifest``: a row per part: documents, ids, Merkle root over the documents' roots.
+* ``manifest``: a row per part: documents, ids, and a hash of both and of the Merkle root over the documents' roots.
 
 ``read_store`` fetches the payloads that a recipe refers to elsewhere (only documents with such
 references are shuffled), checks every digest and root, and returns each document's ids.
@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, parts_for, rough_bytes, ship, stage, text_bytes, work_path
+from tessera.llm.common import documents, lean, parts_for, rough_bytes, ship, stage, text_bytes, work_path
 from tessera.llm.tokens import TEXTS, default_path, encoder, release
 
 DIGEST = 16
@@ -92,6 +92,11 @@ def merkle(digests: list[bytes]) -> bytes:
     return hashlib.blake2b(b"\x02" + level[0], digest_size=DIGEST).digest()
 
 
+def sealed(n_docs: int, n_tokens: int, root: bytes) -> bytes:
+    """A part's root, which its counts belong to."""
+    return hashlib.blake2b(b"\x03" + n_docs.to_bytes(8, "little") + n_tokens.to_bytes(8, "little") + root, digest_size=DIGEST).digest()
+
+
 def digest(payload: bytes) -> bytes:
     return hashlib.blake2b(payload, digest_size=DIGEST).digest()
 
@@ -149,10 +154,9 @@ def build_store(
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), _LENGTHS, _DIGESTS, pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "part", "n_tokens", "width", "lengths", "digests", "root", "payload"])
 
-    whole = docs.mapInArrow(encode, DATA).repartition(n_parts, "part")
+    whole = docs.mapInArrow(lean(encode, keep_encoders=True), DATA).repartition(n_parts, "part")
 
     def digests(batches):  # all columns come in, so that the exchange below is one and the same
-        release()
         for batch in batches:
             each = batch.column("digests")
             n = np.diff(each.offsets.to_numpy())
@@ -160,7 +164,7 @@ def build_store(
             doc, part = (np.repeat(batch.column(c).to_numpy(), n) for c in ("doc_id", "part"))
             yield pa.RecordBatch.from_arrays([each.flatten(), pa.array(doc, pa.int64()), pa.array(pos), pa.array(part, pa.int32())], ["h", "doc_id", "pos", "part"])
 
-    uses = whole.mapInArrow(digests, "h binary, doc_id long, pos int, part int")
+    uses = whole.mapInArrow(lean(digests), "h binary, doc_id long, pos int, part int")
     first = uses.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "at")
     refs = (
         uses.join(first, "h").where(~((F.col("doc_id") == F.col("at.doc_id")) & (F.col("pos") == F.col("at.pos"))))
@@ -204,7 +208,7 @@ def _roots(data: DataFrame) -> DataFrame:
         ids = t.column("doc_id").to_pylist()
         if len(set(ids)) < len(ids):
             raise ValueError("two documents share a doc_id")
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([sum(t.column("n_tokens").to_pylist())], pa.int64()), "root": pa.array([merkle(t.column("root").to_pylist())], pa.binary())})
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([sum(t.column("n_tokens").to_pylist())], pa.int64()), "root": pa.array([sealed(len(ids), sum(t.column("n_tokens").to_pylist()), merkle(t.column("root").to_pylist()))], pa.binary())})
 
     return data.groupBy("part").applyInArrow(roots, MANIFEST)
 
@@ -243,13 +247,12 @@ def read_store(spark: SparkSession, path: str, *, digest_only: bool = False) ->
                     a += k * width
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["h", "chunk"])
 
-    chunks = data.join(places, "doc_id").select("digests", "lengths", "width", "refs", "payload", "give").mapInArrow(give, "h binary, chunk binary")
+    chunks = data.join(places, "doc_id").select("digests", "lengths", "width", "refs", "payload", "give").mapInArrow(lean(give), "h binary, chunk binary")
     found = want.join(chunks, "h").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "chunk")).alias("found"))
     both = inline.unionByName(rest.join(found, "doc_id", "left"))
     kind = "doc_id long, part int, n_tokens long, ids binary, ids_crc32 long"
 
     def restore(batches):
-        release()
         for batch in batches:
             out: list[tuple] = []
             each, sizes = batch.column("digests"), batch.column("lengths")
@@ -276,24 +279,30 @@ def read_store(spark: SparkSession, path: str, *, digest_only: bool = False) ->
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()))], ["doc_id", "part", "n_tokens", "ids", "ids_crc32"])
 
     columns = ["doc_id", "part", "n_tokens", "width", "lengths", "digests", "root", "payload", "refs", "found"]
-    return both.select(*columns).mapInArrow(restore, kind)
+    return both.select(*columns).mapInArrow(lean(restore), kind)
 
 
 def verify_manifest(spark: SparkSession, path: str) -> None:
-    """The roots in the data, part by part, against the manifest."""
+    """Counts and roots in the data, part by part, against the manifest."""
     data = spark.read.schema(STORED).parquet(f"{path}/data").select("part", "doc_id", "n_tokens", "root")
-    bad = _roots(data).join(spark.read.schema(MANIFEST).parquet(f"{path}/manifest").withColumnRenamed("root", "told").drop("n_docs", "n_tokens"), "part", "full").where("not (root <=> told)")
-    if bad.limit(1).count():
+    told = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("part", F.struct("n_docs", "n_tokens", "root").alias("told"))
+    found = _roots(data).select("part", F.struct("n_docs", "n_tokens", "root").alias("found"))
+    if found.join(told, "part", "full").where("NOT (found <=> told)").limit(1).count():
         raise ValueError("a part doesn't match the manifest")
 
 
-def offsets(store_rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
-    """Adds ``start``: ids of all documents before it. Sums within parts, plus the parts' totals from the manifest."""
-    parts = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("part", "n_tokens")  # a row per part
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = store_rows.withColumn("within", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+def offsets(store_rows: DataFrame, spark: SparkSession, path: str, together: int = 4096) -> DataFrame:
+    """Adds ``start``: ids of all documents before it. Sums within parts, plus the parts' totals from the manifest, which are summed in groups of
+    ``together`` parts, so that the one window without a key has a row for each group."""
+    parts = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("part", "n_tokens", (F.col("part") / together).cast("int").alias("group"))
+
+    def before(*, key: list[str], order: str):
+        return Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+    so_far = lambda w: F.coalesce(F.sum("n_tokens").over(w), F.lit(0))
+    groups = parts.groupBy("group").agg(F.sum("n_tokens").alias("n_tokens")).select("group", so_far(before(key=[], order="group")).alias("first"))
+    parts = parts.withColumn("inner", so_far(before(key=["group"], order="part"))).join(groups, "group").select("part", (F.col("first") + F.col("inner")).alias("base"))
+    rows = store_rows.withColumn("within", so_far(before(key=["part"], order="doc_id")))
     return rows.join(parts, "part").withColumn("start", F.col("base") + F.col("within"))
 
 
