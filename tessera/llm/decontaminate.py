@@ -5,9 +5,11 @@ replaced word at an ignored place doesn't change the window's hash. The masks be
 15-word window with up to 3 replaced words (a test tries all cases). Hashes of all benchmark positions are joined with those
 of all document positions; each hit fixes an alignment, which is verified word by word: a document
 is contaminated by an item if some ``window`` aligned words (the item's length, if shorter) agree in at least ``share``.
+Where words repeat so much that a text's hits are more than ``HITS``, they aren't listed but marked by alignment, in bounded pieces.
 
-The benchmark goes to the executors in blocks of at most ``block_words`` words, one pass over the
-documents for each block, so what is broadcast is bounded whatever its size. Documents aren't shuffled.
+The benchmark goes to the executors in blocks of at most ``block_words`` words (or one item), one pass over the
+documents for each block. With several blocks a pass is written out and its block is destroyed before the next is sent, so one block at a time
+is broadcast and held by a worker, whatever the benchmark's size. Documents aren't shuffled.
 
 Defined results: null and empty texts, on either side, never match; items under ``least_words`` words, which any text could
 resemble by chance, match only where a text holds all their words as they are; repeated items or documents give a row each pair of ids (once); null ids are kept.
@@ -20,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, ship, text_bytes
+from tessera.llm.common import documents, lean, ship, stage, text_bytes
 from tessera.llm.hashing import folded_table, mix, words
 
 #: Places that count (1) and are ignored (0).
 MASKS = ("10111", "11011", "1100101")
 WINDOW, SHARE, LEAST = 15, 0.8, 8
+HITS = 1 << 20  # hits listed together
+MARKS = 1 << 25  # alignments marked together
 _ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1) | 1) for i in range(64)]
 
 
@@ -73,9 +77,12 @@ class Benchmark:
             keys.append(k[use])
             places.append(at[use])
         key, at = np.concatenate(keys), np.concatenate(places)
-        order = np.argsort(key, kind="stable")
+        order = np.lexsort((at, key))
         self.key, self.at = key[order], at[order]
         self.item = np.searchsorted(self.bounds, self.at, side="right") - 1
+        # entries of a key are in the order of their places: (key's number, place) finds those of some items
+        rank = np.cumsum(np.r_[False, self.key[1:] != self.key[:-1]]) if len(self.key) else np.zeros(0, np.int64)
+        self.place = rank * (len(self.h) + 1) + self.at
         self.near = np.zeros(1 << 22, bool)
         self.near[(self.key >> np.uint64(42)).astype(np.int64)] = True
 
@@ -89,19 +96,79 @@ class Benchmark:
             maybe = self.near[(k >> np.uint64(42)).astype(np.int64)]
             k, at = k[maybe], at[maybe]
             a, b = np.searchsorted(self.key, k, "left"), np.searchsorted(self.key, k, "right")
-            n = b - a
-            where = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(at, n)
-            hits.append(np.stack([doc[at], self.item[where], at - self.at[where]], 1))
-        found: dict[tuple, np.ndarray] = {}
-        for d, i, shift in np.unique(np.concatenate(hits), axis=0).tolist():
-            ia, ib = self.bounds[i], self.bounds[i + 1]
-            lo, hi = max(bounds[d], ia + shift), min(bounds[d + 1], ib + shift)
-            good = covered(h[lo:hi] == self.h[lo - shift: hi - shift], *self.rule(int(ib - ia)))
-            if good.any():
-                whole = found.setdefault((d, i), np.zeros(bounds[d + 1] - bounds[d], bool))
-                whole[lo - bounds[d]: hi - bounds[d]] |= good
-        return [(d, i, int(np.argmax(w)), int(w.sum())) for (d, i), w in found.items()]
+            use = b > a
+            hits.append(np.stack([at[use], a[use], b[use]]))
+        at, a, b = np.concatenate(hits, 1)
+        n = np.bincount(doc[at], b - a, len(offs) - 1)
+        out = []
+        for d in np.flatnonzero(n > HITS).tolist():
+            own = doc[at] == d
+            out += [(d, *x) for x in self._marked(h[bounds[d]: bounds[d + 1]], at[own] - bounds[d], a[own], b[own])]
+        order = np.argsort(doc[at], kind="stable")
+        order = order[n[doc[at[order]]] <= HITS]
+        at, a, b = at[order], a[order], b[order]
+        total = np.cumsum(b - a)
+        x = 0
+        while x < len(at):  # some texts together
+            y = int(np.searchsorted(total, (total[x - 1] if x else 0) + HITS, side="right"))
+            y = max(int(np.searchsorted(doc[at], doc[at[x]], side="right")), int(np.searchsorted(doc[at], doc[at[y]])) if y < len(at) else len(at))
+            place, where = self._listed(at[x:y], a[x:y], b[x:y])
+            found: dict[tuple, np.ndarray] = {}
+            for d, i, shift in np.unique(np.stack([doc[place], self.item[where], place - self.at[where]], 1), axis=0).tolist():
+                self._verify(h, int(bounds[d]), int(bounds[d + 1]), i, shift, found, (d, i))
+            out += [(d, i, int(np.argmax(w)), int(w.sum())) for (d, i), w in found.items()]
+            x = y
+        return out
+
+    @staticmethod
+    def _listed(at: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every pair of a place and an entry that a hit stands for."""
+        n = b - a
+        return np.repeat(at, n), np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+    def _verify(self, h: np.ndarray, first: int, end: int, i: int, shift: int, found: dict, name) -> None:
+        """Adds the places of the text h[first:end] that item i covers if its first word stands at ``shift``."""
+        ia, ib = int(self.bounds[i]), int(self.bounds[i + 1])
+        lo, hi = max(first, ia + shift), min(end, ib + shift)
+        have = found.get(name)
+        if have is not None and have[lo - first: hi - first].all():
+            return
+        good = covered(h[lo:hi] == self.h[lo - shift: hi - shift], *self.rule(ib - ia))
+        if good.any():
+            if have is None:
+                have = found[name] = np.zeros(end - first, bool)
+            have[lo - first: hi - first] |= good
+
+    def _marked(self, h: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray):
+        """(item index, first word, covered words) for one text with very many hits: alignments are marked item by item."""
+        n, width = len(h), len(self.h) + 1
+        base = self.place[a] // width * width
+        sizes = np.diff(self.bounds)
+        i = 0
+        while i < len(sizes):
+            e = max(i + 1, int(np.searchsorted(np.cumsum(sizes[i:] + n), MARKS)) + i)
+            x, y = np.searchsorted(self.place, base + self.bounds[i]), np.searchsorted(self.place, base + self.bounds[e])
+            use = y > x
+            if use.any():
+                start = np.cumsum(sizes[i:e] + n) - (sizes[i:e] + n)  # where an item's alignments begin
+                marks = np.zeros(int((sizes[i:e] + n).sum()), bool)
+                p, q, r = at[use], x[use], y[use]
+                total = np.cumsum(r - q)
+                s = 0
+                while s < len(p):
+                    t = max(s + 1, int(np.searchsorted(total, (total[s - 1] if s else 0) + HITS, side="right")))
+                    place, where = self._listed(p[s:t], q[s:t], r[s:t])
+                    item = self.item[where] - i
+                    marks[start[item] + place - (self.at[where] - self.bounds[i:e][item]) + sizes[i:e][item]] = True
+                    s = t
+                hit = np.flatnonzero(marks)
+                item = np.searchsorted(start, hit, side="right") - 1
+                found: dict[int, np.ndarray] = {}
+                for j, shift in zip((item + i).tolist(), (hit - start[item] - sizes[i:e][item]).tolist()):
+                    self._verify(h, 0, n, j, shift - int(self.bounds[j]), found, j)
+                for j, w in found.items():
+                    yield j, int(np.argmax(w)), int(w.sum())
+            i = e
 
     def rule(self, n: int) -> tuple[int, float]:
         """Aligned words of an item of n words, and the share of them that must agree."""
@@ -128,47 +195,76 @@ def _blocks(items: DataFrame, block_words: int):
         yield block
 
 
-def overlaps(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, share: float = SHARE, least_words: int = LEAST, block_words: int = 1 << 20) -> DataFrame:
-    """A row per (doc_id, item_id) that overlap: first_word and n_words, the document's words in verified windows."""
+def _passes(docs: DataFrame, items: DataFrame, window: int, share: float, least_words: int, block_words: int, one_pass, whole: bool):
+    """``one_pass(docs, shared)`` for each block of the benchmark. All results, or with ``whole`` the last one, made from the one before; all but that of an only block are written."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    kind = "doc_id long, item_id long, first_word long, n_words long"
-    out = spark.createDataFrame([], kind)
-    for block in _blocks(items.select(F.col("item_id").cast("long"), F.col("text").cast("string")), block_words):
+    blocks = _blocks(items.select(F.col("item_id").cast("long"), F.col("text").cast("string")), block_words)
+    out, block = [], next(blocks, None)
+    while block is not None:
         shared = spark.sparkContext.broadcast(Benchmark(block, window, share, least_words))
+        following = next(blocks, None)
+        got = one_pass(docs, shared)
+        if out or following is not None:
+            got = stage(got, "pass")
+            shared.destroy()
+        if whole:
+            docs = got
+        out.append(got)
+        block = following
+    return out
+
 
-        def run(batches, shared=shared):
+def overlaps(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, share: float = SHARE, least_words: int = LEAST, block_words: int = 1 << 20) -> DataFrame:
+    """A row per (doc_id, item_id) that overlap: first_word and n_words, the document's words in verified windows."""
+    kind = "doc_id long, item_id long, first_word long, n_words long"
+
+    def one_pass(docs, shared):
+        def run(batches):
             bench = shared.value
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
+                for at, size in _runs(batch.column(1)):
+                    part = batch.slice(at, size)
                     keys = part.column(0).to_pylist()
                     rows = [(keys[d], bench.ids[i], a, n) for d, i, a, n in bench.search(*text_bytes(part.column(1)))]
                     cols = list(zip(*rows)) or [()] * 4
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "first_word", "n_words"])
 
-        out = out.union(docs.mapInArrow(run, kind))
+        return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), kind)
+
+    out = docs.sparkSession.createDataFrame([], kind)
+    for got in _passes(docs, items, window, share, least_words, block_words, one_pass, False):
+        out = out.union(got)
     return out
 
 
 def clean(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, share: float = SHARE, least_words: int = LEAST, block_words: int = 1 << 20) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, all columns as they were."""
-    ship(docs.sparkSession)
     at_text = docs.columns.index("text")
-    for block in _blocks(items.select(F.col("item_id").cast("long"), F.col("text").cast("string")), block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(block, window, share, least_words))
 
-        def run(batches, shared=shared):
+    def one_pass(docs, shared):
+        def run(batches):
+            bench = shared.value
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
+                for at, size in _runs(batch.column(at_text)):
+                    part = batch.slice(at, size)
                     keep = np.ones(part.num_rows, bool)
-                    keep[[d for d, *_ in shared.value.search(*text_bytes(part.column(at_text)))]] = False
+                    keep[[d for d, *_ in bench.search(*text_bytes(part.column(at_text)))]] = False
                     yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return docs.mapInArrow(lean(run), docs.schema)
+
+    return ([docs] + _passes(docs, items, window, share, least_words, block_words, one_pass, True))[-1]
+
+
+def _runs(texts, rows: int = 256, nbytes: int = 1 << 20):
+    """(first, rows) of runs of texts with few bytes together (or one text)."""
+    _, offs = text_bytes(texts)
+    a, n = 0, len(offs) - 1
+    while a < n:
+        b = min(a + rows, max(a + 1, int(np.searchsorted(offs, offs[a] + nbytes, side="right")) - 1))
+        yield a, b - a
+        a = b
 
 
 def op6_spaced_seeds(spark, sf_dir):
