@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm.quality import STOP_WORDS
+from tessera.llm.quality import LANGS, STOP_WORDS
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 #: What Python's str.split() cuts at.
@@ -10,7 +10,7 @@ BLANK = r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x
 
 QUALITY = rf"""
 WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS w, list_filter(regexp_split_to_array(coalesce(text, ''), '{BLANK}+'), lambda x: x <> '') AS u FROM documents
+  SELECT doc_id, lang, coalesce(text, '') AS text, {WORDS} AS w, list_filter(regexp_split_to_array(coalesce(text, ''), '{BLANK}+'), lambda x: x <> '') AS u FROM documents
 ), grams AS (
   SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
 ), covered AS (
@@ -20,14 +20,14 @@ WITH d AS (
   SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
 ), m AS (
-  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+  SELECT d.doc_id, d.lang, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
     coalesce(n_lines, 0) AS n_lines, len(u) AS n_pieces, len(list_filter(u, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letter_words,
     len(list_filter(u, lambda x: list_contains([{', '.join(f"'{w}'" for w in sorted(STOP_WORDS))}], lower(x)))) AS n_stop_words
   FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN lines l ON d.doc_id = l.doc_id
 ), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND 10 * n_symbols <= n_words AND word_chars BETWEEN 3 * n_words AND 12 * n_words AND 2 * n_dup_lines <= n_lines AND n_stop_words >= 2
+  NOT base_failed AND 10 * n_symbols <= n_words AND word_chars BETWEEN 3 * n_words AND 12 * n_words AND 2 * n_dup_lines <= n_lines AND ((lang IS NOT NULL AND lang NOT IN ({', '.join(f"'{x}'" for x in LANGS)})) OR n_stop_words >= 2)
   AND 10 * n_letter_words >= 7 * n_pieces AS kept
 FROM b
 """
