@@ -1,6 +1,6 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter (and the gap between words) has a fixed random vector of +1/-1. A three-letter gram is the product of
+Every letter (and the gap between words and at a text's ends) has a fixed random vector of +1/-1. A three-letter gram is the product of
 its letters' vectors, rotated by their places; a text is the sum of its grams' vectors. A language's
 prototype is the sum over its training texts. A text gets the language whose prototype has the greatest cosine
 with it, less the part that all languages have in common.
@@ -8,7 +8,7 @@ with it, less the part that all languages have in common.
 Only sums go to the driver: one vector of ``dim`` numbers for each language, at most ``max_langs`` of them.
 
 Defined results: null text or text without a letter gives ``und`` with score 0, as does an empty training set.
-Equal cosines go to the first language in order. Null doc_ids are kept (and are training rows); repeated rows are judged
+Any text with a letter has a gram, as the gaps at its ends count. Equal cosines go to the first language in order. Null doc_ids are kept (and are training rows); repeated rows are judged
 each; other columns don't matter.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, ship
+from tessera.llm.common import documents, lean, ship
 
 UND = "und"
 DOCS = 64  # texts looked at together
@@ -45,7 +45,7 @@ def letter_vector(code: int, dim: int) -> np.ndarray:
 
 def gram_counts(texts: list[str]):
     """(text index, gram, count) arrays; a gram packs three code points (0: gap) in 63 bits, as unsigned."""
-    texts = [t.lower() for t in texts]
+    texts = ["\0" + t.lower() + "\0" for t in texts]  # a gap at either end; runs of gaps are one
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     cps = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     doc = np.repeat(np.arange(len(texts)), lens)
@@ -124,7 +124,7 @@ def prototypes(train: DataFrame, text: str = "text", lang: str = "lang", dim: in
 
     rows = (
         train.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string"), F.col(lang).cast("string"))
-        .mapInArrow(run, "lang string, pos int, value double").groupBy("lang", "pos").agg(F.sum("value").alias("value"))
+        .mapInArrow(lean(run), "lang string, pos int, value double").groupBy("lang", "pos").agg(F.sum("value").alias("value"))
         .limit(max_langs * dim + 1).collect()
     )
     if len(rows) > max_langs * dim:
@@ -175,7 +175,7 @@ def classify(docs: DataFrame, protos: dict[str, np.ndarray], text: str = "text",
                         scores.append(float(min(1.0, max(0.0, cos[i, k]))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [key, "lang_pred", "score"])
 
-    return docs.select(F.col(key).cast(kind), F.col(text).cast("string")).mapInArrow(run, f"{key} {kind}, lang_pred string, score double")
+    return docs.select(F.col(key).cast(kind), F.col(text).cast("string")).mapInArrow(lean(run), f"{key} {kind}, lang_pred string, score double")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
