@@ -9,7 +9,7 @@ that very many documents share is counted before it is shuffled, and its later o
 
 Defined results: null and empty texts and texts of fewer than three lines lose nothing; null stays null. A row goes by its doc_id, null or not, and
 its text's hash: rows that share a doc_id but not a text are documents of their own (at equal positions the smaller hash is first); rows that repeat both
-lose the same lines and don't count against each other at equal positions. Other columns pass through.
+lose the same lines and don't count against each other at equal positions. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, ship, stage
+from tessera.llm.common import documents, lean, ship, stage, unused
 
 BLANKS = " \t\n\v\f\r"
 
@@ -50,7 +50,7 @@ def line_windows(docs: DataFrame, text: str, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "t", "pos", "h1", "h2"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col(text).cast("string")), F.col(text).cast("string"))
-    return rows.mapInArrow(run, "doc_id long, t long, pos int, h1 long, h2 long")
+    return rows.mapInArrow(lean(run), "doc_id long, t long, pos int, h1 long, h2 long")
 
 
 def later_windows(docs: DataFrame, text: str = "text", window: int = 3) -> DataFrame:
@@ -78,9 +78,9 @@ def line_dedup(docs: DataFrame, text: str = "text", window: int = 3, drop_emptie
     """``docs`` with the lines removed; with ``drop_emptied``, rows that lost all their lines go."""
     docs = docs.withColumn(text, F.col(text).cast("string"))
     at, n = docs.columns.index(text), len(docs.columns)
-    later = later_windows(docs, text, window).select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("later").alias("__later"))
-    same = docs["doc_id"].cast("long").eqNullSafe(later["__id"]) & (F.xxhash64(docs[text]) == later["__t"])
-    joined = docs.join(later, same, "left").drop("__id", "__t")
+    extra = unused(docs.columns, "later")
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("w.doc_id")) & (F.xxhash64(F.col(f"d.`{text}`")) == F.col("w.t"))
+    joined = docs.alias("d").join(later_windows(docs, text, window).alias("w"), same, "left").select("d.*", F.col("w.later").alias(extra))
 
     def run(batches):
         for batch in batches:
@@ -89,7 +89,7 @@ def line_dedup(docs: DataFrame, text: str = "text", window: int = 3, drop_emptie
             out = pa.RecordBatch.from_arrays(cols, batch.schema.names[:n])
             yield out.filter(pa.array([g[2] < g[1] or not g[1] for g in got], pa.bool_())) if drop_emptied else out
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(lean(run), docs.schema)
 
 
 def line_digests(docs: DataFrame, window: int = 3) -> DataFrame:
@@ -104,7 +104,7 @@ def line_digests(docs: DataFrame, window: int = 3) -> DataFrame:
             sha = [hashlib.sha256((g[0] or "").encode("utf-8", "surrogatepass")).hexdigest() for g in got]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_lines", "n_removed", "kept_sha256"])
 
-    return joined.mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(lean(run), "doc_id long, n_lines long, n_removed long, kept_sha256 string")
 
 
 def op7_line_windows(spark, sf_dir):
