@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import documents, ship, text_bytes
+from tessera.llm.common import documents, lean, ship, text_bytes
 from tessera.llm.tokens import TEXTS, default_path, encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -123,7 +123,7 @@ def pack(
         if ids:
             yield flush()
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(lean(run, keep_encoders=True), SCHEMA)
 
 
 def op4_cost_packing(spark, sf_dir):

@@ -5,14 +5,15 @@ characters that aren't white space: the pre-tokeniser always starts a new word t
 there, and each piece's ids are looked up in a table; only pieces not seen before go through the library, many in one call. Where it isn't certain
 that a neighbour is no white space (its bytes begin as those of some white space do), the text isn't cut, which only makes a longer piece.
 
-The table is keyed by a 64-bit hash, and every hit is compared byte by byte, so the ids are those of the library.
+The table is keyed by a 64-bit hash, and every hit is compared byte by byte, so the ids are those of the library. It starts anew when it would
+outgrow its bytes, and texts are looked at in slices of bounded size, a long text in several, so memory doesn't depend on the corpus.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from tessera.llm.common import quiet_threads
+from tessera.llm.common import quiet_threads, trim
 from tessera.llm.hashing import VALUES, mix, powers
 
 #: First bytes of UTF-8 white space beyond ASCII.
@@ -25,6 +26,8 @@ _MARK[list(b".,;:!?")] = True
 _LETTER[list(range(65, 91)) + list(range(97, 123))] = True
 
 TEXTS = 512  # texts encoded together
+SLICE = 1 << 20  # bytes looked at together
+TABLE_BYTES = 96 << 20  # of the table of a worker
 
 _made: dict = {}
 
@@ -61,15 +64,15 @@ def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 
 class _Store:
-    """An array that grows."""
+    """An array that grows in place."""
 
     def __init__(self, kind):
-        self.data, self.n = np.zeros(1 << 16, kind), 0
+        self.data, self.n = np.zeros(1 << 12, kind), 0
 
     def add(self, x: np.ndarray) -> int:
         """Where x begins."""
-        while self.n + len(x) > len(self.data):
-            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
+        if self.n + len(x) > len(self.data):
+            self.data.resize(max(self.n + len(x), len(self.data) * 3 // 2), refcheck=False)
         a = self.n
         self.data[a: a + len(x)] = x
         self.n += len(x)
@@ -77,9 +80,9 @@ class _Store:
 
 
 class PieceEncoder:
-    """``limit`` bounds the number of cached pieces; a full table starts anew."""
+    """``most_bytes`` bounds the table of cached pieces; a full table starts anew."""
 
-    def __init__(self, path: str, limit: int = 3_000_000, most_bytes: int = 64 << 20):
+    def __init__(self, path: str, most_bytes: int = TABLE_BYTES):
         quiet_threads()
         from tokenizers import Tokenizer
 
@@ -92,16 +95,29 @@ class PieceEncoder:
         self.lengths = np.zeros(n, np.int64)
         for token, i in self.tok.get_vocab(with_added_tokens=True).items():
             self.lengths[i] = len(token)  # byte-level alphabet: a character for each byte
-        self.limit, self.most_bytes = limit, most_bytes
+        self.most_bytes = most_bytes
         self._clear()
 
     def _clear(self) -> None:
-        self.slots = 1 << 16
+        self.slots = 1 << 14
         self.key, self.entry = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
         self.hash = _Store(np.uint64)
         self.first_id, self.n_ids, self.first_byte, self.n_bytes = (_Store(np.int32) for _ in range(4))
         self.ids, self.bytes = _Store(self.dtype), _Store(np.uint8)
 
+    def _stores(self) -> list[_Store]:
+        return [self.hash, self.first_id, self.n_ids, self.first_byte, self.n_bytes, self.ids, self.bytes]
+
+    def table_bytes(self, more: int = 0, piece_bytes: int = 0) -> int:
+        """Bytes of the table, or a bound of them with ``more`` pieces of ``piece_bytes`` together (a piece has no more ids than bytes)."""
+        if not more:
+            return self.slots * 12 + sum(x.data.nbytes for x in self._stores())
+        slots = self.slots
+        while 2 * (self.hash.n + more) > slots:
+            slots *= 2
+        adds = [more] * 5 + [piece_bytes] * 2
+        return slots * 12 + sum(max(x.data.nbytes, max(x.n + n, len(x.data) * 3 // 2 if x.n + n > len(x.data) else 0) * x.data.itemsize) for x, n in zip(self._stores(), adds))
+
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Entries of hashes, -1 where there is none."""
         out = np.full(len(h), -1, np.int32)
@@ -148,20 +164,18 @@ class PieceEncoder:
         place[order] = np.cumsum(count[order]) - count[order]
         return flat[spread(place, count)].astype(self.dtype), count
 
-    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts, one after the other, and where each text's begin and end."""
-        if len(data) == 0:
-            return np.zeros(0, self.dtype), np.zeros(len(offs), np.int64)
-        starts = cuts(data, offs)
+    def _ids(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces that begin at ``starts`` and fill ``data``, one after the other, and how many each has."""
         lens = np.diff(np.append(starts, len(data)))
         within = np.arange(len(data)) - np.repeat(starts, lens)
         value = VALUES[data] * powers(int(lens.max()))[within]
         h = mix(np.add.reduceat(value, starts) + lens.astype(np.uint64)) | np.uint64(1)  # 0 marks a free slot
+        del value
         e = self._find(h)
         new = np.flatnonzero(e < 0)
         if len(new):
             names, first = np.unique(h[new], return_index=True)
-            if self.hash.n + len(names) > self.limit or self.bytes.n > self.most_bytes:
+            if self.table_bytes(len(names), int(lens[new[first]].sum())) > self.most_bytes and self.hash.n:
                 self._clear()
                 new = np.arange(len(h))
                 names, first = np.unique(h, return_index=True)
@@ -186,6 +200,7 @@ class PieceEncoder:
             if 2 * self.hash.n > self.slots:
                 while 2 * self.hash.n > self.slots:
                     self.slots *= 2
+                self.key = self.entry = None  # gone before the larger ones come
                 self.key, self.entry = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
                 self._insert(self.hash.data[: self.hash.n].copy(), np.arange(self.hash.n, dtype=np.int32))
             else:
@@ -195,14 +210,32 @@ class PieceEncoder:
         ids = self.ids.data[spread(self.first_id.data[e].astype(np.int64), count)]
         ok = self.n_bytes.data[e] == lens
         within += np.repeat(self.first_byte.data[e].astype(np.int64), lens)
-        same = self.bytes.data.take(within, mode="clip") == data
-        ends = np.append(0, np.cumsum(count))
-        pieces = np.searchsorted(starts, offs)
-        if not (ok.all() and same.all()):  # two pieces with one hash: this batch's texts go through the library whole
-            texts = [data[a:b].tobytes().decode("utf-8", "surrogatepass") for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
-            got = [np.array(x.ids, self.dtype) for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-            return np.concatenate(got), np.cumsum([0, *map(len, got)])
-        return ids, ends[pieces]
+        if not (ok.all() and (self.bytes.data.take(within, mode="clip") == data).all()):  # two pieces with one hash: these go through the library
+            ids, count = self._encode(data, starts, lens, np.zeros(len(starts), bool))
+        return ids, count
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after the other, and where each text's begin and end."""
+        if len(data) == 0:
+            return np.zeros(0, self.dtype), np.zeros(len(offs), np.int64)
+        found, ends, a, n, done = [], [np.zeros(1, np.int64)], 0, len(offs) - 1, 0
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(offs, offs[a] + SLICE, side="right")) - 1)
+            part, own = data[offs[a]: offs[b]], offs[a: b + 1] - offs[a]
+            starts = cuts(part, own) if len(part) else np.zeros(0, np.int64)
+            counts, x = [np.zeros(1, np.int64)], 0
+            while x < len(starts):  # one slice, or several of a long text
+                y = max(x + 1, int(np.searchsorted(starts, starts[x] + SLICE, side="right")))
+                stop = starts[y] if y < len(starts) else len(part)
+                ids, count = self._ids(part[starts[x]: stop], starts[x:y] - starts[x])
+                found.append(ids)
+                counts.append(count)
+                x = y
+            total = np.cumsum(np.concatenate(counts))
+            ends.append(done + total[np.searchsorted(starts, own[1:])])
+            done += int(total[-1])
+            a = b
+        return np.concatenate(found) if found else np.zeros(0, self.dtype), np.concatenate(ends)
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
@@ -218,8 +251,10 @@ def encoder(path: str) -> PieceEncoder:
 
 
 def release() -> None:
-    """Forget the encoders of this worker; stages after tokenising call it, as workers are used again."""
-    _made.clear()
+    """Forget the encoders of this worker; stages that don't tokenise call it, as workers are used again."""
+    if _made:
+        _made.clear()
+        trim()
 
 
 def default_path() -> str:
