@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -17,11 +20,16 @@ from pyspark.sql import functions as F
 #: Word of the contracts: a run of bytes other than blank, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch that goes to a worker, where the session has Spark's default (a batch of 10,000 long texts would take gigabytes).
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+
 _shipped: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application (they may not see the driver's folders)."""
+    """Send this package to the executors once per application (they may not see the driver's folders), and bound Arrow batches by bytes."""
+    if not spark.sparkContext.getConf().contains(BATCH[0]):
+        spark.conf.set(BATCH[0], BATCH[1])
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -35,11 +43,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is set only where the cluster names none."""
+    """The folder all executors share. Where none is named, a local master gets a temporary one; on a cluster that raises, as executors wouldn't share it."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         have = spark.sparkContext.getCheckpointDir()
         if not have:
+            if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
             have = spark.sparkContext.getCheckpointDir()
         d = have
@@ -118,8 +128,38 @@ def text_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0]: offs[-1]], offs - offs[0]
 
 
-def ints(col) -> list:
-    return col.to_pylist()
+def trim() -> None:
+    """Give what this worker has freed back to the machine: a worker lives on after its task, and its memory counts as the executor's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run, keep_encoders: bool = False):
+    """A task's function over batches that begins without tokenisers kept by earlier tasks and gives freed memory back at its end."""
+
+    def task(batches):
+        from tessera.llm.tokens import release
+
+        if not keep_encoders:
+            release()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return task
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or a longer one that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def quiet_threads() -> None:

@@ -26,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import golay
-from tessera.llm.common import documents, parts_for, remove, ship, stage, work_path
+from tessera.llm.common import documents, lean, parts_for, remove, rough_bytes, ship, stage, work_path
 from tessera.llm.graph import components
 from tessera.llm.hashing import mix
+from tessera.llm.repeats import pack_sorted, range_of, squeeze, unpack_arrays, unpack_sorted
 
 #: A segment is a list of (word of the fingerprint, first bit, bits), at most 23 bits together.
 SEGMENTS_64 = (((0, 0, 22),), ((0, 22, 21),), ((0, 43, 21),))
@@ -80,7 +81,7 @@ def fingerprints(docs: DataFrame, shingle: int, text: str = "text", words: int =
                     h = mix(h)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, w].copy().view(np.int64)) for w in range(words))], ["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
+    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(lean(run), ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
 
 
 def word_names(words: int) -> list[str]:
@@ -260,46 +261,165 @@ def _prefix_length(n: int, p: int, q: int) -> int:
     return n - -(-n * p // q) + 1
 
 
-def frequent_shingles(docs: DataFrame, shingle: int, text: str = "text", share: int = 16, least: int = 2, most: int = 1 << 16) -> np.ndarray:
-    """Shingle hashes that several texts of a sample share, the rarer ones first. Their order steers cost only, no result."""
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes((text or "").encode("utf-8", "surrogatepass"), shingle))
+
+
+def _longs(x) -> pa.Array:
+    return pa.array(np.asarray(x, np.uint64).view(np.int64))
+
+
+def repeated_texts(docs: DataFrame, shingle: int, p: int, q: int, text: str = "text", batch_shingles: int = 1 << 20, range_bytes: int = 6 << 20) -> DataFrame:
+    """doc_id and t (hash of the text) of the rows that may have a partner: at least p/q of their shingles are in another row too.
+
+    Rows are taken in batches of ``batch_shingles``; a batch sends each shingle once to the task of its hash range, cut to as many bits as keep
+    chance low, and says whether several of its rows have it and else which, so a shingle of very many rows is an entry for each batch. Ranges
+    answer with counts by row. A shingle that only seems to be repeated makes a candidate more, none less.
+    """
+    size = rough_bytes(docs)
+    bits, ranges = min(63, max(1, size).bit_length() + 10), parts_for(size, range_bytes)
+    kind = "r int, batch long, kind int, payload binary"
+    names = ["r", "batch", "kind", "payload"]
+
+    def packed(*arrays) -> bytes:
+        parts = [squeeze(x) for x in arrays]
+        return b"".join(len(x).to_bytes(4, "little") + x for x in parts)
+
+    def announce(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        keys, marks, sets, size = [], [], [], 0
+
+        def flush():
+            nonlocal keys, marks, sets, size, number
+            lens = np.fromiter(map(len, sets), np.int64, len(sets))
+            flat = np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(64 - bits)
+            who = np.repeat(np.arange(len(sets), dtype=np.int32), lens)
+            sets = []
+            order = np.argsort(flat, kind="stable")
+            flat, who = flat[order], who[order]
+            new = np.r_[True, flat[1:] != flat[:-1]] if len(flat) else np.zeros(0, bool)
+            first = np.flatnonzero(new)
+            several = np.diff(np.r_[first, len(flat)]) > 1
+            shared = np.repeat(several, np.diff(np.r_[first, len(flat)]))
+            have = np.bincount(who[shared], minlength=len(lens))
+            flat, one = flat[first], who[first]
+            cuts = np.searchsorted(range_of(flat << np.uint64(64 - bits), ranges), np.arange(ranges + 1))
+            rows = [(int(number % ranges), number, 0, packed(np.array([k is None for k in keys], np.uint8), np.array([k or 0 for k in keys], np.int64), np.array(marks, np.int64), lens, have))]
+            for r, (x, y) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
+                if y > x:
+                    v = pack_sorted(flat[x:y])
+                    rows.append((r, number, 1, len(v).to_bytes(4, "little") + v + packed(np.packbits(several[x:y]), one[x:y][~several[x:y]])))
+            keys, marks, size, number = [], [], 0, number + 1
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names)
+
+        for batch in batches:
+            for key, mark, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                keys.append(key)
+                marks.append(mark)
+                sets.append(shingle_set(t, shingle))
+                size += len(sets[-1]) + 1
+                if size >= batch_shingles:
+                    yield flush()
+        if keys:
+            yield flush()
+
+    def compare(_, t):
+        own, out, values, flags, who = [], [], [], [], []
+        for r, number, what, payload in zip(*(t.column(c).to_pylist() for c in names)):
+            if what == 0:
+                out.append((r, number, 0, payload))
+                continue
+            n = int.from_bytes(payload[:4], "little")
+            v = unpack_sorted(payload[4: 4 + n])
+            several, one = unpack_arrays(payload[4 + n:])
+            several = np.unpackbits(several)[: len(v)].astype(bool)
+            at = np.full(len(v), -1, np.int32)
+            at[~several] = one
+            own.append(number)
+            values.append(v)
+            flags.append(several)
+            who.append(at)
+        if values:
+            lens = [len(v) for v in values]
+            values, again = np.concatenate(values), np.concatenate(flags)
+            order = np.argsort(values, kind="stable")
+            ranked = values[order]
+            same = np.r_[False, ranked[1:] == ranked[:-1]]
+            again[order[same]] = True
+            again[order[np.r_[same[1:], False]]] = True
+            ends = np.cumsum([0, *lens]).tolist()
+            for number, at, a, b in zip(own, who, ends, ends[1:]):
+                hit = at[again[a:b] & (at >= 0)]
+                if len(hit):
+                    found, n = np.unique(hit, return_counts=True)
+                    out.append((0, number, 2, packed(found, n)))
+        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 4, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names)
+
+    def judge(_, t):
+        what, payloads = t.column("kind").to_pylist(), t.column("payload").to_pylist()
+        none, keys, marks, lens, have = unpack_arrays(next(x for k, x in zip(what, payloads) if k == 0))
+        have = have.astype(np.int64)
+        for k, x in zip(what, payloads):
+            if k == 2:
+                who, n = unpack_arrays(x)
+                have[who] += n.astype(np.int64)
+        use = np.flatnonzero(have * q >= lens * p)
+        return pa.table({"doc_id": pa.array(keys[use], pa.int64(), mask=none[use].astype(bool)), "t": pa.array(marks[use], pa.int64())})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("t"), F.col(text).cast("string").alias("text"))
+    runs = rows.mapInArrow(lean(announce), kind).repartition(ranges, "r")
+    return runs.groupBy("r").applyInArrow(compare, kind).groupBy("batch").applyInArrow(judge, "doc_id long, t long")
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """t, node (hash of the shingle set), n (its size), own (its hashes), fp, fp1 and bits (``parities``) of rows t, text."""
 
     def run(batches):
         for batch in batches:
-            found = [np.unique(shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["h"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(t, shingle) for t in part.column(1).to_pylist()]
+                cols = [part.column(0), pa.array([node_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
+                cols += [_longs([majority(x) for x in sets]), _longs([majority(mix(x)) for x in sets]), pa.array([parities(x) for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["t", "node", "n", "own", "fp", "fp1", "bits"])
+
+    return docs.select("t", "text").mapInArrow(lean(run), "t long, node long, n long, own binary, fp long, fp1 long, bits binary")
 
-    sample = docs.select(F.col(text).cast("string").alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(share)) == 0)
+
+def frequent_shingles(sets: DataFrame, share: int = 16, least: int = 2, most: int = 1 << 16) -> np.ndarray:
+    """Shingle hashes that several sets of a sample share, the rarer ones first. Their order steers cost only, no result."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64))], ["h"])
+
+    sample = sets.where(F.pmod("node", F.lit(share)) == 0).dropDuplicates(["node"]).select("own")
     n = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     rows = n.orderBy(F.desc("n"), "h").limit(most).collect()  # bounded by ``most``
     return np.array([r["h"] for r in rows[::-1]], np.int64).view(np.uint64)
 
 
-def shingle_sets(docs: DataFrame, shingle: int, p: int, q: int, frequent: np.ndarray, text: str = "text") -> DataFrame:
-    """doc_id, t (hash of the text), node (hash of the shingle set), n (its size), fp, fp1, bits (``parities``) and the prefix of the set: rare shingles first, then by hash."""
+def prefixes(sets: DataFrame, p: int, q: int, frequent: np.ndarray) -> DataFrame:
+    """node, n and the prefix of each set: rare shingles first, then by hash."""
     order = np.argsort(frequent)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order))
+    shared = sets.sparkSession.sparkContext.broadcast((frequent[order], order))
 
     def run(batches):
         known, place = shared.value
         for batch in batches:
-            nodes, sizes, fps, bits, prefixes = [], [], np.zeros((batch.num_rows, 2), np.uint64), [], []
-            for i, t in enumerate(batch.column(2).to_pylist()):
-                own = np.unique(shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle))
-                nodes.append(node_of(own))
-                sizes.append(len(own))
-                fps[i] = majority(own), majority(mix(own))
-                bits.append(parities(own))
-                if len(known) and len(own):
+            found = []
+            for own in batch.column(2).to_pylist():
+                own = np.frombuffer(own, np.uint64)
+                n = len(own)
+                if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    rank = np.where(known[at] == own, place[at] + 1, 0)
-                    own = own[np.argsort(rank, kind="stable")]
-                prefixes.append(own[: _prefix_length(len(own), p, q)].tobytes() if len(own) else b"")
-            cols = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())]
-            cols += [pa.array(fps[:, w].copy().view(np.int64)) for w in range(2)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(bits, pa.binary()), pa.array(prefixes, pa.binary())], ["doc_id", "t", "node", "n", "fp", "fp1", "bits", "prefix"])
+                    own = own[np.argsort(np.where(known[at] == own, place[at] + 1, 0), kind="stable")]
+                found.append(own[: _prefix_length(n, p, q)].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["node", "n", "prefix"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col(text).cast("string")).alias("t"), F.col(text).cast("string"))
-    return rows.mapInArrow(run, "doc_id long, t long, node long, n long, fp long, fp1 long, bits binary, prefix binary")
+    return sets.where("n > 0").select("node", "n", "own").mapInArrow(lean(run), "node long, n long, prefix binary").dropDuplicates(["node"])
 
 
 def node_of(own: np.ndarray) -> int:
@@ -381,12 +501,12 @@ def prefix_pairs(sets: DataFrame, n_entries: int, p: int, q: int) -> DataFrame:
     return blobs.repartition(ranges, "r").groupBy("r").applyInArrow(link, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, p: int, q: int, text: str = "text") -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of p/q or more. ``nodes``: node, n, bits and the hash t of a text with that set.
+def verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, p: int, q: int) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of p/q or more. ``nodes``: node, n, bits and the t of one of its ``sets``.
 
     The parities rule out most pairs, and only such as can't reach the similarity; the others are compared set by set.
     """
-    spark, paths = docs.sparkSession, [work_path(docs.sparkSession, n) for n in ("candidates", "sets")]
+    spark, path = sets.sparkSession, work_path(sets.sparkSession, "candidates")
 
     def may(batches):
         for batch in batches:
@@ -394,18 +514,6 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
             near = [least_apart(x, y) * (p + q) <= (m + n) * (q - p) for m, x, n, y in both]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    one, two = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b"))
-    wide = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
-    wide.mapInArrow(may, "a long, b long").write.parquet(paths[0])
-    pairs = spark.read.schema("a long, b long").parquet(paths[0])
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = nodes.join(wanted, "node").select("t").distinct()
-
-    def sets(batches):
-        for batch in batches:
-            found = [np.unique(shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "own"])
-
     def check(batches):
         for batch in batches:
             near = []
@@ -415,18 +523,22 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
                 near.append(both * q >= (len(x) + len(y) - both) * p)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    asked = docs.select(F.col(text).cast("string").alias("text")).withColumn("t", F.xxhash64("text")).join(texts, "t", "left_semi")
-    asked.groupBy("t").agg(F.first("text").alias("text")).select("text").mapInArrow(sets, "node long, own binary").write.parquet(paths[1])
-    found = spark.read.schema("node long, own binary").parquet(paths[1])
+    one, two = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b"))
+    sized = pairs.join(one, "a").join(two.drop("bits_b"), "b").where(f"n_a * {q} >= n_b * {p} AND n_b * {q} >= n_a * {p}")
+    wide = sized.join(two.select("b", "bits_b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    wide.mapInArrow(lean(may), "a long, b long").write.parquet(path)
+    pairs = spark.read.schema("a long, b long").parquet(path)
+    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "t")
+    found = sets.join(wanted, ["node", "t"], "left_semi").groupBy("node").agg(F.first("own").alias("own"))
     both = pairs.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    links = stage(both.mapInArrow(check, "a long, b long"), "links")
-    for path in paths:
-        remove(spark, path)
+    links = stage(both.mapInArrow(lean(check), "a long, b long"), "links")
+    remove(spark, path)
     return links
 
 
-def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.05) -> DataFrame:
-    """doc_id and component_id (smallest doc_id reachable over links of texts whose shingle sets have a Jaccard similarity of ``similarity`` or more).
+def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.05) -> DataFrame:
+    """doc_id, t (hash of the text) and root (a name of the component over links of texts whose shingle sets have a Jaccard similarity of ``similarity``
+    or more) of the rows that may have such a partner; all others are alone.
 
     All links, and only those, count: every candidate is verified on the shingle sets. Candidates come twice. 128-bit fingerprints come first
     (Jaccard j of sets of like size is a cosine of 2j/(1+j), and bits differ with the angle's share of pi, ``slack`` added); they join most groups cheaply
@@ -437,8 +549,12 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     exact = Fraction(similarity).limit_denominator(10_000)
     p, q = exact.numerator, exact.denominator
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi + slack
-    rows = stage(shingle_sets(docs, shingle, p, q, frequent_shingles(docs, shingle)), "shingles")
-    nodes = stage(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("t").alias("t"), F.min("fp").alias("fp"), F.min("fp1").alias("fp1"), F.min("n").alias("n"), F.first("bits").alias("bits")), "nodes")
+    rows = stage(repeated_texts(docs, shingle, p, q), "repeated")
+    reps = rows.groupBy("t").agg(F.min("doc_id").alias("rep"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("t"), F.col("text").cast("string").alias("text"))
+    texts = texts.alias("d").join(reps.alias("r"), (F.col("d.t") == F.col("r.t")) & F.col("d.doc_id").eqNullSafe(F.col("r.rep")), "left_semi")
+    sets = stage(shingle_sets(texts, shingle), "sets")
+    nodes = stage(sets.groupBy("node").agg(F.min("t").alias("t"), F.min("fp").alias("fp"), F.min("fp1").alias("fp1"), F.min("n").alias("n"), F.first("bits").alias("bits")), "nodes")
     heads = stage(nodes.groupBy("fp", "fp1").agg(F.min("node").alias("head")), "distinct")
     # links name fingerprints by their first word
     named = heads.groupBy("fp").agg(F.min("head").alias("head"))
@@ -446,21 +562,43 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     one, two = (named.select(F.col("fp").alias(c), F.col("head").alias(n)) for c, n in (("a", "x"), ("b", "y")))
     likely = links.distinct().join(one, "a").join(two, "b").select("x", "y").union(nodes.join(named, "fp").where("node <> head").select("node", "head"))
     likely = likely.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    first = verified(likely, docs, nodes, shingle, p, q)
+    first = verified(likely, sets, nodes, p, q)
     roots = components(first)
-    sets = rows.where("n > 0").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "prefix")
-    n_entries = rows.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8
-    second = verified(prefix_pairs(sets, n_entries, p, q), docs, nodes, shingle, p, q)
+    heads_of = stage(prefixes(sets, p, q, frequent_shingles(sets)), "prefixes")
+    n_entries = heads_of.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8
+    rooted = heads_of.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "prefix")
+    second = verified(prefix_pairs(rooted, n_entries, p, q), sets, nodes, p, q)
     roots = components(first.union(second))
-    joined = nodes.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return rows.select("doc_id", "node").join(joined.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return rows.join(sets.select("t", "node").distinct(), "t").join(roots, "node", "left").select("doc_id", "t", F.coalesce("root", "node").alias("root"))
+
+
+def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id of its component) of every row."""
+    rows = stage(similar_rows(docs, shingle, similarity), "rows")
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = rows.join(least, "root").groupBy("doc_id", "t").agg(F.min("component_id").alias("component_id"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("t")).alias("d")
+    both = keyed.join(found.alias("f"), (F.col("d.t") == F.col("f.t")) & F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left")
+    return both.select("d.doc_id", F.coalesce("f.component_id", "d.doc_id").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` but for those that are near copies of a smaller doc_id; all columns as they were."""
-    gone = similar_components(docs, shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """One row of ``docs`` for each component, all columns as they were: that of the smallest doc_id (null after all others), then of the smallest hash of its
+    text; of rows that repeat both, any one."""
+    rows = stage(similar_rows(docs, shingle, similarity), "rows")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    first = rows.groupBy("root").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    each = rows.groupBy("root", "doc_id", "t").agg(F.count(F.lit(1)).alias("n"))
+    marks = stage(each.join(first, "root").select("doc_id", "t", "n", (~own.eqNullSafe(F.col("first"))).alias("gone")).where("gone OR n > 1"), "marks")
+
+    def those(part: DataFrame, marked: DataFrame, how: str) -> DataFrame:
+        same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("m.doc_id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("m.t"))
+        return part.alias("d").join(marked.alias("m"), same, how)
+
+    again = marks.where(~F.col("gone"))
+    if again.isEmpty():
+        return those(docs, marks, "left_anti")
+    return those(docs, marks, "left_anti").unionByName(those(docs, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op5_simhash_golay(spark, sf_dir):
