@@ -74,3 +74,26 @@ def components(fps, limit):
     for k in keys:
         least[find(k)] = min(k, least.get(find(k), k))
     return {k: least[find(k)] for k in keys}
+
+
+def overlaps(docs, items, window, share, least):
+    """(document, item): first covered word and number of covered words, over every alignment."""
+    fold = [["".join(c.lower() if c.isascii() else c for c in w) for w in re.findall("[0-9A-Za-z\\x80-\U0010ffff]+", t or "")] for t in docs]
+    asked = [["".join(c.lower() if c.isascii() else c for c in w) for w in re.findall("[0-9A-Za-z\\x80-\U0010ffff]+", t or "")] for t in items]
+    out = {}
+    for i, x in enumerate(fold):
+        for j, y in enumerate(asked):
+            n, m = len(x), len(y)
+            if not n or not m:
+                continue
+            size, part = (m, 1.0) if m < least else (min(window, m), share)
+            hit = [False] * n
+            for shift in range(size - m, n - size + 1):
+                lo, hi = max(0, shift), min(n, m + shift)
+                same = [x[k] == y[k - shift] for k in range(lo, hi)]
+                for k in range(len(same) - size + 1):
+                    if sum(same[k: k + size]) >= part * size - 1e-9:
+                        hit[lo + k: lo + k + size] = [True] * size
+            if any(hit):
+                out[i, j] = (hit.index(True), sum(hit))
+    return out

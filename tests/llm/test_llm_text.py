@@ -32,6 +32,48 @@ def test_language_edges(spark):
         langid.prototypes(docs, max_langs=1)
 
 
+def test_language_equals_plain_vectors(spark, sf):
+    """Sums of bound letter vectors, letter by letter in plain Python, give the same predictions and scores."""
+    import numpy as np
+
+    dim = 256
+
+    def grams(t):
+        letters = "".join(c if c.isalpha() else " " for c in t.lower())
+        padded = " " + " ".join(letters.split()) + " "
+        return [padded[i: i + 3] for i in range(len(padded) - 2)] if letters.strip() else []
+
+    def vector(t):
+        out = np.zeros(dim)
+        for g, n in Counter(grams(t)).items():
+            a, b, c = (langid.letter_vector(0 if x == " " else ord(x), dim).astype(float) for x in g)
+            out += n * np.roll(a, 2) * np.roll(b, 1) * c
+        return out
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").limit(120)
+    docs = docs.union(spark.createDataFrame([(-1, "a", "en"), (-2, " ab ", "de"), (-3, "é!", None), (-4, "1 2", None)], docs.schema)).cache()
+    rows = docs.collect()
+    sums = {}
+    for r in rows:
+        if r["lang"]:
+            sums[r["lang"]] = sums.get(r["lang"], 0) + vector(r["text"])
+    names = sorted(sums)
+    p = np.stack([sums[n] / np.linalg.norm(sums[n]) for n in names])
+    p = p - p.mean(0)
+    p = p / np.linalg.norm(p, axis=1, keepdims=True)
+    protos = langid.prototypes(docs.where("lang IS NOT NULL"), dim=dim)
+    assert list(protos) == names and all(np.allclose(protos[n], sums[n]) for n in names)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.classify(docs, protos, dim=dim).collect()}
+    for r in rows:
+        v = vector(r["text"])
+        if not v.any():
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        cos = p @ v / np.linalg.norm(v)
+        name, score = got[r["doc_id"]]
+        assert abs(cos[names.index(name)] - cos.max()) < 1e-5 and abs(score - min(1, max(0, cos.max()))) < 1e-5
+
+
 def test_quality_measures(spark, sf):
     odd = [(-1, None), (-2, ""), (-3, " \n \n"), (-4, "a b c a b c"), (-5, "x\nx\n\nx\n"), (-6, "é | # " * 60), (-7, "w " * 5000)]
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
@@ -73,11 +115,45 @@ def test_cascade_order_changes_nothing(spark):
 
     rules = [rule("rare", b"zz"), rule("common", b"a")]
     texts = ["a b", "zz b", "b", "a zz"] * 50
-    c = quality.Cascade(rules, sample=20)
-    assert [c.keeps(quality.Measures(t)) for t in texts] == [not {"a", "zz"} & set(t.split()) for t in texts]
-    assert sum(calls.values()) < 2 * len(texts)
+    for order in (rules, rules[::-1]):
+        assert [quality.keeps(order, quality.Measures(t)) for t in texts] == [not {"a", "zz"} & set(t.split()) for t in texts]
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, kept string")
-    assert quality.quality_filter(docs, rules=[quality.Rule("b", lambda m: b"zz" not in m.words)]).columns == docs.columns
+    plain = [quality.Rule("rare", lambda m: b"zz" not in m.words), quality.Rule("common", lambda m: b"a" not in m.words)]
+    got = quality.quality_filter(docs, rules=plain, sample=20)
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [i for i, t in enumerate(texts) if t == "b"]
+    assert quality.quality_filter(docs.limit(0), rules=plain).count() == 0
+
+
+def test_cascade_goes_by_rejections_per_cost():
+    # numbers of documents by the rules that reject them: rule 0 rejects 10, rule 1 rejects 60, rule 2 the same 60 and 5 more
+    patterns = {0: 30, 0b001: 5, 0b110: 60, 0b100: 5, 0b101: 5}
+    own, needs = [1e-6] * 3, [{"a"}, {"b"}, {"b", "c"}]
+    cost = {"a": 1e-3, "b": 1e-3, "c": 1e-2}
+    assert quality.order_of([0, 1, 2], patterns, own, needs, cost) == [1, 0, 2]  # what rule 1 has rejected counts for no other
+    assert quality.order_of([0, 1, 2], patterns, own, needs, cost, made={"c"}) == [2, 0, 1]
+    assert quality.order_of([0, 1, 2], patterns, own, needs, {**cost, "a": 1e-5}) == [0, 1, 2]
+    assert quality.order_of([0, 1, 2], {0: 5}, [3.0, 1.0, 2.0], [set()] * 3, {}) == [1, 2, 0]  # nothing is rejected: the cheapest first
+
+
+def test_trial_charges_measures_to_themselves():
+    t = quality.trial([("a b c " * 400, "en"), ("# | " * 300, "en")], quality.METHOD_RULES)
+    names = [r.name for r in quality.METHOD_RULES]
+    assert sum(t.patterns.values()) == 2 and t.needs[names.index("symbols")] == {"words", "n_words", "n_symbols"}
+    assert t.cost["words"][0] >= 4 and all(s >= 0 for _, s in t.cost.values()) and t.cost["n_words"][1] < t.cost["words"][1]
+
+
+def test_stop_words_ask_known_languages_only():
+    rule = next(r for r in quality.METHOD_RULES if r.name == "stop_words")
+    assert [rule.keeps(quality.Measures("kissa koira talo", lang)) for lang in ("fi", "en", None)] == [True, False, False]
+
+
+def test_corpus_rules_keep_short_clean_documents(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    kept = quality.quality_filter(docs, rules=quality.CORPUS_RULES).join(labels, "doc_id")
+    for good, share in ((1, 0.98), (0, 0.9)):
+        all_of = labels.where(f"quality = {good}").count()
+        n = kept.where(f"quality = {good}").count()
+        assert n >= share * all_of if good else n <= (1 - share) * all_of
 
 
 LINES = [(1, "a\nb\nc\nd"), (2, "x\na\n\nb \nc\nd\ny"), (3, "q\nq\nq\nq\nq"), (4, None), (5, ""), (6, "a\nb"), (7, "a\nb\nc\nd"), (8, "a\nb\nz\nb\nc\nd")]
@@ -96,6 +172,13 @@ def test_line_windows(spark):
     assert linededup.line_digests(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_with_clashing_columns(spark):
+    rows = [(1, "a\nb\nc", "p", 1, "q", 5, 7), (2, "a\nb\nc\nd", "r", 2, "s", 6, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id string, later long, __later string, t long, first long")
+    got = {r["doc_id"]: tuple(r) for r in linededup.line_dedup(docs).collect()}
+    assert got == {1: rows[0], 2: (2, "d", *rows[1][2:])}
+
+
 def test_rows_that_share_an_id_lose_only_their_own_lines(spark):
     rows = [(None, "a\nb\nc"), (None, "x\ny\nz\na\nb\nc"), (None, "k\nl\nm\nn\no\np"), (5, "q\nr\ns\nt"), (5, "q\nr\ns\nu")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -143,6 +226,64 @@ def test_decontamination(spark):
     assert D.overlaps(d.limit(0), b).count() == D.overlaps(d, b.limit(0)).count() == 0
 
 
+def _search(docs, items):
+    import numpy as np
+
+    raw = [(t or "").encode() for t in docs]
+    found = D.Benchmark(list(enumerate(items)), D.WINDOW, D.SHARE, D.LEAST).search(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    return {(d, i): (a, n) for d, i, a, n in found}
+
+
+@pytest.mark.parametrize("hits,marks", [(1 << 20, 1 << 25), (5, 1 << 25), (5, 10)])
+def test_overlaps_equal_all_alignments(spark, sf, monkeypatch, hits, marks):
+    """Random texts over few or many words and real ones, with up to three words of a passage replaced, whatever is listed or marked."""
+    import random
+
+    monkeypatch.setattr(D, "HITS", hits)
+    monkeypatch.setattr(D, "MARKS", marks)
+    rng = random.Random(3)
+    seen = 0
+    for size in (1, 2, 3, 6, 40, 400):
+        some = [f"w{i}" for i in range(size)]
+        items = [" ".join(rng.choice(some) for _ in range(rng.choice((3, 7, 8, 12, 15, 16, 30)))) for _ in range(6)] + ["", None]
+        docs = [" ".join(rng.choice(some) for _ in range(rng.choice((0, 2, 9, 20, 60)))) for _ in range(6)] + [None]
+        for k in range(4):
+            w = items[k].split()
+            for _ in range(k):
+                w[rng.randrange(len(w))] = "zz"
+            docs.append("a b c " + " ".join(w) + " d e")
+        want = brute.overlaps(docs, items, D.WINDOW, D.SHARE, D.LEAST)
+        assert _search(docs, items) == want
+        seen += len(want)
+    assert seen > 50
+    real = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 1500").limit(25).collect()]
+    items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").limit(8).collect()]
+    docs = [*real, *(f"{t[:200]} {i}" for t, i in zip(real, items))]
+    want = brute.overlaps(docs, items, D.WINDOW, D.SHARE, D.LEAST)
+    assert _search(docs, items) == want and want
+
+
+def test_one_word_many_times_is_bounded():
+    import tracemalloc
+
+    tracemalloc.start()
+    got = _search(["same " * 2000], ["same " * 1500, "same " * 1500])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == {(0, 0): (0, 2000), (0, 1): (0, 2000)} and most < 200e6
+
+
+def test_many_blocks_equal_one(spark, sf):
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    one = sorted(map(tuple, D.overlaps(docs, items).collect()))
+    assert sorted(map(tuple, D.overlaps(docs, items, block_words=400).collect())) == one and one
+    bad = {r[0] for r in one}
+    want = sorted(r["doc_id"] for r in docs.collect() if r["doc_id"] not in bad)
+    for words in (1 << 20, 400):
+        kept = D.clean(docs, items, block_words=words)
+        assert kept.schema == docs.schema and sorted(r["doc_id"] for r in kept.collect()) == want
+
+
 def test_short_items_match_whole(spark):
     docs = [(1, "so: Which Planet is, largest? yes"), (2, "which planet is the largest"), (3, "one"), (4, "a b c d x f g"), (5, "planet is largest"), (6, "z a b c d e f g z"), (7, None)]
     items = [(1, "Which planet is largest?"), (2, "One"), (3, "a b c d e f g"), (4, ""), (5, None)]
@@ -169,6 +310,26 @@ def test_url_rules_and_propagation(spark):
     assert urlfilter.judge(pages.limit(0)).count() == 0
 
 
+def test_rules_table_equals_list(spark, sf):
+    """Lists written out as a CASE, long lists and tables of rules say the same; no rule is left out however many there are."""
+    import random
+
+    rng = random.Random(9)
+    hosts = ["com", "a.com", "b.a.com", "net", "x.net", "org:80", "A.com", "c"]
+    urls = [f"http://{rng.choice(['', 'www.', 'b.'])}{rng.choice(hosts)}/{'/'.join(rng.choice('xyz') * rng.randint(0, 2) for _ in range(rng.randint(0, 3)))}" for _ in range(300)] + [None, "", "no", "http:///x", "://"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    rules = [(rng.choice(["allow", "block"]), h.lower(), p) for h in hosts if h != "A.com" for p in ("", "/", "/x", "/xx/", "/y", "/x/y")]
+    listed = sorted(map(tuple, urlfilter.ruled_pages(pages, rules).collect()))
+    table = spark.createDataFrame([*rules, ("block", None, "/"), ("allow", "", None)], "verdict string, host string, path string")
+    assert sorted(map(tuple, urlfilter.ruled_pages(pages, table).collect())) == listed
+    more = rules + [("block", f"h{i}.example", "/") for i in range(600)]
+    assert sorted(map(tuple, urlfilter.ruled_pages(pages, more).collect())) == listed
+    assert {r[3] for r in listed} >= {"com/", "a.com/x", None}
+    real = spark.read.parquet(f"{sf}/pages.parquet")
+    own = spark.createDataFrame(list(urlfilter.RULES), "verdict string, host string, path string")
+    assert sorted(map(tuple, urlfilter.judge(real, own).collect()), key=repr) == sorted(map(tuple, urlfilter.judge(real).collect()), key=repr)
+
+
 def test_ranks_equal_dense_iteration(spark):
     import numpy as np
 

@@ -1,6 +1,7 @@
 """Tokens, packing, the store, fingerprints, repeats and the pipeline."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -44,7 +45,7 @@ def ids(corpus, tokenizer):
 
 
 def test_pieces_equal_whole_texts(corpus, ids, tokenizer):
-    for limit in (2_000_000, 3_000):  # the small one turns its generations over
+    for limit in (2_000_000, 3_000):  # the small one starts anew again and again
         enc = PieceEncoder(tokenizer, limit)
         assert [x.tolist() for x in enc.encode_many([t or "" for _, t in corpus])] == [ids[k] for k, _ in corpus]
 
@@ -121,6 +122,38 @@ def test_store_round_trip(spark, table, corpus, ids, tokenizer):
     assert len(kept) == len(set(kept)) == len(set(used)) < len(used)  # each chunk is stored once
 
 
+def test_manifest_counts_are_sealed(spark, table, tokenizer):
+    path = store.build_store(table, work_path(spark, "test-tamper"), tokenizer=tokenizer, end_id=2, part_bytes=200_000)
+    store.verify_manifest(spark, path)
+    rows = store.read_store(spark, path)
+    want = sorted((r["doc_id"], r["start"]) for r in store.offsets(rows, spark, path).collect())
+    assert sorted((r["doc_id"], r["start"]) for r in store.offsets(rows, spark, path, together=2).collect()) == want
+    manifest = spark.read.parquet(f"{path}/manifest").collect()
+    for column, change in (("n_tokens", 7), ("n_docs", 1)):
+        told = [r.asDict() | {column: r[column] + change} for r in manifest]
+        spark.createDataFrame(told, store.MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+        with pytest.raises(ValueError, match="manifest"):
+            store.verify_manifest(spark, path)
+    r = manifest[0]
+    assert store.sealed(r["n_docs"] + 1, r["n_tokens"], b"x") != store.sealed(r["n_docs"], r["n_tokens"], b"x")
+
+
+def test_encoder_is_bounded_by_bytes(corpus, ids, tokenizer, monkeypatch):
+    from tessera.llm import tokens
+
+    texts = [t or "" for _, t in corpus]
+    for most, size in ((1 << 20, 1 << 20), (96 << 20, 100), (2 << 20, 4000)):
+        monkeypatch.setattr(tokens, "SLICE", size)
+        enc = PieceEncoder(tokenizer, most_bytes=most)
+        got, top = [], 0
+        for a in range(0, len(texts), 16):
+            got += enc.encode_many(texts[a: a + 16])
+            top = max(top, enc.table_bytes())
+        assert [x.tolist() for x in got] == [list(ids[k]) for k, _ in corpus] and top <= most
+    long = " ".join(texts)
+    assert PieceEncoder(tokenizer).encode_many([long, "", long])[2].tolist() == enc.tok.encode(long, add_special_tokens=False).ids
+
+
 def test_store_edges(spark, tokenizer):
     kind = "doc_id long, text string"
     path = store.build_store(spark.createDataFrame([], kind), work_path(spark, "test-empty"), tokenizer=tokenizer, end_id=2)
@@ -212,10 +245,51 @@ def test_near_dedup_catches_copies(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("fp", F.lit("own"))
     kept = simhash.near_dedup(df)
     ids = sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect())
-    assert kept.columns == df.columns and ids == [*range(40), 500] and kept.where("doc_id IS NULL").count() == 2
+        # the row without id and text is like 500 and goes, the one with a text of its own stays
+    assert kept.columns == df.columns and ids == [*range(40), 500] and [r["text"] for r in kept.where("doc_id IS NULL").collect()] == ["alone with null"]
     assert simhash.near_dedup(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Null and repeated ids, repeated rows, and columns named like the operator's own."""
+    text, other = " ".join(f"w{i}" for i in range(80)), " ".join(f"v{i}" for i in range(80))
+    rows = [(3, text), (3, text), (3, text + " end"), (None, text), (None, other), (None, other), (None, other + " end"), (9, "alone"), (9, "alone"), (None, None), (None, ""), (4, "short one")]
+    df = spark.createDataFrame([(k, t, i, "x", "y") for i, (k, t) in enumerate(rows)], "doc_id long, text string, t long, root string, gone string")
+    kept = simhash.near_dedup(df)
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert kept.columns == df.columns and len(got) == 5
+    assert [g for g in got if g[0] is not None] == [(3, got[0][1]), (4, "short one"), (9, "alone")] and got[0][1] in (text, text + " end")
+    assert sorted((g[1] or "")[:2] for g in got if g[0] is None) == ["", "v0"]
+    parts = {r["component_id"] for r in simhash.similar_components(df).collect()}
+    assert parts == {3, 9, 4, None} and simhash.similar_components(df).count() == len(rows)
+
+
+def test_near_dedup_recall_and_precision(spark, sf):
+    """Against a comparison of all pairs of real documents."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sets = {r["doc_id"]: {tuple(x) for x in zip(*(brute.words((r["text"] or "").lower())[k:] for k in range(5)))} for r in docs.collect()}
+    keys = sorted(sets)
+    pairs = [(a, b) for i, a in enumerate(keys) for b in keys[i + 1:] if sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    of = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs).collect()}
+    assert pairs and all(of[a] == of[b] for a, b in pairs)
+    parent = {k: k for k in keys}
+    for a, b in pairs:
+        x, y = sorted((parent[a], parent[b]))
+        parent = {k: x if v == y else v for k, v in parent.items()}
+    long = [k for k in keys if len(sets[k]) > 1]
+    assert {k: of[k] for k in long} == {k: parent[k] for k in long}
+
+
+@pytest.mark.parametrize("batch,nbytes", [(1 << 20, 6 << 20), (300, 2000)])
+def test_repeated_texts_are_those_with_partners(spark, sf, batch, nbytes):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    sets = {r["doc_id"]: simhash.shingle_set(r["text"], 5).tolist() for r in docs.collect()}
+    count = Counter(h for x in sets.values() for h in x)
+    want = {k for k, x in sets.items() if 5 * sum(count[h] > 1 for h in x) >= 4 * len(x)}
+    got = [r["doc_id"] for r in simhash.repeated_texts(docs, 5, 4, 5, batch_shingles=batch, range_bytes=nbytes).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 0 < len(want) < len(sets)
+
+
 def test_near_dedup_goes_by_exact_similarity(spark):
     """Pairs at and over 0.8 are all found, those under it never."""
     rng = random.Random(11)
