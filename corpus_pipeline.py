@@ -12,14 +12,14 @@ from tessera.llm.common import remove, work_path
 from tessera.llm.decontaminate import clean
 from tessera.llm.linededup import line_dedup
 from tessera.llm.packing import pack
-from tessera.llm.quality import quality_filter
+from tessera.llm.quality import CORPUS_RULES, quality_filter
 from tessera.llm.simhash import near_dedup
 from tessera.llm.tokens import default_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that every rule keeps."""
-    return quality_filter(docs)
+    """Documents that every rule keeps; being short is no fault here."""
+    return quality_filter(docs, rules=CORPUS_RULES)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
