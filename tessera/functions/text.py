@@ -66,8 +66,13 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"\."), strip), lambda x: x != "")
 
 
+def first_sentence(c: Column) -> Column:
+    """The first of ``sentences``, by one pattern; empty if there is none."""
+    return strip(F.regexp_extract(c, rf"\A[.{BLANK[1:]}*([^.]*)", 1))
+
+
 def topic(c: Column, default: str = V.DEFAULT_TOPIC) -> Column:
-    return F.coalesce(shorten(F.try_element_at(sentences(c), F.lit(1))), F.lit(default))
+    return F.coalesce(shorten(F.nullif(first_sentence(c), F.lit(""))), F.lit(default))
 
 
 def instruction(c: Column, names: V.Names = V.Names()) -> Column:

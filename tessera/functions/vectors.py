@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,12 @@ def masked_mean(tokens: Column, mask: Column, dim: int) -> Column:
         lambda s, x: F.zip_with(s, x["t"], lambda a, b: a + b.cast("double") * x["m"]),
     )
     return F.transform(summed, lambda x: x / F.greatest(kept, F.lit(1e-9)))
+
+
+def mean_vectors(df: DataFrame, keys: list[str], vector: str, mask: Column | None = None, into: str = "pooled") -> DataFrame:
+    """The masked mean of each group's vectors (all of one length), summed by position before the shuffle, so no group meets in one row."""
+    weight = F.lit(1.0) if mask is None else mask.cast("double")
+    each = df.select(*keys, weight.alias("__m"), F.posexplode(vector).alias("__i", "__x"))
+    sums = each.groupBy(*keys, "__i").agg(F.sum(F.col("__x").cast("double") * F.col("__m")).alias("s"), F.sum("__m").alias("m"))
+    mean = F.struct("__i", (F.col("s") / F.greatest("m", F.lit(1e-9))).alias("v"))
+    return sums.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(mean)), lambda x: x["v"]).alias(into))

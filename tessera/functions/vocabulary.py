@@ -40,6 +40,8 @@ READER_SYSTEM = (
 )
 CITATION = r"(?i)(Paragraph\s+\d+[a-zA-Z]?|Para\s+\d+|Chapter\s+\d+|Table\s+\d+)"
 FIGURE = r"(?i)(\b\d+(?:\.\d+)?%\b|\b\d+\s*percent\b|£\d+(?:,\d+)*(?:\.\d+)?)"
+BASE_OUTPUT = "--- BASE MODEL OUTPUT (UNTRAINED) ---"
+TUNED_OUTPUT = "--- {authority} TUNED MODEL OUTPUT (LORA) ---"
 NO_RESPONSE = "No response generated."
 NOT_AVAILABLE = "N/A"
 NO_ADAPTER = " [Fallback: LoRA weights not loaded]"

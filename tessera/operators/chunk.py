@@ -12,17 +12,27 @@ from tessera.functions import vocabulary as V
 
 
 def word_windows(df: DataFrame, text: str = "text", size: int = 175) -> DataFrame:
-    """Adds chunk_idx, n_words and ``chunk``: consecutive windows of ``size`` words; the last may be short. No shuffle."""
+    """Adds chunk_idx, n_words and ``chunk``: consecutive windows of ``size`` words; the last may be short. Columns of these names are replaced. No shuffle."""
     words = F.filter(F.split(F.col(text), T.BLANK + "+"), lambda x: x != "")
     starts = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size)))
-    cut = F.transform(starts(F.size("__words")), lambda s: F.slice("__words", s + 1, size))
+    kept = [c for c in df.columns if c.lower() not in ("chunk_idx", "n_words", "chunk")]
+    own, window = unused(df.columns, "words"), unused(df.columns, "window")
+    cut = F.transform(starts(F.size(own)), lambda s: F.slice(own, s + 1, size))
     return (
-        df.withColumn("__words", words)
-        .select(*df.columns, F.posexplode(cut).alias("chunk_idx", "__chunk"))
-        .select(*df.columns, "chunk_idx", F.size("__chunk").alias("n_words"), F.array_join("__chunk", " ").alias("chunk"))
+        df.select(*[F.col(f"`{c}`") for c in kept], words.alias(own))
+        .select(*[F.col(f"`{c}`") for c in kept], F.posexplode(cut).alias("chunk_idx", window))
+        .select(*[F.col(f"`{c}`") for c in kept], "chunk_idx", F.size(window).alias("n_words"), F.array_join(window, " ").alias("chunk"))
     )
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or a longer one that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def first_window(df: DataFrame, order: list[str], text: str = "text") -> DataFrame:
     """The place of the first window of all: that of the first row in ``order`` with a word (a top-1 of each partition, no text is cut)."""
     return df.where(F.col(text).rlike(T.BLANK.replace("[", "[^", 1))).orderBy(*order).limit(1).select(*order, F.lit(0).alias("chunk_idx"))

@@ -1,12 +1,13 @@
 """Plug-in points for models: embedders and generators, batched through Arrow. Only deterministic stand-ins are built in.
 
-The stand-in embedder hashes words into a vector; it is no sentence encoder and its scores mean nothing beyond shared words.
+A model is given as an object, which goes to the workers as it is, or as ``workers.Lazy``, which each worker loads once. The stand-in embedder hashes words into a vector; it is no sentence encoder and its scores mean nothing beyond shared words.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 import time
-import zlib
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 
 from tessera.functions import vocabulary as V
 from tessera.operators import prompt as P
+from tessera.operators.workers import model, ship
 
 
 class Embedder(Protocol):
@@ -34,16 +36,18 @@ class Generator(Protocol):
 
 @dataclass
 class HashingEmbedder:
+    """Signed counts of a text's words (runs of ASCII letters and digits) by their MD5: seven hex digits choose the place, the next one the sign."""
+
     dim: int = 384
     name: str = "hashing-stand-in"
-    most_words: int = 256
+    most_words: int | None = None
 
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
         for i, t in enumerate(texts):
-            for w in t.lower().split()[: self.most_words]:
-                h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-                out[i, h % self.dim] += 1.0 if h >> 31 else -1.0
+            for w in re.findall("[0-9A-Za-z]+", t)[: self.most_words]:
+                h = hashlib.md5(w.lower().encode()).hexdigest()
+                out[i, int(h[:7], 16) % self.dim] += 1.0 if h[7] >= "8" else -1.0
         return out
 
 
@@ -54,19 +58,21 @@ class EchoGenerator:
     tag: str = "base"
 
     def generate(self, prompts: list[str], temperature: float, max_new_tokens: int) -> list[str]:
-        return [f"{self.tag}:{zlib.crc32(p.encode('utf-8', 'surrogatepass')):08x}:{temperature:g}:{max_new_tokens}" for p in prompts]
+        return [f"{self.tag}:{hashlib.md5(p.encode('utf-8', 'surrogatepass')).hexdigest()[:8]}:{temperature:g}:{max_new_tokens}" for p in prompts]
 
 
 def embed(df: DataFrame, text: str, embedder: Embedder, batch: int = 32, into: str = "embedding") -> DataFrame:
-    """Adds unit vectors of a text column; the embedder is sent to the workers and called with ``batch`` texts."""
+    """Adds unit vectors of a text column; the embedder is called with ``batch`` texts."""
+    ship(df.sparkSession)
     at = df.columns.index(text)
     schema = T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.FloatType()))])
 
     def run(batches):
+        own = model(embedder)
         for b in batches:
             vectors = []
             for s in range(0, b.num_rows, batch):
-                v = np.asarray(embedder.embed([t or "" for t in b.column(at).slice(s, batch).to_pylist()]), np.float64)
+                v = np.asarray(own.embed([t or "" for t in b.column(at).slice(s, batch).to_pylist()]), np.float64)
                 vectors += (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).astype(np.float32).tolist()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float32()))], schema.names)
 
@@ -75,16 +81,18 @@ def embed(df: DataFrame, text: str, embedder: Embedder, batch: int = 32, into: s
 
 def generate(df: DataFrame, prompt: str, generator: Generator, temperature: float = 0.3, max_new_tokens: int = 300, into: str = "response", seconds: str = "seconds", batch: int = 8) -> DataFrame:
     """Adds the generator's stripped answer and the time it took; null prompts have null answers."""
+    ship(df.sparkSession)
     at = df.columns.index(prompt)
     schema = T.StructType([*df.schema.fields, T.StructField(into, T.StringType()), T.StructField(seconds, T.DoubleType())])
 
     def run(batches):
+        own = model(generator)
         for b in batches:
             out, took = [], []
             for s in range(0, b.num_rows, batch):
                 prompts = b.column(at).slice(s, batch).to_pylist()
                 began = time.perf_counter()
-                got = iter(generator.generate([p for p in prompts if p is not None], temperature, max_new_tokens))
+                got = iter(own.generate([p for p in prompts if p is not None], temperature, max_new_tokens))
                 out += [None if p is None else next(got).strip() for p in prompts]
                 took += [(time.perf_counter() - began) / len(prompts)] * len(prompts)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string()), pa.array(took, pa.float64())], schema.names)
@@ -129,3 +137,9 @@ def answers(questions: DataFrame, base: Generator, tuned: Generator | None, *, p
             rows = rows.select("query_id", "config", "response", "seconds")
         out = rows if out is None else out.union(rows)
     return out
+
+
+def tuning_answers(questions: DataFrame, base: Generator, tuned: Generator, temperature: float = 0.7, max_new_tokens: int = 150) -> tuple[DataFrame, DataFrame]:
+    """(base, tuned): query_id, response of both models to the bare questions. ``questions``: query_id, query."""
+    asked = questions.select("query_id", P.plain_prompt(F.col("query")).alias("prompt"))
+    return tuple(generate(asked, "prompt", m, temperature, max_new_tokens).select("query_id", "response") for m in (base, tuned))

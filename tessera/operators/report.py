@@ -38,6 +38,18 @@ def full_report(sections: DataFrame, title: str = "Comparative Evaluation Report
     return "\n".join(head + parts)
 
 
+def tuning_report(questions: DataFrame, base: DataFrame, tuned: DataFrame, names: V.Names = V.Names()) -> DataFrame:
+    """(query_id, report): what the base model and the tuned one say to each question. ``questions``: query_id, query; answers: query_id, response."""
+    rule = lambda c, n: F.lit(c * n)
+    both = questions.select("query_id", "query").join(base.select("query_id", F.col("response").alias("base")), "query_id", "left").join(tuned.select("query_id", F.col("response").alias("tuned")), "query_id", "left")
+    missing = F.lit(V.NOT_AVAILABLE)
+    body = F.concat_ws(
+        "\n", F.concat(F.lit("[QUESTION "), F.col("query_id").cast("string"), F.lit("]")), F.concat(F.lit("Question: "), "query", F.lit("\n")), F.lit(V.BASE_OUTPUT), F.coalesce("base", missing),
+        rule("-", 50), F.lit(names.fill(V.TUNED_OUTPUT)), F.coalesce("tuned", missing), rule("=", 80),
+    )
+    return both.select("query_id", body.alias("report"))
+
+
 def console_lines(hits: DataFrame, width: int = 120) -> DataFrame:
     """(query_id, rank, line): what is printed for a hit."""
     return hits.select(

@@ -1,19 +1,25 @@
 """Exact hybrid retrieval: keyword overlap plus vector similarity, top k for each question.
 
-The questions go to the executors in blocks of bounded size; the index is scanned once for each block and isn't shuffled. The JVM
-tokenises each text once and keeps the words that any question of the block asks for; NumPy scores an Arrow batch of texts against the
-block as two matrix products and passes on the best k of the batch, so what is shuffled is k rows for each batch and question.
+The questions go to the executors in blocks of bounded size, one block at a time; the index is scanned once for each block and isn't shuffled. The JVM
+tokenises each text once and keeps the words that any question of the block asks for. NumPy scores ``SLICE`` texts against the
+block at a time: words by an inverted list of the questions that ask for them, vectors by one matrix product. The best k of a slice, ties by
+id, are all that it passes on, so what is shuffled is k rows for each slice and question, however many texts are tied.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vocabulary as V
+from tessera.operators.workers import ship
+
+SLICE = 512  # texts scored together
+DIGITS = 10  # scores that agree so far are tied
 
 
 def keywords(question: Column, stop_words=V.STOP_WORDS, synonyms=V.SYNONYMS) -> Column:
@@ -33,21 +39,9 @@ def keyword_score(asked: Column, text: Column) -> Column:
     return F.when(n > 0, F.size(F.array_intersect(asked, F.array_distinct(T.words(text)))) / F.when(n > 0, n)).otherwise(F.lit(0.0))
 
 
-def keyword_scores(questions: DataFrame, index: DataFrame, stop_words=V.STOP_WORDS, synonyms=V.SYNONYMS) -> DataFrame:
-    """query_id, chunk_id, kw_score of all pairs that share a keyword, by an inverted index: an equi-join on words, no pair without a hit is made.
-
-    ``questions``: query_id, query; ``index``: chunk_id, text. Counts are combined before the shuffle.
-    """
-    asked = questions.select("query_id", keywords(F.col("query"), stop_words, synonyms).alias("k"))
-    asked = asked.select("query_id", F.size("k").alias("n"), F.explode("k").alias("word"))
-    words = index.select("chunk_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word"))
-    hits = words.join(asked, "word").groupBy("query_id", "chunk_id", "n").agg(F.count(F.lit(1)).alias("hits"))
-    return hits.select("query_id", "chunk_id", (F.col("hits") / F.col("n")).alias("kw_score"))
-
-
 def best(scored: DataFrame, k: int, group: str = "query_id", score: str = "score", tie: str = "chunk_id") -> DataFrame:
     """The k best rows of each group with their rank, ties by id; Spark limits each partition before the shuffle."""
-    w = Window.partitionBy(group).orderBy(F.desc(score), tie)
+    w = Window.partitionBy(group).orderBy(F.desc(score), F.asc_nulls_last(tie))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -62,54 +56,124 @@ def _blocks(questions: DataFrame, size: int):
         yield block
 
 
+class _Block:
+    """Questions with their words as inverted lists and their vectors as a matrix."""
+
+    def __init__(self, rows):
+        self.ids = np.array([r[0] for r in rows], np.int64)
+        asked = [r[1] or () for r in rows]
+        self.words = {w: i for i, w in enumerate(sorted({w for ws in asked for w in ws}))}
+        self.size = np.array([max(1, len(ws)) for ws in asked], np.float64)
+        word = np.array([self.words[w] for ws in asked for w in ws], np.int64)
+        question = np.repeat(np.arange(len(rows)), [len(ws) for ws in asked])
+        order = np.argsort(word, kind="stable")
+        self.question = question[order]
+        self.first = np.searchsorted(word[order], np.arange(len(self.words) + 1))
+        self.dim = max((len(r[2]) for r in rows if r[2]), default=0)
+        self.vectors = np.array([r[2] or [0.0] * self.dim for r in rows], np.float64).reshape(len(rows), self.dim)
+
+    def keyword_scores(self, has: list) -> np.ndarray:
+        """(texts, questions): share of a question's words that a text has; ``has``: each text's distinct words that are asked for."""
+        word = np.array([self.words[w] for ws in has for w in ws or ()], np.int64)
+        row = np.repeat(np.arange(len(has)), [len(ws or ()) for ws in has])
+        n = self.first[word + 1] - self.first[word]
+        at = np.repeat(self.first[word], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        cell = np.repeat(row, n) * len(self.ids) + self.question[at]
+        return np.bincount(cell, minlength=len(has) * len(self.ids)).reshape(len(has), len(self.ids)) / self.size
+
+    def vector_scores(self, embedding: pa.Array) -> np.ndarray:
+        out = np.zeros((len(embedding), len(self.ids)))
+        use = np.flatnonzero(np.asarray(embedding.is_valid()))
+        if len(use) and self.dim:
+            v = embedding.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(len(use), self.dim)
+            out[use] = np.round(np.nan_to_num(v) @ self.vectors.T, DIGITS)
+        return out
+
+
+def _scan(questions: DataFrame, index: DataFrame, kind: str, score, stop_words, synonyms, block: int) -> list[DataFrame]:
+    """``score(block, ids, has, embedding)``'s columns for every slice of the index, as a table of ``kind`` for each block of questions.
+
+    With several blocks each is scored at once and kept on disk, and its questions leave the executors before the next ones come.
+    """
+    spark = index.sparkSession
+    ship(spark)
+    asked = questions.select(F.col("query_id").cast("long"), keywords(F.col("query"), stop_words, synonyms).alias("asked"), F.col("embedding").cast("array<double>"))
+    names = [c.split()[0] for c in kind.split(", ")]
+    blocks, out = _blocks(asked, block), []
+    rows = next(blocks, None)
+    while rows:
+        own = _Block(rows)
+        shared = spark.sparkContext.broadcast(own)
+        text = F.array_distinct(T.words(F.col("text")))
+        has = F.filter(text, lambda w: w.isin(list(own.words))) if own.words else F.array().cast("array<string>")  # a hash set in the JVM
+
+        def run(batches, shared=shared):
+            b = shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(at, SLICE)
+                    order = part.column(0).to_pandas().sort_values(kind="stable", na_position="last").index.to_numpy()
+                    part = part.take(pa.array(order))
+                    cols = score(b, part.column(0), part.column(1).to_pylist(), part.column(2))
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names)
+
+        found = index.select(F.col("chunk_id").cast("long"), has.alias("has"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, kind)
+        rows = next(blocks, None)
+        if out or rows:
+            found = found.persist(StorageLevel.DISK_ONLY)
+            found.count()
+            shared.unpersist()  # not destroyed: a lost partition is made again
+        out.append(found)
+    return out
+
+
+def keyword_scores(questions: DataFrame, index: DataFrame, stop_words=V.STOP_WORDS, synonyms=V.SYNONYMS, block: int = 2048) -> DataFrame:
+    """query_id, chunk_id, kw_score of all pairs that share a keyword. ``questions``: query_id, query; ``index``: chunk_id, text. Nothing is shuffled."""
+
+    def score(b, ids, has, _):
+        kw = b.keyword_scores(has)
+        i, j = np.nonzero(kw)
+        return b.ids[j], ids.take(pa.array(i)), kw[i, j]
+
+    kind, none = "query_id long, chunk_id long, kw_score double", F.lit(None).cast("array<double>").alias("embedding")
+    found = _scan(questions.select("query_id", "query", none), index.select("chunk_id", "text", none), kind, score, stop_words, synonyms, block)
+    return _union(index.sparkSession, kind, found)
+
+
+def _union(spark, kind: str, parts: list[DataFrame]) -> DataFrame:
+    out = parts[0] if parts else spark.createDataFrame([], kind)
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 def retrieve(
     questions: DataFrame, index: DataFrame, k: int = 3, w_vec: float = 0.5, w_kw: float = 0.5, *,
     stop_words=V.STOP_WORDS, synonyms=V.SYNONYMS, block: int = 2048,
 ) -> DataFrame:
-    """query_id, rank, chunk_id, vec_score, kw_score, score.
+    """query_id, rank, chunk_id, vec_score, kw_score, score; of equal scores (to ``DIGITS`` places) the smaller chunk_id is first, null last.
 
     ``questions``: query_id, query, embedding; ``index``: chunk_id, text, embedding (unit vectors). Null embeddings count as zero vectors.
     """
-    spark = index.sparkSession
-    asked = questions.select(F.col("query_id").cast("long"), keywords(F.col("query"), stop_words, synonyms).alias("asked"), F.col("embedding").cast("array<double>"))
+
+    def score(b, ids, has, embedding):
+        vec, kw = b.vector_scores(embedding), b.keyword_scores(has)
+        total = np.round(w_vec * vec + w_kw * kw, DIGITS)
+        n, take = total.shape[0], min(k, total.shape[0])
+        if take <= 8:  # the first of equals is the smallest id, as the slice is in order
+            left, rows = total.copy(), []
+            for _ in range(take):
+                i = np.argmax(left, 0)
+                left[i, np.arange(total.shape[1])] = -np.inf
+                rows.append(i)
+            i = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        else:
+            i = np.argsort(-total, axis=0, kind="stable")[:take].reshape(-1)
+        j = np.tile(np.arange(total.shape[1]), take if n else 0)
+        return b.ids[j], ids.take(pa.array(i)), vec[i, j], kw[i, j], total[i, j]
+
     kind = "query_id long, chunk_id long, vec_score double, kw_score double, score double"
-    out = spark.createDataFrame([], kind)
-    for rows in _blocks(asked, block):
-        ids = np.array([r[0] for r in rows], np.int64)
-        words = {w: i for i, w in enumerate(sorted({w for r in rows for w in r[1] or ()}))}
-        wanted = np.zeros((len(words), len(rows)))
-        for j, r in enumerate(rows):
-            for w in r[1] or ():
-                wanted[words[w], j] = 1.0 / len(r[1])
-        dim = max((len(r[2]) for r in rows if r[2]), default=0)
-        q = np.array([r[2] or [0.0] * dim for r in rows], np.float64).reshape(len(rows), dim)
-        shared = spark.sparkContext.broadcast((ids, words, wanted, q))
-        own = F.array_distinct(T.words(F.col("text")))
-        has = F.filter(own, lambda w: w.isin(list(words))) if words else F.array().cast("array<string>")  # a hash set in the JVM
-
-        def run(batches, shared=shared, k=k, dim=dim):
-            ids, words, wanted, q = shared.value
-            for batch in batches:
-                n = batch.num_rows
-                if not n:
-                    continue
-                chunk = np.array(batch.column(0).to_pylist(), np.int64)
-                hits = np.zeros((n, len(words)))
-                for i, ws in enumerate(batch.column(1).to_pylist()):
-                    hits[i, [words[w] for w in ws or ()]] = 1.0
-                v = np.array([x or [0.0] * dim for x in batch.column(2).to_pylist()], np.float64).reshape(n, dim)
-                # in the order of the sum, so that equal vectors have equal scores whatever their batch
-                vec = np.einsum("nd,qd->nq", v, q, optimize=False)
-                kw = hits @ wanted
-                total = w_vec * vec + w_kw * kw
-                take = min(k, n)
-                top = np.argpartition(-total, take - 1, axis=0)[:take] if take < n else np.tile(np.arange(n)[:, None], (1, total.shape[1]))
-                edge = np.take_along_axis(total, top, 0).min(0)
-                i, j = np.nonzero(total >= edge)  # with ties at the edge, which the ids decide later
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[j], chunk[i], vec[i, j], kw[i, j], total[i, j])], ["query_id", "chunk_id", "vec_score", "kw_score", "score"])
-
-        found = index.select(F.col("chunk_id").cast("long"), has.alias("has"), F.col("embedding").cast("array<double>").alias("embedding"))
-        out = out.union(found.mapInArrow(run, kind))
+    out = _union(index.sparkSession, kind, _scan(questions, index, kind, score, stop_words, synonyms, block))
     return best(out, k).select("query_id", "rank", "chunk_id", "vec_score", "kw_score", "score")
 
 

@@ -1,6 +1,6 @@
 """Queries of the engine's own operators by name, and the SQL that gives the same rows.
 
-The driver's tables stand in for the engine's inputs: documents for texts, their sources for manuals (numbered by a rule, as the texts have
+The driver's tables stand in for the engine's inputs: documents for texts and for manuals (each line numbered by a rule, as the texts have
 no codes), embeddings for vectors, benchmark items for questions, conversations for chats and pages for model answers.
 """
 
@@ -18,6 +18,9 @@ from tessera.operators import prompt as P
 from tessera.operators import report
 from tessera.operators import retrieve as R
 from tessera.operators.dedup import keep_first, resume
+from tessera.operators.tokenise import library_tokenizer, tokenised
+from tessera.operators.workers import Lazy
+from tessera.sources import pages
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -42,7 +45,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    """Documents, dealt out where the file has fewer splits than there are cores."""
+    d = table(spark, sf_dir, "documents")
+    n = spark.sparkContext.defaultParallelism
+    return d.repartition(n) if len(d.inputFiles()) < n and spark.sparkContext.master.startswith("local") else d
 
 
 # --- SQL pieces shared by the texts below ---
@@ -231,48 +237,46 @@ def sft_format(spark, sf_dir):
 
 # --- manuals ---
 def manual(spark, sf_dir, code):
-    """A numbered text per source: a preamble for half of them, then every document under its code."""
-    d = docs(spark, sf_dir)
-    part = F.concat(F.lit("\n"), code.cast("string"), F.lit(" "), "text")
-    ordered = F.array_sort(F.collect_list(F.struct("doc_id", part.alias("t"))))
-    body = F.array_join(F.transform(ordered, lambda x: x["t"]), "")
-    return d.groupBy("source").agg(body.alias("text")).withColumn("text", F.when(F.length("source") % 2 == 0, F.concat(F.lit("preamble "), "text")).otherwise(F.substring("text", 2, 1 << 30)))
+    """A numbered text for each document: every line under the document's code, half of them after a preamble."""
+    number = F.concat(code.cast("string"), F.lit(" "))
+    lines = F.concat(number, F.replace(F.col("text"), F.lit("\n"), F.concat(F.lit("\n"), number)))
+    return docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("preamble "), lines)).otherwise(lines).alias("text"))
 
 
 def sql_manual(code: str) -> str:
-    return f"(SELECT source, CASE WHEN length(source) % 2 = 0 THEN 'preamble ' || t ELSE substr(t, 2) END AS text FROM (SELECT source, string_agg(chr(10) || ({code})::VARCHAR || ' ' || text, '' ORDER BY doc_id) AS t FROM documents GROUP BY source))"
+    return f"(SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'preamble ' ELSE '' END || n || replace(text, chr(10), chr(10) || n) AS text FROM (SELECT doc_id, text, ({code})::VARCHAR || ' ' AS n FROM documents))"
 
 
 def sql_sections(code: str, pattern: str, where: str = "TRUE") -> str:
     mark = f"string_split(regexp_replace(text, '{pattern}', chr(1) || '\\1', 'g'), chr(1))"
     return f"""
-      SELECT * FROM (SELECT source, pos::INT AS pos, substr(raw, 1, 5) AS paragraph_id, {sql_clean('raw')} AS section,
+      SELECT * FROM (SELECT doc_id, pos::INT AS pos, substr(raw, 1, 5) AS paragraph_id, {sql_clean('raw')} AS section,
         {sql_strip("regexp_replace(" + sql_clean('raw') + ", '^[0-9]{5}" + WS + "*', '')")} AS body
-      FROM (SELECT source, unnest(range(len(p) - 1)) AS pos, unnest(list_slice(p, 2, len(p))) AS raw FROM (SELECT source, {mark} AS p FROM {sql_manual(code)})))
+      FROM (SELECT doc_id, unnest(range(len(p) - 1)) AS pos, unnest(list_slice(p, 2, len(p))) AS raw FROM (SELECT doc_id, {mark} AS p FROM {sql_manual(code)})))
       WHERE length(section) > 80 AND {where}
     """
 
 
 @query("section_split", sql_sections("17000 + doc_id % 700", V.SECTION_WIDE))
 def section_split(spark, sf_dir):
-    return C.sections(manual(spark, sf_dir, 17000 + F.col("doc_id") % 700)).select("source", "pos", "paragraph_id", "section", "body")
+    return C.sections(manual(spark, sf_dir, 17000 + F.col("doc_id") % 700)).select("doc_id", "pos", "paragraph_id", "section", "body")
 
 
 KEYWORD_WHERE = "(" + " OR ".join(f"contains(lower(section), '{k}')" for k in STEM) + ")"
 SQL_NARROW = sql_sections("17000 + length(text) % 100", V.SECTION_NARROW, KEYWORD_WHERE)
 
 
-@query("section_narrow_keywords", f"SELECT source, pos, section FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY source, pos) AS nth FROM ({SQL_NARROW})) WHERE nth = 1 ORDER BY source, pos LIMIT 80")
+@query("section_narrow_keywords", f"SELECT doc_id, pos, section FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY doc_id, pos) AS nth FROM ({SQL_NARROW})) WHERE nth = 1 ORDER BY doc_id, pos LIMIT 80")
 def section_narrow_keywords(spark, sf_dir):
     profile = C.SectionProfile(V.SECTION_NARROW, keywords=STEM)
     found = C.sections(manual(spark, sf_dir, 17000 + F.length("text") % 100), profile)
-    return C.head(keep_first(found.select("source", "pos", "section"), ["section"], ["source", "pos"]), ["source", "pos"], 80)
+    return C.head(keep_first(found.select("doc_id", "pos", "section"), ["section"], ["doc_id", "pos"]), ["doc_id", "pos"], 80)
 
 
-@query("formatted_chunk", f"SELECT source, pos, 'Paragraph ' || paragraph_id || ': ' || body AS formatted_text FROM ({sql_sections('17000 + doc_id % 700', V.SECTION_WIDE)})")
+@query("formatted_chunk", f"SELECT doc_id, pos, 'Paragraph ' || paragraph_id || ': ' || body AS formatted_text FROM ({sql_sections('17000 + doc_id % 700', V.SECTION_WIDE)})")
 def formatted_chunk(spark, sf_dir):
     s = C.sections(manual(spark, sf_dir, 17000 + F.col("doc_id") % 700))
-    return s.select("source", "pos", T.format_chunk(F.col("paragraph_id"), F.col("body")).alias("formatted_text"))
+    return s.select("doc_id", "pos", T.format_chunk(F.col("paragraph_id"), F.col("body")).alias("formatted_text"))
 
 
 @query("dedup_text", "SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS nth FROM documents) WHERE nth = 1")
@@ -280,10 +284,10 @@ def dedup_text(spark, sf_dir):
     return keep_first(docs(spark, sf_dir).select("doc_id", "text"), ["text"], ["doc_id"])
 
 
-@query("dedup_composite", f"SELECT source, pos, paragraph_id, body FROM (SELECT *, row_number() OVER (PARTITION BY paragraph_id, body ORDER BY source, pos) AS nth FROM ({sql_sections('17000 + length(text) % 100', V.SECTION_WIDE)})) WHERE nth = 1")
+@query("dedup_composite", f"SELECT doc_id, pos, paragraph_id, body FROM (SELECT *, row_number() OVER (PARTITION BY paragraph_id, body ORDER BY doc_id, pos) AS nth FROM ({sql_sections('17000 + length(text) % 100', V.SECTION_WIDE)})) WHERE nth = 1")
 def dedup_composite(spark, sf_dir):
     s = C.sections(manual(spark, sf_dir, 17000 + F.length("text") % 100))
-    return keep_first(s.select("source", "pos", "paragraph_id", "body"), ["paragraph_id", "body"], ["source", "pos"])
+    return keep_first(s.select("doc_id", "pos", "paragraph_id", "body"), ["paragraph_id", "body"], ["doc_id", "pos"])
 
 
 @query("nonblank_lines", f"SELECT doc_id, pos::INT AS pos, line FROM (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {TEXTS} AS t)) WHERE {sql_strip('line')} <> ''")
@@ -304,23 +308,11 @@ def l2_normalize(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").withColumn("v", v).select("vec_id", F.transform(vectors.l2_normalize(F.col("v")), lambda x: F.round(x, 9)).alias("unit"))
 
 
-@query("mean_pool", "SELECT label, list(round(m, 9) ORDER BY i) AS pooled FROM (SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT vec_id, label, unnest(range(len(embedding))) AS i, unnest(embedding) AS x FROM embeddings) WHERE vec_id % 3 <> 0 GROUP BY label, i) GROUP BY label")
+@query("mean_pool", "SELECT label, list(round(m, 9) ORDER BY i) AS pooled FROM (SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(range(len(embedding))) AS i, unnest(embedding) AS x FROM embeddings) GROUP BY label, i) GROUP BY label")
 def mean_pool(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    rows = e.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("r"))
-    tokens = F.transform("r", lambda x: x["embedding"].cast("array<double>"))
-    mask = F.transform("r", lambda x: (x["vec_id"] % 3 != 0).cast("double"))
-    rows = rows.select("label", tokens.alias("tokens"), mask.alias("mask"))
-    return rows.select("label", F.transform(vectors.masked_mean(F.col("tokens"), F.col("mask"), 64), lambda x: F.round(x, 9)).alias("pooled"))
-
-
-@query("mean_pool_all", "SELECT label, list(round(m, 9) ORDER BY i) AS pooled FROM (SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(range(len(embedding))) AS i, unnest(embedding) AS x FROM embeddings) GROUP BY label, i) GROUP BY label")
-def mean_pool_all(spark, sf_dir):
-    """As mean_pool, with a mask that is always 1: every embedding is in its mean."""
-    rows = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("r"))
-    tokens = F.transform("r", lambda x: x["embedding"].cast("array<double>"))
-    rows = rows.select("label", tokens.alias("tokens"), F.transform("r", lambda x: F.lit(1.0)).alias("mask"))
-    return rows.select("label", F.transform(vectors.masked_mean(F.col("tokens"), F.col("mask"), 64), lambda x: F.round(x, 9)).alias("pooled"))
+    """Every embedding is in its label's mean: the mask is 1 throughout."""
+    pooled = vectors.mean_vectors(table(spark, sf_dir, "embeddings"), ["label"], "embedding", F.lit(1))
+    return pooled.select("label", F.transform("pooled", lambda x: F.round(x, 9)).alias("pooled"))
 
 
 @query("vector_topk", "SELECT query_id, rank::INT AS rank, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 5")
@@ -349,27 +341,30 @@ def query_expansion(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_sort(R.keywords(q)).alias("keywords"))
 
 
-SQL_QUERIES = f"(SELECT b.item_id AS query_id, b.text AS query, e.embedding::DOUBLE[] AS v, {sql_keywords('b.text')} AS k FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id)"
-SQL_INDEX = f"(SELECT d.doc_id AS chunk_id, d.text, d.source AS source_doc, (17000 + d.doc_id % 700)::VARCHAR AS paragraph_id, e.embedding::DOUBLE[] AS v, list_distinct({sql_words('d.text')}) AS w FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"
-SQL_SCORED = f"SELECT query_id, chunk_id, list_inner_product(i.v, q.v) AS vec, CASE WHEN len(k) = 0 THEN 0.0 ELSE len(list_intersect(k, w)) / len(k) END AS kw FROM {SQL_QUERIES} q, {SQL_INDEX} i"
+SQL_QUERIES = f"(SELECT b.item_id AS query_id, b.text AS query, e.embedding::DOUBLE[] AS v, {sql_keywords('b.text')} AS k FROM benchmark b LEFT JOIN embeddings e ON b.item_id = e.vec_id)"
+SQL_INDEX = f"(SELECT d.doc_id AS chunk_id, d.text, d.source AS source_doc, (17000 + d.doc_id % 700)::VARCHAR AS paragraph_id, e.embedding::DOUBLE[] AS v, list_distinct({sql_words('d.text')}) AS w FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)"
+SQL_SCORED = f"SELECT query_id, chunk_id, coalesce(list_inner_product(i.v, q.v), 0.0) AS vec, CASE WHEN len(k) = 0 THEN 0.0 ELSE len(list_intersect(k, w)) / len(k) END AS kw FROM {SQL_QUERIES} q, {SQL_INDEX} i"
 SQL_HITS = f"SELECT query_id, rank::INT AS rank, chunk_id, score, vec, kw FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT *, 0.5 * vec + 0.5 * kw AS score FROM ({SQL_SCORED}))) WHERE rank <= 3"
 
 
-def questions(spark, sf_dir, how: str = "inner"):
+def questions(spark, sf_dir):
+    """Every benchmark item, with its vector where it has one (null = zero)."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
-    return table(spark, sf_dir, "benchmark").join(e, "item_id", how).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), "embedding")
+    return table(spark, sf_dir, "benchmark").join(e, "item_id", "left").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), "embedding")
 
 
-def index(spark, sf_dir, how: str = "inner"):
+def index(spark, sf_dir):
+    """Every document, with its vector where it has one (null = zero): those without can win on their keywords."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     code = (17000 + F.col("doc_id") % 700).cast("string")
-    return docs(spark, sf_dir).join(e, "doc_id", how).select(F.col("doc_id").alias("chunk_id"), code.alias("paragraph_id"), F.col("source").alias("source_doc"), "text", "embedding")
+    return docs(spark, sf_dir).join(e, "doc_id", "left").select(F.col("doc_id").alias("chunk_id"), code.alias("paragraph_id"), F.col("source").alias("source_doc"), "text", "embedding")
 
 
-@query("keyword_score", f"SELECT query_id, chunk_id, round(kw, 6) AS kw FROM (SELECT query_id, chunk_id, CASE WHEN len(k) = 0 THEN 0.0 ELSE len(list_intersect(k, w)) / len(k) END AS kw FROM {SQL_QUERIES} q, {SQL_INDEX} i) WHERE kw > 0")
+@query("keyword_score", f"SELECT query_id, chunk_id, round(kw, 6) AS kw FROM ({SQL_SCORED}) WHERE kw > 0")
 def keyword_score(spark, sf_dir):
-    """All pairs of questions and indexed texts that share a keyword."""
-    hits = R.keyword_scores(questions(spark, sf_dir), index(spark, sf_dir))
+    """All pairs of benchmark items and documents that share a keyword; no vector is asked for. A diagnostic: nearly all pairs do."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    hits = R.keyword_scores(asked, docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text"))
     return hits.select("query_id", "chunk_id", F.round("kw_score", 6).alias("kw"))
 
 
@@ -379,27 +374,6 @@ def hybrid_topk(spark, sf_dir):
     return hits.select("query_id", "rank", "chunk_id", *[F.round(c, 4).alias(c) for c in ("vec_score", "kw_score", "score")])
 
 
-# every document and question, with or without a vector (null vector = 0)
-SQL_ALL_QUERIES, SQL_ALL_INDEX = (x.replace(" JOIN embeddings", " LEFT JOIN embeddings") for x in (SQL_QUERIES, SQL_INDEX))
-SQL_ALL_SCORED = SQL_SCORED.replace(SQL_QUERIES, SQL_ALL_QUERIES).replace(SQL_INDEX, SQL_ALL_INDEX).replace("list_inner_product(i.v, q.v)", "coalesce(list_inner_product(i.v, q.v), 0.0)")
-SQL_ALL_HITS = SQL_HITS.replace(SQL_SCORED, SQL_ALL_SCORED)
-
-
-@query("keyword_score_all", f"SELECT query_id, chunk_id, round(kw, 6) AS kw FROM ({SQL_ALL_SCORED}) WHERE kw > 0")
-def keyword_score_all(spark, sf_dir):
-    """All pairs of benchmark items and documents that share a keyword; no vector is asked for."""
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    hits = R.keyword_scores(asked, docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text"))
-    return hits.select("query_id", "chunk_id", F.round("kw_score", 6).alias("kw"))
-
-
-@query("hybrid_topk_all", f"SELECT query_id, rank, chunk_id, round(vec, 4) AS vec_score, round(kw, 4) AS kw_score, round(score, 4) AS score FROM ({SQL_ALL_HITS})")
-def hybrid_topk_all(spark, sf_dir):
-    """As hybrid_topk, over all documents: those without a vector can win on their keywords."""
-    hits = R.retrieve(questions(spark, sf_dir, "left"), index(spark, sf_dir, "left"))
-    return hits.select("query_id", "rank", "chunk_id", *[F.round(c, 4).alias(c) for c in ("vec_score", "kw_score", "score")])
-
-
 SQL_CONTEXT = f"(SELECT query_id, string_agg('Paragraph ' || paragraph_id || ' (from ' || source_doc || '):' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM ({SQL_HITS}) h JOIN {SQL_INDEX} i USING (chunk_id) GROUP BY query_id)"
 
 
@@ -472,15 +446,68 @@ def train_steps(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n")).withColumn("steps", T.train_steps(F.col("n")))
 
 
-@query("embed_stand_in")
+SQL_EMBED = """
+WITH w AS (SELECT doc_id, md5(lower(unnest(regexp_extract_all(text, '[0-9A-Za-z]+')))) AS h FROM documents),
+c AS (SELECT doc_id, ('0x' || substr(h, 1, 7))::BIGINT % 64 AS i, sum(CASE WHEN substr(h, 8, 1) >= '8' THEN 1.0 ELSE -1.0 END)::DOUBLE AS x FROM w GROUP BY ALL),
+n AS (SELECT doc_id, greatest(sqrt(sum(x * x)), 1e-12) AS n FROM c GROUP BY doc_id),
+p AS (SELECT doc_id, unnest(range(64)) AS i FROM documents)
+SELECT p.doc_id, list(round((coalesce(c.x / n.n, 0.0))::FLOAT::DOUBLE, 5) ORDER BY p.i) AS embedding
+FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.i = c.i LEFT JOIN n ON p.doc_id = n.doc_id GROUP BY p.doc_id
+"""
+
+
+@query("embed_stand_in", SQL_EMBED)
 def embed_stand_in(spark, sf_dir):
-    """The plug-in point with the hashing stand-in; no SQL has it."""
-    return M.embed(docs(spark, sf_dir).select("doc_id", "text"), "text", M.HashingEmbedder(64)).select("doc_id", "embedding")
+    """The plug-in point with the hashing stand-in, loaded once by each worker, over whole texts."""
+    lazy = Lazy("hashing-64", lambda: M.HashingEmbedder(64))
+    out = M.embed(docs(spark, sf_dir).select("doc_id", "text"), "text", lazy)
+    return out.select("doc_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 5)).alias("embedding"))
+
+
+SQL_PLAIN = "'<|im_start|>system' || chr(10) || " + sql_text(V.DEFAULT_SYSTEM) + " || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || query || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)"
+
+
+def sql_echo(tag: str, prompt: str, temperature: str, n: int) -> str:
+    return f"'{tag}:' || substr(md5({prompt}), 1, 8) || ':{temperature}:{n}'"
 
 
-@query("generate_stand_in")
+SQL_GENERATED = " UNION ALL ".join(
+    f"SELECT query_id, '{p.config}' AS config, {sql_echo('base', SQL_READER if p.with_context else SQL_PLAIN, f'{p.temperature:g}', 300)} || {sql_text(V.NO_ADAPTER if p.tuned else '')} AS response FROM {SQL_CONTEXT} c JOIN {SQL_QUERIES} q USING (query_id)"
+    for p in M.PROFILES
+)
+
+
+@query("generate_stand_in", SQL_GENERATED)
 def generate_stand_in(spark, sf_dir):
-    """All three configurations answered by the stand-in generator; no SQL has it."""
+    """All three configurations answered by the stand-in generator, without a tuned model."""
     blocks = P.context_blocks(hits_with_text(spark, sf_dir))
     asked = questions(spark, sf_dir).select("query_id", "query").join(blocks, "query_id")
     return M.answers(asked, M.EchoGenerator(), None).select("query_id", "config", "response")
+
+
+SQL_TUNING = f"""
+SELECT query_id, '[QUESTION ' || query_id || ']' || chr(10) || 'Question: ' || query || chr(10) || chr(10) || {sql_text(V.BASE_OUTPUT)} || chr(10) || {sql_echo('base', SQL_PLAIN, '0.7', 150)} || chr(10)
+  || repeat('-', 50) || chr(10) || {sql_text(V.Names().fill(V.TUNED_OUTPUT))} || chr(10) || {sql_echo('tuned', SQL_PLAIN, '0.7', 150)} || chr(10) || repeat('=', 80) AS report FROM {SQL_QUERIES}
+"""
+
+
+@query("tuning_report", SQL_TUNING)
+def tuning_report(spark, sf_dir):
+    """Base against tuned, by two stand-ins."""
+    asked = questions(spark, sf_dir).select("query_id", "query")
+    return report.tuning_report(asked, *M.tuning_answers(asked, M.EchoGenerator(), M.EchoGenerator("tuned")))
+
+
+@query("nonempty_pages", f"SELECT page_id, n::INT AS page_no, part AS text FROM (SELECT page_id, unnest(range(len(p))) AS n, unnest(p) AS part FROM (SELECT page_id, string_split(html, '<p>') AS p FROM pages)) WHERE {sql_strip('part')} <> ''")
+def nonempty_pages(spark, sf_dir):
+    """Pages of a document (here the parts of a web page between paragraph marks) that aren't blank."""
+    parts = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split("html", "<p>")).alias("page_no", "text"))
+    return pages.nonempty(parts)
+
+
+@query("tokenise_sft")
+def tokenise_sft(spark, sf_dir):
+    """Ids, mask and labels of the training chats, 128 at most; the tokenizer has no SQL."""
+    import public_tokenizers
+
+    return tokenised(sft_format(spark, sf_dir), "text", library_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))).drop("text")

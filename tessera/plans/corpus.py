@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -40,8 +40,15 @@ def paragraph_chunks(documents: DataFrame, source: str = "source_doc", text: str
 
 
 def build_index(chunks: DataFrame, embedder: M.Embedder) -> DataFrame:
-    """Chunks with chunk_id (a 63-bit hash of source and position, so that it needs no global order) and unit vectors."""
-    ided = chunks.withColumn("chunk_id", F.xxhash64("source_doc", "pos").bitwiseAND(F.lit((1 << 63) - 1)))
+    """Chunks with chunk_id and unit vectors. chunk_id ascends with (source_doc, pos), so that ties go to the earlier chunk: it is pos plus the places of
+    all sources before. No window is over a source's chunks; sources are summed up in groups by their first letters."""
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda w: F.coalesce(F.sum("places").over(w), F.lit(0))
+    sources = chunks.groupBy(F.col("source_doc").alias("of")).agg((F.max("pos") + 1).cast("long").alias("places")).withColumn("head", F.substring("of", 1, 2))
+    heads = sources.groupBy("head").agg(F.sum("places").alias("places")).select(F.col("head").alias("of_head"), so_far(before().orderBy("head")).alias("first"))
+    base = sources.withColumn("inner", so_far(before("head").orderBy("of"))).join(heads, F.col("head").eqNullSafe(F.col("of_head")))
+    ided = chunks.join(base.select("of", (F.col("first") + F.col("inner")).alias("base")), F.col("source_doc").eqNullSafe(F.col("of")))
+    ided = ided.withColumn("chunk_id", F.col("base") + F.col("pos")).drop("of", "base")
     return M.embed(ided, "formatted_text", embedder).withColumn("model_name", F.lit(embedder.name))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.workers import model, ship
 
 PAGES = "source_doc string, page_no int, text string"
 
@@ -53,16 +54,19 @@ def scan_files(spark: SparkSession, folder: str, suffix: str = "pdf") -> DataFra
 
 
 def extract_pages(files: DataFrame, extractor: PageExtractor) -> tuple[DataFrame, DataFrame]:
-    """(pages, failures). A file that can't be read gives no pages and a row of failures (source_doc, error); empty pages are dropped."""
+    """(pages, failures). ``extractor`` is an object or ``workers.Lazy``. A file that can't be read gives no pages and a row of failures (source_doc, error); empty pages are dropped."""
     kind = PAGES + ", error string"
 
+    ship(files.sparkSession)
+
     def run(batches):
+        own = model(extractor)
         for b in batches:
             rows = []
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 name = path.rsplit("/", 1)[-1]
                 try:
-                    rows += [(name, i, t, None) for i, t in enumerate(extractor.pages(content))]
+                    rows += [(name, i, t, None) for i, t in enumerate(own.pages(content))]
                 except Exception as e:  # a bad file is a row, not the end of the job
                     rows.append((name, None, None, f"{type(e).__name__}: {e}"[:500]))
             cols = list(zip(*rows)) or [()] * 4
@@ -70,10 +74,15 @@ def extract_pages(files: DataFrame, extractor: PageExtractor) -> tuple[DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["source_doc", "page_no", "text", "error"])
 
     got = files.select("path", "content").mapInArrow(run, kind)
-    pages = got.where(F.col("error").isNull() & ~T.is_blank(F.col("text"))).drop("error")
+    pages = nonempty(got.where(F.col("error").isNull())).drop("error")
     return pages, got.where(F.col("error").isNotNull()).select("source_doc", "error")
 
 
+def nonempty(pages: DataFrame, text: str = "text") -> DataFrame:
+    """Pages with something on them."""
+    return pages.where(~T.is_blank(F.col(text)))
+
+
 def document_text(pages: DataFrame, squash: bool = False) -> DataFrame:
     """(source_doc, text): pages joined in order, raw by line feeds, or with white space normalised by blanks.
 

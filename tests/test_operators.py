@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import vectors
 from tessera.functions import vocabulary as V
 from tessera.operators import chunk as C
 from tessera.operators import models as M
@@ -11,6 +12,8 @@ from tessera.operators import prompt as P
 from tessera.operators import report
 from tessera.operators import retrieve as R
 from tessera.operators.dedup import keep_first, resume
+from tessera.operators.tokenise import library_tokenizer, tokenised
+from tessera.operators.workers import Lazy
 from tessera.plans import corpus
 
 #: question, rank, paragraph, score, keywords hit, keywords, vector score: published results of the manuals.
@@ -71,6 +74,98 @@ def test_keyword_scores(spark):
     assert sorted(r[0] for r in pairs.collect()) == [0.0] * 6 + [0.5, 1.0]
 
 
+def test_retrieval_equals_all_pairs(spark):
+    """Random texts and vectors, with ties, nulls and repeated texts, over several slices and blocks."""
+    rng = np.random.default_rng(4)
+    n = 1300
+    words = [f"w{i}" for i in range(12)]
+    texts = [None if i % 97 == 0 else " ".join(rng.choice(words, rng.integers(0, 5))) for i in range(n)]
+    vecs = [None if i % 3 else [float(x) for x in rng.integers(-1, 2, 3)] for i in range(n)]
+    ids = rng.permutation(n).tolist()
+    index = spark.createDataFrame(list(zip(ids, texts, vecs)), "chunk_id long, text string, embedding array<double>").repartition(3)
+    asked = [(q, " ".join(rng.choice(words, 3)), [float(x) for x in rng.integers(-1, 2, 3)]) for q in range(7)] + [(7, "", None), (8, None, None)]
+    questions = spark.createDataFrame(asked, "query_id long, query string, embedding array<double>")
+    want = {}
+    for q, text, v in asked:
+        k = set((text or "").split())
+        rows = []
+        for i, t, e in zip(ids, texts, vecs):
+            vec = float(np.dot(v, e)) if v and e else 0.0
+            kw = len(k & set((t or "").split())) / len(k) if k else 0.0
+            rows.append((-round(0.5 * vec + 0.5 * kw, 10), i))
+        want[q] = sorted(rows)
+    for k, block in ((3, 2048), (20, 4)):
+        got = R.retrieve(questions, index, k, block=block).orderBy("query_id", "rank").collect()
+        assert [(r["query_id"], r["rank"], r["chunk_id"]) for r in got] == [(q, j + 1, want[q][j][1]) for q in sorted(want) for j in range(k)]
+    pairs = {(r["query_id"], r["chunk_id"]) for r in R.keyword_scores(questions, index, block=2).collect()}
+    assert pairs == {(q, i) for q, text, _ in asked for i, t in zip(ids, texts) if set((text or "").split()) & set((t or "").split())}
+
+
+def test_ties_go_to_the_earlier_chunk(spark, manuals):
+    chunks = corpus.paragraph_chunks(manuals.unionByName(manuals.withColumn("source_doc", F.concat(F.lit("a"), "source_doc"))))
+    index = corpus.build_index(chunks, M.HashingEmbedder(8)).collect()
+    order = sorted(index, key=lambda r: r["chunk_id"])
+    assert [(r["source_doc"], r["pos"]) for r in order] == sorted((r["source_doc"], r["pos"]) for r in index) and len({r["chunk_id"] for r in index}) == len(index)
+
+
+def test_models_are_loaded_once_by_each_worker(spark, tmp_path):
+    def load():
+        import os
+
+        with open(f"{tmp_path}/{os.getpid()}", "a") as f:
+            f.write("x")
+        return M.EchoGenerator("lazy")
+
+    df = spark.createDataFrame([(str(i),) for i in range(40)], "prompt string").repartition(4)
+    lazy = Lazy(f"echo {tmp_path}", load)
+    plain = sorted(r["response"] for r in M.generate(df, "prompt", M.EchoGenerator("lazy")).collect())
+    for _ in range(2):
+        assert sorted(r["response"] for r in M.generate(df, "prompt", lazy).collect()) == plain
+    assert {p.read_text() for p in tmp_path.iterdir()} == {"x"}
+
+
+def test_tokenised(spark):
+    """Ids, mask and labels; ids decode to the text, or to its start where cut."""
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    texts = ["", "one two", "long " * 300, None, "café ½ 日本"]
+    df = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)], "i int, text string, labels string")
+    lazy = library_tokenizer(path)
+    tok = lazy.load()
+    rows = {r["i"]: r for r in tokenised(df, "text", lazy, special=False).collect()}
+    assert tokenised(df, "text", lazy).columns == ["i", "text", "input_ids", "attention_mask", "labels"]
+    for i, t in enumerate(texts):
+        r = rows[i]
+        if t is None:
+            assert r["input_ids"] is r["attention_mask"] is r["labels"] is None
+            continue
+        whole = tok.encode(t, add_special_tokens=False).ids
+        assert r["input_ids"] == r["labels"] == whole[:128] and r["attention_mask"] == [1] * len(r["input_ids"])
+        assert t.startswith(tok.decode(r["input_ids"])) and (len(whole) > 128 or tok.decode(r["input_ids"]) == t)
+    assert len(tokenised(df, "text", lazy, max_length=None, special=False).where("i = 2").first()["input_ids"]) > 128
+
+
+def test_tuning_report(spark):
+    asked = spark.createDataFrame([(1, "Why?"), (2, "How?")], "query_id long, query string")
+    base, tuned = (spark.createDataFrame(r, "query_id long, response string") for r in ([(1, "b1"), (2, "b2")], [(1, "t1")]))
+    got = dict(map(tuple, report.tuning_report(asked, base, tuned, V.Names(authority="CMG")).collect()))
+    assert got[1] == "[QUESTION 1]\nQuestion: Why?\n\n--- BASE MODEL OUTPUT (UNTRAINED) ---\nb1\n" + "-" * 50 + "\n--- CMG TUNED MODEL OUTPUT (LORA) ---\nt1\n" + "=" * 80
+    assert got[2].endswith("\nN/A\n" + "=" * 80)
+
+
+def test_means(spark):
+    rows = [("a", [1.0, 2.0], 1), ("a", [3.0, 4.0], 1), ("a", [100.0, 100.0], 0), ("b", [5.0, 6.0], 0)]
+    df = spark.createDataFrame(rows, "k string, v array<double>, m int")
+    got = dict(map(tuple, vectors.mean_vectors(df, ["k"], "v", F.col("m")).collect()))
+    assert got == {"a": [2.0, 3.0], "b": [0.0, 0.0]}
+    whole = df.groupBy("k").agg(F.collect_list("v").alias("v"), F.collect_list(F.col("m").cast("double")).alias("m"))
+    assert dict(map(tuple, whole.select("k", vectors.masked_mean(F.col("v"), F.col("m"), 2)).collect())) == got
+
+
+def test_word_windows_with_clashing_columns(spark):
+    df = spark.createDataFrame([("a b c", 1, 2, 3, 4)], "text string, words int, chunk_idx int, window int, `x.y` int")
+    assert [tuple(r) for r in C.word_windows(df, size=2).collect()] == [("a b c", 1, 3, 4, 0, 2, "a b"), ("a b c", 1, 3, 4, 1, 1, "c")]
+
+
 def test_word_windows(spark):
     texts = {0: "w " * 10, 1: "w " * 49, 2: "w " * 50, 3: "w " * 175, 4: "w " * 176, 5: "w " * 225, 6: "", 7: None}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")

@@ -73,3 +73,26 @@ def test_marks(spark):
 def test_steps_and_scores(spark):
     got = spark.range(1).select(T.train_steps(F.lit(80)), T.train_steps(F.lit(7)), T.render_score(F.lit(0.47131))).first()
     assert tuple(got) == (80, 7, "0.4713")
+
+
+def test_fixed_values_and_names(spark):
+    """The constants written out here, so that a wrong one doesn't pass by being wrong on both sides."""
+    assert V.SECTION_WIDE == r"\b((?:1[7-9]|2[0-9]|3[0-6]|4[9]|5[0-9]|6[0-9]|7[0-9]|8[0-9]|9[0-5])\d{3})\b"
+    assert [bool(re.search(V.SECTION_WIDE, s)) for s in ("17000", "16999", "36999", "37000", "49000", "48999", "95999", "96000", "x17000", "170001")] == [True, False] * 4 + [False, False]
+    assert [bool(re.search(V.SECTION_NARROW, s)) for s in ("17000", "36999", "37000", "49000", "50000", "51000", "95000", "94000")] == [True, True, False, True, True, False, True, False]
+    assert re.findall(V.CITATION, "Paragraph 17a, para 3; CHAPTER 25 Table 1b") == ["Paragraph 17a", "para 3", "CHAPTER 25", "Table 1"]
+    assert re.findall(V.FIGURE, "25%x 25% of 12 percent £3,000.50") == ["25%", "12 percent", "£3,000.50"]
+    assert len(V.STOP_WORDS) == 25 and {"how", "regarding", "treated"} <= set(V.STOP_WORDS)
+    names = V.Names("the office", "the body", "the book")
+    rows = [("a" * n + ".",) for n in (5, 3, 4)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(T.instruction(F.col("t"), names)).collect()]
+    assert got == ["What is the the body policy regarding: aaaaa", "Explain the the book rules for: aaa", "Detail the official the body guidelines on: aaaa"]
+    asked = spark.createDataFrame([("no", "x" * 90)], "q string, s string").select(T.accept_question(F.col("q"), F.col("s"), names)).first()[0]
+    assert asked == "What is the the office policy regarding the section: " + "x" * 80 + "..."
+
+
+def test_first_sentence(spark):
+    texts = ["A b. C", " . .\u3000. x\ny .z", "...", "", None, "no stop", "\x85lead. x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = df.select(T.first_sentence(F.col("t")), F.coalesce(F.try_element_at(T.sentences(F.col("t")), F.lit(1)), F.when(F.col("t").isNotNull(), ""))).collect()
+    assert [r[0] for r in both] == [r[1] for r in both] == ["A b", "x\ny", "", "", None, "no stop", "lead"]
