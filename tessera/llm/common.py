@@ -9,37 +9,26 @@ import os
 import re
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import workers
+
 #: Word of the contracts: a run of bytes other than blank, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of an Arrow batch that goes to a worker, where the session has Spark's default (a batch of 10,000 long texts would take gigabytes).
 BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
 
-_shipped: dict[str, str] = {}
-
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application (they may not see the driver's folders), and bound Arrow batches by bytes."""
+    """Send the package to the executors, and bound Arrow batches by bytes."""
     if not spark.sparkContext.getConf().contains(BATCH[0]):
         spark.conf.set(BATCH[0], BATCH[1])
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    out = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(out))
-    _shipped[app] = str(out)
+    workers.ship(spark)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

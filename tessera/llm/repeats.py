@@ -4,10 +4,11 @@ Texts are dealt once into blocks (by a hash of doc_id). In every window of ``len
 smallest-hashed run of ``gram`` units is its anchor; equal windows have equal anchors at equal places. Consecutive windows
 with one anchor form a record: its text reaches from the first window's start to the last one's end.
 
-1. Each block sends the hashes of its anchors, sorted and delta-coded, to the task of their hash range, which
+1. Each block sends the hashes of its anchors, sorted and delta-coded, with how often they occur, to the task of their hash range, which
    answers with those that occur twice or more anywhere. Nothing else of a text is sent yet.
 2. Each block sends the records with repeated anchors to their range. What is done there is the operator's own;
-   it answers with the windows to remove.
+   it answers with the windows to remove. An anchor that occurs more than ``HOT`` times may have that many surroundings, which would all meet in one
+   task: its records are sent window by window instead, each to the range of the whole window's hash, so only equal windows meet, and a block sends those once.
 3. Each block removes what those windows cover.
 
 Exact copies are found first by a digest of the text, counted before the shuffle, and take no part but for one row of each
@@ -31,6 +32,7 @@ from tessera.llm import hashing
 from tessera.llm.common import parts_for, ship, text_bytes, volume
 
 LAST = np.iinfo(np.int64).max  #: stands for a null doc_id, after all others
+HOT = 4096  # places of an anchor that may meet in one task
 _PLACE = 30  # bits for a unit's place in a slice of a block
 _BASE = 0x9E3779B97F4A7C55
 
@@ -96,7 +98,7 @@ def _least(v: np.ndarray, w: int) -> np.ndarray:
 
 def records(data: np.ndarray, offs: np.ndarray, shape: Shape, table: np.ndarray):
     """dict of arrays over the records of a slice: text, hash, first and last window start and the anchor (in units of the slice);
-    and unit starts and ends (bytes) and first units of the texts."""
+    and unit starts and ends (bytes), first units of the texts and the units' hashes."""
     if shape.words:
         unit, starts, ends, text = hashing.words(data, offs, table)
         bounds = np.searchsorted(text, np.arange(len(offs)))
@@ -117,7 +119,22 @@ def records(data: np.ndarray, offs: np.ndarray, shape: Shape, table: np.ndarray)
         at = np.flatnonzero(new)
         last = np.r_[at[1:], len(s)] - 1 if len(s) else at
         out = {"text": text[s[at]], "hash": h[p[at]], "s0": s[at], "s1": s[last], "p": p[at]}
-    return out, starts, ends, bounds
+    return out, starts, ends, bounds, unit
+
+
+def by_window(found: dict, hot: np.ndarray, unit: np.ndarray, shape: Shape) -> dict:
+    """The records, the hot ones as a record for each window; ``to`` is the hash that chooses the range."""
+    out = found | {"to": found["hash"]}
+    if not hot.any():
+        return out
+    n = np.where(hot, found["s1"] - found["s0"] + 1, 1)
+    at = np.repeat(np.arange(len(n)), n)
+    out = {k: v[at] for k, v in out.items()}
+    s = found["s0"][at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    hot = hot[at]
+    out["s0"], out["s1"] = s, np.where(hot, s, out["s1"])
+    out["to"] = np.where(hot, _grams(unit, shape.length)[np.where(hot, s, 0)], out["to"])
+    return out
 
 
 def slices(data: np.ndarray, offs: np.ndarray, size: int = 1 << 19):
@@ -141,9 +158,10 @@ class Block:
         self.data, self.offs = text_bytes(docs.column("text").combine_chunks() if docs.num_rows else pa.array([], pa.string()))
         kind, value, payload = (told.column(c).to_pylist() for c in ("kind", "value", "payload"))
         self.answers = [p for k, p in zip(kind, payload) if k == "answer"]
+        self.hot = [p for k, p in zip(kind, payload) if k == "hot"]
         #: 2: a smaller doc_id has the same text, 1: other rows have it
         self.role = np.zeros(len(self.ids), np.int8)
-        known = {(v, p): 2 if k == "copy" else 1 for k, v, p in zip(kind, value, payload) if k != "answer"}
+        known = {(v, p): 2 if k == "copy" else 1 for k, v, p in zip(kind, value, payload) if k in ("copy", "first")}
         named = {v for v, _ in known}
         for i, d in enumerate(self.key.tolist()):
             if d in named:
@@ -151,13 +169,13 @@ class Block:
                 self.role[i] = known.get((d, sha), 0)
 
     def records(self, skip_copies: bool = True):
-        """(slice's first text, records, bytes, offsets, unit starts, unit ends, first units) slice by slice."""
+        """(slice's first text, records, bytes, offsets, unit starts, unit ends, first units, unit hashes) slice by slice."""
         for first, data, offs in slices(self.data, self.offs):
-            found, starts, ends, bounds = records(data, offs, self.shape, self.table)
+            found, starts, ends, bounds, unit = records(data, offs, self.shape, self.table)
             if skip_copies:
                 use = self.role[first + found["text"]] < 2
                 found = {k: v[use] for k, v in found.items()}
-            yield first, found, data, offs, starts, ends, bounds
+            yield first, found, data, offs, starts, ends, bounds, unit
 
 
 ROWS = "r int, block int, kind string, value long, payload binary"
@@ -189,19 +207,30 @@ def range_of(h: np.ndarray, ranges: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
+def room(spark) -> int:
+    """GB of executor memory for each core, where the session says both, at least 1."""
+    conf = spark.sparkContext.getConf()
+    if not (conf.contains("spark.executor.memory") and conf.contains("spark.executor.cores")):
+        return 1
+    nbytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get("spark.executor.memory"))
+    return max(1, int(nbytes // (int(conf.get("spark.executor.cores")) << 30)))
+
+
 def remove_repeats(
     docs: DataFrame, shape: Shape, *, text: str, send: Callable, meet: Callable, finish: Callable, schema: str,
-    block_bytes: int = 6 << 20, range_bytes: int | None = None,
+    block_bytes: int = 6 << 20, range_bytes: int | None = None, hot_places: int = HOT,
 ) -> DataFrame:
     """The three rounds. ``send(block, wanted)`` gives rows for ranges, ``meet(rows)`` answers, ``finish(block)`` the result.
 
     ``block_bytes`` and ``range_bytes`` (the same by default) set the numbers of blocks and ranges, and with them a task's memory, about thirty times as
-    much. The defaults suit workers of some hundred MB; a large cluster with large executors takes 64 to 256 MB, which keeps the rows between blocks and ranges long.
+    much. They are meant for 1 GB of executor memory a core and grow with it, which keeps the rows between blocks and ranges long: as in any exchange,
+    there is one for each block and range.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     _, size = volume(docs)
+    block_bytes, range_bytes = (x and x * room(spark) for x in (block_bytes, range_bytes))
     parts = max(parts_for(size, block_bytes, 1), min(int(spark.conf.get("spark.sql.shuffle.partitions")), parts_for(size, 1 << 19, 1)))
     ranges = parts if range_bytes in (None, block_bytes) else parts_for(size, range_bytes, 1)
     bits = min(63, max(1, size).bit_length() + 10)
@@ -229,35 +258,43 @@ def remove_repeats(
         r = range_of(h << np.uint64(64 - bits), ranges)
         cuts = np.searchsorted(r, np.arange(ranges + 1))
         b = k[0].as_py()
-        return rows((i, b, "hashes", y - x, len(p := pack_sorted(h[x:y])).to_bytes(4, "little") + p + squeeze(np.packbits(count[x:y] > 1))) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x)
+        return rows((i, b, "hashes", y - x, len(p := pack_sorted(h[x:y])).to_bytes(4, "little") + p + squeeze(count[x:y].astype("<u4"))) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x)
 
     def compare(k, t):
-        own, values, multi = [], [], []
+        own, values, count = [], [], []
         for b, n, p in zip(t.column("block").to_pylist(), t.column("value").to_pylist(), t.column("payload").to_pylist()):
             size = int.from_bytes(p[:4], "little")
             values.append(unpack_sorted(p[4: 4 + size]))
-            multi.append(np.unpackbits(unsqueeze(p[4 + size:]))[:n].astype(bool))
+            count.append(unsqueeze(p[4 + size:]).astype(np.int64))
             own.append(np.full(n, b, np.int64))
-        own, values, multi = map(np.concatenate, (own, values, multi))
+        own, values, count = map(np.concatenate, (own, values, count))
         order = np.argsort(values, kind="stable")
-        own, values, multi = own[order], values[order], multi[order]
-        same = values[1:] == values[:-1]
-        multi[1:] |= same
-        multi[:-1] |= same
-        own, values = own[multi], values[multi]
-        order = np.argsort(own, kind="stable")
-        own, values = own[order], values[order]
-        names, cuts = np.unique(own, return_index=True)
-        return rows((0, b, "answer", None, pack_sorted(values[x:y])) for b, x, y in zip(names.tolist(), cuts, [*cuts[1:], len(own)]))
+        own, values, count = own[order], values[order], count[order]
+        start = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+        total = np.repeat(np.add.reduceat(count, start), np.diff(np.r_[start, len(values)]))
+        found = []
+        for kind, use in (("answer", total > 1), ("hot", total > hot_places)):
+            o, v = own[use], values[use]
+            order = np.argsort(o, kind="stable")
+            o, v = o[order], v[order]
+            names, cuts = np.unique(o, return_index=True)
+            found += [(0, b, kind, None, pack_sorted(v[x:y])) for b, x, y in zip(names.tolist(), cuts, [*cuts[1:], len(o)])]
+        return rows(found)
 
     def offer(k, d, told):
         block = Block(d, told, shape)
-        wanted = np.sort(np.concatenate([unpack_sorted(p) for p in block.answers])) if block.answers else np.zeros(0, np.uint64)
+        wanted, hot = (np.sort(np.concatenate([unpack_sorted(p) for p in payloads])) if payloads else np.zeros(0, np.uint64) for payloads in (block.answers, block.hot))
 
-        def repeated(h):
+        def among(h, some):
             h = h >> np.uint64(64 - bits)
-            at = np.minimum(np.searchsorted(wanted, h), max(0, len(wanted) - 1))
-            return wanted[at] == h if len(wanted) else np.zeros(len(h), bool)
+            at = np.minimum(np.searchsorted(some, h), max(0, len(some) - 1))
+            return some[at] == h if len(some) else np.zeros(len(h), bool)
+
+        def repeated(found, unit):
+            """The records with repeated anchors, split where those are hot."""
+            use = among(found["hash"], wanted)
+            found = {k: v[use] for k, v in found.items()}
+            return by_window(found, among(found["hash"], hot), unit, shape)
 
         return rows(send(block, k[0].as_py(), repeated, ranges))
 

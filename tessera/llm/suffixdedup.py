@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 
 from tessera.llm.common import documents
-from tessera.llm.repeats import Block, Shape, cover, pack_runs, range_of, remove_repeats, squeeze, unpack_arrays, windows_to_remove
+from tessera.llm.repeats import HOT, Block, Shape, cover, pack_runs, range_of, remove_repeats, squeeze, unpack_arrays, windows_to_remove
 
 
 def common(a: bytes, b: bytes, at: int) -> int:
@@ -117,13 +117,13 @@ def _send(shape: Shape):
         """The block's records with repeated anchors, one for each distinct text (that of the smallest doc_id), as front-coded runs."""
         kept: dict[tuple, list] = {}
         local: list[tuple[int, int, int]] = []
-        for first, f, data, offs, _, _, bounds in block.records():
-            use = repeated(f["hash"])
-            if not use.any():
+        for first, f, data, offs, _, _, bounds, unit in block.records():
+            f = repeated(f, unit)
+            if not len(f["text"]):
                 continue
             raw = data.tobytes()
-            r = range_of(f["hash"][use], ranges).tolist()
-            for t, s0, s1, p, to in zip(*(f[c][use].tolist() for c in ("text", "s0", "s1", "p")), r):
+            r = range_of(f["to"], ranges).tolist()
+            for t, s0, s1, p, to in zip(*(f[c].tolist() for c in ("text", "s0", "s1", "p")), r):
                 doc = int(block.key[first + t])
                 row = (first + t, s0 - int(bounds[t]), s1 - s0 + 1)
                 k = (to, raw[p: s1 + shape.length], raw[s0:p], s1 - s0)
@@ -270,11 +270,11 @@ def _texts(block: Block) -> pa.Table:
     return pa.table([pa.array(block.ids, pa.int64()), pa.array(left, pa.string())], ["doc_id", "text"])
 
 
-def suffix_dedup(docs, *, length: int = 50, gram: int = 24, digests: bool = False, block_bytes: int = 3 << 20, range_bytes: int | None = None):
+def suffix_dedup(docs, *, length: int = 50, gram: int = 24, digests: bool = False, block_bytes: int = 3 << 20, range_bytes: int | None = None, hot_places: int = HOT):
     """doc_id and the text that is left (bytes of a cut character become U+FFFD), or with ``digests`` counts and its SHA-256."""
     shape = Shape(length, min(gram, length), False, across=True)
     return remove_repeats(
-        docs, shape, text="text", send=_send(shape), meet=_meet(shape), finish=_finish if digests else _texts, block_bytes=block_bytes, range_bytes=range_bytes,
+        docs, shape, text="text", send=_send(shape), meet=_meet(shape), finish=_finish if digests else _texts, block_bytes=block_bytes, range_bytes=range_bytes, hot_places=hot_places,
         schema="doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digests else "doc_id long, text string",
     )
 
