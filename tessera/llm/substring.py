@@ -1,11 +1,11 @@
 """Repeated word passages by suffix automata of reference shards.
 
 The reference is what the whole table repeats: the records whose anchors occur twice or more (see ``repeats``). In the task of
-its range, a group of records with one anchor is cut into shards of at most ``shard_words`` words; each shard's suffix
-automaton is built once, counting the places of every state, and all of the group's records are
-streamed through it for matching statistics. The counts are added up over the shards; windows that start in two places or more go.
-Automata meet only the records that can match them (those of the same anchors): sending each to every document would
-take time in the square of the corpus.
+its range, the distinct texts of the records are cut into shards of some ``shard_words`` words, all texts of an anchor in one; each shard's suffix
+automaton is built once, every text with the number of its places, and all of the shard's texts are
+streamed through it for matching statistics. Windows whose state has two places or more go: the automata decide every window of every record.
+An automaton meets only the records that can match it (those of the same anchors): sending each to every document would
+take time in the square of the corpus. Before the shuffle, a block puts equal records together with their number.
 
 Removed is every word covered by a window of ``length`` consecutive words whose word sequence also starts anywhere else, the same
 document included, judged on the input.
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 
 from tessera.llm.common import documents
-from tessera.llm.repeats import Block, Shape, cover, pack_runs, range_of, remove_repeats, squeeze, unpack_arrays, windows_to_remove
+from tessera.llm.repeats import HOT, Block, Shape, cover, pack_runs, range_of, remove_repeats, squeeze, unpack_arrays, windows_to_remove
 
 
 class SuffixAutomaton:
@@ -94,90 +94,91 @@ class SuffixAutomaton:
 
 def _send(shape: Shape):
     def send(block: Block, name: int, repeated, ranges: int):
-        """The block's records with repeated anchors, one for each distinct text, with how often it occurs here."""
+        """The block's records with repeated anchors, one for each distinct text, with how often it occurs here and where."""
         kept: dict[tuple, list] = {}
-        for first, f, data, offs, starts, ends, bounds in block.records():
-            use = repeated(f["hash"])
-            if not use.any():
+        for first, f, data, offs, starts, ends, bounds, unit in block.records():
+            f = repeated(f, unit)
+            if not len(f["text"]):
                 continue
             raw = data.tobytes()
-            r = range_of(f["hash"][use], ranges).tolist()
-            a, b = starts[f["s0"][use]].tolist(), ends[f["s1"][use] + shape.length - 1].tolist()
-            for t, s0, s1, p, to, x, y in zip(*(f[c][use].tolist() for c in ("text", "s0", "s1", "p")), r, a, b):
-                row = (first + t, s0 - int(bounds[t]), s1 - s0 + 1, p - s0)
-                entry = kept.setdefault((to, b" ".join(raw[x:y].split())), [0, []])
+            r = range_of(f["to"], ranges).tolist()
+            a, b = starts[f["s0"]].tolist(), ends[f["s1"] + shape.length - 1].tolist()
+            for t, s0, s1, p, to, x, y in zip(*(f[c].tolist() for c in ("text", "s0", "s1", "p")), r, a, b):
+                entry = kept.setdefault((to, b" ".join(raw[x:y].split())), [0, p - s0, []])
                 entry[0] += 2 if block.role[first + t] else 1
-                entry[1].append(row)
-        local = [row[:3] for n, own in kept.values() if n > 1 for row in own]
-        if local:
-            yield (name % ranges, name, "answer", None, pack_runs(*zip(*local)))
+                entry[2].append((first + t, s0 - int(bounds[t])))
         by_range: dict[int, list] = {}
-        for (to, text), (n, own) in kept.items():
-            by_range.setdefault(to, []).append((text, n, *own[0]))
+        for (to, text), (n, at, own) in kept.items():
+            by_range.setdefault(to, []).append((text, n, at, own))
+        kept.clear()
         for to, items in by_range.items():
-            arrays = [np.frombuffer(b"\n".join(x[0] for x in items), np.uint8), *(np.array([x[i] for x in items], np.int64) for i in range(1, 6))]
+            places = [row for x in items for row in x[3]]
+            arrays = [
+                np.frombuffer(b"\n".join(x[0] for x in items), np.uint8), np.array([x[1] for x in items], np.int64), np.array([x[2] for x in items], np.int32),
+                np.array([len(x[3]) for x in items], np.int32), np.array([p[0] for p in places], np.int32), np.array([p[1] for p in places], np.int64),
+            ]
             parts = [squeeze(x) for x in arrays]
             yield (to, name, "run", len(items), b"".join(len(p).to_bytes(4, "little") + p for p in parts))
 
     return send
 
 
-def _flag(group: dict, length: int, shard_words: int):
-    """(text, flags of its windows) for the texts of one anchor that occur once, by the automata of the group's shards."""
-    ids: dict[bytes, int] = {}
-    tokens = {text: [ids.setdefault(w, len(ids)) for w in text.split()] for text in group}
-    found = {text: np.zeros(len(tokens[text]) - length + 1, np.int64) for text, n in group.items() if n == 1}
-    if not found:
-        return found
+def _shards(anchors: dict[bytes, bytes], shard_words: int):
+    """The texts in lists of some ``shard_words`` words; an anchor's texts stay together."""
+    groups: dict[bytes, list] = {}
+    for text, anchor in anchors.items():
+        groups.setdefault(anchor, []).append(text)
     shard, size = [], 0
-    todo = list(group)
-    for i, text in enumerate(todo):
-        shard.append(text)
-        size += len(tokens[text])
-        if size >= shard_words or i == len(todo) - 1:
-            automaton = SuffixAutomaton()
-            for x in shard:
-                automaton.add(tokens[x], group[x])
-            automaton.close()
-            for x, total in found.items():
-                total += np.fromiter(automaton.occurrences(tokens[x], length), np.int64, len(total))
+    for group in groups.values():
+        shard += group
+        size += sum(x.count(b" ") + 1 for x in group)
+        if size >= shard_words:
+            yield shard
             shard, size = [], 0
-    return {text: total > 1 for text, total in found.items()}
+    if shard:
+        yield shard
+
+
+def _flag(shard: list[bytes], total: dict[bytes, int], length: int) -> dict[bytes, np.ndarray]:
+    """Which windows of each text occur twice or more in the shard."""
+    ids: dict[bytes, int] = {}
+    tokens = {text: [ids.setdefault(w, len(ids)) for w in text.split()] for text in shard}
+    automaton = SuffixAutomaton()
+    for text, own in tokens.items():
+        automaton.add(own, total[text])
+    automaton.close()
+    return {text: np.fromiter(automaton.occurrences(own, length), np.int64, len(own) - length + 1) > 1 for text, own in tokens.items()}
 
 
 def _meet(shape: Shape, shard_words: int):
     def meet(t: pa.Table):
         total: dict[bytes, int] = {}
         anchors: dict[bytes, bytes] = {}
-        single = []
+        sent = []
         for block, kind, payload in zip(*(t.column(c).to_pylist() for c in ("block", "kind", "payload"))):
-            if kind == "answer":
-                yield (0, block, "answer", None, payload)
-                continue
-            flat, *cols = unpack_arrays(payload)
-            for text, n, doc, s0, count, at in zip(flat.tobytes().split(b"\n"), *(c.tolist() for c in cols)):
-                total[text] = total.get(text, 0) + n
-                if n == 1:
-                    single.append((text, block, doc, s0, count))
+            flat, n, at, times, doc, s0 = unpack_arrays(payload)
+            texts = flat.tobytes().split(b"\n")
+            for text, k, p in zip(texts, n.tolist(), at.tolist()):
+                total[text] = total.get(text, 0) + k
                 if text not in anchors:
-                    anchors[text] = b" ".join(text.split()[at: at + shape.gram])
-        groups: dict[bytes, dict] = {}
-        for text, anchor in anchors.items():
-            groups.setdefault(anchor, {})[text] = total[text]
-        flags: dict[bytes, np.ndarray] = {}
-        for group in groups.values():
-            if len(group) > 1:
-                flags |= _flag(group, shape.length, shard_words)
-        out: dict[int, list] = {}
-        for text, block, doc, s0, count in single:
-            if total[text] > 1:
-                out.setdefault(block, []).append((doc, s0, count))
-            elif text in flags:
-                edge = np.flatnonzero(np.diff(np.r_[0, flags[text].astype(np.int8), 0]))
-                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                    out.setdefault(block, []).append((doc, s0 + a, b - a))
-        for block, runs in out.items():
-            yield (0, block, "answer", None, pack_runs(*zip(*runs)))
+                    anchors[text] = b" ".join(text.split()[p: p + shape.gram])
+            sent.append((block, texts, times.tolist(), doc, s0))
+        runs: dict[bytes, tuple] = {}
+        for shard in _shards(anchors, shard_words):
+            for text, flags in _flag(shard, total, shape.length).items():
+                if flags.any():
+                    edge = np.flatnonzero(np.diff(np.r_[0, flags.astype(np.int8), 0]))
+                    runs[text] = (edge[::2], edge[1::2] - edge[::2])
+        for block, texts, times, doc, s0 in sent:
+            found, a = [], 0
+            for text, k in zip(texts, times):
+                if text in runs:
+                    start, n = runs[text]
+                    m = len(start)
+                    found.append((np.repeat(doc[a: a + k], m), np.repeat(s0[a: a + k], m) + np.tile(start, k), np.tile(n, k)))
+                a += k
+            if found:
+                yield (0, block, "answer", None, pack_runs(*map(np.concatenate, zip(*found))))
 
     return meet
 
@@ -210,11 +211,11 @@ def _texts(block: Block) -> pa.Table:
     return pa.table([pa.array(block.ids, pa.int64()), pa.array(left, pa.string())], ["doc_id", "text"])
 
 
-def substring_dedup(docs, *, length: int = 35, gram: int = 12, shard_words: int = 200_000, digests: bool = False, block_bytes: int = 6 << 20, range_bytes: int | None = None):
+def substring_dedup(docs, *, length: int = 35, gram: int = 12, shard_words: int = 200_000, digests: bool = False, block_bytes: int = 6 << 20, range_bytes: int | None = None, hot_places: int = HOT):
     """doc_id and the words that are left, joined by a blank, or with ``digests`` counts and their SHA-256."""
     shape = Shape(length, min(gram, length), True)
     return remove_repeats(
-        docs, shape, text="text", send=_send(shape), meet=_meet(shape, shard_words), finish=_finish if digests else _texts, block_bytes=block_bytes, range_bytes=range_bytes,
+        docs, shape, text="text", send=_send(shape), meet=_meet(shape, shard_words), finish=_finish if digests else _texts, block_bytes=block_bytes, range_bytes=range_bytes, hot_places=hot_places,
         schema="doc_id long, n_words long, n_removed long, kept_sha256 string" if digests else "doc_id long, text string",
     )
 

@@ -385,6 +385,34 @@ def test_substring_dedup(spark, length, gram):
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == brute.passages(docs, length) and len(got) == len(docs)
 
 
+@pytest.mark.parametrize("hot", [1, 3, 40])
+def test_hot_anchors_are_split_without_loss(spark, hot):
+    """Anchors of more places than may meet in one task go window by window, with the same results."""
+    docs = made_up(7 + hot)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = suffix_dedup(df, length=20, gram=8, digests=True, block_bytes=2000, hot_places=hot).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in got} == brute.suffix(docs, 20)
+    got = substring_dedup(df, length=6, gram=3, shard_words=50, digests=True, block_bytes=2000, hot_places=hot).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in got} == brute.passages(docs, 6)
+
+
+def test_one_anchor_in_thousands_of_contexts(spark):
+    """A passage of an anchor's length, with surroundings of its own in every text, and in some those of another."""
+    rng = random.Random(21)
+    common_words = [f"c{i}" for i in range(14)]
+    docs = []
+    for i in range(3000):
+        left, right = ([f"{s}{rng.randrange(10**6)}" for _ in range(25)] for s in "lr")
+        docs.append((i, " ".join(left + common_words + right)))
+        if i % 100 == 0:
+            docs.append((10_000 + i, " ".join(["x"] + left[1:] + common_words + right[:-1] + ["y"])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = brute.passages(docs, 35)
+    for places in (64, 1 << 20):
+        got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup(df, digests=True, block_bytes=50_000, hot_places=places).collect()}
+        assert got == want and sum(r[1] > 0 for r in got.values()) == 60
+
+
 def test_repeats_edges(spark):
     kind, text = "doc_id long, text string", "one two three four five six seven eight nine ten " * 12
     rows = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (None, text), (3, None)], kind)
@@ -425,3 +453,33 @@ def test_pipeline(spark, sf, ids):
         last = docs.count()
     pieces = c.run(spark, sf)
     assert pieces.select("doc_id").distinct().count() == last
+
+
+def test_pipeline_on_odd_tables(spark, sf, tmp_path):
+    """Nulls, empties, repeated rows and columns named like the operators' own; an empty table."""
+    import shutil
+
+    import corpus_pipeline as c
+
+    body = " ".join(f"the word{i} and {i}th" for i in range(60))
+    other = "\n".join(f"line {i} the {i}th a{i} and b{i} c{i}" for i in range(20))
+    rows = [(1, body), (1, body), (2, body), (None, other), (None, other), (None, None), (5, None), (6, ""), (7, " \n\t"), (8, "x" * 50_000), (9, "# | " * 90), (10, other + "\nend")]
+    made = [(k, t, None if i % 2 else "en", None if i % 3 else "s", i, "a", "b", "c", "d") for i, (k, t) in enumerate(rows)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, later string, t string, root string, gone string"
+    for name, n in (("odd", len(made)), ("empty", 0)):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(made[:n], kind).write.parquet(f"{folder}/documents.parquet")
+        shutil.copy(f"{sf}/benchmark.parquet", f"{folder}/benchmark.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        columns = docs.columns
+        for step, stage in c.STAGES[:-1]:
+            out = stage(spark, docs, folder)
+            assert out.columns == columns
+            path = work_path(spark, step)
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)
+        kept = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        assert kept.count((1, body)) == 1 and (2, body) not in kept and (9, rows[10][1]) not in kept if n else not kept
+        assert len(kept) == len(set(kept))
+        pieces = c.run(spark, folder).collect()
+        assert {r["doc_id"] for r in pieces} == {k for k, _ in kept}
