@@ -373,6 +373,32 @@ def repeated_texts(docs: DataFrame, shingle: int, p: int, q: int, text: str = "t
     return runs.groupBy("r").applyInArrow(compare, kind).groupBy("batch").applyInArrow(judge, "doc_id long, t long")
 
 
+def sifted(texts: DataFrame, keys: DataFrame, bits: int = 1 << 26) -> DataFrame:
+    """The rows of ``texts`` (doc_id, t, text) whose t may be among ``keys``' t, so that few texts of others are shuffled to be joined.
+
+    What is broadcast is a bitmap of ``bits``, however many keys there are; a full one lets all rows pass.
+    """
+    each = 1 << 19  # bits of a row of the bitmap
+
+    def mark(key, t):
+        own = np.zeros(each, bool)
+        own[t.column("bit").to_numpy()] = True
+        return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "marks": pa.array([np.packbits(own).tobytes()], pa.binary())})
+
+    place = keys.select(F.pmod("t", F.lit(bits)).alias("p")).distinct().select((F.col("p") / each).cast("int").alias("at"), F.pmod("p", F.lit(each)).cast("int").alias("bit"))
+    marks = np.zeros(max(1, bits // each) * (each // 8), np.uint8)
+    for r in place.groupBy("at").applyInArrow(mark, "at int, marks binary").collect():  # at most ``bits`` together
+        marks[r["at"] * (each // 8): (r["at"] + 1) * (each // 8)] = np.frombuffer(r["marks"], np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches):
+        for batch in batches:
+            p = np.array(batch.column(1)) % bits
+            yield batch.filter(pa.array((shared.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1))
+
+    return texts.mapInArrow(lean(run), "doc_id long, t long, text string")
+
+
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """t, node (hash of the shingle set), n (its size), own (its hashes), fp, fp1 and bits (``parities``) of rows t, text."""
 
@@ -552,7 +578,7 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, sla
     rows = stage(repeated_texts(docs, shingle, p, q), "repeated")
     reps = rows.groupBy("t").agg(F.min("doc_id").alias("rep"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("t"), F.col("text").cast("string").alias("text"))
-    texts = texts.alias("d").join(reps.alias("r"), (F.col("d.t") == F.col("r.t")) & F.col("d.doc_id").eqNullSafe(F.col("r.rep")), "left_semi")
+    texts = sifted(texts, reps).alias("d").join(reps.alias("r"), (F.col("d.t") == F.col("r.t")) & F.col("d.doc_id").eqNullSafe(F.col("r.rep")), "left_semi")
     sets = stage(shingle_sets(texts, shingle), "sets")
     nodes = stage(sets.groupBy("node").agg(F.min("t").alias("t"), F.min("fp").alias("fp"), F.min("fp1").alias("fp1"), F.min("n").alias("n"), F.first("bits").alias("bits")), "nodes")
     heads = stage(nodes.groupBy("fp", "fp1").agg(F.min("node").alias("head")), "distinct")
@@ -568,8 +594,13 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, sla
     n_entries = heads_of.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8
     rooted = heads_of.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "prefix")
     second = verified(prefix_pairs(rooted, n_entries, p, q), sets, nodes, p, q)
-    roots = components(first.union(second))
-    return rows.join(sets.select("t", "node").distinct(), "t").join(roots, "node", "left").select("doc_id", "t", F.coalesce("root", "node").alias("root"))
+    # what the second kind of candidates joins are the components of the first
+    top = second
+    for c in ("a", "b"):
+        top = top.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(c, F.coalesce(f"root_{c}", c)).drop(f"root_{c}")
+    tops = components(top.select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    named = rows.join(sets.select("t", "node").distinct(), "t").join(roots, "node", "left").select("doc_id", "t", F.coalesce("root", "node").alias("root"))
+    return named.join(tops, "root", "left").select("doc_id", "t", F.coalesce("top", "root").alias("root"))
 
 
 def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -190,6 +190,19 @@ def test_chunks_survive_a_shift():
     assert store.cut_points(np.zeros(5000, np.int64), 256, 32, 1000).tolist()[-1] == 5000
 
 
+def test_stars_connect_the_same():
+    from tessera.llm.graph import stars
+
+    rng = random.Random(2)
+    for n in (0, 1, 5, 60):
+        edges = [(rng.randint(-20, 20), rng.randint(-20, 20)) for _ in range(n)]
+        parent = {x: x for e in edges for x in e}
+        for a, b in edges:
+            x, y = sorted((parent[a], parent[b]))
+            parent = {k: x if v == y else v for k, v in parent.items()}
+        assert sorted(stars(edges)) == sorted((k, v) for k, v in parent.items() if k != v)
+
+
 def test_golay_keys_meet_within_two_bits():
     rng = np.random.default_rng(4)
     x = rng.integers(0, 1 << 23, 500)
@@ -280,6 +293,17 @@ def test_near_dedup_recall_and_precision(spark, sf):
     assert {k: of[k] for k in long} == {k: parent[k] for k in long}
 
 
+@pytest.mark.parametrize("bits", [1 << 26, 1 << 19])
+def test_sifted_lets_all_keys_pass(spark, bits):
+    rng = random.Random(1)
+    rows = [(i, rng.getrandbits(64) - (1 << 63), str(i)) for i in range(500)]
+    texts = spark.createDataFrame(rows, "doc_id long, t long, text string")
+    keys = texts.where("doc_id % 10 = 0").select("t")
+    got = {r["doc_id"] for r in simhash.sifted(texts, keys, bits).collect()}
+    assert got >= {i for i in range(0, 500, 10)} and len(got) < 60
+    assert simhash.sifted(texts, keys.limit(0), bits).count() == 0
+
+
 @pytest.mark.parametrize("batch,nbytes", [(1 << 20, 6 << 20), (300, 2000)])
 def test_repeated_texts_are_those_with_partners(spark, sf, batch, nbytes):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
