@@ -35,6 +35,7 @@ DIGEST = 16
 MANIFEST = "part int, n_docs long, n_tokens long, root binary"
 STORED = "doc_id long, n_tokens long, width int, lengths array<int>, digests array<binary>, root binary, payload binary, refs array<int>, part int"
 DATA = "doc_id long, part int, n_tokens long, width int, lengths array<int>, digests array<binary>, root binary, payload binary"
+MOST_PARTS = 1 << 16  # bounds of parts that the driver holds; parts of a larger store are dealt out to several tasks each
 
 
 def _gear(width: int = 1 << 16) -> np.ndarray:
@@ -123,7 +124,7 @@ _LENGTHS, _DIGESTS = pa.list_(pa.int32()), pa.list_(pa.binary())
 
 def build_store(
     docs: DataFrame, path: str, *, tokenizer: str, end_id: int, average: int = 512, least: int = 64, most: int = 4096,
-    part_bytes: int = 4 << 20,
+    part_bytes: int = 4 << 20, most_parts: int = MOST_PARTS,
 ) -> str:
     spark = docs.sparkSession
     ship(spark)
@@ -131,9 +132,11 @@ def build_store(
     n, named = docs.agg(F.count(F.lit(1)), F.count("doc_id")).first()
     if named < n:
         raise ValueError("a document without doc_id can't have a recipe")
-    n_parts = parts_for(rough_bytes(docs), part_bytes)
+    tasks = parts_for(rough_bytes(docs), part_bytes)
+    n_parts = min(tasks, most_parts)
+    deal = -(-tasks // n_parts)  # tasks of a part
     bounds = sorted(set(docs.approxQuantile("doc_id", [k / n_parts for k in range(1, n_parts)], 0.2 / n_parts))) if n else []
-    bounds = [int(b) for b in bounds]  # bounded by the number of parts
+    bounds = [int(b) for b in bounds]
 
     def encode(batches):
         enc, edges = encoder(tokenizer), np.array(bounds, np.int64)
@@ -154,7 +157,8 @@ def build_store(
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), _LENGTHS, _DIGESTS, pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "part", "n_tokens", "width", "lengths", "digests", "root", "payload"])
 
-    whole = docs.mapInArrow(lean(encode, keep_encoders=True), DATA).repartition(n_parts, "part")
+    group = ["part"] if deal == 1 else ["part", F.pmod("doc_id", F.lit(deal))]
+    whole = docs.mapInArrow(lean(encode, keep_encoders=True), DATA).repartition(tasks, *group)
 
     def digests(batches):  # all columns come in, so that the exchange below is one and the same
         for batch in batches:
@@ -171,7 +175,7 @@ def build_store(
         .groupBy("part", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("refs"))
     )
 
-    def drop(key, data, gone):
+    def drop(data, gone):
         release()
         gone = dict(zip(gone.column("doc_id").to_pylist(), gone.column("refs").to_pylist()))
         data = data.sort_by("doc_id").combine_chunks()
@@ -193,7 +197,7 @@ def build_store(
             out = out.set_column(out.column_names.index("payload"), "payload", payload)
         return out
 
-    kept = whole.groupBy("part").cogroup(refs.groupBy("part")).applyInArrow(drop, DATA + ", refs array<int>")
+    kept = whole.groupBy(*group).cogroup(refs.groupBy(*group)).applyInArrow(drop, DATA + ", refs array<int>")
     kept.write.partitionBy("part").option("compression", "none").parquet(f"{path}/data")  # payloads are compressed, digests can't be
     _manifest(spark, path)
     return path

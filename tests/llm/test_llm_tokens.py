@@ -122,6 +122,17 @@ def test_store_round_trip(spark, table, corpus, ids, tokenizer):
     assert len(kept) == len(set(kept)) == len(set(used)) < len(used)  # each chunk is stored once
 
 
+def test_parts_dealt_to_several_tasks_are_the_same(spark, table, tokenizer):
+    got = []
+    for most in (1 << 16, 2):
+        path = store.build_store(table, work_path(spark, "test-parts"), tokenizer=tokenizer, end_id=2, part_bytes=50_000, most_parts=most)
+        store.verify_manifest(spark, path)
+        rows = store.offsets(store.read_store(spark, path), spark, path)
+        got.append(sorted((r["doc_id"], r["start"], r["ids_crc32"]) for r in rows.collect()))
+        assert (spark.read.parquet(f"{path}/manifest").count() <= 2) == (most == 2)
+    assert got[0] == got[1]
+
+
 def test_manifest_counts_are_sealed(spark, table, tokenizer):
     path = store.build_store(table, work_path(spark, "test-tamper"), tokenizer=tokenizer, end_id=2, part_bytes=200_000)
     store.verify_manifest(spark, path)
