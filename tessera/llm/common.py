@@ -117,9 +117,10 @@ def text_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0]: offs[-1]], offs - offs[0]
 
 
-def trim() -> None:
+def trim(collect: bool = True) -> None:
     """Give what this worker has freed back to the machine: a worker lives on after its task, and its memory counts as the executor's."""
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -127,6 +128,14 @@ def trim() -> None:
         pass
 
 
+def release_and_trim() -> None:
+    """What ``lean`` does, for functions over groups: at the beginning of each, what the group before has left is freed."""
+    from tessera.llm.tokens import release
+
+    release()
+    trim(collect=False)
+
+
 def lean(run, keep_encoders: bool = False):
     """A task's function over batches that begins without tokenisers kept by earlier tasks and gives freed memory back at its end."""
 

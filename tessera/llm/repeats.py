@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import hashing
-from tessera.llm.common import parts_for, ship, text_bytes, volume
+from tessera.llm.common import parts_for, release_and_trim, ship, text_bytes, volume
 
 LAST = np.iinfo(np.int64).max  #: stands for a null doc_id, after all others
 HOT = 4096  # places of an anchor that may meet in one task
@@ -246,6 +246,7 @@ def remove_repeats(
     copies = copies.repartition(parts, "block")
 
     def announce(k, d, told):
+        release_and_trim()
         block = Block(d, told, shape)
         found = [(f["hash"] >> np.uint64(64 - bits), block.key[first + f["text"]]) for first, f, *_ in block.records()]
         h = np.concatenate([x for x, _ in found] or [np.zeros(0, np.uint64)])
@@ -261,6 +262,7 @@ def remove_repeats(
         return rows((i, b, "hashes", y - x, len(p := pack_sorted(h[x:y])).to_bytes(4, "little") + p + squeeze(count[x:y].astype("<u4"))) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x)
 
     def compare(k, t):
+        release_and_trim()
         own, values, count = [], [], []
         for b, n, p in zip(t.column("block").to_pylist(), t.column("value").to_pylist(), t.column("payload").to_pylist()):
             size = int.from_bytes(p[:4], "little")
@@ -282,6 +284,7 @@ def remove_repeats(
         return rows(found)
 
     def offer(k, d, told):
+        release_and_trim()
         block = Block(d, told, shape)
         wanted, hot = (np.sort(np.concatenate([unpack_sorted(p) for p in payloads])) if payloads else np.zeros(0, np.uint64) for payloads in (block.answers, block.hot))
 
@@ -299,9 +302,11 @@ def remove_repeats(
         return rows(send(block, k[0].as_py(), repeated, ranges))
 
     def decide(k, t):
+        release_and_trim()
         return rows(meet(t))
 
     def settle(k, d, told):
+        release_and_trim()
         return finish(Block(d, told, shape))
 
     def with_copies(answers):

@@ -4,7 +4,7 @@ What is sorted are the suffixes of the records' texts from their anchors on (see
 every range a front-coded run (length shared with the suffix before, and the rest), and the range merges the runs with a loser
 tree whose nodes carry the length they share with the last winner: keys that share less lose without
 a look at their bytes, and equal ones are compared from that length on. The merged order and its common-prefix lengths
-give the classes of equal windows; each class's smallest doc_id keeps its bytes.
+give the classes of equal windows; each class's smallest doc_id keeps its bytes. Equal records of a block are one key with several places.
 
 Removed is every byte covered by a ``length``-byte string that also starts in a document with a smaller doc_id, judged on the input.
 
@@ -114,9 +114,8 @@ def merge_runs(runs: list[list[bytes]], shared: list[list[int]]):
 
 def _send(shape: Shape):
     def send(block: Block, name: int, repeated, ranges: int):
-        """The block's records with repeated anchors, one for each distinct text (that of the smallest doc_id), as front-coded runs."""
+        """The block's records with repeated anchors, one for each distinct text with the places that have it, as front-coded runs."""
         kept: dict[tuple, list] = {}
-        local: list[tuple[int, int, int]] = []
         for first, f, data, offs, _, _, bounds, unit in block.records():
             f = repeated(f, unit)
             if not len(f["text"]):
@@ -124,24 +123,11 @@ def _send(shape: Shape):
             raw = data.tobytes()
             r = range_of(f["to"], ranges).tolist()
             for t, s0, s1, p, to in zip(*(f[c].tolist() for c in ("text", "s0", "s1", "p")), r):
-                doc = int(block.key[first + t])
-                row = (first + t, s0 - int(bounds[t]), s1 - s0 + 1)
-                k = (to, raw[p: s1 + shape.length], raw[s0:p], s1 - s0)
-                have = kept.get(k)
-                if have is None:
-                    kept[k] = [doc, [row]]
-                elif doc == have[0]:
-                    have[1].append(row)
-                elif doc > have[0]:
-                    local.append(row)
-                else:
-                    local += have[1]
-                    kept[k] = [doc, [row]]
-        if local:
-            yield (name % ranges, name, "answer", None, pack_runs(*zip(*local)))
+                row = (int(block.key[first + t]), first + t, s0 - int(bounds[t]))
+                kept.setdefault((to, raw[p: s1 + shape.length], raw[s0:p], s1 - s0), []).append(row)
         by_range: dict[int, list] = {}
-        for (to, right, left, _), (doc, own) in kept.items():
-            by_range.setdefault(to, []).append((right, left, doc, own))
+        for (to, right, left, more), own in kept.items():
+            by_range.setdefault(to, []).append((right, left, more + 1, own))
         kept.clear()
         for to, items in by_range.items():
             items.sort(key=lambda x: x[:3])
@@ -149,8 +135,8 @@ def _send(shape: Shape):
             own = [row for x in items for row in x[3]]
             arrays = [
                 shared, np.array([len(x[0]) for x in items], np.uint16), np.frombuffer(rest, np.uint8), np.array([len(x[1]) for x in items], np.uint16),
-                np.frombuffer(b"".join(x[1] for x in items), np.uint8), np.array([x[2] for x in items], np.int64), np.array([x[3][0][2] for x in items], np.int32),
-                np.array([len(x[3]) for x in items], np.int32), np.array([r[0] for r in own], np.int32), np.array([r[1] for r in own], np.int64),
+                np.frombuffer(b"".join(x[1] for x in items), np.uint8), np.array([x[2] for x in items], np.int32), np.array([len(x[3]) for x in items], np.int32),
+                np.array([r[0] for r in own], np.int64), np.array([r[1] for r in own], np.int32), np.array([r[2] for r in own], np.int64),
             ]
             parts = [squeeze(a) for a in arrays]
             yield (to, name, "run", len(items), b"".join(len(p).to_bytes(4, "little") + p for p in parts))
@@ -158,10 +144,10 @@ def _send(shape: Shape):
     return send
 
 
-def _classes(right_lcp: np.ndarray, left: np.ndarray, low: np.ndarray, high: np.ndarray, doc: np.ndarray, length: int):
-    """For records in suffix order, (record, a) pairs whose window, starting a bytes before the anchor, has a smaller doc_id elsewhere.
+def _classes(right_lcp: np.ndarray, left: np.ndarray, low: np.ndarray, high: np.ndarray, doc: np.ndarray, last: np.ndarray, length: int):
+    """For records in suffix order, (record, a, smallest doc_id) of the windows, starting a bytes before the anchor, that a smaller doc_id has too.
 
-    ``left``: bytes before the anchor, nearest first; windows of a record have a in low..high.
+    ``doc`` and ``last``: smallest and largest doc_id of a record's places; ``left``: bytes before the anchor, nearest first; windows of a record have a in low..high.
     """
     n, width = left.shape
     wide = np.zeros((n, -(-max(width, 1) // 8) * 8), np.uint8)
@@ -171,10 +157,10 @@ def _classes(right_lcp: np.ndarray, left: np.ndarray, low: np.ndarray, high: np.
     differ = ranked[1:] != ranked[:-1]
     llcp = np.zeros(n, np.int64)
     llcp[1:] = np.where(differ.any(1), differ.argmax(1), width) if width else 0
-    rec, off = [], []
+    rec, off, low_doc = [], [], []
     for a in range(int(low.min()), int(high.max()) + 1):
         use = np.flatnonzero((low <= a) & (a <= high))
-        if len(use) < 2:
+        if not len(use):
             continue
         right = np.cumsum(right_lcp < length - a)
         near = np.empty(n, np.int64)
@@ -183,12 +169,13 @@ def _classes(right_lcp: np.ndarray, left: np.ndarray, low: np.ndarray, high: np.
         by = np.argsort(cls, kind="stable")
         c = cls[by]
         start = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-        least = np.minimum.reduceat(doc[use][by], start)
-        gone = doc[use][by] > np.repeat(least, np.diff(np.r_[start, len(c)]))
+        least = np.repeat(np.minimum.reduceat(doc[use][by], start), np.diff(np.r_[start, len(c)]))
+        gone = last[use][by] > least
         rec.append(use[by][gone])
         off.append(np.full(int(gone.sum()), a))
+        low_doc.append(least[gone])
     z = np.zeros(0, np.int64)
-    return (np.concatenate(rec), np.concatenate(off)) if rec else (z, z)
+    return tuple(np.concatenate(x) for x in (rec, off, low_doc)) if rec else (z, z, z)
 
 
 def _meet(shape: Shape):
@@ -196,13 +183,10 @@ def _meet(shape: Shape):
         """Merges a range's runs and answers each block."""
         runs, shared, cols, names = [], [], [], []
         for block, kind, payload in zip(*(t.column(c).to_pylist() for c in ("block", "kind", "payload"))):
-            if kind == "answer":
-                yield (0, block, "answer", None, payload)
-                continue
-            sh, rl, rest, ll, left, doc, count, times, text, s0 = unpack_arrays(payload)
+            sh, rl, rest, ll, left, count, times, doc, text, s0 = unpack_arrays(payload)
             runs.append(front_decode(sh, rl, rest.tobytes()))
             shared.append(sh.tolist())
-            cols.append([x.astype(np.int64) for x in (ll, doc, count, times, text, s0)] + [left])
+            cols.append([x.astype(np.int64) for x in (ll, count, times, doc, text, s0)] + [left])
             names.append(block)
         if not runs:
             return
@@ -210,7 +194,7 @@ def _meet(shape: Shape):
         base = np.cumsum([0, *map(len, runs)])
         runs.clear()
         at = base[run] + index
-        ll, doc, count, times, text, s0, flat = (np.concatenate(x) for x in zip(*cols))
+        ll, count, times, doc, text, s0, flat = (np.concatenate(x) for x in zip(*cols))
         cols.clear()
         width = shape.spread - 1
         left = np.zeros((len(ll), width), np.uint8)
@@ -219,19 +203,23 @@ def _meet(shape: Shape):
         left[rows_, ends[rows_] - 1 - np.arange(len(flat))] = flat
         owner = np.repeat(np.array(names, np.int64), np.diff(base))
         member = np.cumsum(times) - times  # where a record's places begin
-        left, ll, doc, count, times, owner, member = (x[at] for x in (left, ll, doc, count, times, owner, member))
-        rec, a = _classes(lcp, left, ll - count + 1, ll, doc, shape.length)
+        low, high = np.minimum.reduceat(doc, member), np.maximum.reduceat(doc, member)
+        left, ll, low, high, count, times, owner, member = (x[at] for x in (left, ll, low, high, count, times, owner, member))
+        rec, a, least = _classes(lcp, left, ll - count + 1, ll, low, high, shape.length)
         if not len(rec):
             return
         first = ll[rec] - a  # which of the record's windows
         order = np.lexsort((first, rec))
-        rec, first = rec[order], first[order]
-        f = np.flatnonzero(np.r_[True, (rec[1:] != rec[:-1]) | (first[1:] != first[:-1] + 1)])
+        rec, first, least = rec[order], first[order], least[order]
+        f = np.flatnonzero(np.r_[True, (rec[1:] != rec[:-1]) | (first[1:] != first[:-1] + 1) | (least[1:] != least[:-1])])
         n = np.diff(np.r_[f, len(rec)])
-        rec, first = rec[f], first[f]
+        rec, first, least = rec[f], first[f], least[f]
         each = times[rec]
         place = np.repeat(member[rec], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        o, tx, st, n = np.repeat(owner[rec], each), text[place], s0[place] + np.repeat(first, each), np.repeat(n, each)
+        later = doc[place] > np.repeat(least, each)
+        place = place[later]
+        o, st, n = (np.repeat(x, each)[later] for x in (owner[rec], first, n))
+        tx, st = text[place], s0[place] + st
         order = np.argsort(o, kind="stable")
         o, tx, st, n = o[order], tx[order], st[order], n[order]
         who, cuts = np.unique(o, return_index=True)
