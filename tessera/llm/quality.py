@@ -201,7 +201,8 @@ def learned_order(docs: DataFrame, text: str, rules, sample: int = SAMPLE, made=
     """The rules in the order that a sample of about ``sample`` rows gives. What comes to the driver: a row for each set of rules that reject together, measure and task."""
     n = docs.count()
     lang = [F.col("lang").cast("string")] if "lang" in docs.columns else [F.lit(None).cast("string").alias("lang")]
-    some = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(8)), F.lit(max(1, n // max(1, sample)))) == 0).select(F.col(text).cast("string"), *lang)
+    key = "doc_id" if "doc_id" in docs.columns else text
+    some = docs.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(8)), F.lit(max(1, n // max(1, sample)))) == 0).select(F.col(text).cast("string"), *lang)
 
     def run(batches):
         for batch in batches:

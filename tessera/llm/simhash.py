@@ -428,7 +428,7 @@ def frequent_shingles(sets: DataFrame, share: int = 16, least: int = 2, most: in
 
 
 def prefixes(sets: DataFrame, p: int, q: int, frequent: np.ndarray) -> DataFrame:
-    """node, n and the prefix of each set: rare shingles first, then by hash."""
+    """node, n, bits and the prefix of each set: rare shingles first, then by hash."""
     order = np.argsort(frequent)
     shared = sets.sparkSession.sparkContext.broadcast((frequent[order], order))
 
@@ -443,9 +443,9 @@ def prefixes(sets: DataFrame, p: int, q: int, frequent: np.ndarray) -> DataFrame
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     own = own[np.argsort(np.where(known[at] == own, place[at] + 1, 0), kind="stable")]
                 found.append(own[: _prefix_length(n, p, q)].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["node", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary()), batch.column(3)], ["node", "n", "prefix", "bits"])
 
-    return sets.where("n > 0").select("node", "n", "own").mapInArrow(lean(run), "node long, n long, prefix binary").dropDuplicates(["node"])
+    return sets.where("n > 0").select("node", "n", "own", "bits").mapInArrow(lean(run), "node long, n long, prefix binary, bits binary").dropDuplicates(["node"])
 
 
 def node_of(own: np.ndarray) -> int:
@@ -465,8 +465,36 @@ def least_apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), 0)).sum())
 
 
-def pairs_of(key: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, p: int, q: int, small: int = 24) -> np.ndarray:
-    """(m, 2) nodes that share a key, differ in their roots and are near enough in size."""
+class Parities:
+    """``parities`` of many sets, for pairs of them at once."""
+
+    def __init__(self, bits: list[bytes]):
+        size = np.fromiter(map(len, bits), np.int64, len(bits)) // 8
+        self.kind, self.at, self.rows = size, np.zeros(len(bits), np.int64), {}
+        for k in np.unique(size).tolist():
+            own = np.flatnonzero(size == k)
+            self.at[own] = np.arange(len(own))
+            self.rows[k] = np.frombuffer(b"".join(bits[i] for i in own.tolist()), np.uint64).reshape(len(own), k)
+
+    def least_apart(self, a: np.ndarray, b: np.ndarray, together: int = 1 << 14) -> np.ndarray:
+        """``least_apart`` of the sets a[i] and b[i]."""
+        swap = self.kind[a] > self.kind[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        out = np.zeros(len(a), np.int64)
+        both = self.kind[a] * (1 << 32) + self.kind[b]
+        for k in np.unique(both).tolist():
+            x, y = k >> 32, k & ((1 << 32) - 1)
+            own = np.flatnonzero(both == k)
+            for s in range(0, len(own), max(1, together * 16 // y)):
+                i = own[s: s + max(1, together * 16 // y)]
+                wide = self.rows[y][self.at[b[i]]].reshape(len(i), y // x, x)
+                wide = wide[:, 0] if y == x else np.bitwise_xor.reduce(wide, 1)
+                out[i] = np.bitwise_count(self.rows[x][self.at[a[i]]] ^ wide).sum(1)
+        return out
+
+
+def pairs_of(key: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, p: int, q: int, small: int = 24, near=None) -> np.ndarray:
+    """(m, 2) nodes that share a key, differ in their roots and are near enough in size, and for which ``near`` of the pairs holds."""
     order = np.lexsort((node, n, key))
     key, node, root, n = key[order], node[order], root[order], n[order]
     if not len(key):
@@ -478,6 +506,11 @@ def pairs_of(key: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray,
     mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
     fine = np.flatnonzero(np.repeat(mixed & (sizes <= small), sizes))
     k2, found = key[fine], []
+
+    def settled():
+        pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0)
+        return pairs if near is None else pairs[near(pairs)]
+
     for d in range(1, small):
         same = np.flatnonzero(k2[d:] == k2[:-d])
         if not len(same):
@@ -494,36 +527,57 @@ def pairs_of(key: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray,
             if len(other):
                 found.append(np.stack([np.full(len(other), node[i]), other], 1))
                 held += len(other)
-        if held > 1 << 20:
-            found, held = [np.unique(np.sort(np.concatenate(found), 1), axis=0)], 0
-    return np.unique(np.sort(np.concatenate(found), 1), axis=0) if found else np.zeros((0, 2), np.int64)
+        if held > 1 << 18:
+            found, held = [settled()], 0
+    return settled() if found else np.zeros((0, 2), np.int64)
 
 
 def prefix_pairs(sets: DataFrame, n_entries: int, p: int, q: int) -> DataFrame:
-    """Candidates (a, b): every two nodes of different roots whose prefixes meet, so every two of similarity p/q or more. ``sets``: node, root, n, prefix."""
+    """Candidates (a, b): every two nodes of different roots whose prefixes meet and whose parities don't rule out a similarity of p/q, so every two of that
+    similarity or more. ``sets``: node, root, n, prefix, bits. A range gets a node's bits once; pairs that they rule out, which in a group of loosely like
+    texts are nearly all, leave no task."""
     ranges = parts_for(n_entries * 24, 8 << 20)
+    kinds = ("<u4", "<u4", "<i8", "<i8", "<i8", "<u4")
 
     def spread(batches):
         for batch in batches:
-            prefix = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
+            prefix, bits = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()], batch.column(4).to_pylist()
             token = mix(np.concatenate([np.zeros(0, np.uint64), *prefix]))
             row = np.repeat(np.arange(len(prefix)), [len(x) for x in prefix])
             r = (token % np.uint64(ranges)).astype(np.int64)
             order = np.argsort(r, kind="stable")
-            row, r, token = row[order], r[order], (token[order] >> np.uint64(32)).astype("<u4")  # a meeting by chance is one more candidate
-            cols = [np.array(batch.column(c), np.int64)[row] for c in range(3)]
-            cols[2] = cols[2].astype("<u4")
+            row, r, token = row[order], r[order], token[order] >> np.uint64(32)  # a meeting by chance is one more candidate
+            cols = [np.array(batch.column(c), np.int64) for c in range(3)]
             cuts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, np.int64)
-            ends = np.r_[cuts[1:], len(r)]
-            blobs = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()) for x in (token, *cols)]
-            yield pa.RecordBatch.from_arrays([pa.array(r[cuts].astype(np.int32)), *blobs], ["r", "keys", "nodes", "roots", "sizes"])
+            out: list[list] = [[] for _ in range(8)]
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(r)]):
+                own, which = np.unique(row[a:b], return_inverse=True)
+                held = [bits[i] for i in own.tolist()]
+                arrays = (token[a:b], which, *(c[own] for c in cols), [len(x) for x in held])
+                for kept, x in zip(out, (r[a], *(np.asarray(x).astype(k).tobytes() for x, k in zip(arrays, kinds)), b"".join(held))):
+                    kept.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["r", "keys", "which", "nodes", "roots", "sizes", "lens", "bits"])
 
     def link(_, t):
-        key, node, root, n = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("keys", "<u4"), ("nodes", "<i8"), ("roots", "<i8"), ("sizes", "<u4")))
-        got = pairs_of(key, node, root, n.astype(np.int64), p, q)
+        keys, which, node, root, n, lens = ([np.frombuffer(x, k) for x in t.column(c).to_pylist()] for c, k in zip(("keys", "which", "nodes", "roots", "sizes", "lens"), kinds))
+        base = np.cumsum([0, *map(len, node)])
+        at = np.concatenate([x.astype(np.int64) + b for x, b in zip(which, base)])
+        node, root, n = map(np.concatenate, (node, root, n))
+        bits = []
+        for blob, sizes in zip(t.column("bits").to_pylist(), lens):
+            ends = np.cumsum(sizes).tolist()
+            bits += [blob[a:b] for a, b in zip([0, *ends], ends)]
+        own = Parities(bits)
+
+        def near(pairs):
+            a, b = pairs[:, 0], pairs[:, 1]
+            return own.least_apart(a, b) * (p + q) <= (n[a] + n[b]) * (q - p)
+
+        got = np.sort(node[pairs_of(np.concatenate(keys), at, root[at], n[at], p, q, near=near)], 1)
         return pa.table({"a": pa.array(got[:, 0].copy()), "b": pa.array(got[:, 1].copy())})
 
-    blobs = sets.select("node", "root", "n", "prefix").mapInArrow(spread, "r int, keys binary, nodes binary, roots binary, sizes binary")
+    kind = "r int, keys binary, which binary, nodes binary, roots binary, sizes binary, lens binary, bits binary"
+    blobs = sets.select("node", "root", "n", "prefix", "bits").mapInArrow(lean(spread), kind)
     return blobs.repartition(ranges, "r").groupBy("r").applyInArrow(link, "a long, b long").distinct()
 
 
@@ -592,7 +646,7 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, sla
     roots = components(first)
     heads_of = stage(prefixes(sets, p, q, frequent_shingles(sets)), "prefixes")
     n_entries = heads_of.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8
-    rooted = heads_of.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "prefix")
+    rooted = heads_of.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "prefix", "bits")
     second = verified(prefix_pairs(rooted, n_entries, p, q), sets, nodes, p, q)
     # what the second kind of candidates joins are the components of the first
     top = second

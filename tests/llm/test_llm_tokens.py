@@ -362,6 +362,36 @@ def test_prefix_candidates_need_no_fingerprint():
         assert simhash.least_apart(simhash.parities(x), simhash.parities(y)) <= len(np.setxor1d(x, y))
 
 
+def test_parities_of_many_pairs():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, k).astype(np.uint64)) for k in (0, 1, 20, 40, 70, 300, 300, 1000)]
+    bits = [simhash.parities(x) for x in sets]
+    a, b = (x.reshape(-1) for x in np.meshgrid(np.arange(8), np.arange(8)))
+    want = [simhash.least_apart(bits[i], bits[j]) for i, j in zip(a, b)]
+    for together in (1, 1 << 14):
+        assert simhash.Parities(bits).least_apart(a, b, together).tolist() == want
+
+
+def test_loosely_like_texts_leave_no_pairs(spark):
+    """Copies of one text that are like it only at 0.7 or so: nearly all pairs are ruled out within the tasks."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(400):
+        w = list(base)
+        for k in rng.sample(range(0, 300, 6), 12):
+            w[k] = f"x{rng.getrandbits(40)}"
+        texts.append((i, " ".join(w)))
+    df = spark.createDataFrame(texts, "t long, text string")
+    sets = simhash.shingle_sets(df, 5).cache()
+    rows = simhash.prefixes(sets, 4, 5, simhash.frequent_shingles(sets)).withColumn("root", F.col("node"))
+    found = {tuple(r) for r in simhash.prefix_pairs(rows, 30_000, 4, 5).collect()}
+    own = {r["node"]: set(np.frombuffer(r["own"], np.uint64).tolist()) for r in sets.collect()}
+    keys = sorted(own)
+    want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1:] if 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b])}
+    assert want <= found and len(found) < 400 * 399 // 20
+
+
 def test_loser_tree():
     rng = random.Random(7)
     for _ in range(60):
