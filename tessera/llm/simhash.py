@@ -532,9 +532,22 @@ def pairs_of(key: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray,
     return settled() if found else np.zeros((0, 2), np.int64)
 
 
-def prefix_pairs(sets: DataFrame, n_entries: int, p: int, q: int) -> DataFrame:
+def _forest(pairs: np.ndarray, slack: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Those of the pairs that connect all roots that the pairs connect, the likeliest first."""
+    parent: dict = {}
+    keep = np.zeros(len(pairs), bool)
+    ends = root[pairs]
+    for i in np.argsort(slack, kind="stable").tolist():
+        a, b = (_find(parent, x) for x in ends[i].tolist())
+        if a != b:
+            parent[a] = b
+            keep[i] = True
+    return pairs[keep]
+
+
+def prefix_pairs(sets: DataFrame, n_entries: int, p: int, q: int, forest: bool = False) -> DataFrame:
     """Candidates (a, b): every two nodes of different roots whose prefixes meet and whose parities don't rule out a similarity of p/q, so every two of that
-    similarity or more. ``sets``: node, root, n, prefix, bits. A range gets a node's bits once; pairs that they rule out, which in a group of loosely like
+    similarity or more; with ``forest`` only a range's likeliest ones that connect the same roots. ``sets``: node, root, n, prefix, bits. A range gets a node's bits once; pairs that they rule out, which in a group of loosely like
     texts are nearly all, leave no task."""
     ranges = parts_for(n_entries * 24, 8 << 20)
     kinds = ("<u4", "<u4", "<i8", "<i8", "<i8", "<u4")
@@ -573,7 +586,11 @@ def prefix_pairs(sets: DataFrame, n_entries: int, p: int, q: int) -> DataFrame:
             a, b = pairs[:, 0], pairs[:, 1]
             return own.least_apart(a, b) * (p + q) <= (n[a] + n[b]) * (q - p)
 
-        got = np.sort(node[pairs_of(np.concatenate(keys), at, root[at], n[at], p, q, near=near)], 1)
+        pairs = pairs_of(np.concatenate(keys), at, root[at], n[at], p, q, near=near)
+        if forest and len(pairs):
+            a, b = pairs[:, 0], pairs[:, 1]
+            pairs = _forest(pairs, own.least_apart(a, b) * (p + q) - (n[a] + n[b]) * (q - p), root)
+        got = np.sort(node[pairs], 1)
         return pa.table({"a": pa.array(got[:, 0].copy()), "b": pa.array(got[:, 1].copy())})
 
     kind = "r int, keys binary, which binary, nodes binary, roots binary, sizes binary, lens binary, bits binary"
@@ -622,7 +639,8 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, sla
 
     All links, and only those, count: every candidate is verified on the shingle sets. Candidates come twice. 128-bit fingerprints come first
     (Jaccard j of sets of like size is a cosine of 2j/(1+j), and bits differ with the angle's share of pi, ``slack`` added); they join most groups cheaply
-    but find by likelihood. Then texts not joined yet are candidates if the prefixes of their sets meet, which similar sets always do.
+    but find by likelihood. Then texts not joined yet are candidates if the prefixes of their sets meet, which similar sets always do: two rounds verify
+    a forest of the likeliest pairs, which joins large groups without all their pairs, and a last one all pairs that are left.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -643,18 +661,24 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, sla
     likely = links.distinct().join(one, "a").join(two, "b").select("x", "y").union(nodes.join(named, "fp").where("node <> head").select("node", "head"))
     likely = likely.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     first = verified(likely, sets, nodes, p, q)
-    roots = components(first)
+    state = stage(nodes.select("node").join(components(first), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
+
+    def joined(links: DataFrame) -> DataFrame:
+        """The roots after links between them."""
+        if links.isEmpty():
+            return state
+        for c in ("a", "b"):
+            links = links.join(state.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c)
+        tops = components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        return stage(state.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+
     heads_of = stage(prefixes(sets, p, q, frequent_shingles(sets)), "prefixes")
     n_entries = heads_of.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8
-    rooted = heads_of.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "prefix", "bits")
-    second = verified(prefix_pairs(rooted, n_entries, p, q), sets, nodes, p, q)
-    # what the second kind of candidates joins are the components of the first
-    top = second
-    for c in ("a", "b"):
-        top = top.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(c, F.coalesce(f"root_{c}", c)).drop(f"root_{c}")
-    tops = components(top.select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    named = rows.join(sets.select("t", "node").distinct(), "t").join(roots, "node", "left").select("doc_id", "t", F.coalesce("root", "node").alias("root"))
-    return named.join(tops, "root", "left").select("doc_id", "t", F.coalesce("top", "root").alias("root"))
+    # large groups are joined by forests of their likeliest pairs first; the last round has every pair that is left between two roots
+    for forest in (True, True, False):
+        rooted = heads_of.join(state, "node").select("node", "root", "n", "prefix", "bits")
+        state = joined(verified(prefix_pairs(rooted, n_entries, p, q, forest), sets, nodes, p, q))
+    return rows.join(sets.select("t", "node").distinct(), "t").join(state, "node").select("doc_id", "t", "root")
 
 
 def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
