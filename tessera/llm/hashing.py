@@ -79,3 +79,19 @@ def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray):
     value = value[at] * powers(int(lens.max()))[rank]
     h = np.add.reduceat(value, np.cumsum(lens) - lens)
     return mix(h + lens.astype(np.uint64)), starts, ends, np.searchsorted(offs, starts, side="right") - 1
+
+
+def spans(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The indices of all spans, one after the other."""
+    return np.arange(int(lens.sum())) + np.repeat(starts - (np.cumsum(lens) - lens), lens)
+
+
+def rehash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Hashes of the same words by another table; both together have 128 bits."""
+    lens = ends - starts
+    if not len(lens):
+        return np.zeros(0, np.uint64)
+    begin = np.cumsum(lens) - lens
+    at = spans(starts, lens)
+    rank = np.arange(len(at)) - np.repeat(begin, lens)
+    return mix(np.add.reduceat(table[data[at]] * powers(int(lens.max()))[rank], begin) + lens.astype(np.uint64))
