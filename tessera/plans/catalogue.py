@@ -511,3 +511,6 @@ def tokenise_sft(spark, sf_dir):
     import public_tokenizers
 
     return tokenised(sft_format(spark, sf_dir), "text", library_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))).drop("text")
+
+
+from tessera.plans import retrieval  # noqa: E402, F401  registers its queries here
