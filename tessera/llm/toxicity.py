@@ -181,11 +181,13 @@ def features(histogram: np.ndarray, ratios: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], toxic: list[int], words: int = 1) -> Model:
-    """A model of a sample. Three of four texts make the dictionaries, the fourth the calibration."""
+    """A model of a sample. Of each label three of four texts make the dictionaries, the fourth the calibration."""
     y = np.array(toxic, np.int64)
     share = float(y.mean()) if len(y) else 0.0
     plain = _folded([t.encode("utf-8", "surrogatepass") for t in texts])
-    most = np.arange(len(y)) % 4 != 3
+    most = np.ones(len(y), bool)
+    for v in (0, 1):
+        most[np.flatnonzero(y == v)[3::4]] = False
     if len(np.unique(y[most])) < 2 or len(np.unique(y[~most])) < 2:
         return Model(b"", b"", b"", (), (), words, share)
     own = [t for t, m in zip(plain, most) if m]
