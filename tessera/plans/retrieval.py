@@ -9,8 +9,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import bm25, rouge
+from tessera.operators import bm25, mix, rouge
+from tessera.operators import evaluate as E
+from tessera.operators import grounding as G
+from tessera.operators import token_match as TM
 from tessera.operators import vector_index as VI
+from tessera.operators import webtext as W
 from tessera.operators.recursive_chunk import recursive_chunks
 from tessera.operators.rerank import rerank
 from tessera.plans.catalogue import docs, query, sql_words, table
@@ -125,3 +129,111 @@ def rouge_of_answers(spark, sf_dir):
     said = t.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("candidate"))
     got = rouge.rouge_l(said.join(asked, ["conv_id", "turn"]))
     return got.select("conv_id", "turn", "lcs", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f")])
+
+
+@query("token_match")
+def token_match(spark, sf_dir):
+    """Every assistant turn against the turn before it by matched token vectors, rarer words counting more (tests compare it with plain loops)."""
+    t = table(spark, sf_dir, "conversations")
+    key = F.concat_ws("-", "conv_id", "turn").alias("pair_id")
+    asked = t.select("conv_id", (F.col("turn") + 1).alias("turn"), T.words(F.col("text")).alias("r"))
+    said = t.where("role = 'assistant'").select("conv_id", "turn", T.words(F.col("text")).alias("c"))
+    rows = stage(said.join(asked, ["conv_id", "turn"]).select(key, "r", "c"), "turns")
+    sides = [rows.select("pair_id", F.col(c).alias("tokens")) for c in ("r", "c")]
+    weights = TM.document_frequencies(sides[0])
+    each = [TM.weighted(s, weights).withColumnRenamed("weights", f"{n}_weights") for s, n in zip(sides, ("reference", "candidate"))]
+    pairs = rows.join(each[0], "pair_id", "left").join(each[1], "pair_id", "left")
+    pairs = pairs.select("pair_id", word_vectors(F.col("r")).alias("reference"), word_vectors(F.col("c")).alias("candidate"), "reference_weights", "candidate_weights")
+    return TM.token_scores(pairs).select("pair_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f")])
+
+
+#: Answers that cite four paragraphs, one section and a table; every known paragraph interval covers seven numbers of ten.
+SQL_CITED = """
+WITH a AS (SELECT doc_id, doc_id % 500 AS p FROM documents),
+n AS (SELECT doc_id, unnest([p, p + 1, p + 2, p + 3]) AS number FROM a)
+SELECT n.doc_id AS answer_id, 3::BIGINT AS n_cited, (CASE WHEN bool_and(number % 10 <= 6 AND number // 10 <= (SELECT max(doc_id) FROM documents)) THEN 1 ELSE 0 END + 1)::BIGINT AS n_real
+FROM n GROUP BY n.doc_id
+"""
+
+
+@query("citation_accuracy", f"SELECT *, n_real / n_cited AS accuracy FROM ({SQL_CITED})")
+def citation_accuracy(spark, sf_dir):
+    """Citations of documents' texts under a made-up first sentence, resolved against intervals made of the documents' ids."""
+    d = docs(spark, sf_dir).select("doc_id", (F.col("doc_id") % 500).alias("p"), "text")
+    answers = d.select(F.col("doc_id").alias("answer_id"), F.concat(F.lit("See paragraphs "), "p", F.lit(" to "), F.col("p") + 3, F.lit(", section 12 and Table 9999: "), "text").alias("answer"))
+    first = (F.col("doc_id") * 10).alias("first")
+    known = d.select(F.lit("paragraph").alias("kind"), first, (F.col("doc_id") * 10 + 6).alias("last"))
+    known = known.unionByName(spark.range(1).select(F.lit("section").alias("kind"), F.lit(1).cast("long").alias("first"), F.lit(40).cast("long").alias("last")))
+    return G.citation_accuracy(answers, known)
+
+
+FIGURE = r"£?\d[\d,]*(?:\.\d+)?%?"
+SQL_FIGURES = "list_distinct(list_transform(regexp_extract_all({c}, '" + FIGURE + r"'), lambda x: regexp_replace(regexp_replace(x, '[£,]', '', 'g'), '^0+([0-9])', '\1')))"
+
+
+@query("number_grounding", f"""
+WITH s AS (SELECT conv_id, turn, {SQL_FIGURES.format(c="text || ' ' || turn || ' of 1,0' || conv_id")} AS said FROM conversations WHERE role = 'assistant'),
+r AS (SELECT conv_id, turn + 1 AS turn, {SQL_FIGURES.format(c="text || ' 10' || conv_id")} AS read FROM conversations)
+SELECT s.conv_id || '-' || s.turn AS answer_id, len(said)::BIGINT AS n_numbers, len(list_intersect(said, coalesce(read, [])))::BIGINT AS n_grounded,
+  list_sort(list_filter(said, lambda x: NOT list_contains(coalesce(read, []), x))) AS hallucinated, CASE WHEN len(said) > 0 THEN len(list_intersect(said, coalesce(read, []))) / len(said) END AS grounding
+FROM s LEFT JOIN r USING (conv_id, turn)
+""")
+def number_grounding(spark, sf_dir):
+    """Numbers of assistant turns (and two more made of their ids) looked for in the turn before."""
+    t = table(spark, sf_dir, "conversations")
+    answers = t.where("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("answer_id"), F.concat("text", F.lit(" "), "turn", F.lit(" of 1,0"), "conv_id").alias("answer"))
+    contexts = t.select(F.concat_ws("-", "conv_id", F.col("turn") + 1).alias("answer_id"), F.concat("text", F.lit(" 10"), "conv_id").alias("context"))
+    return G.number_grounding(answers, contexts)
+
+
+SQL_METRICS = f"""
+WITH hits AS (SELECT query_id, rank, id FROM {SQL_BM25}),
+gold AS (SELECT item_id AS query_id, doc_id AS id, doc_id % 3 AS grade FROM benchmark JOIN documents ON doc_id % 50 = item_id % 50 WHERE doc_id % 3 > 0),
+ideal AS (SELECT query_id, count(*) AS n_right, sum(CASE WHEN p <= 20 THEN (pow(2, grade) - 1) / log2(p + 1) ELSE 0 END) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, id) AS p FROM gold) GROUP BY query_id),
+found AS (SELECT query_id, count(*) AS n_hits, count(grade) AS n_found, min(CASE WHEN grade IS NOT NULL THEN rank END) AS first, sum(coalesce((pow(2, grade) - 1) / log2(rank + 1), 0)) AS gained FROM hits LEFT JOIN gold USING (query_id, id) GROUP BY query_id)
+SELECT b.item_id AS query_id, round(CASE WHEN n_right > 0 THEN coalesce(n_found / n_hits, 0) END, 9) AS precision, round(CASE WHEN n_right > 0 THEN coalesce(n_found / n_right, 0) END, 9) AS recall,
+  round(CASE WHEN n_right > 0 THEN coalesce(1 / first, 0) END, 9) AS reciprocal_rank, round(CASE WHEN n_right > 0 THEN coalesce(gained, 0) / best END, 9) AS ndcg, CASE WHEN (coalesce(n_right, 0) > 0) = (coalesce(n_hits, 0) > 0) THEN 1.0 ELSE 0.0 END::DOUBLE AS abstained_right
+FROM (SELECT DISTINCT item_id FROM benchmark) b LEFT JOIN ideal ON ideal.query_id = b.item_id LEFT JOIN found ON found.query_id = b.item_id
+"""
+
+
+def scored_questions(spark, sf_dir):
+    """BM25's twenty documents against a gold set that the ids give: a third grade nothing, a third 1, a third 2."""
+    asked = word_questions(spark, sf_dir)
+    found = bm25.search(spark, bm25_index(spark, sf_dir), asked, k=20)
+    d = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), (F.col("doc_id") % 50).alias("class"), (F.col("doc_id") % 3).alias("grade"))
+    gold = asked.select("query_id", (F.col("query_id") % 50).alias("class")).join(d, "class").drop("class")
+    return E.retrieval_metrics(asked, found, gold, k=20)
+
+
+@query("retrieval_metrics", SQL_METRICS)
+def retrieval_metrics(spark, sf_dir):
+    return scored_questions(spark, sf_dir).withColumns({c: F.round(c, 9) for c in E.METRICS[:4]})
+
+
+@query("bootstrap_intervals")
+def bootstrap_intervals(spark, sf_dir):
+    """Intervals of the metrics' means over 1,000 replicates (tests compare them with a plain bootstrap)."""
+    return E.bootstrap(scored_questions(spark, sf_dir), list(E.METRICS), replicates=1000, seed=1)
+
+
+# --- corpus ---
+@query("page_text")
+def page_text(spark, sf_dir):
+    """Main text of every page; the choice of blocks has no SQL (tests compare with a parser and with all runs)."""
+    return W.page_texts(table(spark, sf_dir, "pages"))
+
+
+@query("source_mix", """
+WITH s AS (SELECT source, count(*) AS n, sqrt(count(*)) AS pull FROM documents GROUP BY source),
+t AS (SELECT (SELECT count(*) FROM documents) // 10 AS total, (SELECT sum(pull) FROM s) AS whole),
+x AS (SELECT source, pull * total / whole AS exact, total FROM s, t),
+f AS (SELECT *, floor(exact)::BIGINT AS base, row_number() OVER (ORDER BY exact - floor(exact) DESC, source) AS place FROM x)
+SELECT source, base + CASE WHEN place <= total - (SELECT sum(base) FROM f) THEN 1 ELSE 0 END AS n_rows, base + CASE WHEN place <= total - (SELECT sum(base) FROM f) THEN 1 ELSE 0 END AS n_distinct FROM f
+""")
+def source_mix(spark, sf_dir):
+    """A tenth of all documents, drawn from the sources at temperature 2; longer documents weigh more. The sizes have SQL, the draw is tested."""
+    d = docs(spark, sf_dir)
+    total = d.count() // 10
+    drawn = mix.draw(d, mix.shares(d, total, temperature=2.0), ["doc_id"], weight=F.log(F.length("text") + 2.0))
+    return drawn.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("doc_id").alias("n_distinct"))
