@@ -30,15 +30,16 @@ _TABLE = 22  # bits of the table of runs
 LONGEST = 64  # bytes; longer words are cut
 MOST = 8  # differences beyond this many bytes count as this many
 BINS = 2 * MOST + 1
-DICTIONARY = 32 << 10
-CACHE = 1 << 18  # windows whose difference a worker remembers
+DICTIONARY = 8 << 10
+LEVELS = (3, 19)  # greedy matches find short parts, optimal parsing tells long ones from chains of syllables
+CACHE = 1 << 19  # windows whose differences a worker remembers, also for its next tasks
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries, the lead of every window, the ratio of each difference and the logistic curve (constant, sum, sum over root of windows, log of windows)."""
+    """Dictionaries, the lead of every window, the ratio of each difference and the logistic curve (constant; for each level the sum; the same over the root of the windows; the log of their number)."""
 
     toxic: bytes
     ordinary: bytes
@@ -75,47 +76,58 @@ def windows(data: np.ndarray, offs: np.ndarray, words: int):
     return text[first], h, starts, ends, first
 
 
-def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+def _compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
     held = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    how = zstandard.ZstdCompressionParameters.from_level(3, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False, min_match=3)
+    how = zstandard.ZstdCompressionParameters.from_level(level, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False, min_match=3)
     held.precompute_compress(compression_params=how)
     return zstandard.ZstdCompressor(dict_data=held, compression_params=how)
 
 
+_held: dict = {}
+
+
+def differences(model: Model) -> Differences:
+    """Those of the model, kept by the worker."""
+    key = model.toxic, model.ordinary, model.lead, model.words
+    if key not in _held:
+        _held.clear()
+        _held[key] = Differences(*key)
+    return _held[key]
+
+
 class Differences:
-    """How many bytes shorter a window becomes with the toxic dictionary than with the ordinary one."""
+    """How many bytes shorter a window becomes with the toxic dictionary than with the ordinary one, at each of the levels."""
 
     def __init__(self, toxic: bytes, ordinary: bytes, lead: bytes, words: int):
-        self.toxic, self.ordinary = _compressor(toxic), _compressor(ordinary)
+        self.pairs = [(_compressor(toxic, x), _compressor(ordinary, x)) for x in LEVELS]
         self.lead, self.words, self.cache = lead, words, {}
 
-    def of(self, window: bytes) -> int:
+    def of(self, window: bytes) -> tuple[int, ...]:
         found = self.cache.get(window)
         if found is None:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            both = self.lead + window
-            found = len(self.ordinary.compress(both)) - len(self.toxic.compress(both))
-            found = self.cache[window] = max(-MOST, min(MOST, found))
+            both = self.lead + window + self.lead  # zstandard begins no match in the last eight bytes
+            found = self.cache[window] = tuple(max(-MOST, min(MOST, len(o.compress(both)) - len(t.compress(both)))) for t, o in self.pairs)
         return found
 
     def histograms(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """(texts, BINS) windows by difference."""
+        """(texts, levels * BINS) windows by difference."""
         data = _LOWER[data]
         text, h, starts, ends, first = windows(data, offs, self.words)
         if not len(first):
-            return np.zeros((len(offs) - 1, BINS), np.int64)
+            return np.zeros((len(offs) - 1, len(LEVELS) * BINS), np.int64)
         order = np.argsort(h, kind="stable")
         new = np.r_[True, h[order][1:] != h[order][:-1]]
         raw, last = data.tobytes(), np.r_[first[1:], len(starts)]
-        for_text = text
-        found = np.empty(int(new.sum()), np.int64)
+        found = np.empty((int(new.sum()), len(LEVELS)), np.int64)
         for i, w in enumerate(order[new].tolist()):
             a, b = int(first[w]), int(last[w])
             found[i] = self.of(b"".join(b" " + raw[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist())) + b" ")
-        each = np.empty(len(h), np.int64)
+        each = np.empty((len(h), len(LEVELS)), np.int64)
         each[order] = found[np.cumsum(new) - 1]
-        return np.bincount(for_text * BINS + each + MOST, minlength=(len(offs) - 1) * BINS).reshape(-1, BINS)
+        place = (text[:, None] * len(LEVELS) + np.arange(len(LEVELS))) * BINS + each + MOST
+        return np.bincount(place.reshape(-1), minlength=(len(offs) - 1) * len(LEVELS) * BINS).reshape(-1, len(LEVELS) * BINS)
 
 
 def _folded(texts: list[bytes]) -> list[bytes]:
@@ -135,7 +147,7 @@ def _runs(text: bytes) -> np.ndarray:
 
 def standing_out(texts: list[bytes], toxic: np.ndarray, least_z: float = 5.0, least_ratio: float = 2.5) -> np.ndarray:
     """Marks of the byte runs that far more toxic texts have, by place in the table."""
-    have = np.zeros((2, 1 << _TABLE))
+    have = np.zeros((2, 1 << _TABLE), np.float32)
     for t, y in zip(texts, toxic.tolist()):
         g = np.sort(_runs(t))
         have[y][g[np.r_[True, g[1:] != g[:-1]]] if len(g) else g] += 1
@@ -176,8 +188,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
 
 
 def features(histogram: np.ndarray, ratios: np.ndarray) -> np.ndarray:
-    s, n = histogram @ ratios, histogram.sum(1)
-    return np.stack([np.ones(len(n)), s, s / np.sqrt(n + 1), np.log1p(n)], 1)
+    n = histogram[:, :BINS].sum(1)
+    sums = [histogram[:, a: a + BINS] @ ratios[a: a + BINS] for a in range(0, len(ratios), BINS)]
+    return np.stack([np.ones(len(n)), *sums, *(s / np.sqrt(n + 1) for s in sums), np.log1p(n)], 1)
 
 
 def fit(texts: list[str], toxic: list[int], words: int = 1) -> Model:
@@ -213,32 +226,38 @@ def fit(texts: list[str], toxic: list[int], words: int = 1) -> Model:
     data, offs = text_bytes(pa.array(check, pa.binary()))
     hist, v = differ.histograms(data, offs), y[~most]
     one, zero = hist[v == 1].sum(0), hist[v == 0].sum(0)
-    ratios = np.log((one + 0.5) / (one.sum() + 0.5 * BINS)) - np.log((zero + 0.5) / (zero.sum() + 0.5 * BINS))
+    n = max(1, one[:BINS].sum()), max(1, zero[:BINS].sum())
+    ratios = np.log((one + 0.5) / (n[0] + 0.5 * BINS)) - np.log((zero + 0.5) / (n[1] + 0.5 * BINS))
     curve = _logistic(features(hist, ratios), v)
     return Model(*model, lead, tuple(ratios.tolist()), tuple(curve.tolist()), words, share)
 
 
-def sample(rows_of: DataFrame, rows: int, nbytes: int) -> tuple[list[str], list[int]]:
-    """Distinct texts and labels of ``rows_of`` (text, toxic): those of the smallest hashes, ``rows`` and ``nbytes`` at most. A text with both labels counts as toxic."""
-    keyed = rows_of.select(F.xxhash64("text").alias("t"), "text", "toxic")
-    keys = keyed.groupBy("t").agg(F.max(F.octet_length("text")).alias("n"), F.max("toxic").alias("y")).orderBy("t").limit(rows).collect()
-    total, labels = 0, {}
+def sample(docs: DataFrame, labels: DataFrame, rows: int, nbytes: int) -> tuple[list[str], list[int]]:
+    """Distinct texts and labels: those of the smallest hashes, ``rows`` and ``nbytes`` at most. A text with both labels counts as toxic.
+
+    Only hashes are joined with the labels; the chosen texts are found by a broadcast of no more than ``rows`` hashes."""
+    t = F.xxhash64(F.col("text").cast("string"))
+    keyed = docs.where("text IS NOT NULL").select("doc_id", t.alias("t"), F.octet_length("text").alias("n"))
+    marked = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+    keys = keyed.join(marked, "doc_id").groupBy("t").agg(F.max("n").alias("n"), F.max("y").alias("y")).orderBy("t").limit(rows).collect()
+    total, chosen = 0, {}
     for k in keys:
         total += k["n"]
         if total > nbytes:
             break
-        labels[k["t"]] = k["y"]
-    if not labels:
+        chosen[k["t"]] = k["y"]
+    if not chosen:
         return [], []
-    found = keyed.where(F.col("t") <= max(labels)).groupBy("t").agg(F.min("text").alias("text")).toArrow()
+    own = docs.sparkSession.createDataFrame([(x,) for x in chosen], "t long")
+    found = docs.where("text IS NOT NULL").select(t.alias("t"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "t")
+    found = found.groupBy("t").agg(F.min("text").alias("text")).toArrow()
     texts = dict(zip(found.column("t").to_pylist(), found.column("text").to_pylist()))
-    return [texts[t] for t in labels], list(labels.values())
+    return [texts[x] for x in chosen], list(chosen.values())
 
 
-def train(rows_of: DataFrame, rows: int = 20_000, nbytes: int = 32 << 20, words: int = 1) -> Model:
-    """A model of the labelled rows ``rows_of`` (text, toxic 0 or 1); at most ``rows`` and ``nbytes`` of them reach the driver."""
-    labelled = rows_of.where("text IS NOT NULL AND toxic IN (0, 1)").select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    return fit(*sample(labelled, rows, nbytes), words=words)
+def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, nbytes: int = 24 << 20, words: int = 1) -> Model:
+    """A model of the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic 0 or 1) names; at most ``rows`` texts of ``nbytes`` together reach the driver."""
+    return fit(*sample(docs, labels, rows, nbytes), words=words)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
@@ -254,7 +273,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
 
     def run(batches):
         m = shared.value
-        differ = Differences(m.toxic, m.ordinary, m.lead, m.words)
+        differ = differences(m)
         ratios, curve = np.array(m.ratios), np.array(m.curve)
         for batch in batches:
             data, offs = text_bytes(batch.column(place).cast(pa.string()))
@@ -283,7 +302,6 @@ def held_out(doc_id: str | Column) -> Column:
 
 def op11_zstd_toxicity(spark, sf_dir):
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = train(docs.where(~held_out("doc_id")).join(labels, "doc_id").select("text", "toxic"))
+    model = train(docs.where(~held_out("doc_id")), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
     got = score(docs, model)
     return got.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
