@@ -493,88 +493,159 @@ class Parities:
         return out
 
 
-def pairs_of(key: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, p: int, q: int, small: int = 24, near=None) -> np.ndarray:
-    """(m, 2) nodes that share a key, differ in their roots and are near enough in size, and for which ``near`` of the pairs holds."""
+def _distinct(pairs: list[np.ndarray]) -> np.ndarray:
+    """The distinct ones of (m, 2) arrays of places, the smaller place first."""
+    both = np.sort(np.concatenate([np.zeros((0, 2), np.int64), *pairs]), 1)
+    key = np.unique(both[:, 0] << 32 | both[:, 1])
+    return np.stack([key >> 32, key & 0xFFFFFFFF], 1)
+
+
+def pairs_of(key: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, p: int, q: int, small: int = 24, near=None, tile: int = 512, side: np.ndarray | None = None, forest=None) -> np.ndarray:
+    """(m, 2) nodes (places below 2^31) that share a key, differ in their roots, are near enough in size and for which ``near`` of the pairs holds.
+
+    Keys of many nodes are gone through tile by tile, so no more than ``tile`` squared pairs are held before ``near`` has seen them. With ``side`` only pairs of
+    different sides count. With ``forest``, a function that thins pairs out, nodes that its pairs have joined aren't paired again.
+    """
+    near = near or (lambda pairs: np.ones(len(pairs), bool))
     order = np.lexsort((node, n, key))
     key, node, root, n = key[order], node[order], root[order], n[order]
+    side = None if side is None else side[order]
     if not len(key):
         return np.zeros((0, 2), np.int64)
     keep = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
     key, node, root, n = key[keep], node[keep], root[keep], n[keep]
+    side = None if side is None else side[keep]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
     mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
     fine = np.flatnonzero(np.repeat(mixed & (sizes <= small), sizes))
     k2, found = key[fine], []
-
-    def settled():
-        pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0)
-        return pairs if near is None else pairs[near(pairs)]
-
     for d in range(1, small):
         same = np.flatnonzero(k2[d:] == k2[:-d])
         if not len(same):
             break
         a, b = fine[same], fine[same + d]
         use = (n[a] * q >= n[b] * p) & (root[a] != root[b])
+        if side is not None:
+            use &= side[a] != side[b]
         found.append(np.stack([node[a[use]], node[b[use]]], 1))
-    held = 0
+    pairs = _distinct(found)
+    out = [pairs[near(pairs)]]
     for s, size in zip(starts[mixed & (sizes > small)].tolist(), sizes[mixed & (sizes > small)].tolist()):
-        e = s + size
-        for i in range(s, e):
-            end = int(np.searchsorted(n[i + 1: e], n[i] * q // p, side="right")) + i + 1
-            other = node[i + 1: end][root[i + 1: end] != root[i]]
-            if len(other):
-                found.append(np.stack([np.full(len(other), node[i]), other], 1))
-                held += len(other)
-        if held > 1 << 18:
-            found, held = [settled()], 0
-    return settled() if found else np.zeros((0, 2), np.int64)
-
-
-def _forest(pairs: np.ndarray, slack: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """Those of the pairs that connect all roots that the pairs connect, the likeliest first."""
+        e, own = s + size, root[s: s + size].copy()
+        for i in range(s, e, tile):
+            top = int(np.searchsorted(n[s:e], n[min(e, i + tile) - 1] * q // p, side="right")) + s
+            rows = np.arange(i, min(e, i + tile))
+            for j in range(i, top, tile):
+                cols = np.arange(j, min(top, j + tile))
+                use = (own[rows - s][:, None] != own[cols - s]) & (n[rows][:, None] * q >= n[cols] * p) & (rows[:, None] < cols)
+                if side is not None:
+                    use &= side[rows][:, None] != side[cols]
+                a, b = np.nonzero(use)
+                if not len(a):
+                    continue
+                a, b = rows[a], cols[b]
+                pairs = np.stack([node[a], node[b]], 1)
+                hit = near(pairs)
+                a, b, pairs = a[hit], b[hit], pairs[hit]
+                if forest is not None and len(pairs):
+                    keep = forest(pairs, own[a - s], own[b - s])
+                    pairs = pairs[keep]
+                    own = _joined(own, own[a[keep] - s], own[b[keep] - s])
+                out.append(pairs)
+    return _distinct(out)
+
+
+def _joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The labels after x[i] and y[i] have become one, for every i."""
     parent: dict = {}
-    keep = np.zeros(len(pairs), bool)
-    ends = root[pairs]
+    for a, b in zip(x.tolist(), y.tolist()):
+        a, b = _find(parent, a), _find(parent, b)
+        if a != b:
+            parent[a] = b
+    if not parent:
+        return label
+    old = np.array(sorted(parent), label.dtype)
+    new = np.array([_find(parent, v) for v in old.tolist()], label.dtype)
+    at = np.minimum(np.searchsorted(old, label), len(old) - 1)
+    return np.where(old[at] == label, new[at], label)
+
+
+def _forest(slack: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the pairs of labels (x[i], y[i]) connect all that the pairs connect, the likeliest first."""
+    parent: dict = {}
+    keep = np.zeros(len(slack), bool)
     for i in np.argsort(slack, kind="stable").tolist():
-        a, b = (_find(parent, x) for x in ends[i].tolist())
+        a, b = _find(parent, x[i].item()), _find(parent, y[i].item())
         if a != b:
             parent[a] = b
             keep[i] = True
-    return pairs[keep]
+    return keep
+
+
+RANGE_ENTRIES = 1 << 20  # of the prefixes' shingles that meet in one task; a range that has more is dealt out as pairs of blocks
+
+
+def _token_range(token: np.ndarray, ranges: int) -> np.ndarray:
+    return (token % np.uint64(ranges)).astype(np.int64)
 
 
-def prefix_pairs(sets: DataFrame, n_entries: int, p: int, q: int, forest: bool = False) -> DataFrame:
+def token_ranges(n_entries: int) -> int:
+    return parts_for(n_entries * 24, 8 << 20)
+
+
+def oversize(prefixes: DataFrame, n_entries: int, most: int = RANGE_ENTRIES) -> dict[int, int]:
+    """The ranges of shingles that have over ``most`` entries in the prefixes, and the blocks that they are dealt out to."""
+    ranges = token_ranges(n_entries)
+
+    def run(batches):
+        total = np.zeros(ranges, np.int64)
+        for batch in batches:
+            token = mix(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64))
+            total += np.bincount(_token_range(token, ranges), minlength=ranges)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["r", "n"])
+
+    n = prefixes.select("prefix").mapInArrow(lean(run), "r int, n long").groupBy("r").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    return {r["r"]: -(-r["n"] // most) for r in n.collect()}  # hot ranges only
+
+
+def prefix_pairs(sets: DataFrame, n_entries: int, p: int, q: int, forest: bool = False, blocks: dict[int, int] | None = None) -> DataFrame:
     """Candidates (a, b): every two nodes of different roots whose prefixes meet and whose parities don't rule out a similarity of p/q, so every two of that
-    similarity or more; with ``forest`` only a range's likeliest ones that connect the same roots. ``sets``: node, root, n, prefix, bits. A range gets a node's bits once; pairs that they rule out, which in a group of loosely like
-    texts are nearly all, leave no task."""
-    ranges = parts_for(n_entries * 24, 8 << 20)
+    similarity or more; with ``forest`` only a task's likeliest ones that connect the same roots. ``sets``: node, root, n, prefix, bits. A range gets a node's bits once; pairs that they rule out, which in a group of loosely like
+    texts are nearly all, leave no task. A range that ``blocks`` names is dealt out: its nodes by their hash, and every two of its blocks meet in a task of their own."""
     kinds = ("<u4", "<u4", "<i8", "<i8", "<i8", "<u4")
+    blocks, ranges = blocks or {}, token_ranges(n_entries)
+    n_blocks = np.ones(ranges, np.int64)
+    n_blocks[list(blocks)] = list(blocks.values())
+    shared = sets.sparkSession.sparkContext.broadcast(n_blocks)
+    columns = ["r", "own", "keys", "which", "nodes", "roots", "sizes", "lens", "bits"]
 
     def spread(batches):
         for batch in batches:
             prefix, bits = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()], batch.column(4).to_pylist()
+            cols = [np.array(batch.column(c), np.int64) for c in range(3)]
             token = mix(np.concatenate([np.zeros(0, np.uint64), *prefix]))
             row = np.repeat(np.arange(len(prefix)), [len(x) for x in prefix])
-            r = (token % np.uint64(ranges)).astype(np.int64)
-            order = np.argsort(r, kind="stable")
-            row, r, token = row[order], r[order], token[order] >> np.uint64(32)  # a meeting by chance is one more candidate
-            cols = [np.array(batch.column(c), np.int64) for c in range(3)]
-            cuts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, np.int64)
-            out: list[list] = [[] for _ in range(8)]
+            r = _token_range(token, ranges)
+            own = (mix(cols[0].view(np.uint64))[row] % shared.value[r].astype(np.uint64)).astype(np.int64)
+            order = np.lexsort((own, r))
+            row, r, own, token = row[order], r[order], own[order], token[order] >> np.uint64(32)  # a meeting by chance is one more candidate
+            cuts = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (own[1:] != own[:-1])]) if len(r) else np.zeros(0, np.int64)
+            out: list[list] = [[] for _ in columns]
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(r)]):
-                own, which = np.unique(row[a:b], return_inverse=True)
-                held = [bits[i] for i in own.tolist()]
-                arrays = (token[a:b], which, *(c[own] for c in cols), [len(x) for x in held])
-                for kept, x in zip(out, (r[a], *(np.asarray(x).astype(k).tobytes() for x, k in zip(arrays, kinds)), b"".join(held))):
+                here, which = np.unique(row[a:b], return_inverse=True)
+                held = [bits[i] for i in here.tolist()]
+                arrays = (token[a:b], which, *(c[here] for c in cols), [len(x) for x in held])
+                for kept, x in zip(out, (r[a], own[a], *(np.asarray(x).astype(k).tobytes() for x, k in zip(arrays, kinds)), b"".join(held))):
                     kept.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["r", "keys", "which", "nodes", "roots", "sizes", "lens", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()) for x in out[:2]] + [pa.array(x, pa.binary()) for x in out[2:]], columns)
 
-    def link(_, t):
-        keys, which, node, root, n, lens = ([np.frombuffer(x, k) for x in t.column(c).to_pylist()] for c, k in zip(("keys", "which", "nodes", "roots", "sizes", "lens"), kinds))
+    def link(k, t):
+        keys, which, node, root, n, lens = ([np.frombuffer(x, z) for x in t.column(c).to_pylist()] for c, z in zip(columns[2:8], kinds))
         base = np.cumsum([0, *map(len, node)])
         at = np.concatenate([x.astype(np.int64) + b for x, b in zip(which, base)])
+        side = None if k[1].as_py() == k[2].as_py() else np.repeat(np.array(t.column("own"), np.int64), [len(x) for x in which])
         node, root, n = map(np.concatenate, (node, root, n))
         bits = []
         for blob, sizes in zip(t.column("bits").to_pylist(), lens):
@@ -582,20 +653,26 @@ def prefix_pairs(sets: DataFrame, n_entries: int, p: int, q: int, forest: bool =
             bits += [blob[a:b] for a, b in zip([0, *ends], ends)]
         own = Parities(bits)
 
-        def near(pairs):
+        def slack(pairs):
             a, b = pairs[:, 0], pairs[:, 1]
-            return own.least_apart(a, b) * (p + q) <= (n[a] + n[b]) * (q - p)
+            return own.least_apart(a, b) * (p + q) - (n[a] + n[b]) * (q - p)
 
-        pairs = pairs_of(np.concatenate(keys), at, root[at], n[at], p, q, near=near)
+        thin = (lambda pairs, x, y: _forest(slack(pairs), x, y)) if forest else None
+        pairs = pairs_of(np.concatenate(keys), at, root[at], n[at], p, q, near=lambda pairs: slack(pairs) <= 0, side=side, forest=thin)
         if forest and len(pairs):
-            a, b = pairs[:, 0], pairs[:, 1]
-            pairs = _forest(pairs, own.least_apart(a, b) * (p + q) - (n[a] + n[b]) * (q - p), root)
+            pairs = pairs[_forest(slack(pairs), root[pairs[:, 0]], root[pairs[:, 1]])]
         got = np.sort(node[pairs], 1)
         return pa.table({"a": pa.array(got[:, 0].copy()), "b": pa.array(got[:, 1].copy())})
 
-    kind = "r int, keys binary, which binary, nodes binary, roots binary, sizes binary, lens binary, bits binary"
+    kind = "r int, own int, keys binary, which binary, nodes binary, roots binary, sizes binary, lens binary, bits binary"
     blobs = sets.select("node", "root", "n", "prefix", "bits").mapInArrow(lean(spread), kind)
-    return blobs.repartition(ranges, "r").groupBy("r").applyInArrow(link, "a long, b long").distinct()
+    if blocks:
+        hot = sets.sparkSession.createDataFrame(list(blocks.items()), "r int, blocks int")
+        blobs = blobs.join(F.broadcast(hot), "r", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))  # a row a hot range
+    else:
+        blobs = blobs.withColumn("other", F.lit(0))
+    dealt = blobs.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).select("r", "i", "j", *columns[1:])
+    return dealt.repartition(ranges, "r", "i", "j").groupBy("r", "i", "j").applyInArrow(link, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, p: int, q: int) -> DataFrame:
@@ -674,10 +751,14 @@ def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, sla
 
     heads_of = stage(prefixes(sets, p, q, frequent_shingles(sets)), "prefixes")
     n_entries = heads_of.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8
+    blocks = oversize(heads_of, n_entries)
     # large groups are joined by forests of their likeliest pairs first; the last round has every pair that is left between two roots
     for forest in (True, True, False):
         rooted = heads_of.join(state, "node").select("node", "root", "n", "prefix", "bits")
-        state = joined(verified(prefix_pairs(rooted, n_entries, p, q, forest), sets, nodes, p, q))
+        before, state = state, joined(verified(prefix_pairs(rooted, n_entries, p, q, forest, blocks), sets, nodes, p, q))
+        if forest and state is before:  # no forest joins anything more
+            state = joined(verified(prefix_pairs(rooted, n_entries, p, q, False, blocks), sets, nodes, p, q))
+            break
     return rows.join(sets.select("t", "node").distinct(), "t").join(state, "node").select("doc_id", "t", "root")
 
 

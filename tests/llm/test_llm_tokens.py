@@ -548,3 +548,68 @@ def test_pipeline_on_odd_tables(spark, sf, tmp_path):
         assert len(kept) == len(set(kept))
         pieces = c.run(spark, folder).collect()
         assert {r["doc_id"] for r in pieces} == {k for k, _ in kept}
+
+
+def _loosely_like(n, seed=3, words=120, own=24):
+    """Texts that share most of their words in order, each with words of its own spread over it: similarities under 0.8."""
+    rng = np.random.default_rng(seed)
+    base = [f"b{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        t = list(base)
+        for j in rng.choice(words, size=own, replace=False).tolist():
+            t[j] = f"x{i}_{j}"
+        out.append(" ".join(t))
+    return out
+
+
+def test_pairs_of_a_hot_key_in_tiles():
+    """One key of 5,000 nodes: pairs are made tile by tile and forests don't pair again what they have joined, in bounded time."""
+    import time
+
+    n = 5000
+    key, node, size = np.zeros(n, np.uint64), np.arange(n), np.full(n, 100)
+    seen = []
+
+    def near(pairs):
+        seen.append(len(pairs))
+        return (pairs[:, 1] - pairs[:, 0]) % 997 == 0
+
+    began = time.perf_counter()
+    got = simhash.pairs_of(key, node, node, size, 4, 5, near=near)
+    assert time.perf_counter() - began < 30 and max(seen) <= 512 * 512 and sum(seen) == n * (n - 1) // 2
+    assert {tuple(x) for x in got.tolist()} == {(a, b) for a in range(n) for b in range(a + 997, n, 997)}
+    seen.clear()
+    slack = lambda pairs, x, y: simhash._forest(np.zeros(len(pairs)), x, y)
+    joined = simhash.pairs_of(key, node, node, size, 4, 5, near=lambda pairs: near(pairs) | True, forest=slack)
+    assert len(joined) == n - 1 and sum(seen) < 8_000_000  # a spanning tree, and far fewer pairs looked at than there are
+    side = node % 2
+    cross = simhash.pairs_of(key[:60], node[:60], node[:60], size[:60], 4, 5, side=side[:60])
+    assert {tuple(x) for x in cross.tolist()} == {(a, b) for a in range(60) for b in range(a + 1, 60, 2)}
+
+
+def test_hot_shingles_are_dealt_out(spark):
+    """A range over the limit is split into blocks whose pairs meet in tasks of their own: the same candidates as from one task."""
+    texts = _loosely_like(60) + [f"{t} tail" for t in _loosely_like(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "t long, text string")
+    sets = simhash.shingle_sets(df, 5)
+    heads = simhash.prefixes(sets, 4, 5, simhash.frequent_shingles(sets)).cache()
+    rows = heads.select("node", F.col("node").alias("root"), "n", "prefix", "bits")
+    n = heads.agg(F.sum(F.octet_length("prefix"))).first()[0] // 8
+    blocks = simhash.oversize(heads, n, most=n // 40)
+    assert blocks and max(blocks.values()) > 1
+    pairs = lambda **how: {tuple(r) for r in simhash.prefix_pairs(rows, n, 4, 5, **how).collect()}
+    assert pairs(blocks=blocks) == pairs()
+    forest = pairs(blocks=blocks, forest=True)
+    assert forest <= pairs() and len(forest) >= 60
+
+
+def test_many_loosely_like_texts(spark):
+    """Two thousand texts that are like, but not enough, each with one near copy: only the copies are joined."""
+    import time
+
+    texts = _loosely_like(2000)
+    docs = [(i, t) for i, t in enumerate(texts)] + [(2000 + i, f"{t} end") for i, t in enumerate(texts)]
+    began = time.perf_counter()
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i % 2000 for i in range(4000)} and time.perf_counter() - began < 240
