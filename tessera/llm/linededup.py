@@ -1,7 +1,7 @@
 """Line deduplication by overlapping windows of three lines.
 
 Lines are split at LF; blank ones are left alone and don't count. Every three consecutive lines (trimmed of ASCII blanks) are
-hashed to 128 bits. The first occurrence of a window in (doc_id, position) order stays; the lines
+hashed to 128 bits. The first occurrence of a window in (doc_id, position) order stays, null doc_ids coming last; the lines
 under every later one go, overlapping windows being merged. Windows are judged on the input, not on what is left.
 
 Only windows that occur twice or more are joined back, so texts move once, with the positions they lose. A window
@@ -57,9 +57,10 @@ def later_windows(docs: DataFrame, text: str = "text", window: int = 3) -> DataF
     """doc_id and t of a row, and the positions of its windows that occurred before."""
     ship(docs.sparkSession)
     all_windows = stage(line_windows(docs, text, window), "windows")
-    first = all_windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos", "t")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "pos", "t")  # a null doc_id is last
+    first = all_windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return (
-        all_windows.join(first, ["h1", "h2"]).where(~(F.struct("doc_id", "pos", "t").eqNullSafe(F.col("first"))))
+        all_windows.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
         .groupBy("doc_id", "t").agg(F.collect_set("pos").alias("later"))
     )
 
@@ -121,7 +122,7 @@ WITH lines AS (
 ), windows AS (
   SELECT doc_id, pos, line AS a, lead(line) OVER w AS b, lead(line, 2) OVER w AS c FROM used WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
 ), ranked AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS nth FROM windows WHERE c IS NOT NULL
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id NULLS LAST, pos) AS nth FROM windows WHERE c IS NOT NULL
 ), gone AS (
   SELECT DISTINCT doc_id, pos + k AS pos FROM ranked, (VALUES (0), (1), (2)) AS v(k) WHERE nth > 1
 ), judged AS (
