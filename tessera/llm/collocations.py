@@ -4,7 +4,8 @@
    each range of cells what it has there, sorted and delta-coded. A range adds the batches up: the merged sketch. A cell never counts less than any of its
    n-grams, so an n-gram with a cell under ``least`` is not frequent, and only it can be dropped.
 2. The cells that reach ``least`` are broadcast as two bitmaps, folded to about eight bits a surviving cell; if they outgrow ``filter_bytes``, groups of ranges
-   take turns, a scan each. N-grams with both bits are counted exactly: per batch by 128-bit hashes, then by language and phrase.
+   take turns, a scan each. N-grams with both bits are counted exactly: per batch by 128-bit hashes, then by language and
+   phrase, first in the task and then in the phrase's hash range.
 3. Parts, scores and longer phrases are joins of those counts. An n-gram that is contained in a longer one of nearly its count is contained in one that is just
    one word longer with at least that count, so only those are compared.
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm import hashing
-from tessera.llm.common import documents, lean, rough_bytes, ship, stage, text_bytes
+from tessera.llm.common import documents, lean, parts_for, rough_bytes, ship, stage, text_bytes
 from tessera.llm.repeats import pack_sorted, squeeze, unpack_sorted, unsqueeze
 
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -169,8 +170,37 @@ def _filters(survivors: DataFrame, range_bits: int, filter_bytes: int):
         yield a, b, shift, np.packbits(bits, axis=1, bitorder="little")
 
 
-def _survivors(texts: DataFrame, longest: int, range_bits: int, found, batch_bytes: int) -> DataFrame:
-    """lang, phrase, k, n: counts per batch of the n-grams that the bitmaps let through. A null phrase has the words of a language; only the first scan counts those."""
+class _Tally:
+    """Counts of phrases, added up whenever they have doubled."""
+
+    KEYS = ("h", "lang", "phrase", "k")
+
+    def __init__(self):
+        self.parts, self.rows, self.settled = [], 0, 0
+
+    def add(self, t: pa.Table) -> None:
+        self.parts.append(t)
+        self.rows += t.num_rows
+        if self.rows > max(1 << 17, 2 * self.settled):
+            self.settle()
+
+    def settle(self) -> pa.Table:
+        if self.parts:
+            t = pa.concat_tables(self.parts).group_by(self.KEYS, use_threads=False).aggregate([("n", "sum")]).rename_columns([*self.KEYS, "n"])
+            self.parts, self.rows, self.settled = [t], t.num_rows, t.num_rows
+            return t
+        return pa.table([pa.array([], k) for k in (pa.uint64(), pa.string(), pa.string(), pa.int32(), pa.int64())], [*self.KEYS, "n"])
+
+
+def _lists(t: pa.Table, names) -> list[pa.Array]:
+    """One list of each column."""
+    return [pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t.column(c).combine_chunks()) for c in names]
+
+
+def _survivors(texts: DataFrame, longest: int, least: int, range_bits: int, found, batch_bytes: int, parts: int, most: int = 1 << 20) -> DataFrame:
+    """lang, phrase, k, n of the n-grams that the bitmaps let through and that occur ``least`` times. A null phrase has the words of a language; only the first scan counts those.
+
+    A task adds up its counts and sends each of ``parts`` hash ranges one row with all that it has there (more rows if it has over ``most`` phrases)."""
     a, b, shift, bitmaps = found
     shared = texts.sparkSession.sparkContext.broadcast(bitmaps)
 
@@ -186,13 +216,26 @@ def _survivors(texts: DataFrame, longest: int, range_bits: int, found, batch_byt
             use = use[(shared.value[row, c >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1]
         return use
 
+    def packed(t: pa.Table):
+        part = (np.asarray(t.column("h")) % np.uint64(parts)).astype(np.int64)
+        t = t.take(pa.array(np.argsort(part, kind="stable")))
+        cuts = np.searchsorted(np.sort(part), np.arange(parts + 1)).tolist()
+        for i, (x, y) in enumerate(zip(cuts, cuts[1:])):
+            if y > x:
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *_lists(t.slice(x, y - x), ("lang", "phrase", "k", "n"))], ["part", "lang", "phrase", "k", "n"])
+
     def run(batches):
+        tally = _Tally()
         for t, lang in _batched(batches, batch_bytes):
             words = Words(t, lang)
             names = pa.array(words.langs, pa.string())
+
+            def counted(h, lang, phrases, k, n):
+                tally.add(pa.table([pa.array(h), lang, phrases, pa.array(np.full(len(n), k, np.int32)), pa.array(n.astype(np.int64))], [*_Tally.KEYS, "n"]))
+
             if a == 0 and len(words.h):
                 n = np.bincount(words.lang[words.text], minlength=len(words.langs))
-                yield pa.RecordBatch.from_arrays([names, pa.nulls(len(n), pa.string()), pa.array(np.zeros(len(n), np.int32)), pa.array(n.astype(np.int64))], ["lang", "phrase", "k", "n"])
+                counted(np.zeros(len(n), np.uint64), names, pa.nulls(len(n), pa.string()), 0, n)
             for k, at, h, h2 in words.grams(longest, second=True):
                 use = passing(h)
                 if not len(use):
@@ -200,13 +243,27 @@ def _survivors(texts: DataFrame, longest: int, range_bits: int, found, batch_byt
                 order = use[np.argsort(h[use], kind="stable")]
                 x, y = h[order], h2[order]
                 new = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-                first, n = at[order[new]], np.diff(np.r_[new, len(order)])
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(words.lang[words.text[first]])), words.phrases(first, k), pa.array(np.full(len(n), k, np.int32)), pa.array(n.astype(np.int64))], ["lang", "phrase", "k", "n"])
+                first = at[order[new]]
+                counted(x[new], names.take(pa.array(words.lang[words.text[first]])), words.phrases(first, k), k, np.diff(np.r_[new, len(order)]))
+            if tally.settled > most:
+                yield from packed(tally.settle())
+                tally = _Tally()
+        yield from packed(tally.settle())
+
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally()
+        for batch in batches:
+            columns = [batch.column(c).flatten() for c in ("lang", "phrase", "k", "n")]
+            tally.add(pa.table([pa.array(np.zeros(len(columns[0]), np.uint64)), *columns], [*_Tally.KEYS, "n"]))
+        t = tally.settle()
+        t = t.filter((np.asarray(t.column("n")) >= least) | np.asarray(t.column("phrase").is_null())).drop_columns(["h"])
+        yield from t.to_batches()
 
-    return texts.mapInArrow(lean(run), "lang string, phrase string, k int, n long")
+    rows = texts.mapInArrow(lean(run), "part int, lang array<string>, phrase array<string>, k array<int>, n array<long>")
+    return rows.groupBy("part").applyInArrow(merge, "lang string, phrase string, k int, n long")
 
 
-def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, range_bits: int | None = None, batch_bytes: int = 8 << 20, filter_bytes: int = 64 << 20, text: str = "text", lang: str = "lang") -> DataFrame:
+def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, range_bits: int | None = None, batch_bytes: int = 5 << 20, filter_bytes: int = 64 << 20, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, phrase, k (words) and n (all occurrences) of every phrase of up to ``longest`` words with ``least`` occurrences or more in its language; and for each
     language a row with a null phrase, k = 0 and the number of its words. Written to the shared folder."""
     if least < 1 or longest < 1:
@@ -215,11 +272,11 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, range_bit
     texts = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
     if range_bits is None:  # a cell for about eight bytes of files, so ten to twenty n-grams a cell
         range_bits = max(0, min(14, int(rough_bytes(docs, text) / 8).bit_length() - CELL_BITS))
+    parts = min(4096, parts_for(rough_bytes(docs, text), 32 << 20))
     survivors = stage(_sketch(texts, longest, least, range_bits, batch_bytes), "sketch")
     counts = None
     for found in _filters(survivors, range_bits, filter_bytes):
-        own = _survivors(texts, longest, range_bits, found, batch_bytes).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where(f"n >= {least} OR phrase IS NULL")
-        own = stage(own, "phrases")
+        own = stage(_survivors(texts, longest, least, range_bits, found, batch_bytes, parts), "phrases")
         counts = own if counts is None else counts.unionByName(own)
     if counts is None:
         return docs.sparkSession.createDataFrame([], "lang string, phrase string, k int, n long")
