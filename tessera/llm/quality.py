@@ -13,6 +13,7 @@ asked for their words, and one without lang is.
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -139,14 +140,23 @@ METHOD_RULES = (
     Rule("stop_words", lambda m: m.other_lang or m.n_stop_words >= 2),
     Rule("letter_words", lambda m: 10 * m.n_letter_words >= 7 * len(m.text.split())),
 )
-#: For a corpus that keeps short documents: few words are no fault, and too few to ask for stop words or to count repeats on.
-SHORT = 50
+
+
+def share_between(k: int, n: int, z: float = 1.645) -> tuple[float, float]:
+    """Bounds of a share of which k of n were seen (Wilson's interval); the fewer there are, the wider it is."""
+    if not n:
+        return 0.0, 1.0
+    middle, spread = k + z * z / 2, z * math.sqrt(k * (n - k) / n + z * z / 4)
+    return max(0.0, (middle - spread) / (n + z * z)), min(1.0, (middle + spread) / (n + z * z))
+
+
+#: For a corpus that keeps short documents: rates are asked of every text, and reject it if they are beyond doubt at its length.
 CORPUS_RULES = (
     Rule("words", lambda m: m.n_words >= 1),
-    Rule("repeats", lambda m: m.n_words < SHORT or 100 * m.n_repeat_words <= 50 * m.n_words),
+    Rule("repeats", lambda m: share_between(m.n_repeat_words, m.n_words)[0] <= 0.5),
     *(r for r in METHOD_RULES if r.name not in ("stop_words", "letter_words")),
-    Rule("stop_words", lambda m: m.n_words < SHORT or m.other_lang or m.n_stop_words >= 2),
-    Rule("letter_words", lambda m: m.n_words < 4 or 10 * m.n_letter_words >= 7 * len(m.text.split())),
+    Rule("stop_words", lambda m: m.other_lang or share_between(min(m.n_stop_words, m.n_words), m.n_words)[1] >= 0.04),
+    Rule("letter_words", lambda m: share_between(m.n_letter_words, len(m.text.split()))[1] >= 0.7),
 )
 SAMPLE = 4096  # documents, about
 

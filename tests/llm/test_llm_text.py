@@ -156,6 +156,19 @@ def test_corpus_rules_keep_short_clean_documents(spark, sf):
         assert n >= share * all_of if good else n <= (1 - share) * all_of
 
 
+def test_corpus_rules_follow_the_length():
+    """Rates reject where they are beyond doubt: no rule is switched off by a number of words."""
+    keeps = lambda t: quality.keeps(quality.CORPUS_RULES, quality.Measures(t))
+    assert not keeps("buy now " * 24) and not keeps("buy now buy now buy now") and not keeps("1234 5678 9012") and not keeps("") and not keeps(" \n")
+    assert not keeps(" ".join(f"wort{i}x" for i in "abcdefghijklmnopqrstuvw" * 4))  # 92 words, none a function word
+    assert keeps("A short note on the river.") and keeps("hello") and keeps("the old mill by the river was to be sold and then it was not")
+    for n in (1, 5, 60, 5000):
+        for k in (0, n // 2, n):
+            low, high = quality.share_between(k, n)
+            assert 0 <= low <= k / n <= high <= 1
+    assert quality.share_between(0, 0) == (0.0, 1.0)
+
+
 LINES = [(1, "a\nb\nc\nd"), (2, "x\na\n\nb \nc\nd\ny"), (3, "q\nq\nq\nq\nq"), (4, None), (5, ""), (6, "a\nb"), (7, "a\nb\nc\nd"), (8, "a\nb\nz\nb\nc\nd")]
 
 
