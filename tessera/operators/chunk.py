@@ -43,11 +43,12 @@ def keep_long(chunks: DataFrame, order: list[str], least: int = 50, first: DataF
 
     ``first``: its place, where it is known more cheaply than from the chunks.
     """
-    first = (chunks.orderBy(*order).limit(1) if first is None else first).select(*[F.col(c).alias(f"__{c}") for c in order])
+    own = {c: unused(chunks.columns, f"first_{c}") for c in order}
+    first = (chunks.orderBy(*order).limit(1) if first is None else first).select(*[F.col(c).alias(own[c]) for c in order])
     same = F.lit(True)
     for c in order:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return chunks.join(F.broadcast(first), same, "left").where((F.col("n_words") >= least) | F.col(f"__{order[-1]}").isNotNull()).drop(*[f"__{c}" for c in order])  # one row
+        same = same & F.col(c).eqNullSafe(F.col(own[c]))
+    return chunks.join(F.broadcast(first), same, "left").where((F.col("n_words") >= least) | F.col(own[order[-1]]).isNotNull()).drop(*own.values())  # one row
 
 
 def head(df: DataFrame, order: list[str], n: int) -> DataFrame:
@@ -76,18 +77,20 @@ def has_keyword(c: Column, keywords) -> Column:
 
 
 def sections(df: DataFrame, profile: SectionProfile = WIDE, text: str = "text") -> DataFrame:
-    """A row per numbered section: pos (from 0, among sections), paragraph_id, ``section`` (clean, with its code) and ``body`` (without).
+    """A row per numbered section: pos (from 0, among sections), paragraph_id, ``section`` (clean, with its code) and ``body`` (without). Columns of these names are replaced.
 
     A section reaches from its code to the next one or the end; what stands before the first code is dropped.
     """
     code = "(?U)" + profile.code
     parts = F.filter(F.split(F.col(text), f"(?U)(?={profile.code})"), lambda x: x.rlike(f"\\A{code}"))
+    raw = unused(df.columns, "raw")
+    kept = [F.col(f"`{c}`") for c in df.columns if c != text and c.lower() not in ("pos", "paragraph_id", "section", "body")]
     out = (
-        df.select(*[c for c in df.columns if c != text], F.posexplode(parts).alias("pos", "__raw"))
-        .withColumn("paragraph_id", F.substring("__raw", 1, 5))
-        .withColumn("section", T.clean_text(F.col("__raw")))
+        df.select(*kept, F.posexplode(parts).alias("pos", raw))
+        .withColumn("paragraph_id", F.substring(raw, 1, 5))
+        .withColumn("section", T.clean_text(F.col(raw)))
         .where(F.length("section") > profile.least_chars)
     )
     if profile.keywords:
         out = out.where(has_keyword(F.col("section"), profile.keywords))
-    return out.withColumn("body", T.strip(T.strip_code(F.col("section")))).drop("__raw")
+    return out.withColumn("body", T.strip(T.strip_code(F.col("section")))).drop(raw)

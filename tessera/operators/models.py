@@ -62,8 +62,9 @@ class EchoGenerator:
 
 
 def embed(df: DataFrame, text: str, embedder: Embedder, batch: int = 32, into: str = "embedding") -> DataFrame:
-    """Adds unit vectors of a text column; the embedder is called with ``batch`` texts."""
+    """Adds unit vectors of a text column, in place of a column of that name; the embedder is called with ``batch`` texts."""
     ship(df.sparkSession)
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c != into or c == text])
     at = df.columns.index(text)
     schema = T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.FloatType()))])
 
@@ -80,8 +81,9 @@ def embed(df: DataFrame, text: str, embedder: Embedder, batch: int = 32, into: s
 
 
 def generate(df: DataFrame, prompt: str, generator: Generator, temperature: float = 0.3, max_new_tokens: int = 300, into: str = "response", seconds: str = "seconds", batch: int = 8) -> DataFrame:
-    """Adds the generator's stripped answer and the time it took; null prompts have null answers."""
+    """Adds the generator's stripped answer and the time it took, in place of columns of these names; null prompts have null answers."""
     ship(df.sparkSession)
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (into, seconds) or c == prompt])
     at = df.columns.index(prompt)
     schema = T.StructType([*df.schema.fields, T.StructField(into, T.StringType()), T.StructField(seconds, T.DoubleType())])
 

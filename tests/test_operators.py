@@ -247,3 +247,27 @@ def test_qa_records(spark):
     got = P.qa_records(spark.createDataFrame(rows, "section string, gen string"), "section", "gen").collect()
     assert got[0]["instruction"] == "What is the  rule about here?" and got[0]["output"] == rows[0][0][6:1000]
     assert got[1]["instruction"].endswith("body...")
+
+
+def test_columns_of_the_same_names(spark):
+    """Columns that the operators add or use inside replace their namesakes or stand beside them."""
+    manual = "\n17001 " + "first section " * 10 + "\n18002 " + "second section " * 10
+    df = spark.createDataFrame([(manual, 7, "x", "y", "z", "w", "v")], "text string, pos long, section string, body string, paragraph_id string, raw string, __raw string")
+    got = C.sections(df).orderBy("pos").collect()
+    assert [(r["pos"], r["paragraph_id"], r["raw"], r["__raw"]) for r in got] == [(0, "17001", "w", "v"), (1, "18002", "w", "v")] and got[0]["body"].startswith("first")
+    rows = spark.createDataFrame([("k", 2, "b", None), ("k", 1, "a", 5), (None, 3, "c", 6)], "key string, n int, first string, __first int")
+    assert sorted((tuple(r) for r in keep_first(rows, ["key"], ["n"]).collect()), key=repr) == sorted([("k", 1, "a", 5), (None, 3, "c", 6)], key=repr)
+    long = spark.createDataFrame([(1, 0, 3, 9, 9), (1, 1, 60, 9, 9), (2, 0, 3, 9, 9)], "doc_id long, chunk_idx int, n_words int, first_doc_id int, __doc_id int")
+    assert [(r["doc_id"], r["chunk_idx"], r["first_doc_id"]) for r in C.keep_long(long, ["doc_id", "chunk_idx"]).orderBy("doc_id", "chunk_idx").collect()] == [(1, 0, 9), (1, 1, 9)]
+    texts = spark.createDataFrame([("a b", "old", 1.0)], "text string, embedding string, seconds double")
+    v = M.embed(texts, "text", M.HashingEmbedder(8)).first()
+    assert len(v["embedding"]) == 8 and v["seconds"] == 1.0
+    g = M.generate(texts.withColumnRenamed("embedding", "response"), "text", M.EchoGenerator()).first()
+    assert g["response"].startswith("base:") and len(g) == 3
+
+
+def test_resume_with_null_keys(spark):
+    todo = spark.createDataFrame([(1, "a"), (None, "b"), (2, None)], "k long, v string")
+    done = spark.createDataFrame([(None, "b"), (None, "b"), (1, "z")], "k long, v string")
+    assert sorted((tuple(r) for r in resume(todo, done, ["k", "v"]).collect()), key=repr) == sorted([(1, "a"), (2, None)], key=repr)
+    assert [tuple(r) for r in resume(todo, done, ["k"]).collect()] == [(2, None)]
