@@ -9,15 +9,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions import vocabulary as V
 from tessera.operators import bm25, mix, rouge
+from tessera.operators import chunk as C
 from tessera.operators import evaluate as E
 from tessera.operators import grounding as G
+from tessera.operators import models as M
+from tessera.operators import prompt as P
 from tessera.operators import token_match as TM
 from tessera.operators import vector_index as VI
 from tessera.operators import webtext as W
 from tessera.operators.recursive_chunk import recursive_chunks
 from tessera.operators.rerank import rerank
-from tessera.plans.catalogue import docs, query, sql_words, table
+from tessera.plans import corpus
+from tessera.plans.catalogue import ORACLES, QUERIES, WS, docs, manual, query, sql_sections, sql_text, sql_words, table
+from tessera.sources import records
 from tessera.sources.shared import shared_path, stage
 
 
@@ -237,3 +243,53 @@ def source_mix(spark, sf_dir):
     total = d.count() // 10
     drawn = mix.draw(d, mix.shares(d, total, temperature=2.0), ["doc_id"], weight=F.log(F.length("text") + 2.0))
     return drawn.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("doc_id").alias("n_distinct"))
+
+
+# --- files, end to end ---
+@query("jsonl_round_trip", ORACLES["training_records"])
+def jsonl_round_trip(spark, sf_dir):
+    """Training records written as JSON lines and read back."""
+    path = shared_path(spark, "records")
+    records.write_jsonl(QUERIES["training_records"](spark, sf_dir), path)
+    return records.read_jsonl(spark, path)
+
+
+@query("jsonl_append_resume", "SELECT doc_id, text FROM documents")
+def jsonl_append_resume(spark, sf_dir):
+    """Labelled documents first, then all of them twice: each is there once."""
+    path, kind = shared_path(spark, "appended"), "doc_id long, text string"
+    d = docs(spark, sf_dir).select("doc_id", "text")
+    records.append_jsonl(d.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi"), path, ["doc_id"], kind)
+    for _ in range(2):
+        records.append_jsonl(d, path, ["doc_id"], kind)
+    return records.read_jsonl(spark, path, kind)
+
+
+SQL_CHUNKS = f"""
+WITH s AS (SELECT 's' || lpad(doc_id::VARCHAR, 12, '0') AS source_doc, pos, paragraph_id, body AS text FROM ({sql_sections('17000 + length(text) % 100', V.SECTION_WIDE)})),
+c AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY paragraph_id, text ORDER BY source_doc, pos) = 1),
+b AS (SELECT source_doc, coalesce(sum(max(pos) + 1) OVER (ORDER BY source_doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM c GROUP BY source_doc)
+SELECT (base + pos)::BIGINT AS chunk_id, paragraph_id, text, 'Paragraph ' || paragraph_id || ': ' || text AS formatted_text, source_doc, 'hashing-64' AS model_name, 64 AS dim FROM c JOIN b USING (source_doc)
+"""
+
+
+@query("index_round_trip", SQL_CHUNKS)
+def index_round_trip(spark, sf_dir):
+    """Manuals to sections, distinct paragraphs, ids and vectors (of the stand-in), written as an index and read back."""
+    path = shared_path(spark, "index")
+    source = F.concat(F.lit("s"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("source_doc")
+    chunks = corpus.paragraph_chunks(manual(spark, sf_dir, 17000 + F.length("text") % 100).select(source, "text"))
+    records.write_index(corpus.build_index(stage(chunks, "chunks"), M.HashingEmbedder(64, "hashing-64")), path, "hashing-64")
+    got = records.read_index(spark, path)
+    return got.select("chunk_id", "paragraph_id", "text", "formatted_text", "source_doc", "model_name", F.size("embedding").alias("dim"))
+
+
+SQL_BODY = f"regexp_replace(substr(section, 1, 1000), '^[0-9]{{5}}{WS}*', '')"
+
+
+@query("question_synthesis", f"SELECT {sql_text(V.Names().fill(V.FALLBACK_QUESTION))} || substr({SQL_BODY}, 1, 80) || '...' AS instruction, '' AS input, {SQL_BODY} AS output FROM ({sql_sections('17000 + doc_id % 700', V.SECTION_WIDE)})")
+def question_synthesis(spark, sf_dir):
+    """A question for every section: prompt, generator (the stand-in, whose answers are no questions), cleaning, and the fallback."""
+    s = C.sections(manual(spark, sf_dir, 17000 + F.col("doc_id") % 700))
+    asked = s.withColumn("prompt", P.plain_prompt(T.question_prompt(T.strip_code(F.substring("section", 1, 1000)))))
+    return P.qa_records(M.generate(asked, "prompt", M.EchoGenerator(), 0.0, 40, into="generated"), "section", "generated")
