@@ -1,6 +1,6 @@
 """Finding repeated windows of fixed length without moving every window.
 
-Texts are dealt once into blocks (by a hash of doc_id). In every window of ``length`` units (bytes or words) the
+Texts are dealt once into blocks (by a hash of doc_id and text). In every window of ``length`` units (bytes or words) the
 smallest-hashed run of ``gram`` units is its anchor; equal windows have equal anchors at equal places. Consecutive windows
 with one anchor form a record: its text reaches from the first window's start to the last one's end.
 
@@ -234,7 +234,8 @@ def remove_repeats(
     parts = max(parts_for(size, block_bytes, 1), min(int(spark.conf.get("spark.sql.shuffle.partitions")), parts_for(size, 1 << 19, 1)))
     ranges = parts if range_bytes in (None, block_bytes) else parts_for(size, range_bytes, 1)
     bits = min(63, max(1, size).bit_length() + 10)
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    # by the text too: rows without doc_id, or of one doc_id, are no block of their own
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
     blocks = docs.repartition(parts, "block")
 
     key = F.coalesce("doc_id", F.lit(LAST))

@@ -613,3 +613,19 @@ def test_many_loosely_like_texts(spark):
     began = time.perf_counter()
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {i: i % 2000 for i in range(4000)} and time.perf_counter() - began < 240
+
+
+@pytest.mark.parametrize("ids", [None, 7])
+def test_rows_of_one_id_are_spread_over_blocks(spark, ids):
+    """A table of null ids, or of one id, is no single block, and its results are those of the definition: no smaller doc_id, but windows elsewhere."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    passage = " ".join(rng.choices(words, k=40))
+    texts = [" ".join(rng.choices(words, k=60)) + (" " + passage if i % 3 == 0 else "") for i in range(30)]
+    docs = spark.createDataFrame([(ids, t) for t in texts], "doc_id long, text string")
+    seen = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(8)).alias("block")).distinct().count()
+    assert seen > 4
+    suffixes = suffix_dedup(docs, block_bytes=2000, digests=True)
+    assert {(r["n_removed"], r["n_spans"]) for r in suffixes.collect()} == {(0, 0)}  # no doc_id is smaller
+    got = sorted(r["n_removed"] for r in substring_dedup(docs, block_bytes=2000, digests=True).collect())
+    assert got == sorted([40] * 10 + [0] * 20)
