@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vocabulary as V
 from tessera.operators.workers import ship
+from tessera.sources.shared import stage
 
 SLICE = 512  # texts scored together
 DIGITS = 10  # scores that agree so far are tied
@@ -93,7 +93,7 @@ class _Block:
 def _scan(questions: DataFrame, index: DataFrame, kind: str, score, stop_words, synonyms, block: int) -> list[DataFrame]:
     """``score(block, ids, has, embedding)``'s columns for every slice of the index, as a table of ``kind`` for each block of questions.
 
-    With several blocks each is scored at once and kept on disk, and its questions leave the executors before the next ones come.
+    With several blocks each is scored at once and written to the shared folder, and its questions leave the executors before the next ones come.
     """
     spark = index.sparkSession
     ship(spark)
@@ -120,9 +120,8 @@ def _scan(questions: DataFrame, index: DataFrame, kind: str, score, stop_words,
         found = index.select(F.col("chunk_id").cast("long"), has.alias("has"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, kind)
         rows = next(blocks, None)
         if out or rows:
-            found = found.persist(StorageLevel.DISK_ONLY)
-            found.count()
-            shared.unpersist()  # not destroyed: a lost partition is made again
+            found = stage(found, "hits")
+            shared.destroy()  # what is written needs it no more, whatever machine is lost
         out.append(found)
     return out
 
