@@ -362,3 +362,29 @@ def test_ranks_equal_dense_iteration(spark):
         for _ in range(12):
             r = 0.15 * start + 0.85 * r @ w
         assert np.allclose([got.get(h, (0, 0))[k] for h in names], r)
+
+
+def test_link_query_equals_sql_on_linked_pages(spark, tmp_path):
+    """The tables have no links between hosts, so the SQL is also asked of pages that have: trust and distrust decide some verdicts."""
+    import random
+
+    import duckdb
+
+    rng = random.Random(11)
+    hosts = [f"h{i}.{t}" for i in range(9) for t in ("io", "example.com", "example.net", "org")]
+    rows = []
+    for i in range(400):
+        host = rng.choice(hosts)
+        path = rng.choice(["", "/", "/en/7", "/de/81", "/es/1", "/fr/x?q=1", "/en/9#a"])
+        links = "".join(f"<a href=\"{rng.choice(['http', 'https'])}://{rng.choice(hosts[:12] if rng.random() < 0.5 else hosts)}/p\">x</a>" for _ in range(rng.randrange(5)))
+        rows.append((i, f"http://{host}{path}", f"<p>{links}</p>"))
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = registry.QUERIES["op3_link_trust"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    cur = con.execute(registry.ORACLES["op3_link_trust"])
+    names = [c[0] for c in cur.description]
+    want = sorted(tuple(r[names.index(c)] for c in got.columns) for r in cur.fetchall())
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 400
+    plain = {r[-1] for r in want if r[got.columns.index("rule")] is None}
+    assert plain == {"allow", "block"}  # by the links, without a rule
