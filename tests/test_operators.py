@@ -271,3 +271,24 @@ def test_resume_with_null_keys(spark):
     done = spark.createDataFrame([(None, "b"), (None, "b"), (1, "z")], "k long, v string")
     assert sorted((tuple(r) for r in resume(todo, done, ["k", "v"]).collect()), key=repr) == sorted([(1, "a"), (2, None)], key=repr)
     assert [tuple(r) for r in resume(todo, done, ["k"]).collect()] == [(2, None)]
+
+
+def test_scores_are_compared_unrounded_and_summed_in_order(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[20:] = x[:20] * (1 - 1e-12 * rng.integers(0, 3, size=(20, 1)))
+    loop = lambda a, b: float(np.cumsum(np.array(a) * np.array(b))[-1])
+    index = [(i, "no", v.tolist()) for i, v in enumerate(x)] + [(99, "alpha", None)]
+    asked = [(i, "alpha", x[i].tolist()) for i in range(20)]
+    want = []
+    for q, _, v in asked:
+        rows = sorted((-(0.5 * (loop(w, v) if w else 0.0) + 0.5 * (t == "alpha")), i) for i, t, w in index)[:3]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(rows)]
+    index = spark.createDataFrame(index, "chunk_id long, text string, embedding array<double>")
+    asked = spark.createDataFrame(asked, "query_id long, query string, embedding array<double>")
+    for parts in (1, 3):
+        got = R.retrieve(asked, index.repartition(parts)).orderBy("query_id", "rank").collect()
+        assert [(r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in got] == want
+    assert any(b[2] == 99 for b in want if b[1] == 1)
+    assert R.retrieve(asked, index, k=0).count() == 0
