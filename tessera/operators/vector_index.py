@@ -5,7 +5,8 @@ a search reads only the cells it probes) with its code, how far its code is from
 those that may be among the best, and fetches only their vectors. The similarity is the inner product, which is the cosine of unit vectors.
 
 Two ways to keep candidates: ``refine`` times k codes a query (the usual, approximate one), or, with ``refine=None``, every code whose greatest possible score
-reaches the k-th best least possible one, which gives the exact best of the probed cells: exact altogether if all cells are probed.
+reaches the k-th best least possible one, which gives the exact best of the probed cells: exact altogether if all cells are probed. The exact way scans twice, for the
+least scores and for the vectors, ``SLICE`` of them at a time; a task passes on no more than k rows a query, however many candidates there are.
 
 Defined results: a null vector is one of zeros; a null id is last among ties; repeated rows are found each; an empty table gives an empty index, and a search in
 it no rows; vectors of another length than the fitted ones raise.
@@ -21,11 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.vectors import products_in_order
 from tessera.operators.workers import ship
 
 SAMPLE = 1 << 16  # vectors that a fit takes at most
 ROWS_A_FILE = 1 << 20
 DIGITS = 10  # scores that agree so far are tied
+SLICE = 2048  # vectors that are scored together in an exact search
+PAIRS = 1 << 16  # pairs of query and candidate that are scored together
 _INDEX = "id long, code binary, off float, embedding array<float>, cell int"
 
 
@@ -53,6 +57,10 @@ class Quantiser:
     def decoded(self, code: np.ndarray) -> np.ndarray:
         return self.books[np.arange(len(self.books)), code]
 
+    def said(self, cell: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The vectors that cells and codes stand for."""
+        return self.centres[cell] + self.decoded(code).reshape(len(code), -1)
+
     def widened(self, x: np.ndarray) -> np.ndarray:
         if x.shape[1] != self.dim:
             raise ValueError(f"the index is of vectors of {self.dim} numbers")
@@ -170,8 +178,12 @@ def _greatest(values: np.ndarray, k: int) -> float:
     return float(np.partition(values, len(values) - k)[-k]) if len(values) >= k else -np.inf
 
 
-def _candidates(index: DataFrame, quantiser: Quantiser, x: np.ndarray, probed: np.ndarray, k: int, refine: int | None) -> DataFrame:
-    """q, cell, id, low, high: of each task the codes that may be among the k best of a query by what the task has seen. low and high bound the score."""
+def _code(column: pa.Array, parts: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), parts)
+
+
+def _candidates(index: DataFrame, quantiser: Quantiser, x: np.ndarray, probed: np.ndarray, keep: int) -> DataFrame:
+    """q, cell, id, low: of each task the codes that may be among the ``keep`` best of a query by what the task has seen; low is the code's score."""
     asked: dict[int, list[int]] = {}
     for q, cells in enumerate(probed.tolist()):
         for c in cells:
@@ -182,35 +194,118 @@ def _candidates(index: DataFrame, quantiser: Quantiser, x: np.ndarray, probed: n
         quantiser, x, asked = shared.value
         parts = np.arange(len(quantiser.books))
         tables = np.einsum("qmd,mwd->qmw", x.reshape(len(x), len(parts), -1), quantiser.books)
-        base, size = x @ quantiser.centres.T, np.sqrt((x**2).sum(1)) * (1 + 1e-9) + 1e-12
-        best = [np.zeros(0)] * len(x)  # the greatest lows (or scores) of each query so far
+        base = x @ quantiser.centres.T
+        best = [np.zeros(0)] * len(x)  # the greatest scores of each query so far
         for batch in batches:
             cell, ids = np.asarray(batch.column(3)), np.asarray(batch.column(0).fill_null(np.iinfo(np.int64).max))
-            code = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, len(parts))
-            off = np.asarray(batch.column(2), np.float64)
-            out = []
+            code = _code(batch.column(1), len(parts))
             for c in np.unique(cell).tolist():
-                rows = np.flatnonzero(cell == c)
+                rows, out = np.flatnonzero(cell == c), []
                 for q in asked.get(c, ()):
                     score = base[q, c] + tables[q][parts, code[rows]].sum(1)
-                    margin = size[q] * off[rows] if refine is None else 0.0
-                    keep = k if refine is None else k * refine
-                    low, high = score - margin, score + margin
-                    seen = np.concatenate([best[q], low])
+                    seen = np.concatenate([best[q], score])
                     floor = _greatest(seen, keep)
                     best[q] = np.sort(seen)[-keep:]
-                    use = np.flatnonzero(high >= floor)
-                    if refine is not None:  # of equal scores the least ids, so that no number of copies is passed on
-                        use = use[np.lexsort((ids[rows[use]], -low[use]))[:keep]]
+                    use = np.flatnonzero(score >= floor)
+                    use = use[np.lexsort((ids[rows[use]], -score[use]))[:keep]]  # of equal scores the least ids, so that no number of copies is passed on
                     if len(use):
-                        out.append((np.full(len(use), q, np.int32), np.full(len(use), c, np.int32), rows[use], low[use], np.broadcast_to(high, low.shape)[use]))
-            if out:
-                q, c, rows, low, high = (np.concatenate(z) for z in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), batch.column(0).take(pa.array(rows)), pa.array(low), pa.array(high)], ["q", "cell", "id", "low", "high"])
+                        out.append((np.full(len(use), q, np.int32), np.full(len(use), c, np.int32), rows[use], score[use]))
+                if out:
+                    q, c, rows, low = (np.concatenate(z) for z in zip(*out))
+                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), batch.column(0).take(pa.array(rows)), pa.array(low)], ["q", "cell", "id", "low"])
 
     cells = [int(c) for c in asked]
     scanned = index.where(F.col("cell").isin(cells)).select("id", "code", "off", "cell")  # reads these folders only
-    return scanned.mapInArrow(run, "q int, cell int, id long, low double, high double")
+    return scanned.mapInArrow(run, "q int, cell int, id long, low double")
+
+
+class _Bounds:
+    """Which cells a query probes, and the interval in which a vector's score lies by its code."""
+
+    def __init__(self, quantiser: Quantiser, x: np.ndarray, probed: np.ndarray):
+        self.quantiser, self.x = quantiser, x
+        self.asks = np.zeros((len(x), len(quantiser.centres)), bool)
+        np.put_along_axis(self.asks, probed, True, 1)
+        self.size = np.sqrt((x**2).sum(1))[:, None] * (1 + 1e-9) + 1e-12
+
+    def of(self, batch: pa.RecordBatch):
+        """(low, high), each (queries, vectors), of a slice with the columns code, off and cell from the second on; -inf where a query doesn't probe the cell."""
+        cell = np.asarray(batch.column(3))
+        middle = self.x @ self.quantiser.said(cell, _code(batch.column(1), len(self.quantiser.books))).T
+        middle[~self.asks[:, cell]] = -np.inf
+        margin = self.size * np.asarray(batch.column(2), np.float64)
+        return middle - margin, middle + margin
+
+
+def _slices(batches, size: int = SLICE):
+    for batch in batches:
+        for a in range(0, batch.num_rows, size):
+            yield batch.slice(a, size)
+
+
+def _floors(index: DataFrame, bounds, n: int, k: int) -> np.ndarray:
+    """The k-th greatest low of each of the ``n`` queries; -inf where there are fewer."""
+
+    def run(batches):
+        best = np.full((n, k), -np.inf)
+        for part in _slices(batches):
+            low, _ = bounds.value.of(part)
+            rows = np.flatnonzero((low > best.min(1)[:, None]).any(1))
+            both = np.concatenate([best[rows], low[rows]], 1)
+            best[rows] = np.partition(both, both.shape[1] - k, 1)[:, -k:]
+        q, at = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(best[q, at])], ["q", "low"])
+
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("low")))
+    out = np.full(n, -np.inf)
+    for r in index.select("id", "code", "off", "cell").mapInArrow(run, "q int, low double").withColumn("n", place).where(F.col("n") == k).select("q", "low").collect():  # a row a query of this turn
+        out[r["q"]] = r["low"]
+    return out
+
+
+def _exact(index: DataFrame, quantiser: Quantiser, x: np.ndarray, probed: np.ndarray, k: int) -> DataFrame:
+    """q, id, score: of each task the k best of a query among the vectors whose greatest possible score reaches the query's floor."""
+    context = index.sparkSession.sparkContext
+    index = index.where(F.col("cell").isin([int(c) for c in np.unique(probed)]))  # reads these folders only
+    bounds = context.broadcast(_Bounds(quantiser, x, probed))
+    floors = context.broadcast(_floors(index, bounds, len(x), k) - 10.0**-DIGITS)  # scores are rounded
+    dim = quantiser.dim
+
+    def run(batches):
+        own, least = bounds.value, floors.value[:, None]
+        x = own.x[:, :dim]
+        slack = 1e-9 * (1 + own.size)  # of a matrix product, times the greatest vector
+        best = np.full((len(x), k), -np.inf)  # rounded scores, the greatest first
+        ids, null = np.zeros((len(x), k), np.int64), np.ones((len(x), k), bool)
+        for part in _slices(batches):
+            _, high = own.of(part)
+            able = (high >= least) & (high > -np.inf)
+            rows = np.flatnonzero(able.any(0))
+            if not len(rows):
+                continue
+            v = _padded(part.column(4), dim)[rows]
+            rough = x @ v.T
+            near = able[:, rows] & (rough >= best[:, -1:] - 10.0**-DIGITS - slack * np.sqrt((v**2).sum(1).max() + 1))
+            if len(rows) > k:  # no more than these can be among the k best of the slice
+                rough[~able[:, rows]] = -np.inf
+                near &= rough >= np.partition(rough, len(rows) - k, 1)[:, [len(rows) - k]] - 10.0**-DIGITS - slack * np.sqrt((v**2).sum(1).max() + 1)
+            q, at = np.nonzero(near)
+            if not len(q):
+                continue
+            score = np.round(products_in_order(v, x, at, q, PAIRS), DIGITS) + 0.0
+            id_ = part.column(0).take(pa.array(rows[at]))
+            turn = np.unique(q)
+            q = np.concatenate([q, np.repeat(turn, k)])
+            score = np.concatenate([score, best[turn].reshape(-1)])
+            none = np.concatenate([np.asarray(id_.is_null()), null[turn].reshape(-1)])
+            key = np.concatenate([np.asarray(id_.fill_null(0)), ids[turn].reshape(-1)])
+            order = np.lexsort((key, none, -score, q))
+            order = order[np.arange(len(q)) - np.searchsorted(q[order], q[order]) < k]  # each of them has k rows of before at least
+            best[turn], ids[turn], null[turn] = (y[order].reshape(-1, k) for y in (score, key, none))
+        q, at = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(ids[q, at], mask=null[q, at]), pa.array(best[q, at])], ["q", "id", "score"])
+
+    return index.select("id", "code", "off", "cell", "embedding").mapInArrow(run, "q int, id long, score double")
 
 
 def search(index: VectorIndex, queries: DataFrame, k: int = 10, probes: int | None = 16, refine: int | None = 20, key: str = "query_id", vector: str = "embedding", together: int = 512) -> DataFrame:
@@ -227,29 +322,27 @@ def search(index: VectorIndex, queries: DataFrame, k: int = 10, probes: int | No
         near = x @ quantiser.centres.T  # cells by inner product of their centres, as the vectors
         n = len(quantiser.centres) if probes is None else min(probes, len(quantiser.centres))
         probed = np.argsort(-near, axis=1, kind="stable")[:, :n]
-        found = _candidates(stored, quantiser, x, probed, k, refine)
-        order = Window.partitionBy("q").orderBy(F.desc("low"), F.asc_nulls_last("id"))
         if refine is None:
-            floor = found.select("q", "low", "id").withColumn("n", F.row_number().over(order)).where(F.col("n") == k).select("q", F.col("low").alias("floor"))
-            chosen = found.join(F.broadcast(floor), "q", "left").where("floor IS NULL OR high >= floor").select("q", "cell", "id")  # a row a query of this turn
-        else:
-            chosen = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k * refine).select("q", "cell", "id")
+            parts.append(_named(_exact(stored, quantiser, x, probed, k), keys, kind, key, k))
+            continue
+        found = _candidates(stored, quantiser, x, probed, k * refine)
+        order = Window.partitionBy("q").orderBy(F.desc("low"), F.asc_nulls_last("id"))
+        chosen = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k * refine).select("q", "cell", "id")
         chosen = chosen.groupBy("cell", "id").agg(F.collect_set("q").alias("qs"))  # no more than the queries of this turn
         cells = sorted({int(c) for c in probed.reshape(-1)})
         raw = stored.where(F.col("cell").isin(cells)).select("cell", "id", "embedding")
         same = (raw["cell"] == chosen["cell"]) & raw["id"].eqNullSafe(chosen["id"])
         both = raw.join(chosen, same).select(raw["id"], "embedding", "qs")
-        parts.append(_ranked(both, x[:, : quantiser.dim], keys, kind, key, k))
+        parts.append(_named(_scored(both, x[:, : quantiser.dim]), keys, kind, key, k))
     out = parts[0] if parts else empty
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _ranked(rows: DataFrame, x: np.ndarray, keys: list, kind: str, key: str, k: int) -> DataFrame:
-    """The exact scores of the candidates (id, embedding, qs) and the k best of each query."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(x)
+def _scored(rows: DataFrame, x: np.ndarray) -> DataFrame:
+    """q, id, score: the exact scores of the candidates (id, embedding, qs)."""
+    shared = rows.sparkSession.sparkContext.broadcast(x)
 
     def run(batches):
         x = shared.value
@@ -258,10 +351,17 @@ def _ranked(rows: DataFrame, x: np.ndarray, keys: list, kind: str, key: str, k:
             qs = batch.column(2)
             n = np.asarray(qs.value_lengths(), np.int64)
             row, q = np.repeat(np.arange(len(n)), n), np.asarray(qs.flatten(), np.int64)
-            score = np.round(np.einsum("ij,ij->i", v[row], x[q]), DIGITS) + 0.0
-            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), batch.column(0).take(pa.array(row)), pa.array(score)], ["q", "id", "score"])
+            for a in range(0, len(q), PAIRS):
+                i, j = row[a: a + PAIRS], q[a: a + PAIRS]
+                score = np.round(products_in_order(v, x, i, j), DIGITS) + 0.0
+                yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), batch.column(0).take(pa.array(i)), pa.array(score)], ["q", "id", "score"])
+
+    return rows.mapInArrow(run, "q int, id long, score double")
+
 
-    names = spark.createDataFrame(list(enumerate(keys)), f"q int, {key} {kind}")
+def _named(scored: DataFrame, keys: list, kind: str, key: str, k: int) -> DataFrame:
+    """The k best of each query, under its own key."""
+    names = scored.sparkSession.createDataFrame(list(enumerate(keys)), f"q int, {key} {kind}")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("id")))
-    best = rows.mapInArrow(run, "q int, id long, score double").withColumn("rank", rank).where(F.col("rank") <= k)
+    best = scored.withColumn("rank", rank).where(F.col("rank") <= k)
     return best.join(F.broadcast(names), "q").select(key, "rank", "id", "score")  # a row a query of this turn

@@ -93,3 +93,21 @@ def test_one_hot_cell(spark, tmp_path):
     assert len(files) >= 4
     got = found(VI.search(index, asked_of(spark, [(1, [1.0, 0.0])]), k=7, probes=1))
     assert got[1] == [(i, 1.0) for i in range(7)]
+
+
+def test_exact_search_passes_on_k_rows_a_query(spark, tmp_path):
+    """Loose codes make every vector a candidate of every query; a task still passes on k rows a query, and the best are exact."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 12)).astype(np.float32).astype(float)
+    x[100:400] = x[0]
+    rows = list(enumerate(x))
+    df = table(spark, rows)
+    index = VI.build(df, VI.fit(df, cells=2, parts=1, words=2), f"{tmp_path}/loose")
+    asked = [(i, x[i]) for i in range(0, 3000, 100)]
+    q = np.array([v for _, v in asked])
+    probed = np.tile(np.arange(2), (len(q), 1))
+    stored = index.read(spark).coalesce(2)
+    got = VI._exact(stored, index.quantiser, index.quantiser.widened(q), probed, 10)
+    assert got.count() <= 2 * 10 * len(asked)
+    want, found_ = brute(rows, asked, 10), found(VI.search(index, asked_of(spark, asked), k=10, probes=None, refine=None, together=7))
+    assert {a: [i for i, _ in v] for a, v in found_.items()} == {a: [i for i, _ in v] for a, v in want.items()}
