@@ -1,7 +1,7 @@
 """Citations of an answer, resolved against the sections that there are, and its numbers, looked for in what it was given to read.
 
 A citation names paragraphs, sections, regulations, chapters, tables or schedules by number: single ones, lists and ranges ("paragraphs 3 to 5 and 7"), with letters and
-sub-paragraphs ("regulation 12A(3)(b)"). A list or range is one citation a number, written out up to ``MOST`` numbers; a wider range counts by its two ends.
+sub-paragraphs ("regulation 12A(3)(b)"). A number of more than six digits and an address of four numbers ("para 97.108.109.124") are none. A list or range is one citation a number, written out up to ``MOST`` numbers; a wider range counts by its two ends.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MOST = 50  # numbers that a range is written out to
-_NUMBER = r"\d{1,6}[a-zA-Z]?(?:\(\w{1,5}\))*"
+_NUMBER = r"\d{1,6}(?!\d)(?!(?:\.\d+){3})[a-zA-Z]?(?:\(\w{1,5}\))*"
 _JOIN = r"\s*(?:,\s*(?:and\s+)?|and\s+|&\s*|to\s+|-\s*|–\s*)"
 #: A citation: its kind, then numbers with what joins them.
 CITATION = rf"(?i)\b(paragraph|para|section|regulation|reg|chapter|table|schedule|article)s?\.?\s+({_NUMBER}(?:{_JOIN}{_NUMBER})*)"

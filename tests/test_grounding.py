@@ -55,6 +55,13 @@ def test_citation_grammar(spark):
     assert cited(spark, "section 9 to 2") == [("section", 9, 9, "9")]
 
 
+def test_long_numbers_and_addresses_are_no_citations(spark):
+    assert cited(spark, "para 97.108.109.124, para 4803325992187775 e para 1234567") == []
+    assert cited(spark, "See paragraphs 3 to 5, 97.108.109.124; section 6, 1234567 and para 9.2, table 123456.") == [
+        ("paragraph", 3, 5, "3"), ("section", 6, 6, "6"), ("paragraph", 9, 9, "9"), ("table", 123456, 123456, "123456"),
+    ]
+
+
 def test_planted_false_citations(spark):
     known = spark.createDataFrame([("paragraph", 100, 180), ("paragraph", 100, 180), ("table", 1, 3000), ("regulation", 34, 34)], "kind string, first long, last long")
     answers = [(1, "Paragraph 120 and paragraph 900"), (2, "paras 178 to 182, table 2999"), (3, "nothing"), (4, None), (5, "reg 34, regs 34 and 35; table 1 to 3000")]
