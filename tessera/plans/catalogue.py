@@ -18,7 +18,7 @@ from tessera.operators import prompt as P
 from tessera.operators import report
 from tessera.operators import retrieve as R
 from tessera.operators.dedup import keep_first, resume
-from tessera.operators.tokenise import library_tokenizer, tokenised
+from tessera.operators.tokenise import byte_level_tokenizer, tokenised
 from tessera.operators.workers import Lazy
 from tessera.sources import pages
 
@@ -510,7 +510,7 @@ def tokenise_sft(spark, sf_dir):
     """Ids, mask and labels of the training chats, 128 at most; the tokenizer has no SQL."""
     import public_tokenizers
 
-    return tokenised(sft_format(spark, sf_dir), "text", library_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))).drop("text")
+    return tokenised(sft_format(spark, sf_dir), "text", byte_level_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))).drop("text")
 
 
 from tessera.plans import retrieval  # noqa: E402, F401  registers its queries here
