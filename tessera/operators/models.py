@@ -6,7 +6,6 @@ A model is given as an object, which goes to the workers as it is, or as ``worke
 from __future__ import annotations
 
 import hashlib
-import re
 import time
 from dataclasses import dataclass
 from typing import Protocol
@@ -22,6 +21,14 @@ from tessera.operators import prompt as P
 from tessera.operators.workers import model, ship
 
 
+WORDS = 1 << 18
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_hashes: dict[str, int] = {}
+
+
 class Embedder(Protocol):
     name: str
     dim: int
@@ -43,12 +50,36 @@ class HashingEmbedder:
     most_words: int | None = None
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        for i, t in enumerate(texts):
-            for w in re.findall("[0-9A-Za-z]+", t)[: self.most_words]:
-                h = hashlib.md5(w.lower().encode()).hexdigest()
-                out[i, int(h[:7], 16) % self.dim] += 1.0 if h[7] >= "8" else -1.0
-        return out
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        data, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+        inside = _IN_WORD[data]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        edge = ends[:-1][ends[:-1] < len(data)]
+        first[edge] = inside[edge]  # a word never goes on in the next text
+        starts = np.flatnonzero(first)
+        row = np.searchsorted(ends, starts, side="right") - 1
+        letters = _LOWER[data[inside]]
+        at = np.append(np.cumsum(inside)[starts] - 1, len(letters)).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(letters)])
+        coded = words.dictionary_encode()
+        word = np.asarray(coded.indices, np.int64)
+        if self.most_words is not None:
+            early = np.arange(len(row)) - np.searchsorted(row, row) < self.most_words
+            row, word = row[early], word[early]
+        place, sign = self._hashed(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        return np.bincount(row * self.dim + place[word], sign[word], len(texts) * self.dim).reshape(len(texts), self.dim)
+
+    def _hashed(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Place and sign of distinct words; a worker remembers ``WORDS`` of them."""
+        found = list(map(_hashes.get, words))
+        if len(_hashes) + len(words) > WORDS:
+            _hashes.clear()
+        for i in [i for i, h in enumerate(found) if h is None]:
+            x = hashlib.md5(words[i].encode()).hexdigest()
+            found[i] = _hashes[words[i]] = int(x[:7], 16) * 2 + (x[7] >= "8")
+        h = np.array(found, np.int64)
+        return (h >> 1) % self.dim, np.where(h & 1, 1.0, -1.0)
 
 
 @dataclass
@@ -74,8 +105,10 @@ def embed(df: DataFrame, text: str, embedder: Embedder, batch: int = 32, into: s
             vectors = []
             for s in range(0, b.num_rows, batch):
                 v = np.asarray(own.embed([t or "" for t in b.column(at).slice(s, batch).to_pylist()]), np.float64)
-                vectors += (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).astype(np.float32).tolist()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float32()))], schema.names)
+                vectors.append((v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).astype(np.float32))
+            flat = np.concatenate(vectors) if vectors else np.zeros((0, 0), np.float32)
+            ends = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * np.int32(flat.shape[1]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, pa.array(flat.reshape(-1)))], schema.names)
 
     return df.mapInArrow(run, schema)
 

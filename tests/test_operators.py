@@ -12,7 +12,7 @@ from tessera.operators import prompt as P
 from tessera.operators import report
 from tessera.operators import retrieve as R
 from tessera.operators.dedup import keep_first, resume
-from tessera.operators.tokenise import library_tokenizer, tokenised
+from tessera.operators.tokenise import byte_level_tokenizer, library_tokenizer, tokenised
 from tessera.operators.workers import Lazy
 from tessera.plans import corpus
 
@@ -144,6 +144,14 @@ def test_tokenised(spark):
     assert len(tokenised(df, "text", lazy, max_length=None, special=False).where("i = 2").first()["input_ids"]) > 128
 
 
+def test_byte_level_ids_are_the_library_ones(spark):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    texts = ["", None, "<|endoftext|>", "a <|endoftext|> b", "it's 3,000.50!", "tab\tand\n\n line ", "x" * 900, "café ½ 日本 \u3000 \xa0z", " two  blanks ", "one two " * 200]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 60)], "i int, text string")
+    want, got = ({r["i"]: tuple(r) for r in tokenised(df, "text", lazy(path), max_length=n).collect()} for lazy, n in ((library_tokenizer, 128), (byte_level_tokenizer, 128)))
+    assert got == want and len(got) == 600 and got[2][2] == [50256]
+
+
 def test_tuning_report(spark):
     asked = spark.createDataFrame([(1, "Why?"), (2, "How?")], "query_id long, query string")
     base, tuned = (spark.createDataFrame(r, "query_id long, response string") for r in ([(1, "b1"), (2, "b2")], [(1, "t1")]))
@@ -292,3 +300,27 @@ def test_scores_are_compared_unrounded_and_summed_in_order(spark):
         assert [(r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in got] == want
     assert any(b[2] == 99 for b in want if b[1] == 1)
     assert R.retrieve(asked, index, k=0).count() == 0
+
+
+def test_hashing_embedder_equals_plain_loop():
+    """Word by word by a regular expression; few texts are hashed twice."""
+    import hashlib
+    import re
+
+    texts = ["", "One two, two ONE", "K\u212a \u017fs \u0130i \xe91\xe92", "a", "b", "\n", "x9" * 500, "no1-no1_no2"]
+    for most in (None, 2):
+        want = np.zeros((len(texts), 16))
+        for i, t in enumerate(texts):
+            for w in re.findall("[0-9A-Za-z]+", t)[:most]:
+                h = hashlib.md5(w.lower().encode()).hexdigest()
+                want[i, int(h[:7], 16) % 16] += 1.0 if h[7] >= "8" else -1.0
+        assert (M.HashingEmbedder(16, most_words=most).embed(texts) == want).all()
+    assert M.HashingEmbedder(16).embed([]).shape == (0, 16) and not M.HashingEmbedder(16).embed(["", ""]).any()
+
+
+def test_words_are_hashed_once(monkeypatch):
+    calls, md5 = [], M.hashlib.md5
+    monkeypatch.setattr(M.hashlib, "md5", lambda b: calls.append(b) or md5(b))
+    M.HashingEmbedder(16).embed(["zebra ZEBRA zebra", "zebra quagga"] * 50)
+    M.HashingEmbedder(16).embed(["quagga"])
+    assert sorted(calls) == [b"quagga", b"zebra"]
