@@ -9,6 +9,8 @@ that agree to ``DIGITS`` places are ties; repeated candidates count once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,17 +21,15 @@ from tessera.operators.workers import ship
 DIGITS = 9
 
 
-def _rows(column: pa.Array) -> list[np.ndarray]:
-    """The matrices of a column of lists of vectors."""
-    out = []
+def _rows(column: pa.Array) -> Iterator[np.ndarray]:
+    """The matrices of a column of lists of vectors, one at a time."""
     for x in column:
         tokens = x.values if x.is_valid else None
         if tokens is None or not len(tokens):
-            out.append(np.zeros((0, 0)))
+            yield np.zeros((0, 0))
             continue
         flat = np.asarray(tokens.flatten().cast(pa.float64()))
-        out.append(flat.reshape(len(tokens), -1))
-    return out
+        yield flat.reshape(len(tokens), -1)
 
 
 def late_score(question: np.ndarray, document: np.ndarray, block: int = 4096) -> float:

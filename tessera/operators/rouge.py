@@ -96,7 +96,8 @@ def rouge_l(pairs: DataFrame, reference: str = "reference", candidate: str = "ca
     def run(batches):
         for batch in batches:
             rows = []
-            for r, c in zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist()):
+            for i in range(batch.num_rows):  # one pair of texts at a time
+                r, c = batch.column(width)[i].as_py(), batch.column(width + 1)[i].as_py()
                 if summary:
                     r, c = [s for s in r if s], [s for s in c if s]
                     hits, n, m = union_hits(r, c), sum(map(len, r)), sum(map(len, c))

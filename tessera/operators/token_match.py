@@ -34,12 +34,13 @@ def weighted(texts: DataFrame, weights: DataFrame, key: str = "pair_id") -> Data
     return joined.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "weight"))), lambda x: x["weight"]).alias("weights"))
 
 
-def _unit(rows) -> np.ndarray:
-    x = np.array([r if r is not None else [] for r in rows], object)
-    dim = max((len(r) for r in x), default=0)
-    out = np.zeros((len(x), dim))
-    for i, r in enumerate(x):
-        out[i, : len(r)] = r
+def _unit(vectors: pa.Array | None) -> np.ndarray:
+    """(tokens, dim) of a list of vectors, each scaled to length 1; nulls and missing places are zeros."""
+    if vectors is None or not len(vectors):
+        return np.zeros((0, 0))
+    n = np.asarray(vectors.value_lengths().fill_null(0), np.int64)
+    out = np.zeros((len(n), int(n.max())))
+    out[np.arange(out.shape[1]) < n[:, None]] = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
     size = np.sqrt((out**2).sum(1))
     return out / np.where(size > 0, size, 1)[:, None]
 
@@ -76,14 +77,17 @@ def token_scores(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
     kind = pairs.schema[key].dataType.simpleString()
 
     def weights(given, n: int, top: float) -> np.ndarray:
-        return np.ones(n) if given is None else np.array([top if w is None else w for w in given], float)
+        return np.ones(n) if given is None else np.where(np.isnan(given), top, given)
 
     def run(batches):
         for batch in batches:
             rows = []
-            for r, c, wr, wc in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
-                r, c = _unit(r or []), _unit(c or [])
-                top = max([w for w in (wr or []) + (wc or []) if w is not None], default=1.0)
+            for i in range(batch.num_rows):  # one pair of texts at a time
+                r, c, wr, wc = (x.values if x.is_valid else None for x in (batch.column(j)[i] for j in range(1, 5)))
+                wr, wc = (None if w is None else w.cast(pa.float64()).to_numpy(zero_copy_only=False) for w in (wr, wc))  # null: NaN
+                known = np.concatenate([w[~np.isnan(w)] for w in (wr, wc) if w is not None] or [np.zeros(0)])
+                top = known.max() if len(known) else 1.0
+                r, c = _unit(r), _unit(c)
                 rows.append(measures(r, c, weights(wr, len(r), top), weights(wc, len(c), top)))
             got = list(zip(*rows)) or [()] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.float64()) for x in got)], [key, "precision", "recall", "f"])
