@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,3 +325,15 @@ def test_words_are_hashed_once(monkeypatch):
     M.HashingEmbedder(16).embed(["zebra ZEBRA zebra", "zebra quagga"] * 50)
     M.HashingEmbedder(16).embed(["quagga"])
     assert sorted(calls) == [b"quagga", b"zebra"]
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    """Rows of 64 KB come to Python in batches of some MB, for every operator that ships its code."""
+    from tessera.operators.workers import BATCH, ship
+
+    own = spark.newSession()
+    ship(own)
+    assert int(own.conf.get(BATCH[0])) == BATCH[1]
+    wide = own.range(0, 200, 1, 1).select(F.repeat(F.lit("x"), 1 << 16).alias("t"))
+    rows = wide.mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in it), "n long").collect()
+    assert sum(r["n"] for r in rows) == 200 and max(r["n"] for r in rows) <= 80
