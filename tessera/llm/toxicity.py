@@ -111,6 +111,11 @@ class Differences:
             found = self.cache[window] = tuple(max(-MOST, min(MOST, len(o.compress(both)) - len(t.compress(both)))) for t, o in self.pairs)
         return found
 
+    def all_of(self, windows: list[bytes]) -> list[tuple[int, ...]]:
+        """``of`` each; those remembered are looked up together."""
+        found = list(map(self.cache.get, windows))
+        return [self.of(w) if x is None else x for w, x in zip(windows, found)]
+
     def histograms(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """(texts, levels * BINS) windows by difference."""
         data = _LOWER[data]
@@ -120,10 +125,12 @@ class Differences:
         order = np.argsort(h, kind="stable")
         new = np.r_[True, h[order][1:] != h[order][:-1]]
         raw, last = data.tobytes(), np.r_[first[1:], len(starts)]
-        found = np.empty((int(new.sum()), len(LEVELS)), np.int64)
-        for i, w in enumerate(order[new].tolist()):
-            a, b = int(first[w]), int(last[w])
-            found[i] = self.of(b"".join(b" " + raw[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist())) + b" ")
+        begin, stop = first[order[new]], last[order[new]]
+        if self.words == 1:
+            distinct = [b" " + raw[x:y] + b" " for x, y in zip(starts[begin].tolist(), ends[begin].tolist())]
+        else:
+            distinct = [b"".join(b" " + raw[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist())) + b" " for a, b in zip(begin.tolist(), stop.tolist())]
+        found = np.array(self.all_of(distinct), np.int64).reshape(-1, len(LEVELS))
         each = np.empty((len(h), len(LEVELS)), np.int64)
         each[order] = found[np.cumsum(new) - 1]
         place = (text[:, None] * len(LEVELS) + np.arange(len(LEVELS))) * BINS + each + MOST

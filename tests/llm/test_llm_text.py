@@ -388,3 +388,20 @@ def test_link_query_equals_sql_on_linked_pages(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == want and len(want) == 400
     plain = {r[-1] for r in want if r[got.columns.index("rule")] is None}
     assert plain == {"allow", "block"}  # by the links, without a rule
+
+
+def test_remembered_windows_are_looked_up_together(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm import toxicity as X
+    from tessera.llm.common import text_bytes
+
+    for words, n in ((1, 5), (2, 4)):
+        d = X.Differences(b" awful nasty", b" lovely sunny", b" the", words)
+        data, offs = text_bytes(pa.array(["awful Sunny day", "", "awful sunny awful sunny day", "x" * 100 if words == 1 else "day sunny awful"]))
+        first, asked, of = d.histograms(data, offs), [], d.of
+        monkeypatch.setattr(d, "of", lambda w: asked.append(w) or of(w))
+        assert (d.histograms(data, offs) == first).all() and not asked and len(d.cache) >= n
+        assert first[:, : X.BINS].sum(1).tolist() == ([3, 0, 5, 2] if words == 1 else [2, 0, 3, 2])
+        assert all(d.cache[w] == of(w) for w in list(d.cache)) and np.array(list(d.cache.values())).shape[1] == len(X.LEVELS)
