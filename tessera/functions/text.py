@@ -90,9 +90,14 @@ def format_chunk(paragraph_id: Column, text: Column) -> Column:
     return F.concat(F.lit("Paragraph "), paragraph_id, F.lit(": "), text)
 
 
+def lower(c: Column) -> Column:
+    """In lower case letter by letter, as in the SQL; Spark makes two characters of one letter and lets another depend on its place."""
+    return F.lower(F.replace(F.replace(c, F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ")))
+
+
 def words(c: Column) -> Column:
     """Words in lower case, in order, with repeats."""
-    return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(lower(c), F.lit(WORD), F.lit(0))
 
 
 def is_blank(c: Column) -> Column:
@@ -120,7 +125,10 @@ def render_html(c: Column) -> Column:
 
 
 def render_score(c: Column) -> Column:
-    return F.format_string("%.4f", c.cast("double"))
+    """To four places; null, nan, inf and -inf as in the SQL."""
+    c = c.cast("double")
+    odd = F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf")
+    return F.when(c.isNotNull(), F.coalesce(odd, F.format_string("%.4f", c)))
 
 
 def train_steps(n: Column, batch: int = 1, accumulate: int = 2, epochs: int = 2) -> Column:

@@ -337,3 +337,27 @@ def test_arrow_batches_are_bounded_by_bytes(spark):
     wide = own.range(0, 200, 1, 1).select(F.repeat(F.lit("x"), 1 << 16).alias("t"))
     rows = wide.mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in it), "n long").collect()
     assert sum(r["n"] for r in rows) == 200 and max(r["n"] for r in rows) <= 80
+
+
+def test_scores_that_are_null_or_no_numbers(spark):
+    nan, inf = float("nan"), float("inf")
+    vectors = [(1, [1.0, 0.0]), (2, [nan, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [inf, 0.0]), (6, [0.5, 0.5])]
+    index = spark.createDataFrame([(i, "alpha" if i == 6 else "no", v) for i, v in vectors], "chunk_id long, text string, embedding array<double>")
+    asked = [(1, "alpha", [1.0, 0.0]), (2, None, [0.0, 1.0]), (3, "alpha", [nan, 1.0]), (None, "alpha", None)]
+    asked = spark.createDataFrame(asked, "query_id long, query string, embedding array<double>")
+    got = {}
+    for r in R.retrieve(asked, index.repartition(2)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["chunk_id"], repr(r["score"])))
+    assert got == {
+        1: [(2, "nan"), (5, "inf"), (6, "0.75")],
+        2: [(1, "None"), (2, "None"), (3, "None")],
+        3: [(1, "nan"), (2, "nan"), (3, "nan")],
+        None: [(6, "0.5"), (1, "0.0"), (2, "0.0")],
+    }
+
+
+def test_words_are_lowered_letter_by_letter(spark):
+    from tessera.functions import text as T
+
+    df = spark.createDataFrame([("İzmir ΟΔΟΣ Ärger",)], "text string")
+    assert df.select(T.words(F.col("text"))).first()[0] == ["izmir", "οδοσ", "ärger"]
