@@ -10,10 +10,11 @@ from tessera.functions import vocabulary as V
 
 
 def context_blocks(hits: DataFrame) -> DataFrame:
-    """(query_id, context): the hits' texts under their headings, in rank order. k rows make a block."""
+    """(query_id, context): the hits' texts under their headings, in rank order. k rows make a block; it is null if none of them has a part."""
     part = F.concat(F.lit("Paragraph "), "paragraph_id", F.lit(" (from "), "source_doc", F.lit("):\n"), "text")
     ordered = F.array_sort(F.collect_list(F.struct("rank", part.alias("part"))))
-    return hits.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["part"]), "\n\n").alias("context"))
+    joined = F.when(F.count(part) > 0, F.array_join(F.transform(ordered, lambda x: x["part"]), "\n\n"))
+    return hits.groupBy("query_id").agg(joined.alias("context"))
 
 
 def user_prompt(context: Column, question: Column) -> Column:

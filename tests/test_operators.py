@@ -361,3 +361,9 @@ def test_words_are_lowered_letter_by_letter(spark):
 
     df = spark.createDataFrame([("İzmir ΟΔΟΣ Ärger",)], "text string")
     assert df.select(T.words(F.col("text"))).first()[0] == ["izmir", "οδοσ", "ärger"]
+
+
+def test_context_of_null_parts_is_null(spark):
+    hits = [(1, 1, "7", None, "a"), (2, 1, "7", "s", "b"), (2, 2, "8", "s", None)]
+    hits = spark.createDataFrame(hits, "query_id long, rank int, paragraph_id string, source_doc string, text string")
+    assert {r["query_id"]: r["context"] for r in P.context_blocks(hits).collect()} == {1: None, 2: "Paragraph 7 (from s):\nb"}
