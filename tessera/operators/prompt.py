@@ -55,9 +55,10 @@ def qa_records(sections: DataFrame, section: str, generated: str, names: V.Names
 
 
 def reader_prompt(context: Column, question: Column, names: V.Names = V.Names()) -> Column:
-    """The prompt of the configurations that see contexts."""
+    """The prompt of the configurations that see contexts; null without a context or a question."""
     system = F.lit(names.fill(V.READER_SYSTEM))
-    return render_chat(F.array(message("system", system), message("user", user_prompt(context, question))), generation=True)
+    prompt = render_chat(F.array(message("system", system), message("user", user_prompt(context, question))), generation=True)
+    return F.when(context.isNotNull() & question.isNotNull(), prompt)
 
 
 def plain_prompt(question: Column) -> Column:

@@ -367,3 +367,9 @@ def test_context_of_null_parts_is_null(spark):
     hits = [(1, 1, "7", None, "a"), (2, 1, "7", "s", "b"), (2, 2, "8", "s", None)]
     hits = spark.createDataFrame(hits, "query_id long, rank int, paragraph_id string, source_doc string, text string")
     assert {r["query_id"]: r["context"] for r in P.context_blocks(hits).collect()} == {1: None, 2: "Paragraph 7 (from s):\nb"}
+
+
+def test_prompt_without_a_context_or_question_is_null(spark):
+    df = spark.createDataFrame([(1, "c", "q"), (2, None, "q"), (3, "c", None)], "query_id long, context string, query string")
+    got = {r[0]: r[1] is None for r in df.select("query_id", P.reader_prompt(F.col("context"), F.col("query"))).collect()}
+    assert got == {1: False, 2: True, 3: True}
