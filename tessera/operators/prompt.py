@@ -62,4 +62,4 @@ def reader_prompt(context: Column, question: Column, names: V.Names = V.Names())
 
 
 def plain_prompt(question: Column) -> Column:
-    return render_chat(F.array(message("user", question)), generation=True)
+    return F.when(question.isNotNull(), render_chat(F.array(message("user", question)), generation=True))

@@ -373,3 +373,10 @@ def test_prompt_without_a_context_or_question_is_null(spark):
     df = spark.createDataFrame([(1, "c", "q"), (2, None, "q"), (3, "c", None)], "query_id long, context string, query string")
     got = {r[0]: r[1] is None for r in df.select("query_id", P.reader_prompt(F.col("context"), F.col("query"))).collect()}
     assert got == {1: False, 2: True, 3: True}
+
+
+def test_null_prompts_have_null_answers_in_every_configuration(spark):
+    df = spark.createDataFrame([(1, "c", "q"), (2, None, "q"), (3, "c", None)], "query_id long, context string, query string")
+    got = {(r["query_id"], r["config"]) for r in M.answers(df, M.EchoGenerator(), None).collect() if r["response"] is None}
+    with_context = {p.config for p in M.PROFILES if p.with_context}
+    assert got == {(2, c) for c in with_context} | {(3, p.config) for p in M.PROFILES}
