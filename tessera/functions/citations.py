@@ -1,7 +1,7 @@
 """Citations of an answer, resolved against the sections that there are, and its numbers, looked for in what it was given to read.
 
 A citation names paragraphs, sections, regulations, chapters, tables or schedules by number: single ones, lists and ranges ("paragraphs 3 to 5 and 7"), with letters and
-sub-paragraphs ("regulation 12A(3)(b)"). A number of more than six digits and an address of four numbers ("para 97.108.109.124") are none. A list or range is one citation a number, written out up to ``MOST`` numbers; a wider range counts by its two ends.
+sub-paragraphs ("regulation 12A(3)(b)"). A number of more than six digits and an address of four numbers ("para 97.108.109.124") are none. A list is one citation a number or range, and a range of any width is one citation of all its numbers.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MOST = 50  # numbers that a range is written out to
+LARGEST = 999_999  # number that a citation can have: six digits at most
 _NUMBER = r"\d{1,6}(?!\d)(?!(?:\.\d+){3})[a-zA-Z]?(?:\(\w{1,5}\))*"
 _JOIN = r"\s*(?:,\s*(?:and\s+)?|and\s+|&\s*|to\s+|-\s*|–\s*)"
 #: A citation: its kind, then numbers with what joins them.
@@ -42,12 +42,6 @@ def _ends(item: Column):
     return first.alias("first"), F.greatest(F.coalesce(last, first), first).alias("last"), F.lower(left).alias("label")
 
 
-def cited_numbers(citation: Column) -> Column:
-    """The numbers of a citation: all of a range of up to MOST, else its two ends."""
-    first, last = citation["first"], citation["last"]
-    return F.when(last - first < MOST, F.sequence(first, last)).otherwise(F.array(first, last))
-
-
 def figures(text: Column) -> Column:
     """The distinct numbers in a text as plain ones: without pound signs and thousands' commas, per cent signs kept."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(FIGURE), F.lit(0))

@@ -73,6 +73,45 @@ def test_planted_false_citations(spark):
     assert {r["n_real"] for r in G.citation_accuracy(df, known.limit(0)).collect()} == {0}
 
 
+def test_gaps_within_wide_ranges_are_found(spark):
+    known = spark.createDataFrame([("paragraph", 1, 40), ("paragraph", 61, 100), ("table", 1, 50), ("table", 51, 100), ("section", 1, 999_999)], "kind string, first long, last long")
+    answers = [(1, "paragraphs 1 to 100"), (2, "tables 1 to 100"), (3, "tables 1 to 101"), (4, "sections 1 to 999999"), (5, "paras 1 to 40, 61-100 and 2 to 99")]
+    given = spark.createDataFrame([(2, "table", 1, 70), (2, "table", 72, 100), (3, "table", 0, 2000)], "answer_id long, kind string, first long, last long")
+    df = spark.createDataFrame(answers, "answer_id long, answer string")
+    got = {r["answer_id"]: (r["n_cited"], r["n_real"], r["n_given"]) for r in G.citation_accuracy(df, known, given).collect()}
+    assert got == {1: (1, 0, 0), 2: (1, 1, 0), 3: (1, 0, 1), 4: (1, 1, 0), 5: (3, 2, 0)}
+
+
+def test_ranges_equal_sets_of_numbers(spark):
+    rng = np.random.default_rng(7)
+    spans = []
+    for kind in ("paragraph", "table", "chapter"):
+        starts = rng.integers(-50, 9000, size=400)
+        widths = rng.choice([0, 3, 20, 60, 1024, 3000], p=[0.3, 0.3, 0.2, 0.17, 0.02, 0.01], size=400)
+        spans += [(int(rng.integers(1, 6)), kind, int(a), int(a + w)) for a, w in zip(starts, widths)]
+    spans += [(1, "table", 20, 10), (1, "table", None, 5), (1, "chapter", 1023, 1023), (1, "chapter", 1024, 2047), (2, "table", 999_000, 10**12), (2, "table", 10**7, 10**8), (3, "chapter", -(10**12), 2)]
+    given = spark.createDataFrame(spans, "answer_id long, kind string, first long, last long")
+    answers, cites = [], {}
+    for i in range(1, 121):
+        key = (i - 1) % 5 + 1
+        kind, first = str(rng.choice(["paragraph", "table", "chapter"])), int(rng.integers(0, 9000))
+        if i % 2:  # from an interval on, so that many are covered
+            _, kind, first, _ = spans[int(rng.integers(0, 1200))]
+        first, last = max(first, 0), max(first, 0) + int(rng.choice([0, 2, 49, 50, 51, 300, 2000]))
+        cites.setdefault(key, []).append((kind, first, last))
+    cites[2].append(("table", 999_500, 999_999))
+    answers = [(k, "; ".join(f"{kind} {a} to {b}" for kind, a, b in c)) for k, c in cites.items()]
+    numbers = lambda key: {(k, n) for i, k, a, b in spans if key in (None, i) and a is not None for n in range(max(a, 0), min(b, 999_999) + 1)}
+    every = numbers(None)
+    want = {}
+    for k, c in cites.items():
+        mine = numbers(k)
+        real, had = (sum(all((kind, n) in have for n in range(a, b + 1)) for kind, a, b in c) for have in (every, mine))
+        want[k] = (len(c), real, had)
+    got = {r["answer_id"]: (r["n_cited"], r["n_real"], r["n_given"]) for r in G.citation_accuracy(spark.createDataFrame(answers, "answer_id long, answer string"), given.drop("answer_id"), given).collect()}
+    assert got == want and all(0 < r < n for n, r, _ in want.values()) and sum(h for _, _, h in want.values()) > 0
+
+
 def test_numbers(spark):
     answers = spark.createDataFrame([(1, "£3,000 or 12% of 007, and 12 again"), (2, "none"), (3, "42"), (4, None)], "answer_id long, answer string")
     contexts = spark.createDataFrame([(1, "3000 pounds"), (1, "12%"), (2, "5"), (9, "42")], "answer_id long, context string")
